@@ -14,6 +14,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 #: Rows up to which a table of narrow rows (at most some 100 bytes each) is broadcast: about 20 MB.
 BROADCAST_ROWS = 200_000
+#: Rows of a single long column up to which it is broadcast: some 40 MB in memory.
+MANY_IDS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

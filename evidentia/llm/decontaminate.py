@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, text_or_empty, written
+from .common import MANY_IDS, small, text_or_empty, written
 from .shingles import hashed, shingles, words
 
 SIZE = 5
 CONTAINMENT = 0.8
-#: Rows of a single long column up to which it is broadcast: some 40 MB in memory.
-MANY_IDS = 500_000
 
 
 def sketches(items: DataFrame, size: int, containment: float) -> DataFrame:

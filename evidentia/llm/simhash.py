@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import MANY_IDS, small, text_or_empty, written
 from .components import components
 
 SEED = 42
@@ -195,6 +195,10 @@ def deduplicated(docs: DataFrame, size: int = 4, distance: int = 4) -> DataFrame
 
     Rows whose doc_id is null are kept, as no group can name them; of rows that repeat a doc_id one is kept.
     """
-    keep = written(near_duplicates(docs, size, distance).where("doc_id = component_id").select("doc_id").distinct(), "kept")
-    one = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null"))
+    found = written(near_duplicates(docs, size, distance).select("doc_id", "component_id"), "groups")
+    gone = small(written(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone"), MANY_IDS)
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    named = found.where("doc_id is not null")
+    if named.groupBy("doc_id").count().where("count > 1").head(1):
+        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    return kept

@@ -18,6 +18,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import pyarrow.ipc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -207,36 +209,49 @@ def _open_windows(block: Block, flags: np.ndarray) -> tuple[tuple, np.ndarray, t
     return found, gone, (_mixed(whole, 4), np.repeat(mark[undecided], n), at, np.repeat(doc[undecided], n))
 
 
-def _store(docs: DataFrame, block_bytes: int) -> DataFrame:
-    """(block, docs, sizes, packed): texts in compressed blocks, written bucketed by block so that later joins move flags only."""
+def _stream(parts: list[pa.RecordBatch]) -> bytes:
+    sink = pa.BufferOutputStream()
+    table = pa.Table.from_batches(parts).combine_chunks()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _store(docs: DataFrame, block_bytes: int, carry: list[str]) -> DataFrame:
+    """(block, docs, sizes, packed, extra): texts in compressed blocks, written bucketed by block so that later joins move flags only.
+
+    extra: the columns to carry of the block's rows, as an Arrow stream.
+    """
     spark = docs.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         block = TaskContext.get().partitionId() << 32
-        ids, texts, size = [], [], 0
+        ids, texts, size, extra = [], [], 0, []
 
         def row() -> pa.RecordBatch:
             sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-            data = [[block], [np.array(ids, np.int64).tobytes()], [sizes.tobytes()], [int(sizes.sum())], [zstandard.compress(b"".join(texts), 1)]]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(data, (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary()), strict=True)], ["block", "docs", "sizes", "n_bytes", "packed"])
+            data = [[block], [np.array(ids, np.int64).tobytes()], [sizes.tobytes()], [int(sizes.sum())], [zstandard.compress(b"".join(texts), 1)], [_stream(extra) if carry else None]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(data, (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["block", "docs", "sizes", "n_bytes", "packed", "extra"])
 
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
+            for at, (doc, text) in enumerate(zip(batch.column("~doc"), batch.column("~text"), strict=True)):
                 raw = text.as_buffer().to_pybytes()
                 if ids and size + len(raw) > block_bytes:
                     yield row()
                     block += 1
-                    ids, texts, size = [], [], 0
+                    ids, texts, size, extra = [], [], 0, []
+                if carry:
+                    extra.append(batch.slice(at, 1).select(carry))
                 ids.append(NO_DOC if doc.as_py() is None else doc.as_py())
                 texts.append(raw)
                 size += len(raw)
         if ids:
             yield row()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    rows = rows.mapInArrow(run, "block long, docs binary, sizes binary, n_bytes long, packed binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("~doc"), text_or_empty().alias("~text"), *carry)
+    rows = rows.mapInArrow(run, "block long, docs binary, sizes binary, n_bytes long, packed binary, extra binary")
     path = fresh_path(spark, "blocks")
     name = "evidentia_" + path.rpartition("-")[2]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
@@ -249,9 +264,9 @@ def _answers(rows: DataFrame, with_own: bool) -> DataFrame:
     return flags.groupBy("block").agg(F.collect_list(F.struct("range", "flags")).alias("parts"))  # a row for each range at most
 
 
-def _decided(docs: DataFrame, output, schema: str, block_bytes: int, range_bytes: int) -> DataFrame:
-    """The three passes; output(block, bytes removed as a mask) gives the rows of a block."""
-    store = _store(docs, block_bytes)
+def _decided(docs: DataFrame, output, schema, block_bytes: int, range_bytes: int, carry: list[str] = ()) -> DataFrame:
+    """The three passes; output(block, bytes removed as a mask, carried columns) gives the rows of a block."""
+    store = _store(docs, block_bytes, list(carry))
     total = store.agg(F.sum("n_bytes")).first()[0] or 0
     bits = max(0, (total // range_bytes).bit_length())
     packed = "range long, block long, n long, packed binary"
@@ -276,14 +291,14 @@ def _decided(docs: DataFrame, output, schema: str, block_bytes: int, range_bytes
 
     def masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for (_, block), parts, more in zip(_blocks(batch), batch.column("parts"), batch.column("more"), strict=True):
+            for (_, block), parts, more, extra in zip(_blocks(batch), batch.column("parts"), batch.column("more"), batch.column("extra"), strict=True):
                 (start, count, *_), gone, (whole, mark, at, doc) = _open_windows(block, _flags(parts.as_py()))
                 first, key, least = distinct_keys(whole, mark, doc)
                 later = (doc > least[key]) | (_flags(more.as_py())[key] & 1 == 1) if len(key) else np.empty(0, bool)
                 depth = np.zeros(len(block.data) + 1, np.int32)
                 np.add.at(depth, np.r_[start[gone], at[later]], 1)
                 np.add.at(depth, np.r_[start[gone] + count[gone] - 1, at[later]] + DEPTH, -1)
-                yield from output(block, np.cumsum(depth[:-1]) > 0)
+                yield from output(block, np.cumsum(depth[:-1]) > 0, extra)
 
     first = written(_answers(store.mapInArrow(marks, packed), True), "marks").withColumnRenamed("block", "b1")
     joined = store.join(first, F.col("block") == F.col("b1"), "left").drop("b1")
@@ -305,7 +320,7 @@ def repeated_passages(docs: DataFrame, block_bytes: int = BLOCK_BYTES, range_byt
     other document has and removes nothing.
     """
 
-    def output(block: Block, gone: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def output(block: Block, gone: np.ndarray, _) -> Iterator[pa.RecordBatch]:
         rows = []
         for doc, data, mask in _each(block, gone):
             n = int(mask.sum())
@@ -316,11 +331,19 @@ def repeated_passages(docs: DataFrame, block_bytes: int = BLOCK_BYTES, range_byt
     return _decided(docs, output, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", block_bytes, range_bytes)
 
 
-def remaining_text(docs: DataFrame, block_bytes: int = BLOCK_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """(doc_id, n_removed, text): what remains of each text; bytes of characters that were cut through are dropped."""
+def without_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """docs with what remains of each text; every row and all other columns stay, without a shuffle of texts.
+
+    Bytes of characters that were cut through are dropped. A null text becomes empty; a column n_chars, if there is one, counts the new text.
+    """
+    schema, names = docs.schema, docs.columns
 
-    def output(block: Block, gone: np.ndarray) -> Iterator[pa.RecordBatch]:
-        rows = [(doc, int(mask.sum()), data[~mask].tobytes().decode("utf-8", "ignore")) for doc, data, mask in _each(block, gone)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string()), strict=True)], ["doc_id", "n_removed", "text"])
+    def output(block: Block, gone: np.ndarray, extra: pa.Scalar) -> Iterator[pa.RecordBatch]:
+        texts = pa.array([data[~mask].tobytes().decode("utf-8", "ignore") for _, data, mask in _each(block, gone)], pa.string())
+        rest = pa.ipc.open_stream(extra.as_buffer()).read_all() if extra.is_valid else None
+        columns = {n: texts if n == "text" else rest.column(n) for n in names}
+        if "n_chars" in columns:
+            columns["n_chars"] = pa.compute.utf8_length(texts).cast(columns["n_chars"].type)
+        yield from pa.table(columns).combine_chunks().to_batches()
 
-    return _decided(docs, output, "doc_id long, n_removed long, text string", block_bytes, range_bytes)
+    return _decided(docs, output, schema, block_bytes, range_bytes, [c for c in names if c != "text"])
