@@ -10,7 +10,8 @@ FILES = T.StructType().add("path", "string").add("text", "string")
 PROJECTS = T.StructType().add("name", "string").add("rootId", "string").add("relativePath", "string").add("projectId", "string").add("registrySource", "string").add("addedAt", "string").add("discoveredAt", "string")
 #: The six keys of a capture record, and no others.
 LOG_KEYS = ("runId", "profile", "sha", "nexusTools", "writePaths", "watchPaths")
-LOG = T.StructType().add("runId", "string").add("profile", "string").add("sha", "string").add("nexusTools", "boolean").add("writePaths", "array<string>").add("watchPaths", "array<string>")
+_PATHS = T.ArrayType(T.StringType())
+LOG = T.StructType().add("runId", "string").add("profile", "string").add("sha", "string").add("nexusTools", "boolean").add("writePaths", _PATHS).add("watchPaths", _PATHS)
 COUNTERS = ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", "reasoning_tokens", "api_call_count")
 SESSIONS = T.StructType().add("id", "string")
 for _name in COUNTERS:
