@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import graph_plans, history_plans, registry_plans, scope_plans, search_plans, telemetry_plans, text_plans  # noqa: F401  they register their queries
+from . import graph_plans, history_plans, incremental_plans, registry_plans, scope_plans, search_plans, telemetry_plans, text_plans  # noqa: F401  they register their queries
 from .registered import QUERIES, SQL
 
 
