@@ -168,7 +168,7 @@ class WordTokenizer:
 
 #: str.split() also splits at these, which are no white space to the tokenizer.
 _CONTROL = re.compile("[\x1c-\x1f]")
-_SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
+_SPACE = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
 def split_words(text: str) -> list[str]:

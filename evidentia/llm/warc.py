@@ -19,6 +19,8 @@ from .common import fresh_path, small, written
 LEAST_SHARED = 1000
 #: Bytes (compressed) after which a partition begins another archive; a reader holds one archive.
 ARCHIVE_BYTES = 16 << 20
+#: Compressed bytes that a reader takes at a time.
+READ_BYTES = 16 << 10
 
 CAPTURES = "url_key string, warc_date string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, position long"
 _SCHEMA = pa.schema([(n, pa.int64() if t == "long" else pa.string()) for n, t in (c.split() for c in CAPTURES.split(", "))])
@@ -68,18 +70,21 @@ def fields(block: bytes) -> dict[str, str]:
 
 def records(archive: bytes) -> Iterator[tuple[int, dict[str, str], dict[str, str], bytes]]:
     """(position, WARC fields, HTTP fields, payload) of each gzip member; damage raises ValueError."""
-    at = 0
+    view, at = memoryview(archive), 0
     while at < len(archive):
-        member = zlib.decompressobj(31)
-        data = member.decompress(archive[at:])
-        if not member.eof:
-            raise ValueError(f"archive is cut off in the record at {at}")
-        head, _, rest = data.partition(b"\r\n\r\n")
+        member, parts, end = zlib.decompressobj(31), [], at
+        while not member.eof:
+            piece = view[end : end + READ_BYTES]
+            if not piece:
+                raise ValueError(f"archive is cut off in the record at {at}")
+            parts.append(member.decompress(piece))
+            end += len(piece)
+        head, _, rest = b"".join(parts).partition(b"\r\n\r\n")
         warc = fields(head)
         block = rest[: int(warc["content-length"])]
         http, _, payload = block.partition(b"\r\n\r\n")
         yield at, warc, fields(http), payload
-        at = len(archive) - len(member.unused_data)
+        at = end - len(member.unused_data)
 
 
 def write_archives(pages: DataFrame, folder: str) -> None:
