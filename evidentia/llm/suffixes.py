@@ -141,8 +141,10 @@ def _pack(*arrays: np.ndarray) -> bytes:
 
 def _rows_by_range(block: int, mark: np.ndarray, own: np.ndarray | None, doc: np.ndarray, bits: int) -> Iterator[tuple]:
     """(range, block, n, packed keys and documents) for each range of the leading bits of sorted marks."""
+    if not len(mark):
+        return
     part = (mark >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(mark), np.int64)
-    begins = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else []
+    begins = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
     for b, e in zip(begins, [*begins[1:], len(part)], strict=True):
         step = np.diff(mark[b:e], prepend=_U(0))
         yield int(part[b]), block, int(e - b), _pack(step.view(np.uint8).reshape(-1, 8).T.copy(), *(() if own is None else (own[b:e],)), doc[b:e])
