@@ -20,7 +20,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     a = lines.select("l_orderkey", F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("src"), F.when(F.col("l_returnflag") == "R", "imports").when(F.col("l_returnflag") == "A", "references").otherwise("uses").alias("relation"))
     b = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("n"), F.col("l_partkey").alias("dst"))
-    return a.distinct().join(b.distinct(), ["l_orderkey", "n"]).select("src", "dst", "relation").distinct()
+    return a.join(b, ["l_orderkey", "n"]).select("src", "dst", "relation").distinct()
 
 
 NODES = "nodes as (select p_partkey as id, p_name as label, p_type as kind, p_brand || '/' || p_type as file, p_brand as feature, p_type as layer from part)"
