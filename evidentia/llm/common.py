@@ -50,7 +50,23 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
     df should be cheap to count: a written table or a short aggregate.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """df written into the shared folder in buckets of key, so that joins on key don't shuffle it; its files are not compressed again.
+
+    Spark keeps buckets of catalog tables only; the entry goes at once, the files and the plan that reads them stay.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    entry = f"evidentia_{path.rpartition('-')[2]}"
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    df.write.option("path", path).option("compression", "uncompressed").bucketBy(buckets, key).format("parquet").saveAsTable(entry)
+    found = spark.table(entry)
+    found.schema  # analyzed now
+    spark.sql(f"drop table {entry}")
+    return found
 
 
 def crc_fold(doc_id="doc_id"):

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, fresh_path, text_or_empty, written
+from .common import bucketed, crc_fold, text_or_empty, written
 
 STATES = 6
 ROUNDS = 4
@@ -96,12 +96,7 @@ def _blocks(docs: DataFrame, bits: int, block_bytes: int) -> DataFrame:
         if ids:
             yield from rows()
 
-    spark = docs.sparkSession
-    path = fresh_path(spark, "blocks")
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    rows = docs.select("doc_id", "held_out", "text").mapInArrow(run, _BLOCK)
-    rows.write.option("path", path).option("compression", "uncompressed").bucketBy(buckets, "block").format("parquet").saveAsTable("evidentia_" + path.rpartition("-")[2])
-    return spark.table("evidentia_" + path.rpartition("-")[2])
+    return bucketed(docs.select("doc_id", "held_out", "text").mapInArrow(run, _BLOCK), "block", "blocks")
 
 
 def _summed(n_train: int):

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, text_or_empty, written
+from .common import bucketed, text_or_empty, written
 
 DEPTH = 50
 MARK = 20
@@ -224,8 +224,6 @@ def _store(docs: DataFrame, block_bytes: int, carry: list[str]) -> DataFrame:
 
     extra: the columns to carry of the block's rows, as an Arrow stream.
     """
-    spark = docs.sparkSession
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -254,11 +252,7 @@ def _store(docs: DataFrame, block_bytes: int, carry: list[str]) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("~doc"), text_or_empty().alias("~text"), *carry)
     rows = rows.mapInArrow(run, "block long, docs binary, sizes binary, n_bytes long, packed binary, extra binary")
-    path = fresh_path(spark, "blocks")
-    name = "evidentia_" + path.rpartition("-")[2]
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    rows.write.option("path", path).option("compression", "uncompressed").bucketBy(buckets, "block").format("parquet").saveAsTable(name)
-    return spark.table(name)
+    return bucketed(rows, "block", "blocks")
 
 
 def _answers(rows: DataFrame, with_own: bool) -> DataFrame:
