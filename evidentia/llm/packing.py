@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,7 @@ from .bpe import default_vocabulary, word_tokenizer
 from .common import text_or_empty
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+NO_DOC = np.iinfo(np.int64).min
 _NAMES = [c.split()[0] for c in PIECES.split(", ")]
 
 
@@ -71,7 +73,7 @@ def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 1, vocabulary: str
 
     A document's ids are those of its text (null: none) and end_id. It is cut at multiples of capacity; full pieces are sequences of
     their own, the remainders of a partition are packed together by minimum bin slack. There is no shuffle: a partition
-    keeps 40 bytes for each remainder, never ids, and leaves at most a few windows open. A sequence id is the
+    keeps some 100 bytes for each remainder, never ids, and leaves at most a few windows open. A sequence id is the
     partition's number in the upper bits and a count in the lower 32, so it is unique and the same when a task is run again.
     Extra columns are ignored; repeated rows are packed as often as they come; a null doc_id stays null.
     """
@@ -82,7 +84,7 @@ def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 1, vocabulary: str
 
         words, tail = word_tokenizer(path), end_id.to_bytes(4, "little")
         sequence = TaskContext.get().partitionId() << 32
-        left: list[tuple] = []
+        left = array("q")  # five numbers for each remainder
         for batch in batches:
             rows = []
             for doc, ids in zip(batch.column("doc_id").to_pylist(), words.encode(batch.column("text").to_pylist()), strict=True):
@@ -95,14 +97,14 @@ def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 1, vocabulary: str
                         rows.append((*piece, sequence, 0))
                         sequence += 1
                     else:
-                        left.append(piece)
+                        left.extend((NO_DOC if doc is None else doc, *piece[1:]))
             yield from batch_of(rows)
-        rows = []
-        for window in minimum_bin_slack(np.array([p[2] for p in left], dtype=np.int64), capacity):
+        rows, pieces = [], np.frombuffer(left, np.int64).reshape(-1, 5)
+        for window in minimum_bin_slack(pieces[:, 2], capacity):
             offset = 0
-            for k in window:
-                rows.append((*left[k], sequence, offset))
-                offset += left[k][2]
+            for doc, *piece in pieces[window].tolist():
+                rows.append((None if doc == NO_DOC else doc, *piece, sequence, offset))
+                offset += piece[1]
             sequence += 1
             if len(rows) >= 10_000:
                 yield from batch_of(rows)
