@@ -149,6 +149,11 @@ def read_archives(spark, folder: str) -> DataFrame:
     return files.mapInArrow(run, CAPTURES).withColumn("url_key", url_key(F.col("url_key")))
 
 
+def _make_folder(spark, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+
+
 class LoserTree:
     """Merge of sorted runs: each inner place keeps the loser of its match, so a step replays one path of log2(k) matches."""
 
@@ -234,5 +239,6 @@ def archive_pages(pages: DataFrame, folder: str | None = None, date: Column | No
     digests = rows.select("page_id", F.octet_length("html").cast("long").alias("payload_bytes"), F.sha1(F.col("html").cast("binary")).alias("digest"))
     known = small(written(revisits(digests, least), "revisits"))
     rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary"))).join(known, ["page_id", "digest"], "left").withColumn("url_key", url_key(F.col("url")))
+    _make_folder(spark, folder)  # stays empty where there are no pages
     write_archives(rows, folder)
     return capture_histories(read_archives(spark, folder))
