@@ -185,3 +185,12 @@ def test_envelopes(spark):
     row = envelope.with_status(spark.range(0)).first()
     assert (row.status, row.finding_state) == ("available", "no_evidence_found")
     assert envelope.with_status(spark.range(3), ["work_limit"]).first().asDict() == {"status": "partial", "finding_state": "evidence_found", "reasons": ["work_limit"]}
+
+
+def test_provider_choice():
+    providers = [{"id": "b", "priority": 1, "languages": ["go"], "capabilities": {"impact": "full"}}, {"id": "a", "priority": 1, "languages": ["go", "java"], "capabilities": {}}, {"id": "c", "priority": 9, "languages": ["java"], "capabilities": {"impact": "full"}}]
+    from evidentia.operators import evidence
+
+    found, attempts = evidence.choose_provider(providers, {"go"}, "impact")
+    assert found["id"] == "b" and [(a["id"], a["reason"]) for a in attempts] == [("c", "unsupported_language"), ("a", "unsupported_capability"), ("b", None)]
+    assert evidence.choose_provider([], {"go"}, "impact") == (None, [])
