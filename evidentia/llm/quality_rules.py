@@ -105,9 +105,9 @@ def thresholds(labelled: DataFrame, stratum: str, alpha: float = ALPHA, delta: f
     over = [F.sum((F.expr(RULES[name][0]) > cut).cast("long")).alias(f"{name}_{j}") for name, j, cut in grid]
     wide = good.groupBy(stratum).agg(F.count("*").alias("n_good"), *over)
     cells = F.array(*[F.struct(F.lit(name).alias("rule"), F.lit(j).alias("step"), F.lit(cut).alias("cutoff"), F.col(f"{name}_{j}").alias("n_rejected")) for name, j, cut in grid])
-    strata = labelled.select(stratum).distinct().agg((F.count("*") * len(RULES)).alias("tests"))
-    tall = wide.select(stratum, "n_good", F.inline(cells)).crossJoin(F.broadcast(strata))  # one row
-    safe = binomial_tail(F.col("n_rejected"), F.col("n_good"), alpha) <= F.lit(delta) / F.col("tests")
+    tests = max(1, labelled.select(stratum).distinct().count() * len(RULES))
+    tall = wide.select(stratum, "n_good", F.inline(cells))
+    safe = binomial_tail(F.col("n_rejected"), F.col("n_good"), alpha) <= F.lit(delta / tests)
     # the first step that fails; those before it are safe
     ends = F.min(F.when(~safe, F.col("step"))).alias("end")
     held = tall.groupBy(stratum, "rule").agg(ends, F.max("n_good").alias("n_good"), F.array_sort(F.collect_list(F.struct("step", "cutoff", "n_rejected"))).alias("steps"))
