@@ -8,7 +8,7 @@ NODES = T.StructType().add("id", "long").add("label", "string").add("kind", "str
 EDGES = T.StructType().add("src", "long").add("dst", "long").add("relation", "string")
 FILES = T.StructType().add("path", "string").add("text", "string")
 PROJECTS = T.StructType().add("name", "string").add("rootId", "string").add("relativePath", "string").add("projectId", "string").add("registrySource", "string").add("addedAt", "string").add("discoveredAt", "string")
-#: The six keys of a capture record, and no others.
+# Fixed values of the capture format: the six keys of a record, and no others.
 LOG_KEYS = ("runId", "profile", "sha", "nexusTools", "writePaths", "watchPaths")
 _PATHS = T.ArrayType(T.StringType())
 LOG = T.StructType().add("runId", "string").add("profile", "string").add("sha", "string").add("nexusTools", "boolean").add("writePaths", _PATHS).add("watchPaths", _PATHS)
