@@ -112,6 +112,11 @@ class WordTokenizer:
         self.known: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Give the cache back at the end of a task: a worker that waits holds nothing."""
+        self.known.clear()
+        self.pieces.clear()
+
     def learn(self, words: set[str]) -> None:
         """Fill the cache for words, merging all new pieces in one go."""
         if len(self.known) + len(words) > CACHE_WORDS:

@@ -99,6 +99,7 @@ def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 1, vocabulary: str
                     else:
                         left.extend((NO_DOC if doc is None else doc, *piece[1:]))
             yield from batch_of(rows)
+        words.forget()
         rows, pieces = [], np.frombuffer(left, np.int64).reshape(-1, 5)
         for window in minimum_bin_slack(pieces[:, 2], capacity):
             offset = 0

@@ -29,10 +29,10 @@ from .common import bucketed, text_or_empty, written
 DEPTH = 50
 MARK = 20
 #: Bytes of text in a block (a longer text is a block of its own), and suffixes hashed at a time.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 SEGMENT = 1 << 17
 #: Bytes of text for each digit range: one range is grouped in one task.
-RANGE_BYTES = 12 << 20
+RANGE_BYTES = 6 << 20
 NO_DOC = np.iinfo(np.int64).max
 
 _U = np.uint64

@@ -29,6 +29,7 @@ def token_counts(docs: DataFrame, limit: int = 2048, vocabulary: str | None = No
             n = pa.array([len(ids) // 4 for ids in words.encode(texts)], pa.int64())
             sizes = pa.compute.binary_length(batch.column("text").cast(pa.binary())).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sizes, n, pa.compute.greater(n, limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+        words.forget()
 
     import pyarrow.compute  # noqa: F401  pa.compute is bound by this import
 
