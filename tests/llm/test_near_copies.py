@@ -75,3 +75,12 @@ def test_stage_finds_copies_beyond_four_bits(spark):
 def test_sets_at_the_threshold():
     sets = [np.array(x, np.uint64) for x in ([1, 2, 3, 4], [1, 2, 3, 4, 5], [1, 2, 3, 4, 6, 7])]
     assert near_copies.forest(np.arange(3), sets, 3) == [(1, 0)]
+
+
+def test_ids_that_repeat_with_other_texts(spark):
+    one, two, three, four = (" ".join(f"{c}{k}" for k in range(30)) for c in "abcd")
+    rows = [(1, one), (2, one), (2, two), (3, three), (3, four), (4, four), (4, four + " "), (5, two), (6, ""), (6, " "), (None, three), (None, three)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = corpus_pipeline.near_dedup(spark, frame, "").collect()
+    assert sorted((r.doc_id, r.text.strip()) for r in got if r.doc_id is not None) == [(1, one), (2, two), (3, three), (3, four), (6, "")]
+    assert sum(r.doc_id is None for r in got) == 2
