@@ -96,13 +96,29 @@ def impact_files(spark, d):
 MANY = ["Brand#2/ECONOMY", "Brand#17/ECONOMY", "Brand#5/PROMO"]
 
 
-@query(_impact_sql(MANY, 1) + """, r as (select *, row_number() over (partition by file order by distance, origin) as k from impact)
-select file, min(distance) as distance, count(*) as origins, string_agg(origin, ';' order by distance, origin) filter (where k <= 8) as nearest from r group by file""")
+_MERGED = """, r as (select *, row_number() over (partition by file order by distance, origin) as k from impact)
+select file, min(distance) as distance, count(*) as origins, string_agg(origin, ';' order by distance, origin) filter (where k <= 8) as nearest from r group by file"""
+
+
+@query(_impact_sql(MANY, 1) + _MERGED)
 def impact_multi_origin(spark, d):
     many = spark.createDataFrame([(o,) for o in MANY], "origin string").withColumn("file", F.col("origin"))
     return graph.merge_origins(graph.file_impact(*_both(spark, d), many, 1))
 
 
+@query(_impact_sql(["Brand#2/ECONOMY"], 2) + " select * from impact")
+def impact_files_deep(spark, d):
+    """Two levels, the default of impact_request."""
+    one = spark.createDataFrame([("Brand#2/ECONOMY",)], "origin string").withColumn("file", F.col("origin"))
+    return graph.file_impact(*_both(spark, d), one, 2)
+
+
+@query(_impact_sql(MANY, 2) + _MERGED)
+def impact_multi_origin_deep(spark, d):
+    many = spark.createDataFrame([(o,) for o in MANY], "origin string").withColumn("file", F.col("origin"))
+    return graph.merge_origins(graph.file_impact(*_both(spark, d), many, 2))
+
+
 @query(f"""{GRAPH}, s as (select id from nodes where file = (select file from nodes where id = 1) union select src from edges where dst = 1 or src = 1 union select dst from edges where dst = 1 or src = 1)
 select src, dst, relation from edges where src in (select id from s) and dst in (select id from s)""")
 def context_subgraph(spark, d):

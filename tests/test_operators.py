@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import names, texts
 from evidentia.operators import extract, graph, history, registry, scope, search, telemetry
-from evidentia.plans import envelope
+from evidentia.plans import catalog, envelope
 from evidentia.schemas import EDGES, NODES
 from evidentia.sources import readers, sinks
 from evidentia.streaming import usage
@@ -194,3 +194,8 @@ def test_provider_choice():
     found, attempts = evidence.choose_provider(providers, {"go"}, "impact")
     assert found["id"] == "b" and [(a["id"], a["reason"]) for a in attempts] == [("c", "unsupported_language"), ("a", "unsupported_capability"), ("b", None)]
     assert evidence.choose_provider([], {"go"}, "impact") == (None, [])
+
+
+@pytest.mark.parametrize("name", ["impact_files_deep", "impact_multi_origin_deep"])
+def test_registered_impact_goes_beyond_one_level(spark, name):
+    assert {r.distance for r in catalog.queries()[name](spark, "/root/testdata/sf0.01").collect()} == {1, 2}
