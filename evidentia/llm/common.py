@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +18,12 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
-#: Rows up to which a table of narrow rows (at most some 100 bytes each) is broadcast: about 20 MB.
-BROADCAST_ROWS = 200_000
+#: Bytes of data up to which a table is broadcast; Spark's hashed form takes some three times as much.
+BROADCAST_BYTES = 16 << 20
+#: Bytes of text that a Python worker turns into Python objects at a time.
+SLICE_BYTES = 1 << 20
+#: Bytes of text in a bucket, and buckets that Spark allows.
+BUCKET_BYTES, MOST_BUCKETS = 64 << 20, 100_000
 #: Rows of a single long column up to which it is broadcast: some 40 MB in memory.
 MANY_IDS = 500_000
 
@@ -45,23 +55,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `rows` rows, else df as it is (a shuffled join, which AQE splits where skewed).
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if its rows take at most `most` bytes, else df as it is (a shuffled join, which AQE splits where skewed).
 
-    df should be cheap to count: a written table or a short aggregate.
+    Rows and the lengths of their strings are added up, so df should be cheap to read: a written table or a short aggregate.
     """
-    return F.broadcast(df) if df.count() <= rows else df
+    size = F.lit(16)
+    for f in df.schema.fields:
+        size = size + (F.coalesce(F.octet_length(f.name), F.lit(0)) + 16 if f.dataType.typeName() in ("string", "binary") else 8)
+    return F.broadcast(df) if (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= most else df
 
 
-def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+def bucketed(df: DataFrame, key: str, name: str, n_bytes: int) -> DataFrame:
     """df written into the shared folder in buckets of key, so that joins on key don't shuffle it; its files are not compressed again.
 
+    A bucket is one task, so there are as many as give about BUCKET_BYTES of the n_bytes that df stands for to each.
     Spark keeps buckets of catalog tables only; the entry goes at once, the files and the plan that reads them stay.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
     entry = f"evidentia_{path.rpartition('-')[2]}"
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    buckets = min(MOST_BUCKETS, max(n_bytes // BUCKET_BYTES, 4 * spark.sparkContext.defaultParallelism))
     df.write.option("path", path).option("compression", "uncompressed").bucketBy(buckets, key).format("parquet").saveAsTable(entry)
     found = spark.table(entry)
     found.schema  # analyzed now
@@ -76,3 +90,32 @@ def crc_fold(doc_id="doc_id"):
 
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
+
+
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most `most` bytes in a column, or of one row that has more; nothing is copied."""
+    ends, at = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, most + (ends[at - 1] if at else 0), side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker that waits for its next task then holds little."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def given_back(work):
+    """A generator for mapInArrow that gives freed memory back at its task's end."""
+
+    @functools.wraps(work)
+    def rows(batches):
+        yield from work(batches)
+        give_back()
+
+    return rows

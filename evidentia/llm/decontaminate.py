@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MANY_IDS, small, text_or_empty, written
+from .common import small, text_or_empty, written
 from .shingles import hashed, shingles, words
 
 SIZE = 5
@@ -13,16 +13,21 @@ CONTAINMENT = 0.8
 
 
 def sketches(items: DataFrame, size: int, containment: float) -> DataFrame:
-    """(h, item_id): the smallest hashes of each item's shingles, as many as its size class needs.
+    """(size_class, h): for each class of items by size, the smallest hashes of each item's shingles, as many as the class needs.
 
     A text that holds at least c = ceil(containment * n) of an item's n shingles misses n - c at most, so it holds one of any n - c + 1. Items are put into
     classes of n by powers of two; a class takes the number that its largest possible n needs, so no item above the threshold can be missed,
     however long the text is.
     """
-    kept = items.select("item_id", F.array_sort(F.array_distinct("hash")).alias("hash")).where(F.size("hash") > 0)
-    top = F.pow(F.lit(2.0), F.ceil(F.log2(F.size("hash").cast("double"))))
+    kept = items.select("size_class", F.array_sort(F.array_distinct("hash")).alias("hash")).where(F.size("hash") > 0)
+    top = F.pow(F.lit(2.0), F.col("size_class").cast("double"))
     need = (top - F.ceil(F.lit(containment) * top - F.lit(1e-9)) + 1).cast("int")
-    return kept.select("item_id", F.explode(F.slice("hash", F.lit(1), need)).alias("h"))
+    return kept.select("size_class", F.explode(F.slice("hash", F.lit(1), need)).alias("h")).distinct()
+
+
+def size_class(n: Column) -> Column:
+    """The least k with n at most 2**k."""
+    return F.ceil(F.log2(F.greatest(n, F.lit(1)).cast("double"))).cast("int")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, containment: float = CONTAINMENT) -> DataFrame:
@@ -32,24 +37,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, containment:
     shingle; empty and null texts have none and are in no pair. Rows that repeat an id count as one text with the shingles of all. Also
     returned: n_shared, n_item (long) and containment (double).
 
-    Documents are read twice and not shuffled: once to probe hashes with the items' sketches, once, the candidates only, to verify with the
+    Items are partitioned by size: each class has its own sketches, and a document is a candidate for the classes whose sketches it meets, only with whose items it is
+    compared. Documents are read twice and not shuffled: once to probe hashes with the sketches, once, the candidates only, to verify with the
     shingles themselves. Items are broadcast while small; beyond that the probes are shuffled by hash.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(F.lower(text_or_empty())).alias("w")).where("item_id is not null")
     items = items.select("item_id", shingles(F.col("w"), size).alias("s"), F.transform("w", lambda w: F.xxhash64(w)).alias("wh")).select("item_id", "s", hashed(F.col("wh"), size).alias("hash"))
-    sketch = small(written(sketches(items, size, containment).distinct(), "sketch"))
     full = items.select("item_id", F.explode("s").alias("s")).distinct()
-    sizes = full.groupBy("item_id").agg(F.count("*").alias("n_item"))
+    sizes = full.groupBy("item_id").agg(F.count("*").alias("n_item")).withColumn("size_class", size_class(F.col("n_item")))
+    sketch = small(written(sketches(items.join(sizes, "item_id"), size, containment), "sketch"))
     full = small(written(full.join(sizes, "item_id"), "shingles"))
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(text_or_empty()).alias("text")).where("doc_id is not null")
     probes = texts.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.transform("w", lambda w: F.xxhash64(w)).alias("wh"))
     probes = probes.select("doc_id", F.explode(hashed(F.col("wh"), size)).alias("h"))
-    found = written(probes.join(sketch, "h", "left_semi").select("doc_id").distinct(), "candidates")
-    found = small(found, MANY_IDS)
+    found = written(probes.join(sketch, "h").groupBy("doc_id").agg(F.collect_set("size_class").alias("classes")), "candidates")  # some thirty classes at most
+    found = small(found.select("doc_id", "classes"))
 
-    shared = texts.join(found, "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("w"))
-    shared = shared.select("doc_id", F.explode(F.array_distinct(shingles(F.col("w"), size))).alias("s")).join(full, "s").select("doc_id", "item_id", "n_item", "s").distinct()
+    shared = texts.join(found, "doc_id").select("doc_id", "classes", words(F.col("text")).alias("w"))
+    shared = shared.select("doc_id", "classes", F.explode(F.array_distinct(shingles(F.col("w"), size))).alias("s")).join(full, "s").where(F.array_contains("classes", F.col("size_class")))
+    shared = shared.select("doc_id", "item_id", "n_item", "s").distinct()
     counted = shared.groupBy("doc_id", "item_id", "n_item").agg(F.count("*").alias("n_shared"))
     enough = F.col("n_shared") >= F.ceil(F.lit(containment) * F.col("n_item") - F.lit(1e-9))
     return counted.where(enough).select("doc_id", "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))
@@ -57,7 +64,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, containment:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, containment: float = CONTAINMENT) -> DataFrame:
     """docs without those in a pair of leaks(); all columns stay, rows with a null doc_id stay."""
-    bad = small(written(leaks(docs, benchmark, size, containment).select("doc_id").distinct(), "leaks"), MANY_IDS)
+    bad = small(written(leaks(docs, benchmark, size, containment).select("doc_id").distinct(), "leaks"))
     return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
 
 
