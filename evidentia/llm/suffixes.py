@@ -1,20 +1,24 @@
 """Repeated passages by a depth-limited radix sort of suffixes, most significant digit first.
 
-A suffix is ordered only through its first DEPTH bytes. Three passes take one digit each, and a group goes to the next pass only
-while it is undecided: (1) the minimizer of the suffix's DEPTH bytes, a MARK-byte string that those bytes determine; (2) the stretch of
-neighbouring suffixes that have that minimizer at the same place; (3) all DEPTH bytes. Digits are compared by 64-bit
-hashes, a group by two of them at least. Groups left equal after a pass are exactly the repeated windows; a window is
-removed where its group's smallest document is smaller than its own.
-
-Texts are kept in compressed blocks. What a pass sends is, for each block and digit range, one packed row of its different keys with the
-smallest document of the block that has each; what comes back is two bits for each key. So a passage that very many documents
-share costs a block one key, and no key has more rows than there are blocks.
+A suffix is ordered only through its first DEPTH bytes. Texts stay in compressed blocks; what moves is small:
+
+1. Presence. Neighbouring suffixes whose DEPTH bytes have the same anchor (the MARK bytes in them with the smallest hash, which those bytes determine) form a
+   stretch. A block sends the hashes of its different anchors and gets back which of them another document has too. A stretch whose anchor is in one
+   document only holds no repeated window and goes no further; a false hit costs work, never a result.
+2. Order. The bytes of the remaining stretches, each different one once, are dealt out by anchor, so equal suffixes meet. There their suffixes are sorted by
+   passes over digits of DIGIT bytes of their own, the leading ones first; a pass goes on only with groups that still span two documents.
+   Groups left after DEPTH bytes are exactly the repeated windows: bytes are compared, not hashes.
+
+An anchor with very many stretches is not dealt out whole: each of its suffixes is dealt by all its bytes instead, so that copies count once for each block.
+
+A block sends at most FAN packed rows a pass, however large the input. Where FAN ranges are not enough, relays in between do for the rows of some
+blocks what a block does for its documents (drop what is repeated, send FAN rows on, hand the answers back), so the rows grow in proportion to the input.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,77 +28,60 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, text_or_empty, written
+from .common import bucketed, give_back, given_back, text_or_empty, written
 
 DEPTH = 50
 MARK = 20
+DIGIT = 8
+#: Suffixes that can share an anchor side by side, and the bytes of such a stretch, rounded up to whole digits.
+WIDTH = DEPTH - MARK + 1
+ROW = -(-(DEPTH + WIDTH - 1) // DIGIT) * DIGIT
 #: Bytes of text in a block (a longer text is a block of its own), and suffixes hashed at a time.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 8 << 20
 SEGMENT = 1 << 17
-#: Bytes of text for each digit range: one range is grouped in one task.
-RANGE_BYTES = 6 << 20
+#: Bytes of text for each range: one range is ordered in one task, so many suffixes of it at a time.
+RANGE_BYTES = 16 << 20
+SUFFIXES = 1 << 20
+#: Ranges to which a block or a relay sends.
+FAN = 256
+#: Stretches of an anchor from which its suffixes are dealt out one by one.
+HOT = 20_000
 NO_DOC = np.iinfo(np.int64).max
+#: What is said about an anchor: one document has it, several have it, very many stretches have it.
+ALONE, SHARED, CROWDED = 0, 1, 2
+#: A note about an anchor: stretches up to MANY, and TWO if two documents have it.
+MANY, TWO = 0x7FFF, 0x8000
+#: Text for each relay, where there are relays.
+RELAY_BYTES = 64 << 20
 
 _U = np.uint64
-_ODD = [_U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(0xD6E8FEB86659FD93), _U(0xA0761D6478BD642F), _U(0xE7037ED1A0B428DB)]
+_ODD = np.random.default_rng(50).integers(0, 1 << 64, ROW // DIGIT + 4, dtype=np.uint64) | _U(1)
+_POWER = np.cumprod(np.r_[_U(1), np.full(SEGMENT + 2 * DEPTH, _ODD[0])], dtype=_U)
+_INVERSE = np.cumprod(np.r_[_U(1), np.full(SEGMENT + 2 * DEPTH, pow(int(_ODD[0]), -1, 1 << 64), dtype=_U)], dtype=_U)
+_LOW = _U((1 << 18) - 1)
+#: The bits of a hash that are sent.
+_SENT = ~_U(0xFFFF)
 
 
 def _mixed(x: np.ndarray, k: int) -> np.ndarray:
     x = (x ^ (x >> _U(32))) * _ODD[k]
     x ^= x >> _U(29)
-    x *= _ODD[(k + 1) % 6]
+    x *= _ODD[k + 1]
     x ^= x >> _U(32)
     return x
 
 
-_BYTE = _mixed(np.arange(1, 257, dtype=np.uint64) * _ODD[0], 1)
-
-
-def _joined(h: dict[int, np.ndarray], a: int, b: int) -> np.ndarray:
-    """Hashes of all strings of a + b bytes from those of a and of b bytes."""
-    n = len(h[a]) - b
-    out = h[a][:n] * _ODD[(a + b) % 6]
-    out += h[b][a : a + n]
-    return _mixed_light(out)
-
-
-def _mixed_light(x: np.ndarray) -> np.ndarray:
-    x ^= x >> _U(31)
-    return x
-
-
-def _hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all MARK-byte and of all DEPTH-byte strings; data has at least DEPTH bytes."""
-    h = {1: _BYTE[data]}
-    for k in (2, 4, 8, 16):
-        h[k] = _joined(h, k // 2, k // 2)
-    h[20] = _joined(h, 16, 4)
-    h[40] = _joined(h, 20, 20)
-    h[48] = _joined(h, 40, 8)
-    return h[20], _joined(h, 48, 2)
-
-
-class Stretches:
-    """All stretches of a segment of a block: `start` and `count` of suffixes, `mark` and `own` hashes; `whole` hashes DEPTH bytes at each suffix."""
-
-    def __init__(self, data: np.ndarray, valid: np.ndarray, at: int):
-        self.at = at
-        marks, self.whole = _hashes(data)
-        n = len(self.whole)
-        low = _U((1 << 18) - 1)
-        key = _mixed(marks, 2) & ~low | np.arange(len(marks), dtype=np.uint64)
-        width, step = DEPTH - MARK + 1, 1
-        while 2 * step <= width:
-            key = np.minimum(key[:-step], key[step:])
-            step *= 2
-        place = (np.minimum(key[:n], key[width - step : width - step + n]) & low).astype(np.int64)
-        change = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (valid[1:n] != valid[: n - 1])])
-        count = np.diff(np.r_[change, n])
-        keep = valid[change]
-        start, self.count = change[keep], count[keep]
-        self.mark = _mixed(marks[place[start]].copy(), 3)
-        self.own = _mixed(self.whole[start] * _ODD[4] + self.whole[start + self.count - 1] + self.count.astype(np.uint64) * _ODD[5] + (place[start] - start).astype(np.uint64), 1)
-        self.start = start + at
+def _anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each suffix's anchor, and the hashes of all MARK-byte strings; data has at least DEPTH bytes."""
+    sums = np.zeros(len(data) + 1, dtype=_U)
+    np.cumsum((data + _U(1)) * _POWER[: len(data)], out=sums[1:])
+    marks = _mixed((sums[MARK:] - sums[:-MARK]) * _INVERSE[: len(data) - MARK + 1], 1)
+    key, step = marks & ~_LOW | np.arange(len(marks), dtype=_U), 1
+    while 2 * step <= WIDTH:
+        key = np.minimum(key[:-step], key[step:])
+        step *= 2
+    n = len(data) - DEPTH + 1
+    return (np.minimum(key[:n], key[WIDTH - step : WIDTH - step + n]) & _LOW).astype(np.int64), marks
 
 
 class Block:
@@ -102,113 +89,321 @@ class Block:
 
     def __init__(self, doc: np.ndarray, sizes: np.ndarray, packed: bytes):
         self.doc, self.sizes = doc, sizes
-        self.data = np.frombuffer(zstandard.decompress(packed, max_output_size=max(1, int(sizes.sum()))) if len(packed) else b"", dtype=np.uint8)
+        raw = zstandard.decompress(packed, max_output_size=max(1, int(sizes.sum()))) if len(packed) else b""
+        self.padded = np.frombuffer(raw + bytes(ROW), dtype=np.uint8)
+        self.data = self.padded[: len(raw)]
         self.ends = np.cumsum(sizes)
+
+    def stretches(self) -> tuple[np.ndarray, ...]:
+        """start, count, lead (from the start to the anchor), anchor hash and document of every stretch."""
         valid = np.ones(max(0, len(self.data) - DEPTH + 1), dtype=bool)
-        for begin, end in zip((self.ends - sizes).tolist(), self.ends.tolist(), strict=True):
+        for begin, end in zip((self.ends - self.sizes).tolist(), self.ends.tolist(), strict=True):
             valid[max(begin, end - DEPTH + 1) : end] = False
-        self.valid = valid
+        parts = []
+        for at in range(0, len(valid), SEGMENT):
+            ok = valid[at : at + SEGMENT]
+            place, marks = _anchors(self.data[at : at + len(ok) + DEPTH - 1])
+            change = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (ok[1:] != ok[:-1])])
+            count = np.diff(np.r_[change, len(ok)])
+            keep = ok[change]
+            start, count = change[keep], count[keep]
+            there = place[start]
+            parts.append((start + at, count.astype(np.uint8), (there - start).astype(np.uint8), marks[there] & _SENT))
+        if not parts:
+            parts = [(np.empty(0, np.int64), np.empty(0, np.uint8), np.empty(0, np.uint8), np.empty(0, _U))]
+        start, count, lead, mark = (np.concatenate(c) for c in zip(*parts, strict=True))
+        return start, count, lead, mark, self.doc[np.searchsorted(self.ends, start, side="right")]
+
+
+# Presence: tables of (anchor hash, stretches and whether two documents have it), sorted by the hash
+
+
+class Presence:
+    """Different anchors with a note: the number of stretches, up to MANY, and TWO if two documents have the anchor."""
+
+    answer_type = np.uint8
+
+    def __init__(self, mark: np.ndarray, note: np.ndarray):
+        self.mark, self.note = mark, note
+
+    @classmethod
+    def of(cls, mark: np.ndarray, doc: np.ndarray) -> tuple[Presence, np.ndarray]:
+        """The table of all stretches, and each stretch's row in it."""
+        order = np.argsort(mark)
+        begins, key = _runs(mark[order], order)
+        if not len(begins):
+            return cls(mark, np.empty(0, np.uint16)), key
+        d = doc[order]
+        two = np.minimum.reduceat(d, begins) != np.maximum.reduceat(d, begins)
+        n = np.minimum(np.diff(np.r_[begins, len(order)]), MANY)
+        return cls(mark[order][begins], (n + two * TWO).astype(np.uint16)), key
+
+    @classmethod
+    def joined(cls, tables: list[Presence]) -> tuple[Presence, Presence, np.ndarray]:
+        """All rows of several tables, the table of the different ones, and each row's place in it."""
+        whole = cls(np.concatenate([t.mark for t in tables]), np.concatenate([t.note for t in tables]))
+        order = np.argsort(whole.mark)
+        begins, place = _runs(whole.mark[order], order)
+        note = whole.note[order].astype(np.int64)
+        n = np.minimum(np.add.reduceat(note & MANY, begins), MANY)
+        two = (np.bitwise_or.reduceat(note, begins) >= TWO) | (np.diff(np.r_[begins, len(order)]) > 1)
+        return whole, cls(whole.mark[order][begins], (n + two * TWO).astype(np.uint16)), place
+
+    def settled(self) -> np.ndarray:
+        """What is said about each anchor if there are no other tables."""
+        return (np.where(self.note & MANY >= HOT, CROWDED, SHARED) * (self.note >= TWO)).astype(np.uint8)
+
+    def told(self, table: Presence, place: np.ndarray, answer: np.ndarray) -> np.ndarray:
+        """The answers to these rows from those to the different ones."""
+        return answer[place]
+
+    def part(self, b: int, e: int) -> bytes:
+        return _steps(self.mark[b:e]) + self.note[b:e].tobytes()
+
+    @classmethod
+    def read(cls, raw: bytes, n: int) -> Presence:
+        return cls(_unstepped(raw, n), np.frombuffer(raw, np.uint16, n, 8 * n))
+
+
+def _steps(mark: np.ndarray) -> bytes:
+    return np.diff(mark, prepend=_U(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unstepped(raw: bytes, n: int) -> np.ndarray:
+    return np.cumsum(np.frombuffer(raw, np.uint8, 8 * n).reshape(8, n).T.copy().view(_U).ravel(), dtype=_U)
+
+
+def _runs(values: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of equal sorted values begin, and for each unsorted row the number of its run."""
+    new = np.r_[True, values[1:] != values[:-1]] if len(values) else np.empty(0, bool)
+    key = np.empty(len(order), dtype=np.int64)
+    key[order] = np.cumsum(new) - 1
+    return np.flatnonzero(new), key
+
+
+class Contexts:
+    """Different stretches, sorted by anchor: its hash, count and lead, the smallest document that has the stretch, and its bytes in a row of ROW."""
+
+    answer_type = np.uint32
+
+    def __init__(self, mark: np.ndarray, count: np.ndarray, lead: np.ndarray, doc: np.ndarray, text: np.ndarray):
+        self.mark, self.count, self.lead, self.doc, self.text = mark, count, lead, doc, text
+
+    def different(self) -> tuple[Contexts, np.ndarray]:
+        """The table without rows that repeat count, lead and bytes of another, with the smallest document; and each row's place in it.
+
+        Neighbours are found by a hash and compared by their bytes: a collision leaves a row too many, never one too few.
+        """
+        words = self.text.view(_U)
+        key = (words * _ODD[: words.shape[1]]).sum(axis=1, dtype=_U)
+        key = _mixed(key + (self.count.astype(_U) << _U(8) | self.lead) * _ODD[-3], 2)
+        order = np.lexsort((self.doc, key, self.mark))
+        mark, text, count, lead = self.mark[order], words[order], self.count[order], self.lead[order]
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (mark[1:] != mark[:-1]) | (count[1:] != count[:-1]) | (lead[1:] != lead[:-1])
+        same = np.flatnonzero(~new)
+        new[same] = (text[same] != text[same - 1]).any(axis=1)
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.cumsum(new) - 1
+        return Contexts(mark[new], count[new], lead[new], self.doc[order][new], text[new].view(np.uint8)), place
+
+    @classmethod
+    def together(cls, tables: list[Contexts]) -> Contexts:
+        return cls(*(np.concatenate([getattr(t, c) for t in tables]) for c in ("mark", "count", "lead", "doc", "text")))
+
+    @classmethod
+    def joined(cls, tables: list[Contexts]) -> tuple[Contexts, Contexts, np.ndarray]:
+        """All rows of several tables, the table of the different ones, and each row's place in it."""
+        whole = cls.together(tables)
+        return whole, *whole.different()
+
+    def settled(self) -> np.ndarray:
+        """For each of these different stretches a bit for each of its suffixes that a smaller document has among them.
+
+        Anchors with rows of one document are skipped; the others are taken up to about SUFFIXES suffixes at a time.
+        """
+        out = np.zeros(len(self.mark), dtype=np.uint32)
+        begins = np.flatnonzero(np.r_[True, self.mark[1:] != self.mark[:-1]])
+        group = np.repeat(np.arange(len(begins)), np.diff(np.r_[begins, len(out)]))
+        several = np.minimum.reduceat(self.doc, begins) != np.maximum.reduceat(self.doc, begins)
+        rows = np.flatnonzero(several[group])
+        group, taken = group[rows], np.cumsum(self.count[rows].astype(np.int64))
+        at = 0
+        while at < len(rows):
+            stop = int(np.searchsorted(taken, (taken[at - 1] if at else 0) + SUFFIXES, side="right"))
+            stop = max(stop, at + 1)
+            if stop < len(rows):  # whole anchors: back to the last border, or on to the next
+                border = int(np.searchsorted(group, group[stop], side="left"))
+                stop = border if border > at else int(np.searchsorted(group, group[stop], side="right"))
+            _sort_suffixes(self, rows[at:stop], group[at:stop], out)
+            at = stop
+        return out
+
+    def told(self, table: Contexts, place: np.ndarray, answer: np.ndarray) -> np.ndarray:
+        """The answers to these rows from those to the different ones: all suffixes of a stretch that a smaller document has are repeated."""
+        every = (_U(1) << self.count.astype(_U)) - _U(1)
+        return np.where(self.doc > table.doc[place], every.astype(np.uint32), answer[place])
+
+    def part(self, b: int, e: int) -> bytes:
+        return b"".join([_steps(self.mark[b:e]), *(a[b:e].tobytes() for a in (self.doc, self.count, self.lead, self.text))])
+
+    @classmethod
+    def read(cls, raw: bytes, n: int) -> Contexts:
+        doc, count, lead = np.frombuffer(raw, np.int64, n, 8 * n), np.frombuffer(raw, np.uint8, n, 16 * n), np.frombuffer(raw, np.uint8, n, 17 * n)
+        return cls(_unstepped(raw, n), count, lead, doc, np.frombuffer(raw, np.uint8, ROW * n, 18 * n).reshape(n, ROW))
+
+
+def _sort_suffixes(table: Contexts, rows: np.ndarray, anchor: np.ndarray, out: np.ndarray) -> None:
+    """Most-significant-digit passes over the suffixes of some rows."""
+    count, lead, doc = table.count[rows].astype(np.int64), table.lead[rows].astype(np.int64), table.doc[rows]
+    words = np.zeros((len(rows), ROW // DIGIT + 2), dtype=_U)
+    words[:, : ROW // DIGIT] = table.text[rows].view(">u8")
+    words = words.ravel()
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), count)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    # equal suffixes have their anchor at the same place: that splits the groups before the first digit
+    key = (anchor - anchor[0])[row] * 64 + lead[row] - nth
+    nth = nth.astype(np.uint8)
+    for depth in range(0, DEPTH + DIGIT, DIGIT):
+        order = np.argsort(key)
+        key, row, nth = key[order], row[order], nth[order]
+        begins = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        d = doc[row]
+        least, sizes = np.minimum.reduceat(d, begins), np.diff(np.r_[begins, len(key)])
+        several = least != np.maximum.reduceat(d, begins)
+        live = np.repeat(several, sizes)
+        if not live.any():
+            return
+        row, nth = row[live], nth[live]
+        if depth >= DEPTH:
+            later = np.repeat(least[several], sizes[several]) < doc[row]
+            bits = np.bincount(row[later], weights=np.exp2(nth[later].astype(np.float64)), minlength=len(rows))
+            out[rows] = bits.astype(np.uint32)
+            return
+        place = nth.astype(np.int64) + depth
+        word, shift = row.astype(np.int64) * (ROW // DIGIT + 2) + (place >> 3), ((place & 7) << 3).astype(_U)
+        digit = words[word] << shift | words[word + 1] >> _U(1) >> (_U(63) - shift)
+        if depth + DIGIT > DEPTH:
+            digit >>= _U(8 * (depth + DIGIT - DEPTH))
+        order = np.argsort(digit)
+        _, rank = _runs(digit[order], order)
+        key = np.repeat(np.arange(int(several.sum())), sizes[several]) << 32 | rank
+
+
+def contexts_of(block: Block, said: np.ndarray) -> tuple[Contexts, tuple[np.ndarray, ...]]:
+    """Different stretches of a block still to be ordered, and (start, count, doc, row of that table) of all of them.
+
+    said: the answer for each different anchor. The suffixes of crowded anchors are stretches of one, dealt by a hash of all their bytes.
+    """
+    start, count, lead, mark, doc = block.stretches()
+    answer = said[Presence.of(mark, doc)[1]] if len(mark) else np.empty(0, np.uint8)
+    cold, hot = np.flatnonzero(answer == SHARED), np.flatnonzero(answer == CROWDED)
+    tables, owner, rows = [_rows_at(block, start[cold], count[cold], lead[cold], mark[cold], doc[cold])], [np.arange(len(cold))], len(cold)
+    n = count[hot].astype(np.int64)
+    each, one = np.repeat(start[hot] - np.cumsum(n) + n, n) + np.arange(int(n.sum())), np.repeat(doc[hot], n)
+    for at in range(0, len(each), SEGMENT):
+        some = each[at : at + SEGMENT]
+        table = _rows_at(block, some, np.ones(len(some), np.uint8), np.zeros(len(some), np.uint8), np.zeros(len(some), _U), one[at : at + SEGMENT])
+        words = table.text.view(_U)
+        table.mark = _mixed((words * _ODD[: words.shape[1]]).sum(axis=1, dtype=_U), 2) & _SENT
+        table, place = table.different()
+        tables.append(table)
+        owner.append(place + rows)
+        rows += len(table.mark)
+    found, place = Contexts.together(tables).different()
+    return found, (np.r_[start[cold], each], np.r_[count[cold].astype(np.int64), np.ones(len(each), np.int64)], np.r_[doc[cold], one], place[np.concatenate(owner)])
 
-    def stretches(self) -> Iterator[Stretches]:
-        for at in range(0, len(self.valid), SEGMENT):
-            valid = self.valid[at : at + SEGMENT]
-            yield Stretches(self.data[at : at + len(valid) + DEPTH - 1], valid, at)
 
-    def all(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """start, count, mark, own, doc of all stretches."""
-        got = [(s.start, s.count, s.mark, s.own) for s in self.stretches()] or [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, _U), np.empty(0, _U))]
-        start, count, mark, own = (np.concatenate(c) for c in zip(*got, strict=True))
-        return start, count, mark, own, self.doc[np.searchsorted(self.ends, start, side="right")]
+def _rows_at(block: Block, start: np.ndarray, count: np.ndarray, lead: np.ndarray, mark: np.ndarray, doc: np.ndarray) -> Contexts:
+    text = np.zeros((len(start), ROW), dtype=np.uint8)
+    if len(start):
+        text[:] = np.lib.stride_tricks.sliding_window_view(block.padded, ROW)[start]
+        text[np.arange(ROW)[None, :] >= count[:, None].astype(np.int64) + DEPTH - 1] = 0
+    return Contexts(mark, count, lead, doc, text)
 
 
-def distinct_keys(mark: np.ndarray, own: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row numbers of one row for each different (mark, own), in that order, that with the smallest document; each row's key; and that document."""
-    order = np.lexsort((doc, own, mark))
-    m, o = mark[order], own[order]
-    new = np.r_[True, (m[1:] != m[:-1]) | (o[1:] != o[:-1])] if len(order) else np.empty(0, bool)
-    key = np.empty(len(order), dtype=np.int64)
-    key[order] = np.cumsum(new) - 1
-    first = order[new]
-    return first, key, doc[first]
+# The exchange of packed rows
 
+_PACKED = "part long, source long, n long, packed binary"
+_ANSWER = "part long, source long, flags binary"
 
 
+def _arrow(found: list[tuple], schema: str) -> pa.Table:
+    names, kinds = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    kinds = [pa.int64() if k == "long" else pa.binary() for k in kinds]
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*found, strict=True) if found else [[] for _ in names], kinds, strict=True)], list(names))
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    return zstandard.compress(b"".join(a.tobytes() for a in arrays), 1)
+def _dealt(table, source: int, above: int, skip: int, bits: int) -> list[tuple]:
+    """A packed row for each range that has some: the `bits` of the hash after the leading `skip`; above: the number those stand for."""
+    if not len(table.mark):
+        return []
+    part = (table.mark << _U(skip) >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(table.mark), np.int64)
+    begins = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]).tolist()
+    return [((above << bits) + int(part[b]), source, e - b, zstandard.compress(table.part(b, e), 1)) for b, e in zip(begins, [*begins[1:], len(part)], strict=True)]
 
 
-def _rows_by_range(block: int, mark: np.ndarray, own: np.ndarray | None, doc: np.ndarray, bits: int) -> Iterator[tuple]:
-    """(range, block, n, packed keys and documents) for each range of the leading bits of sorted marks."""
-    if not len(mark):
-        return
-    part = (mark >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(mark), np.int64)
-    begins = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-    for b, e in zip(begins, [*begins[1:], len(part)], strict=True):
-        step = np.diff(mark[b:e], prepend=_U(0))
-        yield int(part[b]), block, int(e - b), _pack(step.view(np.uint8).reshape(-1, 8).T.copy(), *(() if own is None else (own[b:e],)), doc[b:e])
+def _tables(kind: type, rows: pa.Table) -> tuple[list[tuple[int, int, int]], list]:
+    """(part, source, n) and the table of each packed row, in the order of the sources."""
+    found = sorted(zip(*(rows.column(c).to_pylist() for c in ("part", "source", "n")), range(rows.num_rows), strict=True), key=lambda x: (x[1], x[0]))
+    return [f[:3] for f in found], [kind.read(zstandard.decompress(rows.column("packed")[f[3]].as_buffer()), f[2]) for f in found]
 
 
-def _unpacked(n: int, packed: bytes, with_own: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    raw = zstandard.decompress(packed)
-    mark = np.cumsum(np.frombuffer(raw, np.uint8, 8 * n).reshape(8, n).T.copy().view(_U).ravel(), dtype=_U)
-    own = np.frombuffer(raw, _U, n, 8 * n) if with_own else np.zeros(n, _U)
-    return mark, own, np.frombuffer(raw, np.int64, n, 8 * n * (1 + with_own))
+def _split(heads: list[tuple[int, int, int]], answer: np.ndarray) -> pa.Table:
+    ends = np.cumsum([n for _, _, n in heads]).tolist()
+    return _arrow([(part, source, zstandard.compress(answer[e - n : e].tobytes(), 1)) for (part, source, n), e in zip(heads, ends, strict=True)], _ANSWER)
 
 
-def _grouped(with_own: bool):
-    """One digit range: from every block's keys to two bits for each: 1 if a smaller document of another block has the key, 2 if other keys share its mark."""
+def _range(kind: type) -> Callable[[pa.Table], pa.Table]:
+    """One range: the answers to all sources."""
 
-    def run(table: pa.Table) -> pa.Table:
-        counts, blocks, ranges = table.column("n").to_pylist(), table.column("block").to_pylist(), table.column("range").to_pylist()
-        got = [_unpacked(n, p, with_own) for n, p in zip(counts, table.column("packed").to_pylist(), strict=True)]
-        mark, own, doc = (np.concatenate(c) for c in zip(*got, strict=True))
-        del got
-        first, key, least = distinct_keys(mark, own, doc)
-        marks = mark[first]
-        shared = np.zeros(len(marks) + 1, dtype=bool)
-        same = marks[1:] == marks[:-1]
-        shared[1:-1] |= same
-        shared[:-2] |= same
-        later = least[key] < doc
-        flags = later.astype(np.uint8) | (shared[:-1][key] & ~later).astype(np.uint8) << 1
-        out, at = [], 0
-        for n in counts:
-            out.append(zstandard.compress(flags[at : at + n].tobytes(), 1))
-            at += n
-        return pa.table({"block": pa.array(blocks, pa.int64()), "range": pa.array(ranges, pa.int64()), "flags": pa.array(out, pa.binary())})
+    def run(rows: pa.Table) -> pa.Table:
+        heads, tables = _tables(kind, rows)
+        whole, table, place = kind.joined(tables)
+        out = _split(heads, whole.told(table, place, table.settled()))
+        del tables, whole, table, place
+        give_back()
+        return out
 
     return run
 
 
-def _flags(parts: list[dict] | None) -> np.ndarray:
-    found = [np.frombuffer(zstandard.decompress(p["flags"]), np.uint8) for p in sorted(parts or [], key=lambda p: p["range"])]
-    return np.concatenate(found) if found else np.empty(0, np.uint8)
+def _up(kind: type, skip: int, bits: int) -> Callable[[pa.Table], pa.Table]:
+    """One relay on the way up: the rows of some sources of a range as those of one source, for the ranges below it."""
 
+    def run(rows: pa.Table) -> pa.Table:
+        _, table, _ = kind.joined(_tables(kind, rows)[1])
+        return _arrow(_dealt(table, rows.column("relay")[0].as_py(), rows.column("part")[0].as_py(), skip, bits), _PACKED)
+
+    return run
+
+
+def _down(kind: type) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The same relay on the way back: what its own rows were told goes to the sources that had them."""
+
+    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        heads, tables = _tables(kind, rows)
+        whole, table, place = kind.joined(tables)
+        return _split(heads, whole.told(table, place, _flags(answers.select(["part", "flags"]).to_pylist(), kind)))
+
+    return run
 
-def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, Block]]:
-    for block, doc, sizes, packed in zip(*(batch.column(c) for c in ("block", "docs", "sizes", "packed")), strict=True):
-        yield block.as_py(), Block(np.frombuffer(doc.as_buffer(), np.int64), np.frombuffer(sizes.as_buffer(), np.int64), packed.as_buffer().to_pybytes())
 
+def _answered(rows: DataFrame, kind: type, skip: int, bits: list[int], total: int, relay_bytes: int) -> DataFrame:
+    """(part, source, flags) for each packed row; `bits` has the bits of the range number that each level adds, the first is in the rows."""
+    if len(bits) == 1:
+        return rows.groupBy("part").applyInArrow(_range(kind), _ANSWER)
+    skip += bits[0]
+    slots = max(1, (total >> skip) // relay_bytes)
+    rows = written(rows.withColumn("relay", F.col("part") * slots + F.pmod(F.xxhash64("source"), F.lit(slots))), "relays")
+    above = rows.groupBy("relay").applyInArrow(_up(kind, skip, bits[1]), _PACKED)
+    said = _answered(above, kind, skip, bits[1:], total, relay_bytes).withColumnRenamed("source", "relay")
+    return rows.groupBy("relay").cogroup(said.groupBy("relay")).applyInArrow(_down(kind), _ANSWER)
 
-def _open_windows(block: Block, flags: np.ndarray) -> tuple[tuple, np.ndarray, tuple]:
-    """Stretches; which are removed whole; and (window hash, mark, start, doc) of all suffixes of stretches still open."""
-    start, count, mark, own, doc = found = block.all()
-    first, key, least = distinct_keys(mark, own, doc)
-    flag = flags[key] if len(key) else np.empty(0, np.uint8)
-    gone = (doc > least[key]) | (flag & 1 == 1) if len(key) else np.empty(0, bool)
-    undecided = np.flatnonzero(~gone & (flag & 2 == 2))
-    if not len(undecided):
-        none = np.empty(0, _U)
-        return found, gone, (none, none, np.empty(0, np.int64), np.empty(0, np.int64))
-    n = count[undecided]
-    at = np.repeat(start[undecided] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-    whole, segment = np.empty(len(at), _U), at // SEGMENT
-    for k, s in enumerate(block.stretches()):
-        mine = segment == k
-        whole[mine] = s.whole[at[mine] - s.at]
-    return found, gone, (_mixed(whole, 4), np.repeat(mark[undecided], n), at, np.repeat(doc[undecided], n))
+
+def _flags(parts: list[dict] | None, kind: type) -> np.ndarray:
+    found = [np.frombuffer(zstandard.decompress(p["flags"]), kind.answer_type) for p in sorted(parts or [], key=lambda p: p["part"])]
+    return np.concatenate(found) if found else np.empty(0, kind.answer_type)
 
 
 def _stream(parts: list[pa.RecordBatch]) -> bytes:
@@ -219,7 +414,7 @@ def _stream(parts: list[pa.RecordBatch]) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _store(docs: DataFrame, block_bytes: int, carry: list[str]) -> DataFrame:
+def _store(docs: DataFrame, block_bytes: int, carry: list[str], total: int) -> DataFrame:
     """(block, docs, sizes, packed, extra): texts in compressed blocks, written bucketed by block so that later joins move flags only.
 
     extra: the columns to carry of the block's rows, as an Arrow stream.
@@ -252,54 +447,70 @@ def _store(docs: DataFrame, block_bytes: int, carry: list[str]) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("~doc"), text_or_empty().alias("~text"), *carry)
     rows = rows.mapInArrow(run, "block long, docs binary, sizes binary, n_bytes long, packed binary, extra binary")
-    return bucketed(rows, "block", "blocks")
+    return bucketed(rows, "block", "blocks", total)
+
+
+def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, Block]]:
+    for block, doc, sizes, packed in zip(*(batch.column(c) for c in ("block", "docs", "sizes", "packed")), strict=True):
+        yield block.as_py(), Block(np.frombuffer(doc.as_buffer(), np.int64), np.frombuffer(sizes.as_buffer(), np.int64), packed.as_buffer().to_pybytes())
 
 
-def _answers(rows: DataFrame, with_own: bool) -> DataFrame:
-    flags = rows.groupBy("range").applyInArrow(_grouped(with_own), "block long, range long, flags binary")
-    return flags.groupBy("block").agg(F.collect_list(F.struct("range", "flags")).alias("parts"))  # a row for each range at most
+def _by_source(answers: DataFrame, name: str) -> DataFrame:
+    """(block, parts): a block's answers in one row, FAN parts at most."""
+    rows = answers.groupBy("source").agg(F.collect_list(F.struct("part", "flags")).alias(name))
+    return written(rows.withColumnRenamed("source", f"of_{name}"), name)
 
 
-def _decided(docs: DataFrame, output, schema, block_bytes: int, range_bytes: int, carry: list[str] = ()) -> DataFrame:
-    """The three passes; output(block, bytes removed as a mask, carried columns) gives the rows of a block."""
-    store = _store(docs, block_bytes, list(carry))
-    total = store.agg(F.sum("n_bytes")).first()[0] or 0
-    bits = max(0, (total // range_bytes).bit_length())
-    packed = "range long, block long, n long, packed binary"
+def _levels(total: int, range_bytes: int, fan: int) -> list[int]:
+    """Bits of the range number by levels of at most `fan` ranges each; where one level is enough, ranges down to a sixteenth keep more tasks busy."""
+    most = fan.bit_length() - 1
+    bits = max((total // range_bytes).bit_length(), min(most, (16 * total // range_bytes).bit_length()))
+    return [min(most, bits - b) for b in range(0, bits, most)] or [0]
 
-    def rows(found: list[tuple]) -> Iterator[pa.RecordBatch]:
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["range", "block", "n", "packed"])
 
-    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _decided(docs: DataFrame, output, schema, block_bytes: int, range_bytes: int, carry: list[str] = (), fan: int = FAN, relay_bytes: int = RELAY_BYTES) -> DataFrame:
+    """Both exchanges; output(block, bytes removed as a mask, carried columns) gives the rows of a block."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    store = _store(docs, block_bytes, list(carry), total)
+    levels = _levels(total, range_bytes, fan)
+
+    def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ident, block in _blocks(batch):
-                _, _, mark, own, doc = block.all()
-                first, _, least = distinct_keys(mark, own, doc)
-                yield from rows(list(_rows_by_range(ident, mark[first], own[first], least, bits)))
+                _, _, _, mark, doc = block.stretches()
+                yield from _arrow(_dealt(Presence.of(mark, doc)[0], ident, 0, 0, levels[0]), _PACKED).to_batches()
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for (ident, block), parts in zip(_blocks(batch), batch.column("parts"), strict=True):
-                _, _, (whole, mark, _, doc) = _open_windows(block, _flags(parts.as_py()))
-                first, _, least = distinct_keys(whole, mark, doc)
-                yield from rows(list(_rows_by_range(ident, whole[first], mark[first], least, bits)))
+            for (ident, block), said in zip(_blocks(batch), batch.column("said"), strict=True):
+                yield from _arrow(_dealt(contexts_of(block, _flags(said.as_py(), Presence))[0], ident, 0, 0, levels[0]), _PACKED).to_batches()
 
     def masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for (_, block), parts, more, extra in zip(_blocks(batch), batch.column("parts"), batch.column("more"), batch.column("extra"), strict=True):
-                (start, count, *_), gone, (whole, mark, at, doc) = _open_windows(block, _flags(parts.as_py()))
-                first, key, least = distinct_keys(whole, mark, doc)
-                later = (doc > least[key]) | (_flags(more.as_py())[key] & 1 == 1) if len(key) else np.empty(0, bool)
-                depth = np.zeros(len(block.data) + 1, np.int32)
-                np.add.at(depth, np.r_[start[gone], at[later]], 1)
-                np.add.at(depth, np.r_[start[gone] + count[gone] - 1, at[later]] + DEPTH, -1)
-                yield from output(block, np.cumsum(depth[:-1]) > 0, extra)
-
-    first = written(_answers(store.mapInArrow(marks, packed), True), "marks").withColumnRenamed("block", "b1")
-    joined = store.join(first, F.col("block") == F.col("b1"), "left").drop("b1")
-    second = written(_answers(joined.mapInArrow(windows, packed), True), "windows").select(F.col("block").alias("b2"), F.col("parts").alias("more"))
-    return joined.join(second, F.col("block") == F.col("b2"), "left").drop("b2").mapInArrow(masks, schema)
+            for (_, block), said, more, extra in zip(_blocks(batch), batch.column("said"), batch.column("repeated"), batch.column("extra"), strict=True):
+                yield from output(block, _removed(block, _flags(said.as_py(), Presence), _flags(more.as_py(), Contexts)), extra)
+
+    said = _by_source(_answered(store.mapInArrow(given_back(presence), _PACKED), Presence, 0, levels, total, relay_bytes), "said")
+    joined = store.join(said, F.col("block") == F.col("of_said"), "left")
+    repeated = _by_source(_answered(joined.mapInArrow(given_back(contexts), _PACKED), Contexts, 0, levels, total, relay_bytes), "repeated")
+    return joined.join(repeated, F.col("block") == F.col("of_repeated"), "left").mapInArrow(given_back(masks), schema)
+
+
+def _removed(block: Block, said: np.ndarray, repeated: np.ndarray) -> np.ndarray:
+    """Which bytes of a block lie in a repeated window."""
+    table, (start, count, doc, row) = contexts_of(block, said)
+    if not len(row):
+        return np.zeros(len(block.data), dtype=bool)
+    every = (np.int64(1) << count) - 1
+    bits = np.where(doc > table.doc[row], every, repeated[row])
+    whole = bits == every
+    some = np.flatnonzero((bits != 0) & ~whole)
+    which, nth = np.nonzero(np.unpackbits(bits[some].astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little"))
+    depth = np.zeros(len(block.data) + 1, np.int32)
+    begin = np.r_[start[whole], start[some][which] + nth]
+    np.add.at(depth, begin, 1)
+    np.add.at(depth, np.r_[start[whole] + count[whole] - 1, start[some][which] + nth] + DEPTH, -1)
+    return np.cumsum(depth[:-1]) > 0
 
 
 def _each(block: Block, gone: np.ndarray) -> Iterator[tuple[int | None, np.ndarray, np.ndarray]]:
@@ -308,7 +519,7 @@ def _each(block: Block, gone: np.ndarray) -> Iterator[tuple[int | None, np.ndarr
         yield None if doc == NO_DOC else doc, block.data[end - size : end], gone[end - size : end]
 
 
-def repeated_passages(docs: DataFrame, block_bytes: int = BLOCK_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def repeated_passages(docs: DataFrame, block_bytes: int = BLOCK_BYTES, range_bytes: int = RANGE_BYTES, fan: int = FAN, relay_bytes: int = RELAY_BYTES) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and the SHA-256 of the bytes that remain.
 
     docs: doc_id, text; other columns are ignored. A byte goes if a string of DEPTH bytes over it also starts in a document with a smaller doc_id; all is judged on the
@@ -324,7 +535,7 @@ def repeated_passages(docs: DataFrame, block_bytes: int = BLOCK_BYTES, range_byt
             rows.append((doc, len(data), n, spans, hashlib.sha256(data[~mask] if n else data).hexdigest()))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (*[pa.int64()] * 4, pa.string()), strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _decided(docs, output, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", block_bytes, range_bytes)
+    return _decided(docs, output, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", block_bytes, range_bytes, (), fan, relay_bytes)
 
 
 def without_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
