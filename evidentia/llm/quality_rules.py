@@ -8,17 +8,17 @@ from pyspark.sql import functions as F
 from .common import SPACE, WORD, small, text_or_empty, written
 from .shingles import words
 
-#: A rule rejects where its signal is over the cutoff. Cutoffs are fixed beforehand, from the most lenient to the strictest.
+#: A rule rejects where its signal is over the cutoff. Cutoffs are fixed beforehand, seven a rule, from the most lenient to the strictest.
 RULES = {
     "symbols": ("100.0 * n_symbols / greatest(word_chars, 1)", [50.0, 30.0, 20.0, 10.0, 5.0, 2.0, 1.0]),
     "dup_lines": ("100.0 * n_dup_lines / greatest(n_lines, 1)", [90.0, 80.0, 70.0, 60.0, 50.0, 40.0, 30.0]),
     "repeats": ("100.0 * n_repeat_words / greatest(n_words, 1)", [90.0, 70.0, 50.0, 40.0, 30.0, 25.0, 20.0]),
     "short_words": ("100.0 - 10.0 * word_chars / greatest(n_words, 1)", [75.0, 70.0, 65.0, 62.0, 60.0, 58.0, 56.0]),
 }
-#: False rejection that a rule may have in a stratum, and the chance that any selected cutoff has more.
+#: Cutoffs in the order in which they are tried: every rule's most lenient one first, then every rule's next.
+PATH = [(name, j, RULES[name][1][j]) for j in range(7) for name in RULES]
+#: False rejection that all selected cutoffs together may have in a stratum, and the chance that any stratum has more.
 ALPHA, DELTA = 0.02, 0.05
-#: Terms of a binomial tail that are summed; the rest is bounded from above.
-TERMS = 4000
 
 SYMBOLS = "#*$%&|<>"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -76,43 +76,55 @@ def _log_gamma(x: Column) -> Column:
     return (y - 0.5) * F.log(y) - y + F.lit(0.9189385332046727) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * F.pow(y, F.lit(5.0))) - shift
 
 
+def _stirling_error(x: Column) -> Column:
+    """log(x!) less Stirling's formula; by its series from 16 on."""
+    small = _log_gamma(x + 1) - (x + 0.5) * F.log(x) + x - F.lit(0.9189385332046727)
+    return F.when(x < 16, small).otherwise(1 / (12 * x) - 1 / (360 * F.pow(x, F.lit(3.0))) + 1 / (1260 * F.pow(x, F.lit(5.0))) - 1 / (1680 * F.pow(x, F.lit(7.0))))
+
+
+def _deviance(x: Column, mean: Column) -> Column:
+    """x log(x / mean) + mean - x, without cancellation near the mean."""
+    off = (x - mean) / mean
+    return mean * ((1 + off) * F.log1p(off) - off)
+
+
 def binomial_tail(k: Column, n: Column, p: float) -> Column:
-    """Upper bound, tight to rounding, of P(X <= k) for X binomial (n, p): the p-value of "the rate is over p" after k failures of n.
+    """P(X <= k) for X binomial (n, p): the p-value of "the rate is over p" after k failures of n; 1 where k >= p * n.
 
-    1 where k >= p * n. Else terms fall geometrically below k: up to TERMS are summed and the rest is bounded by its first ratio.
+    The term at k comes from the saddle point form, those below from their ratios. Below the mean the i-th ratio is under 1 - i / k, so the first
+    50 + 9 sqrt(k) terms hold all but 1e-17 of the sum, for every k.
     """
     kd, nd = k.cast("double"), n.cast("double")
     odds = (1 - p) / p
-    first = _log_gamma(nd + 1) - _log_gamma(kd + 1) - _log_gamma(nd - kd + 1) + kd * F.log(F.lit(p)) + (nd - kd) * F.log(F.lit(1 - p))
+    rest = nd - kd
+    saddle = _stirling_error(nd) - _stirling_error(kd) - _stirling_error(rest) - _deviance(kd, nd * p) - _deviance(rest, nd * (1 - p)) + 0.5 * F.log(nd / (F.lit(6.283185307179586) * kd * rest))
+    first = F.when(k == 0, nd * F.log1p(F.lit(-p))).otherwise(saddle)
     none = F.struct(F.lit(0.0).alias("sum"), F.lit(1.0).alias("term"))
-    steps = F.sequence(F.lit(0), F.least(k, F.lit(TERMS)).cast("int"))
-    summed = F.aggregate(steps, none, lambda a, j: F.struct((a["sum"] + a["term"]).alias("sum"), (a["term"] * (kd - j) / (nd - kd + j + 1) * odds).alias("term")))
-    ratio = kd / (nd - kd + 1) * odds
-    tail = F.exp(first) * (summed["sum"] + F.when(k > TERMS, summed["term"] / (1 - ratio)).otherwise(0.0))
-    return F.when((n <= 0) | (kd >= p * nd), 1.0).otherwise(F.least(F.lit(1.0), tail))
+    steps = F.sequence(F.lit(0), F.least(k, 50 + F.ceil(9 * F.sqrt(kd))).cast("int"))
+    summed = F.aggregate(steps, none, lambda a, j: F.struct((a["sum"] + a["term"]).alias("sum"), (a["term"] * (kd - j) / (rest + j + 1) * odds).alias("term")))
+    return F.when((n <= 0) | (kd >= p * nd), 1.0).otherwise(F.least(F.lit(1.0), F.exp(first) * summed["sum"]))
 
 
 def thresholds(labelled: DataFrame, stratum: str, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """(stratum, rule, cutoff, n_good, n_rejected): the strictest cutoff of each rule that is safe in each stratum.
+    """(stratum, rule, cutoff, n_good, n_rejected): the strictest cutoffs that are safe together in each stratum.
 
-    labelled: base counts, stratum and quality of a holdout. Within a stratum and rule cutoffs are tested from the lenient end on good texts that pass the base; the first that can't be
-    shown to reject at most alpha of them ends the sequence (fixed-sequence testing), and the level is delta over strata times
-    rules (Bonferroni). So with probability 1 - delta no selected cutoff rejects more than alpha of good texts of its stratum. A rule without a safe
-    cutoff has no row there and rejects nothing. Texts without a quality don't count; a null stratum is one of its own.
+    labelled: base counts, stratum and quality of a holdout. PATH makes a rule stricter at each step, so its steps reject ever more. Within a stratum they are tested in order on good texts
+    that pass the base, by what all cutoffs so far reject together; the first that can't be shown to reject at most alpha of them ends the path (fixed-sequence testing), at
+    the level delta over the strata (Bonferroni). So with probability 1 - delta the selected cutoffs together reject at most alpha of the good texts of every stratum. n_rejected counts
+    what the last safe step rejects. A rule without a safe cutoff has no row and rejects nothing. Texts without a quality don't count; a null stratum is one of its own.
     """
     good = labelled.where("quality = 1").where(~base_failed())
-    grid = [(name, j, cut) for name, (_, cuts) in RULES.items() for j, cut in enumerate(cuts)]
-    over = [F.sum((F.expr(RULES[name][0]) > cut).cast("long")).alias(f"{name}_{j}") for name, j, cut in grid]
-    wide = good.groupBy(stratum).agg(F.count("*").alias("n_good"), *over)
-    cells = F.array(*[F.struct(F.lit(name).alias("rule"), F.lit(j).alias("step"), F.lit(cut).alias("cutoff"), F.col(f"{name}_{j}").alias("n_rejected")) for name, j, cut in grid])
-    tests = max(1, labelled.select(stratum).distinct().count() * len(RULES))
+    first = F.least(*[F.when(F.expr(RULES[name][0]) > cut, t).otherwise(len(PATH)) for t, (name, _, cut) in enumerate(PATH)])
+    wide = good.groupBy(stratum).agg(F.count("*").alias("n_good"), *[F.sum((first <= t).cast("long")).alias(f"t{t}") for t in range(len(PATH))])
+    cells = F.array(*[F.struct(F.lit(t).alias("step"), F.lit(name).alias("rule"), F.lit(cut).alias("cutoff"), F.col(f"t{t}").alias("n_rejected")) for t, (name, _, cut) in enumerate(PATH)])
+    tests = max(1, labelled.select(stratum).distinct().count())
     tall = wide.select(stratum, "n_good", F.inline(cells))
     safe = binomial_tail(F.col("n_rejected"), F.col("n_good"), alpha) <= F.lit(delta / tests)
     # the first step that fails; those before it are safe
-    ends = F.min(F.when(~safe, F.col("step"))).alias("end")
-    held = tall.groupBy(stratum, "rule").agg(ends, F.max("n_good").alias("n_good"), F.array_sort(F.collect_list(F.struct("step", "cutoff", "n_rejected"))).alias("steps"))
+    held = tall.groupBy(stratum).agg(F.min(F.when(~safe, F.col("step"))).alias("end"), F.max("n_good").alias("n_good"), F.array_sort(F.collect_list(F.struct("step", "rule", "cutoff", "n_rejected"))).alias("steps"))
     last = F.coalesce("end", F.size("steps")).cast("int")
-    return held.where(last > 0).select(stratum, "rule", F.get("steps", last - 1)["cutoff"].alias("cutoff"), "n_good", F.get("steps", last - 1)["n_rejected"].alias("n_rejected"))
+    kept = held.where(last > 0).select(stratum, "n_good", F.get("steps", last - 1)["n_rejected"].alias("n_rejected"), F.explode(F.slice("steps", F.lit(1), last)).alias("s"))
+    return kept.groupBy(stratum, F.col("s.rule").alias("rule")).agg(F.max_by("s.cutoff", "s.step").alias("cutoff"), F.max("n_good").alias("n_good"), F.max("n_rejected").alias("n_rejected"))
 
 
 def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
@@ -138,7 +150,7 @@ def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: flo
 def oracle(alpha: float = ALPHA, delta: float = DELTA) -> str:
     """The query's rows in DuckDB's SQL."""
     symbols = " + ".join(f"(length(t) - length(replace(t, '{c}', '')))" for c in SYMBOLS)
-    grid = ", ".join(f"('{name}', {j}, {cut!r}::double)" for name, (_, cuts) in RULES.items() for j, cut in enumerate(cuts))
+    grid = ", ".join(f"('{name}', {t}, {cut!r}::double)" for t, (name, _, cut) in enumerate(PATH))
     signal = "case rule " + " ".join(f"when '{name}' then {s.replace('100.0', '100.0::double').replace('10.0 ', '10.0::double ')}" for name, (s, _) in RULES.items()) + " end"
     return f"""
     with t as (select row_number() over () as r, doc_id, lang, coalesce(text, '') as t from documents),
@@ -152,12 +164,14 @@ def oracle(alpha: float = ALPHA, delta: float = DELTA) -> str:
     b as (select *, (n_words < 50 or 100 * n_repeat_words > 50 * n_words) as base_failed from f),
     m as (select doc_id, min(quality) as quality from labels group by 1),
     lab as (select b.*, quality from b join m using (doc_id)),
-    tests as (select count(*) * {len(RULES)} as tests from (select distinct lang from lab)),
+    tests as (select count(*) as tests from (select distinct lang from lab)),
     g(rule, step, cutoff) as (values {grid}),
-    cell as (select lang, rule, step, cutoff, count(*) as n, count(*) filter (where {signal} > cutoff) as k from lab, g where quality = 1 and not base_failed group by all),
+    hit as (select l.r, min(step) as first from lab l, g where quality = 1 and not base_failed and {signal} > cutoff group by all),
+    ok as (select lang, first from lab left join hit using (r) where quality = 1 and not base_failed),
+    cell as (select lang, rule, step, cutoff, count(*) as n, count(*) filter (where first <= step) as k from ok, g group by all),
     p as (select *, case when k >= {alpha} * n then 1 else list_sum([exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({alpha}) + (n - i) * ln({1 - alpha})) for i in range(0, k + 1)]) end as pv from cell),
-    e as (select lang, rule, min(step) filter (where pv > {delta} / tests) as stop from p, tests group by all),
-    c as (select p.lang, p.rule, max_by(cutoff, step) as cutoff from p join e on p.lang is not distinct from e.lang and p.rule = e.rule where step < coalesce(stop, 99) group by all),
+    e as (select lang, min(step) filter (where pv > {delta} / tests) as stop from p, tests group by all),
+    c as (select p.lang, p.rule, max_by(cutoff, step) as cutoff from p join e on p.lang is not distinct from e.lang where step < coalesce(stop, 99) group by all),
     rej as (select r, string_agg(rule, ',' order by array_position({list(RULES)!r}, rule)) as rejected_by from b join c on b.lang is not distinct from c.lang where {signal} > cutoff group by r)
     select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (not base_failed and rejected_by is null) as kept, coalesce(rejected_by, '') as rejected_by
     from b left join rej using (r)"""
