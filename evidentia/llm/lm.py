@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, crc_fold, text_or_empty, written
+from .common import bucketed, crc_fold, given_back, slices, text_or_empty, written
 
 STATES = 6
 ROUNDS = 4
@@ -26,8 +26,8 @@ FREQUENT = 10_000
 #: Bytes of text in a block, and for each range of the word hash.
 BLOCK_BYTES = 4 << 20
 RANGE_BYTES = 32 << 20
-#: Tokens of a stretch in training; scoring never cuts a text.
-STRETCH = 256
+#: Tokens of a text that are passed over one after the other in training; its pieces are side by side and joined exactly.
+PIECE = 512
 END = b""
 SHAPES = 64 * 4 * 2 * 8
 UNKNOWN = SHAPES  # class numbers: shapes, the unknown word, then frequent words
@@ -53,7 +53,7 @@ def shape(word: bytes, count: int) -> int:
     return ((min(count.bit_length(), 63) * 4 + min(len(word) // 4, 3)) * 2 + (not word.isascii())) * 8 + zlib.crc32(letters) % 8
 
 
-def _blocks(docs: DataFrame, bits: int, block_bytes: int) -> DataFrame:
+def _blocks(docs: DataFrame, bits: int, block_bytes: int, n_bytes: int) -> DataFrame:
     """Texts as numbers into their block's word list, and that list with training counts by ranges of the word hash; bucketed by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,7 +80,7 @@ def _blocks(docs: DataFrame, bits: int, block_bytes: int) -> DataFrame:
             kinds = [pa.int64(), *[pa.binary()] * 4, pa.int64(), pa.int64(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], [c.split()[0] for c in _BLOCK.split(", ")])
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             for doc, out, text in zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ws = tokens_of(text)
                 tokens.append(np.fromiter((number.setdefault(w, len(number)) for w in ws), np.int32, len(ws)))
@@ -96,7 +96,7 @@ def _blocks(docs: DataFrame, bits: int, block_bytes: int) -> DataFrame:
         if ids:
             yield from rows()
 
-    return bucketed(docs.select("doc_id", "held_out", "text").mapInArrow(run, _BLOCK), "block", "blocks")
+    return bucketed(docs.select("doc_id", "held_out", "text").mapInArrow(given_back(run), _BLOCK), "block", "blocks", n_bytes)
 
 
 def _summed(n_train: int):
@@ -146,35 +146,95 @@ def initial(weight: np.ndarray, n: int, v: int, states: int) -> Model:
     return Model(np.full(states, 1 / states), move, emit / emit.sum(axis=1, keepdims=True), weight, n, v)
 
 
-def expected(model: Model, cls: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected starts, moves and emissions of stretches of classes, by the scaled forward and backward recursions, and the natural log-likelihood."""
-    order = np.argsort(-sizes, kind="stable")
-    begin, size = (np.cumsum(sizes) - sizes)[order], sizes[order]
+def _joints(model: Model, likely: list[np.ndarray], live: np.ndarray, nth: np.ndarray, follows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What the pieces before and after a piece say: the forward vector ahead of it (of pieces that are not their text's first), and the backward vector at its end.
+
+    A piece is the product of its tokens' matrices (moves times emissions), so the vectors go from piece to piece, not from token to token.
+    nth: a piece's number in its text; follows: the row of the piece after it, or -1.
+    """
+    k, n = len(model.start), len(nth)
+    ahead, behind = np.zeros((n, k)), np.ones((n, k))
+    mine = np.flatnonzero((nth > 0) | (follows >= 0))
+    if not len(mine):
+        return ahead, behind
+    product = np.broadcast_to(np.eye(k), (len(mine), k, k)).copy()
+    for t, emit in enumerate(likely):
+        m = int(np.searchsorted(mine, live[t]))
+        if not m:
+            break
+        now = product[:m]
+        step = (now.reshape(-1, k) @ model.move).reshape(m, k, k)
+        if t == 0:  # the first token of a text has a start in place of a move
+            step[nth[mine[:m]] == 0] = model.start
+        step *= emit[mine[:m]][:, None, :]
+        product[:m] = step / step.max(axis=(1, 2), keepdims=True)
+    row = np.full(n, -1)
+    row[mine] = np.arange(len(mine))
+    last = int(nth.max())
+    at = [mine[nth[mine] == j] for j in range(last + 1)]
+    first = at[0]
+    vector = product[row[first], 0]  # all rows of a first piece are the same
+    for j in range(last):
+        there = follows[at[j]] >= 0
+        to = follows[at[j]][there]
+        a = vector[there] / vector[there].sum(axis=1, keepdims=True)
+        ahead[to] = a
+        vector = np.empty((len(at[j + 1]), k))
+        vector[np.searchsorted(at[j + 1], to)] = np.einsum("ni,nij->nj", a, product[row[to]])
+    for j in range(last, 0, -1):
+        to = at[j]
+        back = np.einsum("nij,nj->ni", product[row[to]], behind[to])
+        before = np.full(n, -1)
+        before[follows[at[j - 1]][follows[at[j - 1]] >= 0]] = at[j - 1][follows[at[j - 1]] >= 0]
+        behind[before[to]] = back / back.max(axis=1, keepdims=True)
+    return ahead, behind
+
+
+def expected(model: Model, cls: np.ndarray, sizes: np.ndarray, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected starts, moves and emissions of whole sequences of classes, by the scaled forward and backward recursions, and the natural log-likelihood.
+
+    Long sequences are worked on in pieces side by side; a piece begins with the forward vector of what is before it and ends with the backward vector of what
+    is after it, so the counts are those of the uncut sequence.
+    """
+    pieces = -(-sizes // piece)
+    cut = np.full(int(pieces.sum()), piece)
+    cut[np.cumsum(pieces) - 1] = sizes - (pieces - 1) * piece
+    number = np.arange(len(cut)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    order = np.argsort(-cut, kind="stable")
+    begin, size, nth = (np.cumsum(cut) - cut)[order], cut[order], number[order]
+    place = np.empty(len(cut), dtype=np.int64)
+    place[order] = np.arange(len(cut))
+    more = np.r_[number[1:] > 0, False]
+    follows = np.where(more, np.r_[place[1:], -1], -1)[order]
     longest, k = int(size[0]), len(model.start)
-    live = np.searchsorted(-size, -np.arange(longest), side="left")  # stretches longer than t
+    live = np.searchsorted(-size, -np.arange(longest), side="left")  # pieces longer than t
     at = [begin[: live[t]] + t for t in range(longest)]
-    likely = [np.ascontiguousarray(model.emit.T)[cls[a]] for a in at]
+    emit = np.ascontiguousarray(model.emit.T)
+    likely = [emit[cls[a]] for a in at]
+    ahead, behind = _joints(model, likely, live, nth, follows)
+    first = nth == 0
     alpha, scale, log = [], [], 0.0
     for t in range(longest):
-        a = (np.broadcast_to(model.start, likely[0].shape) if t == 0 else alpha[-1][: live[t]] @ model.move) * likely[t]
+        a = (np.where(first[:, None], model.start, ahead @ model.move) if t == 0 else alpha[-1][: live[t]] @ model.move) * likely[t]
         s = a.sum(axis=1, keepdims=True)
         alpha.append(a / s)
         scale.append(s)
         log += float(np.log(s).sum())
-    starts, moves, emits = np.zeros(k), np.zeros((k, k)), np.empty((len(cls), k))
+    moves, emits = np.zeros((k, k)), np.empty((len(cls), k))
     beta = np.ones((0, k))
     for t in range(longest - 1, -1, -1):
-        if t + 1 < longest:
-            ahead = likely[t + 1] * beta / scale[t + 1]
-            moves += alpha[t][: live[t + 1]].T @ ahead
-            now = np.ones((live[t], k))
-            now[: live[t + 1]] = ahead @ model.move.T
-        else:
-            now = np.ones((live[t], k))
-        gamma = alpha[t] * now
-        emits[at[t]] = gamma
+        done = len(beta)
+        now = np.empty((live[t], k))
+        if done:
+            next_ = likely[t + 1] * beta / scale[t + 1]
+            moves += alpha[t][:done].T @ next_
+            now[:done] = next_ @ model.move.T
+        ends = behind[done : live[t]]
+        now[done:] = ends / (alpha[t][done:] * ends).sum(axis=1, keepdims=True)
+        emits[at[t]] = alpha[t] * now
         beta = now
-    starts = emits[begin].sum(axis=0)
+    moves += ahead.T @ (likely[0] * beta / scale[0])  # over the cuts; zero ahead of first pieces
+    starts = emits[begin[first]].sum(axis=0)
     return starts, moves * model.move, np.stack([np.bincount(cls, weights=emits[:, j], minlength=model.emit.shape[1]) for j in range(k)]), log
 
 
@@ -218,10 +278,7 @@ def _learned(coded: DataFrame, model: Model, rounds: int) -> Model:
                     cls, sizes = cls[np.repeat(~held, sizes)], sizes[~held]
                     if not len(sizes):
                         continue
-                    pieces = -(-sizes // STRETCH)
-                    cut = np.full(int(pieces.sum()), STRETCH)
-                    cut[np.cumsum(pieces) - 1] = sizes - (pieces - 1) * STRETCH
-                    s, m, e, _ = expected(now, cls, cut)
+                    s, m, e, _ = expected(now, cls, sizes)
                     starts, moves, emits, seen = starts + s, moves + m, emits + e, True
             if seen:
                 flat = np.concatenate([starts, moves.ravel(), emits.ravel()])
@@ -250,7 +307,7 @@ def scored(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, block_by
     held = F.coalesce(crc_fold() == 1, F.lit(False)).alias("held_out")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held, text_or_empty().alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    store = _blocks(rows, max(1, (size // range_bytes).bit_length()), block_bytes)
+    store = _blocks(rows, max(1, (size // range_bytes).bit_length()), block_bytes, size)
     n = store.agg(F.sum("n_train")).first()[0] or 0
     words = store.where("range is not null").select("block", "range", "words", "counts")
     counted = written(words.groupBy("range").applyInArrow(_summed(n), "block long, range long, packed binary, class long, total long, n long"), "counts")
@@ -291,7 +348,7 @@ def scored(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, block_by
 
     answers = counted.where("packed is not null").groupBy("block").agg(F.collect_list(F.struct("range", "packed")).alias("parts")).withColumnRenamed("block", "b")  # a row for each range
     joined = store.where("range is null").select("block", "docs", "held", "sizes", "tokens").join(answers, F.col("block") == F.col("b")).drop("b")
-    coded = written(joined.mapInArrow(code, "block long, docs binary, held binary, sizes binary, classes binary, known binary, base binary, inner binary"), "coded")
+    coded = written(joined.mapInArrow(given_back(code), "block long, docs binary, held binary, sizes binary, classes binary, known binary, base binary, inner binary"), "coded")
     model = _learned(coded, initial(weight, n, v, states), rounds if n else 0)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,4 +359,4 @@ def scored(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, block_by
                 ids = pa.array(doc, mask=doc == np.iinfo(np.int64).min)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(np.frombuffer(row["held"], np.int8) == 1), pa.array(sizes), pa.array(np.frombuffer(row["known"], np.int64)), pa.array(np.full(len(doc), model.n)), pa.array(np.frombuffer(row["base"], float)), pa.array(value)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return coded.drop("block").mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return coded.drop("block").mapInArrow(given_back(score), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
