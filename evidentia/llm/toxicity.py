@@ -1,11 +1,15 @@
-"""Toxicity by a weighted finite-state pattern grammar over clauses."""
+"""Toxicity by a weighted finite-state pattern grammar over clauses.
+
+Five weighted transducers read the word classes of a clause one after the other: reported speech, negation, target, insult, threat. Their composition is
+one transducer; what counts is the heaviest path through it for each clause. The lexicon, the weights of contexts and the final scale are learned.
+"""
 
 from __future__ import annotations
 
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -13,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, text_or_empty
+from .common import crc_fold, given_back, slices, text_or_empty
 
 #: Labelled training texts that are read at most; of more, a part chosen by a hash of doc_id.
 SAMPLE = 20_000
@@ -33,39 +37,135 @@ _WORDS = re.compile(r"\w+(?:'\w+)?").findall
 _CLAUSES = re.compile(r"[.!?;:\n\r()\"“”«»]+|,\s").split
 
 
+Arc = tuple[str, float, str]  # what is written, the weight, the next state
+
+
 @dataclass
 class Transducer:
-    """A finite-state transducer over word classes: state and class give the next state and, for a match, its context."""
+    """A weighted finite-state transducer: state and symbol read give arcs. Weights add along a path; final states may add one more.
 
-    arcs: dict[tuple[str, str], tuple[str, str | None]] = field(default_factory=dict)
-    finals: dict[str, str] = field(default_factory=dict)
-
-    def add(self, state: str, symbol: str, to: str, match: str | None = None) -> None:
-        self.arcs[state, symbol] = (to, match)
+    A symbol is a word class with what is known about it, as "insult" or "insult+aimed"; what a transducer doesn't name passes as it is.
+    """
 
+    start: str
+    arcs: dict[tuple[str, str], list[Arc]] = field(default_factory=dict)
+    finals: dict[str, float] = field(default_factory=dict)
+
+    def add(self, state: str, symbol: str, out: str, to: str, weight: float = 0.0) -> None:
+        self.arcs.setdefault((state, symbol), []).append((out, weight, to))
+
+    def read(self, state: str, symbol: str) -> list[Arc]:
+        return self.arcs.get((state, symbol)) or [(symbol, 0.0, state)]
+
+
+def compose(a: Transducer, b: Transducer, alphabet: Iterable[str]) -> Transducer:
+    """What a writes is read by b: a transducer over pairs of states, from its start on, for the symbols of an alphabet."""
+    out = Transducer(f"{a.start}|{b.start}")
+    todo, seen = [(a.start, b.start)], {(a.start, b.start)}
+    while todo:
+        x, y = todo.pop()
+        if x in a.finals and y in b.finals:
+            out.finals[f"{x}|{y}"] = a.finals[x] + b.finals[y]
+        for symbol in alphabet:
+            for middle, w, x2 in a.read(x, symbol):
+                for written, v, y2 in b.read(y, middle):
+                    out.add(f"{x}|{y}", symbol, written, f"{x2}|{y2}", w + v)
+                    if (x2, y2) not in seen:
+                        seen.add((x2, y2))
+                        todo.append((x2, y2))
+    return out
 
-def clause_grammar() -> Transducer:
-    """The composed grammar: negation and reported speech change the state in which later insults and threats match.
 
-    States: start, aimed (a target came before), negated, reported. Reported speech holds to the clause's end; a negation
-    holds until the match it governs. A threat matches only in a state that has seen or still finds its target, so it
-    waits in the state armed.
-    """
-    g = Transducer()
-    for state, match in (("start", "plain"), ("aimed", "targeted"), ("negated", "negated"), ("reported", "reported"), ("armed", "plain")):
-        g.add(state, "insult", "aimed" if state == "negated" else state, match)
-        g.add(state, "report", "reported")
-        g.add(state, "negation", state if state == "reported" else "negated")
-        g.add(state, "target", {"start": "aimed"}.get(state, state))
-        g.add(state, "threat", state, {"aimed": "targeted", "negated": "negated", "reported": "reported"}.get(state))
-    g.add("start", "threat", "armed")
-    g.add("armed", "target", "aimed", "threat")
-    return g
+def best_path(t: Transducer, symbols: list[tuple[str, float]]) -> list[tuple[str, float]]:
+    """What the heaviest accepting path writes, with the scales of the symbols read; an arc's weight counts times the symbol's scale. Ties go to the smaller state."""
+    paths: dict[str, tuple[float, tuple | None]] = {t.start: (0.0, None)}
+    for symbol, scale in symbols:
+        now: dict[str, tuple[float, tuple | None]] = {}
+        for state in sorted(paths):
+            total, trail = paths[state]
+            for out, weight, to in t.read(state, symbol):
+                value = total + weight * scale
+                if to not in now or value > now[to][0]:
+                    now[to] = (value, (out, scale, trail))
+        paths = now
+    ends = [(total + t.finals[s], s) for s, (total, _) in paths.items() if s in t.finals]
+    if not ends:
+        return []
+    top = max(v for v, _ in ends)
+    trail, out = paths[min(s for v, s in ends if v == top)][1], []
+    while trail:
+        out.append(trail[:2])
+        trail = trail[2]
+    return out[::-1]
+
+
+CLASSES = ("insult", "threat", "target", "negation", "report")
+
+
+def reported_speech() -> Transducer:
+    """After a verb of reporting, insults and threats of the clause are someone else's words."""
+    t = Transducer("own", finals={"own": 0.0, "quoted": 0.0})
+    t.add("own", "report", "report", "quoted")
+    for c in ("insult", "threat"):
+        t.add("quoted", c, f"{c}+reported", "quoted")
+    return t
+
+
+def negation() -> Transducer:
+    """A negation holds until the insult or threat that it governs; it does not reach into reported speech."""
+    t = Transducer("open", finals={"open": 0.0, "negating": 0.0})
+    t.add("open", "negation", "negation", "negating")
+    for c in ("insult", "threat"):
+        t.add("negating", c, f"{c}+negated", "open")
+        t.add("negating", f"{c}+reported", f"{c}+reported", "negating")
+    return t
+
+
+def target() -> Transducer:
+    """Insults and threats are aimed if a target came before them, or comes after: the path guesses that and must meet one to be accepted."""
+    t = Transducer("none", finals={"none": 0.0, "aimed": 0.0})
+    for state in ("none", "aimed", "owing"):
+        t.add(state, "target", "target", "aimed")
+    for c in ("insult", "threat"):
+        t.add("none", c, c, "none")
+        t.add("none", c, f"{c}+aimed", "owing")
+        t.add("owing", c, f"{c}+aimed", "owing")
+        t.add("aimed", c, f"{c}+aimed", "aimed")
+    return t
+
+
+def insult(factor: dict[str, float]) -> Transducer:
+    """Insults match in every context, with the context's factor as weight."""
+    t = Transducer("", finals={"": 0.0})
+    for mark, context in (("", "plain"), ("+aimed", "targeted"), ("+negated", "negated"), ("+reported", "reported")):
+        t.add("", f"insult{mark}", context, "", factor[context])
+    return t
+
+
+def threat(factor: dict[str, float]) -> Transducer:
+    """Threats match if aimed, negated or reported; a verb alone threatens nobody."""
+    t = Transducer("", finals={"": 0.0})
+    for mark, context in (("+aimed", "targeted"), ("+negated", "negated"), ("+reported", "reported")):
+        t.add("", f"threat{mark}", context, "", factor[context])
+    return t
+
+
+def cascade(factor: dict[str, float]) -> list[Transducer]:
+    """The five transducers in the order in which they read: reported speech, negation, target, insult, threat."""
+    return [reported_speech(), negation(), target(), insult(factor), threat(factor)]
+
+
+def clause_grammar(factor: dict[str, float]) -> Transducer:
+    """Their composition."""
+    whole, *rest = cascade(factor)
+    for t in rest:
+        whole = compose(whole, t, CLASSES)
+    return whole
 
 
 @dataclass
 class Grammar:
-    """The lexicon transducer (word to class and weight) composed with the clause grammar."""
+    """The lexicon (word to class and scale) in front of the composed clause grammar."""
 
     weight: dict[str, float]
     factor: dict[str, float] = field(default_factory=lambda: dict(zip(CONTEXTS, PRIOR, strict=True)))
@@ -76,21 +176,15 @@ class Grammar:
         self.kind = {w: k for k, ws in (("target", TARGETS), ("report", REPORTS), ("negation", NEGATIONS), ("threat", THREATS)) for w in ws} | dict.fromkeys(self.weight, "insult")
         self.threat = max(self.weight.values(), default=3.0)
         self.open = frozenset(self.weight) | frozenset(THREATS)
-        self.arcs = clause_grammar().arcs
+        self.learn(self.factor)
+
+    def learn(self, factor: dict[str, float]) -> None:
+        self.factor, self.rules = factor, clause_grammar(factor)
 
     def clause(self, tokens: list[str]) -> list[tuple[str, float]]:
-        """(context, weight) of the clause's matches along its one path."""
-        state, out, kind, arcs = "start", [], self.kind, self.arcs
-        for token in tokens:
-            k = kind.get(token)
-            if k is None:
-                continue
-            state, match = arcs[state, k]
-            if match == "threat":
-                out.append(("targeted", self.threat))
-            elif match:
-                out.append((match, self.weight.get(token, self.threat)))
-        return out
+        """(context, weight) of the matches on the clause's best path."""
+        symbols = [(k, self.weight.get(w, self.threat if k == "threat" else 0.0)) for w in tokens if (k := self.kind.get(w))]
+        return [(out, scale) for out, scale in best_path(self.rules, symbols) if out in self.factor]
 
     def matches(self, text: str) -> dict[str, float]:
         """Weight by context over all clauses of a text; the best match of a clause and half of its others."""
@@ -99,7 +193,10 @@ class Grammar:
             return {}
         total: dict[str, float] = {}
         for part in _CLAUSES(low):
-            found = self.clause(_WORDS(part))
+            tokens = _WORDS(part)
+            if self.open.isdisjoint(tokens):
+                continue
+            found = self.clause(tokens)
             found.sort(key=lambda x: -x[1])
             for n, (context, weight) in enumerate(found):
                 total[context] = total.get(context, 0.0) + (weight if n == 0 else weight / 2)
@@ -117,7 +214,7 @@ def _training(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = marks.count()
     if n > sample:
-        marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * sample / n))
+        marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 62)) < (1 << 62) * sample // n)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     return rows.join(F.broadcast(marks), "doc_id").select("text", "toxic")  # bounded by sample
 
@@ -157,7 +254,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Grammar:
     seen = train.mapInArrow(contexts, ", ".join(f"{c} double" for c in CONTEXTS) + ", toxic int").toPandas()  # bounded by sample
     is_bad = seen["toxic"].to_numpy() == 1
     weight = seen[list(CONTEXTS)].to_numpy()
-    grammar.factor = _factors(weight, is_bad)
+    grammar.learn(_factors(weight, is_bad))
     evidence = np.log1p(weight @ np.array([grammar.factor[c] for c in CONTEXTS]))
     grammar.bias, grammar.slope = _logistic(evidence, is_bad.astype(float))
     return grammar
@@ -197,13 +294,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     grammar = learn(docs, labels, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             scores = pa.array([grammar.score(t) for t in batch.column("text").to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), scores], ["doc_id", "held_out", "score"])
 
     held = F.coalesce(crc_fold() == 0, F.lit(False)).alias("held_out")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held, text_or_empty().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return rows.mapInArrow(given_back(run), "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -211,8 +308,8 @@ def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     grammar = learn(docs, labels, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             keep = [grammar.score(t or "") < 0.5 for t in batch.column("text").to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(given_back(run), docs.schema)
