@@ -40,13 +40,17 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return beta
 
 
-def _classifier(known: DataFrame, labels: DataFrame, sample: int) -> Column:
+def marks_of(labels: DataFrame) -> DataFrame:
+    """(doc_id, quality): one row for each labelled document; contradicting labels count as bad."""
+    known = labels.where(F.col("quality").isin(0, 1)).where("doc_id is not null")
+    return known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+
+
+def _classifier(labelled: DataFrame, sample: int) -> Column:
     """Log-odds that a document is good, as an expression of its counts."""
-    marks = labels.where(F.col("quality").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), "quality").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = known.join(marks, "doc_id")
-    n = marks.count()
+    rows, n = labelled, labelled.count()
     if n > sample:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * sample / n))
+        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 62)) < (1 << 62) * sample // n)
     got = rows.select(*[F.expr(e).cast("double").alias(k) for k, e in FEATURES.items()], F.col("quality").cast("double")).toPandas().to_numpy()  # bounded by sample
     if not len(got) or len(set(got[:, -1])) < 2:
         return F.lit(2.0)
@@ -60,47 +64,69 @@ def _classifier(known: DataFrame, labels: DataFrame, sample: int) -> Column:
     return z
 
 
+def site(url: Column) -> tuple[Column, Column]:
+    """Host (lower case, without user, port and a leading www.) and the first part of the path of a URL; null where there is none."""
+    host = F.nullif(F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?(?:www\.)?([^/?#:]+)", 1), F.lit(""))
+    return host, F.when(host.isNotNull(), F.regexp_extract(url, r"^[^:/?#]+://[^/?#]*/([^/?#]*)", 1))
+
+
 def logit(p: Column) -> Column:
     q = F.least(F.lit(1 - LEAST), F.greatest(F.lit(LEAST), p))
     return F.log(q / (1 - q))
 
 
-def _strength(groups: DataFrame, total: str, n: str, mean: Column) -> DataFrame:
-    """One row: the documents that a group's prior counts for, by moments. The variance between means beyond that within groups gives it."""
-    big = groups.where(F.col(n) >= 2)
-    within = F.sum(F.col("squares") - F.col(total) * F.col(total) / F.col(n)) / F.greatest(F.sum(F.col(n) - 1), F.lit(1.0))
-    spread = F.sum(F.pow(F.col(total) / F.col(n) - mean, F.lit(2.0)) * F.col(n)) / F.greatest(F.sum(n), F.lit(1.0))
-    noise = F.coalesce(F.try_divide(F.count("*"), F.sum(n)), F.lit(1.0))
-    between = F.greatest(spread - within * noise, F.lit(1e-9))
-    return big.agg(F.least(F.lit(STRENGTHS[1]), F.greatest(F.lit(STRENGTHS[0]), F.coalesce(within / between, F.lit(STRENGTHS[0])))).alias("strength"))
+def strength(groups: DataFrame, prior: Column) -> float:
+    """How many labelled documents a prior counts for: the beta-binomial's, by moments over groups (good, n).
+
+    The spread of the groups' rates around their prior, beyond what chance gives within groups, is the correlation rho inside a group; the prior counts for
+    (1 - rho) / rho documents, within STRENGTHS.
+    """
+    n, rate = F.col("n"), F.col("good") / F.col("n")
+    row = groups.where("n > 0").agg(
+        F.count("*").alias("k"), F.sum(n).alias("n"), F.sum(n * n).alias("squares"), F.sum(n * F.pow(rate - prior, F.lit(2.0))).alias("between"), F.sum(n * rate * (1 - rate)).alias("within")
+    ).first()
+    if row.k is None or row.k < 2 or row.n <= row.k:
+        return STRENGTHS[0]
+    between, within = row.between / (row.k - 1), row.within / (row.n - row.k)
+    size = (row.n - row.squares / row.n) / (row.k - 1)
+    total = between + (size - 1) * within
+    rho = (between - within) / total if total > 0 else 0.0
+    return min(STRENGTHS[1], max(STRENGTHS[0], (1 - rho) / rho)) if rho > 0 else STRENGTHS[1]
 
 
-def scored(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", sample: int = SAMPLE) -> DataFrame:
-    """Per row of docs: doc_id, evidence (the classifier's probability), host_quality, path_quality, score and kept (score >= 0.5).
+def scored(docs: DataFrame, labels: DataFrame, host: str | Column = "source", path: str | Column = "lang", sample: int = SAMPLE) -> DataFrame:
+    """Per row of docs: doc_id, host, path, evidence (the classifier's probability), host_quality, path_quality, score and kept (score >= 0.5).
 
-    docs: doc_id, text and the columns of the host and of the path below it; labels: doc_id, quality. Every document's probability enters the sums of its path
-    and host (partial sums first, so a host with very many documents costs one row for each task). A host's mean is shrunk to the global mean, a
-    path's to its host's, with strengths by moments; a document's own part is taken out before its path speaks about it. The score adds the
-    path's log-odds relative to the global ones to the document's. Nulls in host or path are a host or path of their own; null texts have no words;
-    repeated rows stay and count. Without labels of both kinds every document is equally likely good and is kept.
+    docs: doc_id, text and what host and path are made of (columns or expressions; site() makes both from a URL); labels: doc_id, quality. The labelled documents of a
+    host are a binomial outcome under a beta prior around the global rate, those of a path one under a beta prior around its host's posterior mean; both strengths come by moments, so
+    sparse sites shrink. Groups are counted with partial sums, so a host with very many documents costs one row for each task. A labelled document's own label is taken out
+    before its path speaks about it. The score adds the path's log-odds, relative to the global ones, to the document's evidence. Nulls in host or path are a host or
+    path of their own; a group without labels has its prior's mean; null texts have no words; repeated rows stay and count. Without labels of both kinds
+    every document is equally likely good and is kept.
     """
     keys = ["host", "path"]
-    known = written(counts(docs.withColumns({"host": F.col(host).cast("string"), "path": F.col(path).cast("string")}), *keys), "counts")
-    z = _classifier(known, labels, sample)
-    known = known.select("doc_id", *keys, (1 / (1 + F.exp(-z))).alias("evidence"))
-    paths = written(known.groupBy(*keys).agg(F.sum("evidence").alias("s"), F.sum(F.col("evidence") * F.col("evidence")).alias("squares"), F.count("*").alias("n")), "paths")
-    hosts = paths.groupBy("host").agg(F.sum("s").alias("host_s"), F.sum("squares").alias("squares"), F.sum("n").alias("host_n"))
-    mean = paths.agg(F.sum("s") / F.sum("n")).first()[0]
-    if mean is None:
-        mean = 0.5
-    up = _strength(hosts, "host_s", "host_n", F.lit(mean)).first().strength
-    hosts = hosts.select(F.col("host").alias("h"), ((F.col("host_s") + up * mean) / (F.col("host_n") + up)).alias("host_quality"))
-    paths = paths.join(hosts, F.col("host").eqNullSafe(F.col("h")))
-    down = _strength(paths, "s", "n", F.col("host_quality")).first().strength
-    paths = small(written(paths.select(F.col("host").alias("h"), F.col("path").alias("p"), "s", "n", "host_quality"), "posteriors"))
-    rows = known.join(paths, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")))
-    others = (F.col("s") - F.col("evidence") + down * F.col("host_quality")) / (F.col("n") - 1 + down)
-    rows = rows.withColumn("path_quality", others)
+    host, path = (F.col(c) if isinstance(c, str) else c for c in (host, path))
+    known = written(counts(docs.withColumns({"host": host.cast("string"), "path": path.cast("string")}), *keys), "counts")
+    labelled = written(known.join(marks_of(labels), "doc_id"), "labelled")
+    z = _classifier(labelled, sample)
+    outcomes = labelled.select(*keys, F.col("quality").alias("good"), F.lit(1).alias("n"))
+    everywhere = known.select(*keys).distinct().select(*keys, F.lit(0).alias("good"), F.lit(0).alias("n"))  # a group without labels, too
+    paths = written(outcomes.unionAll(everywhere).groupBy(*keys).agg(F.sum("good").alias("good"), F.sum("n").alias("n")), "paths")
+    hosts = written(paths.groupBy("host").agg(F.sum("good").alias("good"), F.sum("n").alias("n")), "hosts")
+    total = hosts.agg(F.sum("good").alias("good"), F.sum("n").alias("n")).first()
+    both = bool(total.n) and 0 < total.good < total.n
+    mean = total.good / total.n if both else 0.5
+    up = strength(hosts, F.lit(mean))
+    hosts = hosts.select(F.col("host").alias("h"), ((F.col("good") + up * mean) / (F.col("n") + up)).alias("host_quality"))
+    paths = paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).drop("h")
+    down = strength(paths, F.col("host_quality"))
+    paths = small(written(paths.select(F.col("host").alias("h"), F.col("path").alias("p"), "good", "n", "host_quality"), "posteriors"))
+    own = small(written(labelled.select("doc_id", "quality").distinct(), "own"))
+    rows = known.select("doc_id", *keys, (1 / (1 + F.exp(-z))).alias("evidence")).join(own, "doc_id", "left")
+    rows = rows.join(paths, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")))
+    self = F.when(F.col("quality").isNull(), 0).otherwise(1)
+    path_quality = (F.col("good") - F.coalesce("quality", F.lit(0)) + down * F.col("host_quality")) / (F.col("n") - self + down)
+    rows = rows.withColumn("path_quality", F.col("host_quality") if not both else path_quality)
     odds = logit(F.col("evidence")) + logit(F.col("path_quality")) - logit(F.lit(mean))
     rows = rows.withColumn("score", 1 / (1 + F.exp(-odds)))
     return rows.select("doc_id", "host", "path", "evidence", "host_quality", "path_quality", "score", (F.col("score") >= 0.5).alias("kept"))
