@@ -52,3 +52,38 @@ LOG = """log as (select strftime(ts, '%Y-%m-%d') as runId, event_type as profile
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of orders as task attempts: task, run, receipt, completion, claim, created, done."""
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("task"), F.col("l_linenumber").cast("long").alias("run"), F.unix_timestamp("l_shipdate").alias("at"), "l_returnflag", "l_linestatus", "l_quantity")
+
+
+def dotnet_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as .NET files: path, text, project. A third lie in a folder of architecture only, half of those in a namespace of their own."""
+    k = F.col("p_partkey")
+    at = lambda n, m: (k * n + m) % 200  # noqa: E731  a part that every table has
+    kind = lambda x: F.element_at(F.array(*map(F.lit, ("Service", "Controller", "Repository", "Dto", "Handler"))), (x % 5 + 1).cast("int"))
+    named = lambda x: F.concat(F.lit("Part"), x.cast("string"), kind(x))
+    project = F.concat(F.lit("Shop."), F.element_at(F.array(*map(F.lit, ("Api", "Application", "Domain", "Infrastructure"))), (k % 4 + 1).cast("int")))
+    folder = F.when(k % 3 == 0, "Services").otherwise(F.regexp_replace("p_brand", "#", ""))
+    space = F.concat(project, F.when(k % 6 == 0, ".Core").when(k % 3 == 0, ".Billing").otherwise(".Models"))
+    text = F.concat(
+        F.lit("namespace "), space, F.when(k % 2 == 0, F.lit(";\n")).otherwise(F.lit("\n{\n")), F.lit("[Serializable] public sealed class "), named(k),
+        F.lit(" {\n  private readonly List<"), named(at(7, 3)), F.lit("> items;\n  public "), named(k), F.lit("("), named(at(11, 5)), F.lit(" a, string b, Guid? c) { var x = new "),
+        named(at(13, 1)), F.lit("(a); }\n}\nenum Kind"), k.cast("string"), F.lit(" { A }\n"),
+    )
+    return table(spark, sf_dir, "part").select(F.concat_ws("/", F.lit("src"), project, folder, F.concat(named(k), F.lit(".cs"))).alias("path"), text.alias("text"), project.alias("project"))
+
+
+DOTNET = """dn as (select p_partkey as k, 'Part' || p_partkey || ['Service', 'Controller', 'Repository', 'Dto', 'Handler'][(p_partkey % 5 + 1)::int] as name,
+  'Shop.' || ['Api', 'Application', 'Domain', 'Infrastructure'][(p_partkey % 4 + 1)::int] as project, replace(p_brand, '#', '') as brand from part),
+dnf as (select *, 'src/' || project || '/' || case when k % 3 = 0 then 'Services' else brand end || '/' || name || '.cs' as path,
+  case when project = 'Shop.Api' then 'API' else split_part(project, '.', 2) end as layer,
+  case when k % 3 <> 0 then brand when k % 6 = 0 then regexp_replace(name, '(Service|Controller|Repository|Dto|Handler)$', '') else 'Billing' end as feature from dn)"""
+
+
+def module_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as TypeScript files: path, text. Every tenth is a pure barrel that re-exports its neighbour and the next barrel of its fifty."""
+    k = F.col("p_partkey")
+    at = lambda x: x.cast("string")
+    barrel = F.concat(F.lit("// all\nexport { Sym"), at(k + 1), F.lit(" as Sym"), at(k + 1), F.lit(" , Sym"), at(k + 2), F.lit(" as Two"), at(k + 2), F.lit(" } from './m"), at(k + 1), F.lit("';\nexport { Sym"), at(k + 2), F.lit(" as Two"), at(k + 2), F.lit(" } from \"./m"), at(k + 2), F.lit("\";\n"),
+                      F.when(k % 50 != 40, F.concat(F.lit("export * from './m"), at(k + 10), F.lit("';\n"))).otherwise(F.lit("")))
+    group = k - k % 10
+    plain = F.concat(F.lit("import type { Sym"), at(group + 1), F.lit(" as First, Sym"), at(group + 11), F.lit(", Two"), at(group + 2), F.lit(" } from './m"), at(group), F.lit("';\nimport Main, { Sym"), at(group + k % 9 + 1), F.lit(" } from './m"), at(group + k % 9 + 1), F.lit(".ts';\nimport { Sym7 } from '@lost/pkg';\nexport default class Sym"), at(k), F.lit(" {}\n"))
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("src/m"), at(k), F.lit(".ts")).alias("path"), F.when(k % 10 == 0, barrel).otherwise(plain).alias("text"), k.alias("k"))
