@@ -14,8 +14,10 @@ import numpy as np
 import regex
 
 NO_RANK = np.int32(2**31 - 1)
-#: Cached words a Python worker keeps (some 200 bytes each); a full cache is emptied, never the input.
-CACHE_WORDS = 500_000
+#: Bytes that the word cache of a Python worker may hold, by a generous estimate; a full cache is emptied, never the input.
+CACHE_BYTES = 48 << 20
+#: What a cached word or piece takes beside its own bytes: two objects and a place in a table.
+ENTRY = 200
 #: Texts whose new words are merged together.
 GROUP = 512
 
@@ -111,18 +113,16 @@ class WordTokenizer:
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.known: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.held = 0
 
     def forget(self) -> None:
-        """Give the cache back at the end of a task: a worker that waits holds nothing."""
+        """Empty the cache, when it is full and at the end of a task: a worker that waits holds nothing."""
         self.known.clear()
         self.pieces.clear()
+        self.held = 0
 
     def learn(self, words: set[str]) -> None:
         """Fill the cache for words, merging all new pieces in one go."""
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self.known.clear()
-        if len(self.pieces) > CACHE_WORDS:
-            self.pieces.clear()
         whole: dict[str, str] = {}
         split: dict[str, list] = {}
         for w in words:
@@ -146,10 +146,12 @@ class WordTokenizer:
             order = list(fresh)
             ids, counts = self.arrays.merge([p.encode() for p in order])
             raw, begin = ids.astype("<u4").tobytes(), 0
+            self.held += ENTRY * len(order) + 2 * len(raw)
             for p, end in zip(order, (np.cumsum(counts) * 4).tolist(), strict=True):
                 pieces[p] = raw[begin:end]
                 begin = end
         known = self.known
+        self.held += ENTRY * len(words) + 2 * sum(map(len, words))
         for w, p in whole.items():
             known[w] = pieces[p]
         for w, out in split.items():
@@ -159,6 +161,8 @@ class WordTokenizer:
         """Per text its ids as little-endian 32-bit integers, without added special tokens."""
         out: list[bytes] = []
         for k in range(0, len(texts), GROUP):
+            if self.held > CACHE_BYTES:
+                self.forget()
             parts = [split_words(t) for t in texts[k : k + GROUP]]
             found = [list(map(self.known.get, ws)) for ws in parts]
             short = [n for n, ids in enumerate(found) if None in ids]

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import default_vocabulary, word_tokenizer
-from .common import text_or_empty
+from .common import given_back, slices, text_or_empty
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 NO_DOC = np.iinfo(np.int64).min
@@ -85,7 +85,7 @@ def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 1, vocabulary: str
         words, tail = word_tokenizer(path), end_id.to_bytes(4, "little")
         sequence = TaskContext.get().partitionId() << 32
         left = array("q")  # five numbers for each remainder
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             rows = []
             for doc, ids in zip(batch.column("doc_id").to_pylist(), words.encode(batch.column("text").to_pylist()), strict=True):
                 ids += tail
@@ -113,7 +113,7 @@ def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 1, vocabulary: str
         yield from batch_of(rows)
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(place, PIECES)
+    return rows.mapInArrow(given_back(place), PIECES)
 
 
 def batch_of(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
