@@ -141,7 +141,7 @@ def file_impact(nodes: DataFrame, edges: DataFrame, origins: DataFrame, depth: i
     best = seen.groupBy("origin", "file").agg(F.min("distance").alias("distance"))
     left = seen.select("origin", F.col("id").alias("src"), F.col("file"), F.col("distance").alias("at"))
     right = seen.select("origin", F.col("id").alias("dst"), F.col("file").alias("dst_file"), F.col("distance").alias("before"))
-    shown = edges.select("src", "dst").distinct().join(left, "src").join(right, ["origin", "dst"])
+    shown = edges.select("src", "dst").where("src <> dst").distinct().join(left, "src").join(right, ["origin", "dst"])
     shown = shown.where(F.col("at") == F.col("before") + (F.col("file") != F.col("dst_file")).cast("int"))
     shown = shown.join(best, ["origin", "file"]).where("at = distance and file <> origin")
     return shown.groupBy("origin", "file", "distance").agg(F.min(F.struct("src", "dst")).alias("w")).select("origin", "file", "distance", F.col("w.src").alias("witness_src"), F.col("w.dst").alias("witness_dst"))
@@ -154,19 +154,26 @@ def merge_origins(impact: DataFrame, keep: int = 8) -> DataFrame:
     return agg.select("file", "distance", "origins", F.array_join(F.transform("near", lambda x: x["origin"]), ";").alias("nearest"))
 
 
-def impact_score(nodes: DataFrame, edges: DataFrame, origin: int, depth: int = 2) -> DataFrame:
-    """One row: direct dependents, transitive ones, affected files, and the score with its level."""
+def impact_score(nodes: DataFrame, edges: DataFrame, origin: int, depth: int = 2, limit: int = 80) -> DataFrame:
+    """One row: dependents, transitive ones, affected files, and the score with its level.
+
+    Dependents are counted by edge, the first `limit` by id and relation; transitive ones by node, the first `limit` by depth and id. Affected are the files of the target
+    and of both; a node without a file counts as one of its own.
+    """
     one = edges.sparkSession.createDataFrame([(origin, origin)], T.StructType().add("origin", "long").add("id", "long"))
-    reach = cut(reverse_reach(edges, one, depth))
-    files = reach.join(nodes, "id").agg(F.countDistinct("file").alias("affected_files"))
-    counts = reach.agg(F.coalesce(F.sum(F.when(F.col("depth") == 1, 1)), F.lit(0)).alias("direct"), F.count("*").alias("transitive"))
-    row = counts.crossJoin(files)  # one row each
+    known = nodes.select("id", F.coalesce(F.nullif("file", F.lit("")), F.col("id").cast("string")).alias("file"))
+    direct = edges.where(F.col("dst") == origin).select(F.col("src").alias("id"), "relation").orderBy("id", "relation").limit(limit)
+    far = reverse_reach(edges, one, depth).orderBy("depth", "id").limit(limit)
+    role = lambda df, name: known.join(F.broadcast(df.select("id")), "id").withColumn("role", F.lit(name))  # noqa: E731  limit rows
+    seen = role(direct, "direct").unionByName(role(far, "far")).unionByName(known.where(F.col("id") == origin).withColumn("role", F.lit("target")))
+    of = lambda name: F.sum((F.col("role") == name).cast("long"))
+    row = seen.agg(of("direct").alias("direct"), of("far").alias("transitive"), F.countDistinct("file").alias("affected_files"))
     score = F.col("direct") + F.col("transitive") + F.least("affected_files", F.lit(20))
     return row.withColumn("score", score).withColumn("level", impact_level(F.col("score")))
 
 
 def impact_level(score: Column) -> Column:
-    return F.when(score >= 30, "high").when(score >= 10, "medium").when(score > 0, "low").otherwise("none")
+    return F.when(score >= 30, "high").when(score >= 10, "medium").when(score > 0, "low").otherwise("isolated")
 
 
 def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:

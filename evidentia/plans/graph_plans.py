@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import graph
+from ..operators import explorer, graph, impact
 from . import lens
 from .lens import GRAPH
 from .registered import query
@@ -68,9 +68,10 @@ def node_expand(spark, d):
     return graph.expand(*_both(spark, d), 1)
 
 
-@query(f"""{GRAPH}, {REACH.format(depth=2)}, r as (select id, min(depth) as depth from reach group by id having min(depth) > 0),
-c as (select count(*) filter (where depth = 1) as direct, count(*) as transitive, count(distinct file) as affected_files from r join nodes using (id))
-select *, direct + transitive + least(affected_files, 20) as score, case when direct + transitive + least(affected_files, 20) >= 30 then 'high' when direct + transitive + least(affected_files, 20) >= 10 then 'medium' when direct + transitive > 0 then 'low' else 'none' end as level from c""")
+@query(f"""{GRAPH}, {REACH.format(depth=2)}, t as (select id, min(depth) as depth from reach group by id having min(depth) > 0 order by 2, 1 limit 80),
+a as (select src as id from (select src, relation from edges where dst = 1 order by 1, 2 limit 80)), u as (select id from a union all select id from t union all select 1),
+c as (select (select count(*) from a) as direct, (select count(*) from t) as transitive, (select count(distinct coalesce(nullif(file, ''), id::varchar)) from u join nodes using (id)) as affected_files)
+select *, direct + transitive + least(affected_files, 20) as score, case when direct + transitive + least(affected_files, 20) >= 30 then 'high' when direct + transitive + least(affected_files, 20) >= 10 then 'medium' when direct + transitive + affected_files > 0 then 'low' else 'isolated' end as level from c""")
 def impact_score(spark, d):
     return graph.impact_score(*_both(spark, d), 1)
 
@@ -119,6 +120,123 @@ def impact_multi_origin_deep(spark, d):
     return graph.merge_origins(graph.file_impact(*_both(spark, d), many, 2))
 
 
+def _sample_category():
+    """Categories of parts by size, so that every rank occurs."""
+    names = [*explorer.CATEGORY_RANK, "other"]
+    return F.element_at(F.array(*map(F.lit, names)), (F.col("p_size") % len(names) + 1).cast("int"))
+
+
+CATEGORIES = [*explorer.CATEGORY_RANK, "other"]
+_RANKS = f"[{', '.join(str(explorer.CATEGORY_RANK.get(c, 99)) for c in CATEGORIES)}]"
+SERVICED = f"""{GRAPH}, named as (select p_partkey as id, case p_size % 7 when 0 then 'OrderService' when 1 then 'OrderController' when 2 then 'Shop.Tests.Order' else p_name end as label, {CATEGORIES!r}[(p_size % {len(CATEGORIES)} + 1)::int] as category,
+  {_RANKS}[(p_size % {len(CATEGORIES)} + 1)::int] as rank, p_type as kind, p_brand || '/' || p_type as file from part),
+bonus(part, points) as (values ('Controller', -6), ('Service', -5), ('Handler', -4), ('Repository', -3), ('.Tests', 20)),
+es as (select e.src, e.dst, relation, (case relation when 'uses' then -10 when 'references' then -3 else 0 end + (select coalesce(sum(points), 0) from bonus where contains(s.label, part)) + case when contains(d.label, '.Tests') then 20 else 0 end)::int as score
+  from edges e join named s on s.id = e.src join named d on d.id = e.dst)"""
+
+
+def _serviced(spark, d):
+    """Nodes whose labels reach every bonus and penalty of the edge score."""
+    p = lens.table(spark, d, "part")
+    n = F.col("p_size") % 7
+    label = F.when(n == 0, "OrderService").when(n == 1, "OrderController").when(n == 2, "Shop.Tests.Order").otherwise(F.col("p_name"))
+    return p.select(F.col("p_partkey").alias("id"), label.alias("label"), _sample_category().alias("category"), F.col("p_type").alias("kind"), F.concat_ws("/", "p_brand", "p_type").alias("file"), F.col("p_brand").alias("feature"), F.col("p_type").alias("layer"))
+
+
+@query(f"{SERVICED} select src, dst, relation, score from es order by score, src, dst, relation limit 100")
+def graph_prioritized_names(spark, d):
+    return graph.prioritized(_serviced(spark, d), lens.edges(spark, d))
+
+
+@query(f"{SERVICED} select id, label, rank from named order by rank, file, label, kind, id limit 300")
+def node_priority(spark, d):
+    return explorer.by_priority(_serviced(spark, d), 300).select("id", "label", "rank")
+
+
+@query(f"""{SERVICED}, o as (select row_number() over (order by score, src, dst, relation) as n, * from es),
+walk(step, n, inside, src, dst, relation, score) as (select 0, 0::bigint, []::bigint[], null::bigint, null::bigint, null::varchar, null::int union all
+  select w.step + 1, x.n, list_distinct(list_concat(w.inside, [x.src, x.dst])), x.src, x.dst, x.relation, x.score
+  from walk w, lateral (select * from o where o.n > w.n and len(list_distinct(list_concat(w.inside, [o.src, o.dst]))) <= 40 order by o.n limit 1) x where w.step < 90)
+select src, dst, relation, score from walk where step > 0""")
+def bounded_graph(spark, d):
+    return explorer.admitted(_serviced(spark, d), lens.edges(spark, d), 40, 90)[1]
+
+
+@query(f"""{GRAPH}, o as (select dst as id, 'dependency' as role, 1 as r from edges where src = 1 order by dst, relation limit 40), i as (select src as id, 'dependent' as role, 2 as r from edges where dst = 1 order by src, relation limit 40),
+n as (select id, min_by(role, r) as role, min(r) as r from (select * from o union all select * from i union all select 1, 'target', 0) group by id),
+f as (select id, 'same_file' as role, 3 as r from nodes where file = (select file from nodes where id = 1) and id not in (select id from n) order by id limit 40)
+select id, label, role from (select * from (select * from n union all select * from f) order by r, id limit 40) join nodes using (id)""")
+def context_nodes(spark, d):
+    nodes, edges = _both(spark, d)
+    return explorer.context(nodes, edges, 1)[0]
+
+
+@query(f"{GRAPH} select id, label, file from nodes where lower(label) like '%red%' or id::varchar = 'red' order by id limit 1")
+def resolved_target(spark, d):
+    return explorer.resolve_target(lens.nodes(spark, d), "Red").select("id", "label", "file")
+
+
+@query(f"{GRAPH} select id, label from nodes where id = 1 or id in (select src from edges where dst = 1 union select dst from edges where src = 1)")
+def isolated_neighbourhood(spark, d):
+    return explorer.isolated(*_both(spark, d), 1)[0].select("id", "label")
+
+
+@query(f"""{SERVICED}, k as (select id from named join part on p_partkey = id where category in ('service', 'api', 'enum') and p_type in ('ECONOMY', 'PROMO') and p_brand < 'Brand#3')
+select id, category from named where id in (select id from k) and id in (select unnest([src, dst]) from edges where src in (select id from k) and dst in (select id from k))""")
+def visible_nodes(spark, d):
+    brands = [f"Brand#{n}" for n in range(1, 100) if f"Brand#{n}" < "Brand#3"]
+    return explorer.visible(_serviced(spark, d), lens.edges(spark, d), ["service", "api", "enum"], ["ECONOMY", "PROMO"], brands, True)[0].select("id", "category")
+
+
+def _tested(spark, d):
+    """Nodes whose files are source paths, some of them tests."""
+    n = lens.nodes(spark, d)
+    return n.withColumn("file", F.concat(F.when(F.col("layer").isin("PROMO", "SMALL"), "tests/").otherwise("src/"), F.translate("feature", "#", ""), F.lit("_"), F.lower("layer"), F.lit(".ts")))
+
+
+_TESTED = f"{GRAPH}, tn as (select id, case when layer in ('PROMO', 'SMALL') then 'tests/' else 'src/' end || replace(feature, '#', '') || '_' || lower(layer) || '.ts' as file from nodes)"
+_ORIGINS = ["src/Brand2_economy.ts", "src/Brand17_economy.ts", "src/Brand5_large.ts"]
+
+
+def _project_impact_sql(depth: int, keep: int) -> str:
+    sql = _impact_sql(_ORIGINS, depth).replace(GRAPH, _TESTED).replace("join nodes s", "join tn s").replace("join nodes t", "join tn t").replace("join nodes on", "join tn on").replace("walk join nodes using", "walk join tn using")
+    return sql + f""", one as (select src, dst, min(relation) as relation from edges group by all),
+    wit as (select i.*, 'impact_edge_' || sha256('["snap","native","1","' || witness_src || '","' || witness_dst || '","' || relation || '"]') as witness from impact i join one on src = witness_src and dst = witness_dst),
+    rk as (select *, row_number() over (partition by file order by distance, origin, witness) as k from wit),
+    item as (select file, min(distance) as distance, count(*) as origins, least(count(*), {keep}) as kept, min_by(witness, k) as first, count(*) > {keep} as cut from rk group by file),
+    head as (select *, sum(kept) over (order by distance, file, first rows unbounded preceding) as running, row_number() over (order by distance, file, first) as place from item),
+    files as (select * from head where running <= 60 and place <= 100)"""
+
+
+def _project_impact(spark, d):
+    many = spark.createDataFrame([(o,) for o in _ORIGINS], "origin string").withColumn("file", F.col("origin"))
+    return impact.project_impact(_tested(spark, d), lens.edges(spark, d), many, 1, "snap", witnesses=60, keep=2)
+
+
+@query(_project_impact_sql(1, 2) + " select place, file, distance, origins, cut, first as witness from files")
+def project_impact(spark, d):
+    return _project_impact(spark, d)["files"].select("place", "file", "distance", "origins", "cut", F.get("near", F.lit(0))["witness"].alias("witness"))
+
+
+@query(_project_impact_sql(1, 2) + """, t as (select *, sum(kept) over (order by distance, file, first rows unbounded preceding) as r2, row_number() over (order by distance, file, first) as p2 from files where file like 'tests/%')
+select p2 as place, file, distance, origins from t where r2 <= 60 - (select sum(kept) from files)""")
+def affected_tests(spark, d):
+    return _project_impact(spark, d)["tests"].select("place", "file", "distance", "origins")
+
+
+@query(_project_impact_sql(1, 2) + """, f as (select origin, count(*) as found from wit group by 1), s as (select origin, count(*) as shown from rk join files using (file) where k <= 2 group by 1)
+select o.origin, case when not known then 'unavailable' when coalesce(found, 0) > coalesce(shown, 0) then 'partial' else 'available' end as status, case when not known then 'not_evaluated' when found > 0 then 'evidence_found' else 'no_evidence_found' end as finding,
+case when not known then 'source_unavailable' when coalesce(found, 0) > coalesce(shown, 0) then 'output_limit' else '' end as reasons from (select origin, origin in (select file from tn) as known from o) o left join f using (origin) left join s using (origin)""")
+def impact_origins(spark, d):
+    return _project_impact(spark, d)["origins"]
+
+
+@query("select distinct lang as language, case when lang in ('en', 'de', 'xx') then 'covered' else 'uncovered' end as state from documents where lang is not null")
+def language_coverage(spark, d):
+    spoken = spark.createDataFrame([("en",), ("de",), ("xx",)], "language string")
+    return impact.coverage(lens.table(spark, d, "documents").where("lang is not null").select(F.col("lang").alias("language")), spoken)
+
+
 @query(f"""{GRAPH}, s as (select id from nodes where file = (select file from nodes where id = 1) union select src from edges where dst = 1 or src = 1 union select dst from edges where dst = 1 or src = 1)
 select src, dst, relation from edges where src in (select id from s) and dst in (select id from s)""")
 def context_subgraph(spark, d):
