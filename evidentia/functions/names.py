@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 #: Default-ignorable characters as ranges of the Unicode property.
 _IGNORABLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0\ufff0-\ufff8\U0001bca0-\U0001bca3\U0001d173-\U0001d17a\U000e0000-\U000e0fff]")
@@ -44,3 +45,29 @@ def collisions(names: DataFrame) -> DataFrame:
     keyed = names.where("name is not null").select("name").distinct().withColumn("k", F.pandas_udf(both_keys, "full string, simple string")("name"))
     tall = keyed.select("name", F.inline(F.array(F.struct(F.lit("full").alias("kind"), F.col("k.full").alias("key")), F.struct(F.lit("simple").alias("kind"), F.col("k.simple").alias("key")))))
     return tall.groupBy("kind", "key").agg(F.count("*").alias("names")).where("names > 1")
+
+
+def protected(path: str, excluded: list[str]) -> bool:
+    """Whether a path is one of the excluded ones or below one, whatever the case and composition of its letters."""
+    key = lambda p: unicodedata.normalize("NFC", p).lower()
+    return any(key(path) == key(e) or key(path).startswith(key(e) + "/") for e in excluded)
+
+
+def crosses(path: str, boundaries: list[str]) -> bool:
+    """Whether a path is at or below a boundary, where each of the boundary's parts collides with the path's part at its place."""
+    parts = path.split("/")
+    return any(len(b := boundary.split("/")) <= len(parts) and all(map(collide, b, parts)) for boundary in boundaries)
+
+
+def _judge(check):
+    def columns(excluded: list[str]):
+        def judged(paths: pd.Series) -> pd.Series:
+            return paths.map(lambda p: p is not None and check(p, excluded))
+
+        return F.pandas_udf(judged, BooleanType())
+
+    return columns
+
+
+#: Makers of column functions of a path, for a bounded list of excluded paths or boundaries.
+protected_in, crossing = _judge(protected), _judge(crosses)
