@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from . import extract
 from .durable import counted, cut
 
-_IMPORT = r"(?:^|[\n;])[ \t]*import\s+(?:type\s+)?(?:([A-Za-z_$][\w$]*)\s*,?\s*)?(?:(\{[^}]*\})|\*\s*as\s+[\w$]+)?\s*from\s*['\"]([^'\"]+)['\"]"
-_EXPORT = r"(?:^|[\n;])[ \t]*export\s+(?:type\s+)?(?:(\{[^}]*\})|(\*)(?:\s*as\s+([\w$]+))?)\s*from\s*['\"]([^'\"]+)['\"]"
+_IMPORT = r"(?:^|[\n;]|\*/)[ \t]*import\s+(?:type\s+)?(?:([A-Za-z_$][\w$]*)\s*,?\s*)?(?:(\{[^}]*\})|\*\s*as\s+[\w$]+)?\s*from\s*['\"]([^'\"]+)['\"]"
+_EXPORT = r"(?:^|[\n;]|\*/)[ \t]*export\s+(?:type\s+)?(?:(\{[^}]*\})|(\*)(?:\s*as\s+([\w$]+))?)\s*from\s*['\"]([^'\"]+)['\"]"
 _CODE = r"(?i)\.(?:tsx?|jsx?)$"
 STAR = "*"
 
@@ -41,8 +41,9 @@ def re_exports(files: DataFrame) -> DataFrame:
 
 def pure_barrels(files: DataFrame) -> DataFrame:
     """(path): files of which nothing is left but blanks and comments once their re-exports are taken out, and that have one."""
-    rest = F.regexp_replace(F.regexp_replace(F.concat(F.lit("\n"), "text"), _EXPORT + ";?", ""), r"(?s)/\*.*?\*/|//[^\n]*", "")
-    return files.where(F.col("path").rlike(_CODE) & F.concat(F.lit("\n"), "text").rlike(_EXPORT) & (F.trim(F.regexp_replace(rest, r"[\s;]+", " ")) == "")).select("path")
+    bare = F.concat(F.lit("\n"), F.regexp_replace("text", r"(?s)/\*.*?\*/|//[^\n]*", ""))
+    rest = F.regexp_replace(F.regexp_replace(bare, _EXPORT + ";?", ""), r"[\s;]+", " ")
+    return files.where(F.col("path").rlike(_CODE) & bare.rlike(_EXPORT) & (F.trim(rest) == "")).select("path")
 
 
 def _resolved(rows: DataFrame, files: DataFrame) -> DataFrame:
