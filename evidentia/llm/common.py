@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,6 +23,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 BROADCAST_BYTES = 16 << 20
 #: Bytes of text that a Python worker turns into Python objects at a time.
 SLICE_BYTES = 1 << 20
+#: Bytes of a batch on its way between the JVM and Python, of which either side holds several.
+BATCH_BYTES = 4 << 20
 #: Bytes of text in a bucket, and buckets that Spark allows.
 BUCKET_BYTES, MOST_BUCKETS = 64 << 20, 100_000
 #: Rows of a single long column up to which it is broadcast: some 40 MB in memory.
@@ -101,6 +104,15 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
         at = stop
 
 
+def in_batches(df: DataFrame, most: int = BATCH_BYTES) -> DataFrame:
+    """df, for a Python function: batches that go to and from Python hold at most `most` bytes, or one row (a setting of the session, lowered where it is larger)."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(re.sub(r"\D", "", df.sparkSession.conf.get(key)) or 0)
+    if not 0 < now <= most:
+        df.sparkSession.conf.set(key, str(most))
+    return df
+
+
 def give_back() -> None:
     """Return freed memory to the system: a Python worker that waits for its next task then holds little."""
     pa.default_memory_pool().release_unused()

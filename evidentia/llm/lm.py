@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, crc_fold, given_back, slices, text_or_empty, written
+from .common import bucketed, crc_fold, given_back, in_batches, slices, text_or_empty, written
 
 STATES = 6
 ROUNDS = 4
@@ -96,7 +96,7 @@ def _blocks(docs: DataFrame, bits: int, block_bytes: int, n_bytes: int) -> DataF
         if ids:
             yield from rows()
 
-    return bucketed(docs.select("doc_id", "held_out", "text").mapInArrow(given_back(run), _BLOCK), "block", "blocks", n_bytes)
+    return bucketed(in_batches(docs.select("doc_id", "held_out", "text")).mapInArrow(given_back(run), _BLOCK), "block", "blocks", n_bytes)
 
 
 def _summed(n_train: int):

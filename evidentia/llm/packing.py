@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import default_vocabulary, word_tokenizer
-from .common import given_back, slices, text_or_empty
+from .common import given_back, in_batches, slices, text_or_empty
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 NO_DOC = np.iinfo(np.int64).min
@@ -113,7 +113,7 @@ def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 1, vocabulary: str
         yield from batch_of(rows)
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(given_back(place), PIECES)
+    return in_batches(rows).mapInArrow(given_back(place), PIECES)
 
 
 def batch_of(rows: list[tuple]) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import in_batches, text_or_empty, written
 from .components import components
 
 SEED = 42
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, size: int = 4) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return in_batches(rows).mapInArrow(run, "doc_id long, fp long")
 
 
 def ball(fps: np.ndarray, shift: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

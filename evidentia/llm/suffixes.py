@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, give_back, given_back, text_or_empty, written
+from .common import bucketed, give_back, given_back, in_batches, text_or_empty, written
 
 DEPTH = 50
 MARK = 20
@@ -37,7 +37,7 @@ DIGIT = 8
 WIDTH = DEPTH - MARK + 1
 ROW = -(-(DEPTH + WIDTH - 1) // DIGIT) * DIGIT
 #: Bytes of text in a block (a longer text is a block of its own), and suffixes hashed at a time.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 SEGMENT = 1 << 17
 #: Bytes of text for each range: one range is ordered in one task, so many suffixes of it at a time.
 RANGE_BYTES = 16 << 20
@@ -446,7 +446,7 @@ def _store(docs: DataFrame, block_bytes: int, carry: list[str], total: int) -> D
             yield row()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("~doc"), text_or_empty().alias("~text"), *carry)
-    rows = rows.mapInArrow(run, "block long, docs binary, sizes binary, n_bytes long, packed binary, extra binary")
+    rows = in_batches(rows).mapInArrow(run, "block long, docs binary, sizes binary, n_bytes long, packed binary, extra binary")
     return bucketed(rows, "block", "blocks", total)
 
 
@@ -490,9 +490,9 @@ def _decided(docs: DataFrame, output, schema, block_bytes: int, range_bytes: int
             for (_, block), said, more, extra in zip(_blocks(batch), batch.column("said"), batch.column("repeated"), batch.column("extra"), strict=True):
                 yield from output(block, _removed(block, _flags(said.as_py(), Presence), _flags(more.as_py(), Contexts)), extra)
 
-    said = _by_source(_answered(store.mapInArrow(given_back(presence), _PACKED), Presence, 0, levels, total, relay_bytes), "said")
+    said = _by_source(_answered(in_batches(store).mapInArrow(given_back(presence), _PACKED), Presence, 0, levels, total, relay_bytes), "said")
     joined = store.join(said, F.col("block") == F.col("of_said"), "left")
-    repeated = _by_source(_answered(joined.mapInArrow(given_back(contexts), _PACKED), Contexts, 0, levels, total, relay_bytes), "repeated")
+    repeated = _by_source(_answered(in_batches(joined).mapInArrow(given_back(contexts), _PACKED), Contexts, 0, levels, total, relay_bytes), "repeated")
     return joined.join(repeated, F.col("block") == F.col("of_repeated"), "left").mapInArrow(given_back(masks), schema)
 
 

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import default_vocabulary, word_tokenizer
-from .common import given_back, slices, text_or_empty
+from .common import given_back, in_batches, slices, text_or_empty
 
 COUNTS = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
@@ -34,4 +34,4 @@ def token_counts(docs: DataFrame, limit: int = 2048, vocabulary: str | None = No
     import pyarrow.compute  # noqa: F401  pa.compute is bound by this import
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(given_back(count), COUNTS)
+    return in_batches(rows).mapInArrow(given_back(count), COUNTS)

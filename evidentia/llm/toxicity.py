@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, given_back, slices, text_or_empty
+from .common import crc_fold, given_back, in_batches, slices, text_or_empty
 
 #: Labelled training texts that are read at most; of more, a part chosen by a hash of doc_id.
 SAMPLE = 20_000
@@ -233,7 +233,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Grammar:
             keys, n = zip(*seen.items(), strict=True)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys], pa.int32()), pa.array(n, pa.int64())], ["word", "toxic", "n"])
 
-    counted = train.mapInArrow(vocabulary, "word string, toxic int, n long").groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("good"))
+    counted = in_batches(train).mapInArrow(vocabulary, "word string, toxic int, n long").groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("good"))
     counted = counted.persist()
     total = counted.where("word = ''").first()
     if total is None or not total.bad:
@@ -251,7 +251,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Grammar:
             found = [grammar.matches(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*[pa.array([m.get(c, 0.0) for m in found], pa.float64()) for c in CONTEXTS], batch.column("toxic")], [*CONTEXTS, "toxic"])
 
-    seen = train.mapInArrow(contexts, ", ".join(f"{c} double" for c in CONTEXTS) + ", toxic int").toPandas()  # bounded by sample
+    seen = in_batches(train).mapInArrow(contexts, ", ".join(f"{c} double" for c in CONTEXTS) + ", toxic int").toPandas()  # bounded by sample
     is_bad = seen["toxic"].to_numpy() == 1
     weight = seen[list(CONTEXTS)].to_numpy()
     grammar.learn(_factors(weight, is_bad))
@@ -300,7 +300,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 
     held = F.coalesce(crc_fold() == 0, F.lit(False)).alias("held_out")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held, text_or_empty().alias("text"))
-    return rows.mapInArrow(given_back(run), "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return in_batches(rows).mapInArrow(given_back(run), "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -312,4 +312,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
             keep = [grammar.score(t or "") < 0.5 for t in batch.column("text").to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(given_back(run), docs.schema)
+    return in_batches(docs).mapInArrow(given_back(run), docs.schema)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, given_back, small, written
+from .common import fresh_path, given_back, in_batches, small, written
 
 #: Payloads shorter than this are stored again rather than referred to.
 LEAST_SHARED = 1000
@@ -150,7 +150,7 @@ def write_archives(pages: DataFrame, folder: str) -> None:
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["archive"])
 
     rows = pages.select("page_id", "url", "html", "warc_date", "refers_to")
-    rows.mapInArrow(given_back(run), "archive string").write.format("noop").mode("overwrite").save()
+    in_batches(rows).mapInArrow(given_back(run), "archive string").write.format("noop").mode("overwrite").save()
 
 
 def captures_of(path: str, archive: bytes) -> list[tuple]:
