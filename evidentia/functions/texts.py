@@ -104,3 +104,8 @@ def language(path: Column) -> Column:
     for name, exts in (("typescript", ("ts", "tsx")), ("javascript", ("js", "jsx")), ("csharp", ("cs",)), ("python", ("py",)), ("go", ("go",)), ("rust", ("rs",)), ("java", ("java",)), ("markdown", ("md",))):
         out = F.when(ext.isin(*exts), name).otherwise(out)
     return out
+
+
+def code_units(text: Column) -> Column:
+    """A sort key that orders strings by UTF-16 code units, which differs from code points beyond U+FFFF."""
+    return F.encode(text, "UTF-16BE")

@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import texts
 
-_DECLARATION = r"(?m)^[ \t]*(?:(?:public|private|protected|internal|static|sealed|abstract|partial|readonly)\s+)*(class|interface|record|struct|enum)\s+([A-Za-z_][A-Za-z0-9_]*)"
 _TS = r"(?m)^[ \t]*export\s+(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?(class|interface|type|enum|function|const|let|var)\s*\*?\s+([A-Za-z_$][A-Za-z0-9_$]*)"
 _IMPORT = r"(?:^|\n)[ \t]*(?:import|export)\s[^;'\"]*?from\s*['\"]([^'\"]+)['\"]|(?:^|\n)[ \t]*import\s*['\"]([^'\"]+)['\"]"
 
 
-def declarations(files: DataFrame, pattern: str = _DECLARATION) -> DataFrame:
+def declarations(files: DataFrame, pattern: str) -> DataFrame:
     """(path, name, kind, namespace, ord): type declarations in order."""
     kinds, names = (F.regexp_extract_all("text", F.lit(pattern), k) for k in (1, 2))
     space = F.regexp_extract("text", r"(?m)^\s*namespace\s+([A-Za-z0-9_.]+)", 1)
@@ -100,3 +99,9 @@ def duplicates(rows: DataFrame, key: str) -> DataFrame:
     """(verdict, keys): how many keys have one row and how many more."""
     n = rows.groupBy(key).agg(F.count("*").alias("n"))
     return n.groupBy(F.when(F.col("n") == 1, "unique").otherwise("ambiguous").alias("verdict")).agg(F.count("*").alias("keys"))
+
+
+def unique_rows(rows: DataFrame, key: list[str]) -> DataFrame:
+    """The rows whose key no other row has; keys are counted first, so a hot key costs one row for each task."""
+    once = rows.groupBy(*key).agg(F.count("*").alias("n")).where("n = 1").select(*key)
+    return rows.join(once, key, "left_semi")

@@ -97,25 +97,37 @@ def reverse_reach(edges: DataFrame, origins: DataFrame, depth: int) -> DataFrame
         frontier, n = counted(step.join(seen, ["origin", "id"], "left_anti"))
         if not n:
             break
-        seen = cut(seen.unionByName(frontier.withColumn("depth", F.lit(level))))
+        seen = seen.unionByName(frontier.withColumn("depth", F.lit(level)))
+        if level % 3 == 0:
+            seen = cut(seen)
     return seen.where("depth > 0")
 
 
+def _ends(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(src, dst, src_file, cost): different edges between nodes, written once; cost 1 between files."""
+    of = nodes.select("id", "file")
+    once = edges.select("src", "dst").where("src <> dst").distinct()
+    ends = once.join(of.toDF("src", "src_file"), "src").join(of.toDF("dst", "dst_file"), "dst")
+    return cut(ends.select("src", "dst", "src_file", (F.col("src_file") != F.col("dst_file")).cast("int").alias("cost")))
+
+
 def distances(nodes: DataFrame, edges: DataFrame, origins: DataFrame, depth: int) -> DataFrame:
     """(origin, id, file, distance): least numbers of file changes on reverse paths from an origin file, up to `depth`.
 
     origins: origin, file; every node of that file starts at 0. A hop within a file costs 0, between files 1. A level first closes
     over hops of cost 0, then takes one of cost 1.
     """
-    of = nodes.select("id", "file")
-    ends = edges.select("src", "dst").where("src <> dst").distinct().join(of.toDF("src", "src_file"), "src").join(of.toDF("dst", "dst_file"), "dst")
-    ends = cut(ends.select("src", "dst", (F.col("src_file") != F.col("dst_file")).cast("int").alias("cost")))
-    frontier, n = counted(origins.join(of, "file").select("origin", "id").distinct())
+    return _distances(nodes, _ends(nodes, edges), origins, depth).join(nodes.select("id", "file"), "id").select("origin", "id", "file", "distance")
+
+
+def _distances(nodes: DataFrame, ends: DataFrame, origins: DataFrame, depth: int) -> DataFrame:
+    frontier, n = counted(origins.join(nodes.select("id", "file"), "file").select("origin", "id").distinct())
     seen = frontier.withColumn("distance", F.lit(0))
+    inner = bool(ends.where("cost = 0").head(1))
     level = 0
     while n:
         fresh = frontier
-        while True:  # hops within files
+        while inner:  # hops within files
             near = ends.where("cost = 0").join(fresh.withColumnRenamed("id", "dst"), "dst").select("origin", F.col("src").alias("id")).distinct()
             fresh, n = counted(near.join(seen, ["origin", "id"], "left_anti"))
             if not n:
@@ -127,8 +139,10 @@ def distances(nodes: DataFrame, edges: DataFrame, origins: DataFrame, depth: int
             break
         far = ends.where("cost = 1").join(frontier.withColumnRenamed("id", "dst"), "dst").select("origin", F.col("src").alias("id")).distinct()
         frontier, n = counted(far.join(seen, ["origin", "id"], "left_anti"))
-        seen = cut(seen.unionByName(frontier.withColumn("distance", F.lit(level))))
-    return seen.join(of, "id").select("origin", "id", "file", "distance")
+        seen = seen.unionByName(frontier.withColumn("distance", F.lit(level)))
+        if level % 3 == 0:  # a union of three levels' files is planned as one scan each
+            seen = cut(seen)
+    return seen
 
 
 def file_impact(nodes: DataFrame, edges: DataFrame, origins: DataFrame, depth: int) -> DataFrame:
@@ -137,14 +151,14 @@ def file_impact(nodes: DataFrame, edges: DataFrame, origins: DataFrame, depth: i
     A witness is an edge whose consumer is at the file's distance and whose dependency is as far as the edge's cost before it. The origin's own file is left
     out; files are those of other nodes reached.
     """
-    seen = cut(distances(nodes, edges, origins, depth))
-    best = seen.groupBy("origin", "file").agg(F.min("distance").alias("distance"))
-    left = seen.select("origin", F.col("id").alias("src"), F.col("file"), F.col("distance").alias("at"))
-    right = seen.select("origin", F.col("id").alias("dst"), F.col("file").alias("dst_file"), F.col("distance").alias("before"))
-    shown = edges.select("src", "dst").where("src <> dst").distinct().join(left, "src").join(right, ["origin", "dst"])
-    shown = shown.where(F.col("at") == F.col("before") + (F.col("file") != F.col("dst_file")).cast("int"))
-    shown = shown.join(best, ["origin", "file"]).where("at = distance and file <> origin")
-    return shown.groupBy("origin", "file", "distance").agg(F.min(F.struct("src", "dst")).alias("w")).select("origin", "file", "distance", F.col("w.src").alias("witness_src"), F.col("w.dst").alias("witness_dst"))
+    ends = _ends(nodes, edges)
+    seen = cut(_distances(nodes, ends, origins, depth))
+    left = seen.select("origin", F.col("id").alias("src"), F.col("distance").alias("at"))
+    right = seen.select("origin", F.col("id").alias("dst"), F.col("distance").alias("before"))
+    shown = ends.join(left, "src").join(right, ["origin", "dst"]).where("at = before + cost and src_file <> origin")
+    # every node that is reached over an edge has such a witness, so a file's least distance is that of its witnesses
+    best = shown.groupBy("origin", F.col("src_file").alias("file")).agg(F.min(F.struct(F.col("at").alias("distance"), "src", "dst")).alias("w"))
+    return best.select("origin", "file", "w.distance", F.col("w.src").alias("witness_src"), F.col("w.dst").alias("witness_dst"))
 
 
 def merge_origins(impact: DataFrame, keep: int = 8) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -54,10 +58,32 @@ def task_marks(tasks: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def hash_chain(rows: DataFrame, key: str, order: str, parts: list[str]) -> DataFrame:
-    """(key, steps, chain): sha256 folded over a key's rows in order, each step over the digest before and the row's parts."""
-    step = F.struct(F.col(order).alias("o"), F.concat_ws("\x1f", *parts).alias("v"))
-    folded = F.aggregate(F.array_sort(F.collect_list(step)), F.lit(""), lambda acc, x: F.sha2(F.concat(acc, x["v"]), 256))
-    return rows.groupBy(key).agg(F.count("*").alias("steps"), folded.alias("chain"))
+    """(key, steps, chain): sha256 folded over a key's rows in order, each step over the digest before and the row's parts.
+
+    Rows come sorted by key and order, and a task folds them as they pass, so a key's history is never held.
+    """
+    kind = rows.schema[key].dataType.simpleString()
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, steps, chain = None, 0, ""
+        for batch in batches:
+            done = []
+            for k, value in zip(batch.column("k").to_pylist(), batch.column("v").to_pylist(), strict=True):
+                if steps and k != now:
+                    done.append((now, steps, chain))
+                    steps, chain = 0, ""
+                now, steps, chain = k, steps + 1, hashlib.sha256((chain + value).encode("utf-8", "surrogatepass")).hexdigest()
+            if done:
+                yield table(done, batch.schema.field("k").type)
+            last = batch.schema.field("k").type
+        if steps:
+            yield table([(now, steps, chain)], last)
+
+    def table(done: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), (kind, pa.int64(), pa.string()), strict=True)], [key, "steps", "chain"])
+
+    line = rows.select(F.col(key).alias("k"), F.col(order).alias("o"), F.concat_ws("\x1f", *parts).alias("v"))
+    return line.repartition("k").sortWithinPartitions("k", "o", "v").drop("o").mapInArrow(fold, f"`{key}` {kind}, steps long, chain string")
 
 
 def sample_report(samples: DataFrame, key: str, at: str, value: str, restart: str) -> DataFrame:
@@ -86,3 +112,33 @@ def merge_observations(old: DataFrame, new: DataFrame) -> DataFrame:
         .otherwise("divergent_task_history")
     )
     return rows.select("task", "watermark", action.alias("action"))
+
+
+def recent_changes(entries: DataFrame, key: str, order: str, value: str, commits: int = 64, most: int = 16) -> DataFrame:
+    """The last `most` changes among the last `commits` entries of each key, as changes() tells them."""
+    back = F.row_number().over(W.partitionBy(key).orderBy(F.desc(order)))
+    found = changes(entries.withColumn("back", back).where(F.col("back") <= commits).drop("back"), key, [order], value)
+    return found.withColumn("nth", F.row_number().over(W.partitionBy(key).orderBy(F.desc(order)))).where(F.col("nth") <= most).drop("nth")
+
+
+def page(rows: DataFrame, order: list[str], limit: int) -> DataFrame:
+    """The first `limit` rows of an order, and in `truncated` whether there is one more."""
+    head = rows.orderBy(*order).limit(limit + 1)
+    n = F.row_number().over(W.orderBy(*order))
+    return head.withColumns({"n": n, "all": F.count("*").over(W.partitionBy())}).where(F.col("n") <= limit).withColumn("truncated", F.col("all") > limit).drop("n", "all")
+
+
+def soak_report(samples: DataFrame, key: str, slack: float = 2.0) -> DataFrame:
+    """Per key of samples (at in seconds, live, ready, uptime, rss): failures, restarts, longest gap, peak, and whether it passed.
+
+    A restart is a start (at less uptime) more than `slack` seconds after the one before it; samples without an uptime tell none.
+    """
+    w = W.partitionBy(key).orderBy("at")
+    began = F.when(F.col("uptime") >= 0, F.col("at") - F.col("uptime"))
+    rows = samples.withColumn("began", began).withColumns({"gap": F.col("at") - F.lag("at").over(w), "earlier": F.last("began", True).over(w.rowsBetween(W.unboundedPreceding, -1))})
+    restart = F.coalesce(F.col("began") > F.col("earlier") + slack, F.lit(False))
+    agg = rows.groupBy(key).agg(
+        F.count("*").alias("samples"), F.count_if(~F.col("live")).alias("liveness_failures"), F.count_if(~F.col("ready")).alias("readiness_failures"), F.count_if(restart).alias("restarts"),
+        F.round(F.max("gap"), 2).alias("longest_gap"), F.max("rss").alias("peak"),
+    )
+    return agg.withColumn("status", F.when(F.col("liveness_failures") + F.col("readiness_failures") + F.col("restarts") > 0, "failed").otherwise("passed"))

@@ -61,6 +61,14 @@ def diff_audit(changed: DataFrame, writable: DataFrame) -> DataFrame:
     return changed.select("path").distinct().join(ok, "path", "left").select("path", F.when(F.col("ok"), "in_write").otherwise("outside_write").alias("verdict"))
 
 
+def audit_receipt(audit: DataFrame) -> DataFrame:
+    """(paths, outside, receipt): an audit's counts and a digest of its sorted rows, over 256 leaves by the hash of the path."""
+    path = F.col("path").cast("string")
+    leaves = audit.groupBy(F.substring(F.sha2(path, 256), 1, 2).alias("leaf")).agg(F.count("*").alias("n"), F.count_if(F.col("verdict") == "outside_write").alias("o"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", path, "verdict"))), "\n"), 256).alias("d"))
+    root = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("leaf", "d"))), lambda x: x["d"]), "\n")
+    return leaves.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("paths"), F.coalesce(F.sum("o"), F.lit(0)).alias("outside"), F.concat(F.lit("audit_"), F.sha2(root, 256)).alias("receipt"))
+
+
 def tree_match(tree: DataFrame, live: DataFrame, snapshot: DataFrame) -> DataFrame:
     """(state, paths): paths by whether the tree, the live files and the snapshot (path, hash) agree; one aggregation over their union."""
     rows = None

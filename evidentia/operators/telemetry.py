@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..schemas import LOG, LOG_KEYS
 
@@ -37,11 +38,15 @@ def inspect(lines: DataFrame) -> DataFrame:
 
 
 def log_groups(records: DataFrame, sample: int = 5) -> DataFrame:
-    """Per profile and sha: records, distinct runs, true flags, path entries, and the first run ids."""
-    return records.groupBy("profile", "sha").agg(
-        F.count("*").alias("records"), F.countDistinct("runId").alias("distinct_runs"), F.count_if("nexusTools").alias("true_records"),
-        F.sum(F.size("writePaths")).alias("write_entries"), F.sum(F.size("watchPaths")).alias("watch_entries"),
-        F.array_join(F.slice(F.array_sort(F.collect_set("runId")), 1, sample), ";").alias("run_ids_sample"),
+    """Per profile and sha: records, distinct runs, true flags, path entries, and the first run ids.
+
+    Runs are made one row each first; then only the first few ids of a group are ever gathered.
+    """
+    runs = records.groupBy("profile", "sha", "runId").agg(F.count("*").alias("records"), F.count_if("nexusTools").alias("true_records"), F.sum(F.size("writePaths")).alias("write_entries"), F.sum(F.size("watchPaths")).alias("watch_entries"))
+    ranked = runs.withColumn("nth", F.row_number().over(W.partitionBy("profile", "sha").orderBy(F.asc_nulls_last("runId"))))
+    return ranked.groupBy("profile", "sha").agg(
+        F.sum("records").alias("records"), F.count("runId").alias("distinct_runs"), F.sum("true_records").alias("true_records"), F.sum("write_entries").alias("write_entries"), F.sum("watch_entries").alias("watch_entries"),
+        F.array_join(F.array_sort(F.collect_list(F.when(F.col("nth") <= sample, F.col("runId")))), ";").alias("run_ids_sample"),
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Callable
 
@@ -17,7 +18,9 @@ class BadRequest(ValueError):
 
 
 def relative_path(value: object) -> str:
-    """A canonical relative path, or BadRequest."""
+    """A canonical relative path, or BadRequest. Backslashes are taken for slashes, blanks around it and a last slash go."""
+    if isinstance(value, str) and not value.strip().startswith(("/", "\\")):
+        value = re.sub("/+$", "", value.strip().replace("\\", "/"))
     if not isinstance(value, str) or not 0 < len(value) <= 1024 or re.search(r"[\x00-\x1f\x7f\\]|^[A-Za-z]:", value) or any(p in ("", ".", "..") for p in value.split("/")):
         raise BadRequest("invalid_path")
     return value
@@ -31,6 +34,41 @@ def bounded(value: object, low: int, high: int, default: int) -> int:
     return value
 
 
+def clamped(value: object, default: int, low: int, high: int) -> int:
+    """A number cut to its bounds, its fraction dropped; the default for what is no finite number."""
+    try:
+        number = float(value)  # type: ignore[arg-type]
+    except (TypeError, ValueError):
+        return default
+    return max(low, min(high, math.floor(number))) if math.isfinite(number) else default
+
+
+def parsed_limit(value: object, default: int, low: int, high: int) -> int:
+    """As clamped(), with the default for anything under 1."""
+    try:
+        return clamped(value, default, low, high) if float(value) >= 1 else default  # type: ignore[arg-type]
+    except (TypeError, ValueError):
+        return default
+
+
+def context_request(raw: dict) -> dict:
+    """Closed request of a context pack: projectId, a task with title, description, up to 32 paths and 8 symbols, and section limits of 0 to 250."""
+    if not isinstance(raw, dict) or set(raw) - {"projectId", "task", "limits"}:
+        raise BadRequest("unknown_field")
+    task = raw.get("task")
+    if not isinstance(raw.get("projectId"), str) or not raw["projectId"].strip() or not isinstance(task, dict) or set(task) - {"title", "description", "paths", "symbols"}:
+        raise BadRequest("invalid_task")
+    lists = {k: task.get(k, []) for k in ("paths", "symbols")}
+    if any(not isinstance(v, list) or len(v) > n or len(set(map(str, v))) != len(v) for v, n in zip(lists.values(), (32, 8), strict=True)) or not all(isinstance(s, str) and 0 < len(s) <= 128 for s in lists["symbols"]):
+        raise BadRequest("invalid_task")
+    if not isinstance(task.get("title", ""), str) or not isinstance(task.get("description", ""), str):
+        raise BadRequest("invalid_task")
+    limits = raw.get("limits", {})
+    if not isinstance(limits, dict):
+        raise BadRequest("invalid_limit")
+    return {"projectId": raw["projectId"].strip(), "task": {"title": task.get("title", ""), "description": task.get("description", ""), "paths": sorted(map(relative_path, lists["paths"])), "symbols": sorted(lists["symbols"])}, "limits": {k: bounded(v, 0, 250, 0) for k, v in limits.items()}}
+
+
 def impact_request(raw: dict) -> dict:
     """Closed request of an impact query: projectId, up to 32 different targets, depth 1 to 5, limit 1 to 250."""
     if not isinstance(raw, dict) or set(raw) - {"projectId", "targets", "depth", "limit"}:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import os
 import uuid
 
 from pyspark.sql import DataFrame
@@ -17,6 +19,16 @@ def publish(df: DataFrame, folder: str) -> str:
     return path
 
 
+def replace_json(path: str, value: object) -> None:
+    """Write a small JSON file on the driver's side by a rename, so readers see the old or the new one, whole."""
+    part = f"{path}.{uuid.uuid4().hex}.part"
+    with open(part, "x", encoding="utf-8") as f:
+        json.dump(value, f, sort_keys=True, ensure_ascii=False)
+        f.flush()
+        os.fsync(f.fileno())
+    os.replace(part, path)
+
+
 def append_capture(records: DataFrame, folder: str) -> DataFrame:
     """Append capture records as JSON lines, with exactly the six keys, and return counts."""
     rows = records.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in LOG])

@@ -75,7 +75,12 @@ def synchronise(stream: DataFrame, folder: str, checkpoint: str) -> tuple[DataFr
     spark = stream.sparkSession
     schema = {"heads": "task long, watermark long, rows_hash string", "pending": "task long, reason string"}
     load: Callable = lambda name, n: spark.createDataFrame([], schema[name]) if n < 0 else spark.read.schema(schema[name]).parquet(f"{folder}/{name}/{n}")
-    last = {"n": -1}
+
+    def complete() -> int:
+        """The last version of which both tables are whole; -1 without any. An idle run, too, starts from it."""
+        fs = spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+        found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/pending/*/_SUCCESS")) or []
+        return max((int(f.getPath().getParent().getName()) for f in found), default=-1)
 
     def write(batch: DataFrame, n: int) -> None:
         batch = batch.persist()
@@ -83,11 +88,10 @@ def synchronise(stream: DataFrame, folder: str, checkpoint: str) -> tuple[DataFr
         heads.write.mode("overwrite").parquet(f"{folder}/heads/{n}")
         bad.unionByName(load("pending", n - 1)).distinct().write.mode("overwrite").parquet(f"{folder}/pending/{n}")
         batch.unpersist()
-        last["n"] = n
 
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    n = last["n"]
+    n = complete()
     pending = load("pending", n)
     return load("heads", n).join(pending.select("task").distinct(), "task", "left_anti"), pending
 

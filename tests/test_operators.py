@@ -1,5 +1,6 @@
 """Operators on tiny hand-made inputs."""
 
+import hashlib
 import json
 import random
 import sqlite3
@@ -199,3 +200,59 @@ def test_provider_choice():
 @pytest.mark.parametrize("name", ["impact_files_deep", "impact_multi_origin_deep"])
 def test_registered_impact_goes_beyond_one_level(spark, name):
     assert {r.distance for r in catalog.queries()[name](spark, "/root/testdata/sf0.01").collect()} == {1, 2}
+
+
+def test_requests_and_limits(tmp_path):
+    assert envelope.relative_path(" a\\b/ ") == "a/b"
+    for bad in ("../a", "/a", "C:/a", "a//b", "", ".", 1):
+        with pytest.raises(envelope.BadRequest):
+            envelope.relative_path(bad)
+    assert [envelope.clamped(v, 7, 1, 9) for v in (0, 3.9, 99, "x", None, float("nan"))] == [1, 3, 9, 7, 7, 7]
+    assert [envelope.parsed_limit(v, 7, 2, 9) for v in (0, 1, "4", 99)] == [7, 2, 4, 9]
+    want = {"projectId": "p", "task": {"title": "t", "description": "", "paths": ["a", "b"], "symbols": ["S"]}, "limits": {"files": 3}}
+    assert envelope.context_request({"projectId": " p ", "task": {"title": "t", "paths": ["b", "a"], "symbols": ["S"]}, "limits": {"files": 3}}) == want
+    for bad in ({}, {"projectId": "p"}, {"projectId": "p", "task": {"paths": ["a", "a"]}}, {"projectId": "p", "task": {}, "limits": {"files": 999}}, {"projectId": "p", "task": {}, "x": 1}):
+        with pytest.raises(envelope.BadRequest):
+            envelope.context_request(bad)
+    for n in (1, 2):
+        sinks.replace_json(f"{tmp_path}/state.json", {"n": n})
+    assert json.loads((tmp_path / "state.json").read_text()) == {"n": 2} and len(list(tmp_path.iterdir())) == 1
+
+
+def test_registered_analyzers_and_questions(spark):
+    envelope.register_analyzer("test-only", lambda files: (files, files))
+    with pytest.raises(envelope.BadRequest):
+        envelope.register_analyzer("test-only", lambda files: (files, files))
+    files = spark.createDataFrame([("src/a.ts",), ("tests/a.test.ts",)], "path string")
+    assert [tuple(r) for r in envelope.ask("tests", files).collect()] == [("src/a.ts", "tests/a.test.ts")]
+    with pytest.raises(envelope.BadRequest):
+        envelope.ask("weather", files)
+
+
+def test_published_tables_and_pinned_files(spark, tmp_path):
+    first = sinks.publish(spark.range(3).toDF("id"), f"file://{tmp_path}/t")
+    sinks.publish(spark.range(5).toDF("id"), f"file://{tmp_path}/t")
+    assert spark.read.parquet(first).count() == 3
+    (tmp_path / "f.bin").write_bytes(b"body")
+    rows = spark.read.format("binaryFile").load(f"file://{tmp_path}/f.bin")
+    sha = sinks.manifest(rows).first().sha256
+    assert readers.pinned(spark, f"file://{tmp_path}/f.bin", sha).count() == 1 and readers.pinned(spark, f"file://{tmp_path}/f.bin", "0" * 64).count() == 0
+
+
+def test_idle_restart_keeps_the_state(spark, tmp_path):
+    source = f"file://{tmp_path}/in"
+    spark.createDataFrame([(1, 1, "a"), (2, 1, "b")], "task long, watermark long, rows_hash string").write.parquet(source)
+    stream = lambda: spark.readStream.schema("task long, watermark long, rows_hash string").parquet(source)
+    for _ in range(2):
+        heads, pending = usage.synchronise(stream(), f"file://{tmp_path}/out", f"file://{tmp_path}/check")
+        assert heads.count() == 2 and pending.count() == 0
+
+
+def test_hash_chain_folds_in_order(spark):
+    rows = [(k, n, f"v{n}") for k in ("a", "b") for n in range(40)]
+    random.Random(2).shuffle(rows)
+    got = {r.k: (r.steps, r.chain) for r in history.hash_chain(spark.createDataFrame(rows, "k string, n long, v string").repartition(5), "k", "n", ["v"]).collect()}
+    chain = ""
+    for n in range(40):
+        chain = hashlib.sha256((chain + f"v{n}").encode()).hexdigest()
+    assert got == {"a": (40, chain), "b": (40, chain)}
