@@ -72,13 +72,14 @@ def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
 def bucketed(df: DataFrame, key: str, name: str, n_bytes: int) -> DataFrame:
     """df written into the shared folder in buckets of key, so that joins on key don't shuffle it; its files are not compressed again.
 
-    A bucket is one task, so there are as many as give about BUCKET_BYTES of the n_bytes that df stands for to each.
+    A bucket is one task, so there are as many as give about BUCKET_BYTES of the n_bytes that df stands for to each, and no fewer than shuffle partitions, as Spark
+    would shuffle the table again to have that many.
     Spark keeps buckets of catalog tables only; the entry goes at once, the files and the plan that reads them stay.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
     entry = f"evidentia_{path.rpartition('-')[2]}"
-    buckets = min(MOST_BUCKETS, max(n_bytes // BUCKET_BYTES, 4 * spark.sparkContext.defaultParallelism))
+    buckets = min(MOST_BUCKETS, max(n_bytes // BUCKET_BYTES, int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
     df.write.option("path", path).option("compression", "uncompressed").bucketBy(buckets, key).format("parquet").saveAsTable(entry)
     found = spark.table(entry)
     found.schema  # analyzed now
