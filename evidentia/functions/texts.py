@@ -13,7 +13,7 @@ IGNORED_WORDS = "public private protected internal class interface record struct
 # Fixed values of the path policy: folders that are never scanned, and names that may hold secrets.
 IGNORED_FOLDERS = ".git .vs .vscode node_modules bin obj dist build coverage .next".split()
 SECRET_NAME = r"^(?:\.env(?:\..*)?|\.ssh|\.aws|\.azure|\.npmrc|\.pypirc|credentials?(?:\..*)?|secrets?(?:\..*)?|service[-_]account(?:\..*)?|id_rsa|id_ed25519)$"
-# Fixed patterns of the redaction rule.
+# Fixed patterns of the redaction rule. Word boundaries are spelt out: the JDK's \b takes letters beyond ASCII for word characters.
 SECRETS = (
     r"-----BEGIN [^-]*PRIVATE KEY-----[\s\S]*?(?:-----END [^-]*PRIVATE KEY-----|\z)",
     r"(?<![A-Za-z0-9_])(?:sk-[A-Za-z0-9_-]{16,}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,})(?![A-Za-z0-9_])",
@@ -71,30 +71,41 @@ def title(text: Column, path: Column) -> Column:
     return F.when(head != "", head).otherwise(shown)
 
 
+# Fixed values of the layer rule: parts of a project's name and the layer that they stand for, the first that fits.
+LAYERS = (("API", "api|webapi|web"), ("Application", "application"), ("Domain", "domain"), ("Infrastructure", "infrastructure"), ("Tests", "test|tests"))
+# Fixed values of the category rule: how a name ends, what a namespace or project holds, or the kind, in the order in which they are tried.
+CATEGORIES = (
+    ("controller", {"name": ("Controller",), "namespace": (".Controllers",)}),
+    ("interface", {"kind": ("interface",)}),
+    ("enum", {"kind": ("enum",)}),
+    ("service", {"name": ("Service", "Handler", "Validator"), "namespace": (".Services", ".Handlers", ".Validators")}),
+    ("repository", {"name": ("Repository",), "namespace": (".Repositories",)}),
+    ("database", {"name": ("DbContext",), "namespace": (".Persistence", ".Database")}),
+    ("contract", {"name": ("Dto", "Request", "Response"), "namespace": (".Contracts", ".Dtos")}),
+    ("domain", {"namespace": (".Entities", ".Domain"), "project": ("Domain",)}),
+    ("infrastructure", {"namespace": (".Infrastructure",), "project": ("Infrastructure",)}),
+    ("middleware", {"name": ("Middleware",), "namespace": (".Middleware",)}),
+    ("extension", {"name": ("Extensions",), "namespace": (".Extensions",)}),
+    ("application", {"project": ("Application",)}),
+    ("api", {"project": ("API", "Api")}),
+)
+
+
 def layer(project: Column) -> Column:
     """Layer of a project's name."""
-    low, part = F.lower(project), "(^|[._-])({})([._-]|$)"
-    out = F.when(low.rlike(part.format("api|webapi|web")), "API")
-    for names, value in (("application", "Application"), ("domain", "Domain"), ("infrastructure", "Infrastructure"), ("test|tests", "Tests")):
-        out = out.when(low.rlike(part.format(names)), value)
-    return out.otherwise("Other")
+    out = F.lit("Other")
+    for value, names in reversed(LAYERS):
+        out = F.when(F.lower(project).rlike(f"(^|[._-])({names})([._-]|$)"), value).otherwise(out)
+    return out
 
 
 def category(name: Column, namespace: Column, kind: Column, project: Column) -> Column:
     """Category of a symbol: the first rule that fits."""
-    ends = lambda *xs: reduce(or_, [name.endswith(x) for x in xs])
-    has = lambda *xs: reduce(or_, [namespace.contains(x) for x in xs])
-    return (
-        F.when(ends("Controller") | has(".Controllers"), "controller").when(kind == "interface", "interface").when(kind == "enum", "enum")
-        .when(ends("Service", "Handler", "Validator") | has(".Services", ".Handlers", ".Validators"), "service")
-        .when(ends("Repository") | has(".Repositories"), "repository")
-        .when(ends("DbContext") | has(".Persistence", ".Database"), "database")
-        .when(ends("Dto", "Request", "Response") | has(".Contracts", ".Dtos"), "contract")
-        .when(has(".Entities", ".Domain") | project.contains("Domain"), "domain")
-        .when(has(".Infrastructure") | project.contains("Infrastructure"), "infrastructure")
-        .when(has(".Middleware") | ends("Middleware"), "middleware").when(has(".Extensions") | ends("Extensions"), "extension")
-        .when(project.contains("Application"), "application").when(project.contains("API") | project.contains("Api"), "api").otherwise("unknown")
-    )
+    test = {"name": lambda x: name.endswith(x), "namespace": lambda x: namespace.contains(x), "kind": lambda x: kind == x, "project": lambda x: project.contains(x)}
+    out = F.lit("unknown")
+    for value, rule in reversed(CATEGORIES):
+        out = F.when(reduce(or_, [test[where](x) for where, xs in rule.items() for x in xs]), value).otherwise(out)
+    return out
 
 
 def language(path: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+# Fixed values of the scope rules: gates, the paths that are tests, and the extensions that are code.
 #: Reasons for which an intersection is not evaluated, in order of priority.
 GATES = ("input_not_evaluated", "input_rejected", "input_incomplete", "identity_mismatch", "revision_mismatch")
 _TEST = r"(?i)(?:^|/)(?:__tests__|tests?|specs?)(?:/|$)|\.(?:test|spec)\.|Tests?\.cs$|(?:^|/)test_|_test\.go$"

@@ -72,7 +72,7 @@ HEADS = "{0} as (select l_orderkey as task, max(l_linenumber)::bigint as waterma
 
 
 @query(f"""with {HEADS.format("o", "where l_linestatus = 'F'")}, {HEADS.format("n", "where l_returnflag <> 'N'")}
-select task, n.watermark, case when o.watermark is null then 'imported' when n.watermark < o.watermark then 'older_snapshot' when n.watermark > o.watermark then 'imported' when n.rows_hash = o.rows_hash then 'already_imported' else 'divergent_task_history' end as action from n left join o using (task)""")
+select task, n.watermark, case when o.watermark is null then 'imported' when n.watermark < o.watermark then 'older_snapshot' when task % 11 = 0 then 'divergent_task_history' when n.watermark > o.watermark then 'imported' when n.rows_hash = o.rows_hash then 'already_imported' else 'divergent_task_history' end as action from n left join o using (task)""")
 def watermark_merge(spark, d):
     def heads(where: str):
         g = lens.table(spark, d, "lineitem").where(where).groupBy(F.col("l_orderkey").alias("task"))
@@ -80,5 +80,5 @@ def watermark_merge(spark, d):
 
     new = heads("l_returnflag <> 'N'")
     marks = F.sequence(F.lit(1).cast("long"), F.col("watermark"))
-    new = new.withColumn("prefixes", F.map_from_arrays(marks, F.transform(marks, lambda n: F.concat(F.lit("p"), n.cast("string")))))
+    new = new.withColumn("prefixes", F.map_from_arrays(marks, F.transform(marks, lambda n: F.concat(F.when(F.col("task") % 11 == 0, "x").otherwise("p"), n.cast("string")))))
     return history.merge_observations(heads("l_linestatus = 'F'"), new)

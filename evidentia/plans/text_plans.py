@@ -69,7 +69,7 @@ def paths_allowed(spark, d):
     return lens.table(spark, d, "pages").select("url", texts.path_allowed(F.regexp_replace("url", "^[a-z]+://", "")).alias("allowed"))
 
 
-@query("select case n when 1 then 'unique' else 'ambiguous' end as verdict, n as matches from (select count(*) as n from part where p_name = 'red widget')")
+@query("select case when n > 40 then 'partial' when n = 0 then 'not_found' when n = 1 then 'unique' else 'ambiguous' end as verdict, n as matches from (select count(*) as n from part where p_name = 'red widget')")
 def decl_census(spark, d):
     declared = lens.table(spark, d, "part").select(F.col("p_name").alias("name"))
-    return extract.census(declared, "red widget", 1 << 40).select("verdict", "matches")
+    return extract.census(declared, "red widget", 40)

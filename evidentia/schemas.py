@@ -13,11 +13,5 @@ LOG_KEYS = ("runId", "profile", "sha", "nexusTools", "writePaths", "watchPaths")
 _PATHS = T.ArrayType(T.StringType())
 LOG = T.StructType().add("runId", "string").add("profile", "string").add("sha", "string").add("nexusTools", "boolean").add("writePaths", _PATHS).add("watchPaths", _PATHS)
 COUNTERS = ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", "reasoning_tokens", "api_call_count")
-SESSIONS = T.StructType().add("id", "string")
-for _name in COUNTERS:
-    SESSIONS = SESSIONS.add(_name, "long")
-TASKS = "id string, project_id string, status string, session_id string, completion_contract string"
-TASK_RUNS = "id long, task_id string, status string, outcome string, started_at long, ended_at long"
-TASK_EVENTS = "id long, task_id string, run_id long, kind string, payload string, created_at long"
 #: Three-valued evidence: an empty result and one that was not evaluated differ.
 STATUS = "status string, finding_state string, reasons array<string>"
