@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
@@ -71,3 +72,16 @@ def _judge(check):
 
 #: Makers of column functions of a path, for a bounded list of excluded paths or boundaries.
 protected_in, crossing = _judge(protected), _judge(crosses)
+
+
+def folding_table(spark: SparkSession) -> DataFrame:
+    """(code_point, folded, simple) of all characters whose caseless key differs from themselves, from Python's Unicode tables; the version is unicodedata.unidata_version."""
+    points = spark.range(0x110000).where("id < 55296 or id > 57343").select(F.col("id").cast("int").alias("code_point"))
+
+    def folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = pd.DataFrame({"code_point": batch["code_point"], "char": batch["code_point"].map(chr)})
+            made["folded"], made["simple"] = made["char"].map(name_key), made["char"].map(simple_key)
+            yield made[(made["folded"] != made["char"]) | (made["simple"] != made["char"])][["code_point", "folded", "simple"]]
+
+    return points.mapInPandas(folded, "code_point int, folded string, simple string")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import codes
 from . import extract
 from .durable import counted, cut
 
@@ -25,6 +26,30 @@ def _named(braces: Column) -> Column:
     return F.transform(items, lambda x: F.struct(part(x, 1).alias("name"), F.coalesce(part(x, 2), part(x, 1)).alias("alias")))
 
 
+_DECLARED = r"(?:^|[\n;])[ \t]*(export\s+)?(default\s+)?(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?(class|interface|type|enum|function|const|let|var)\s*\*?\s+([A-Za-z_$][\w$]*)"
+_HOOK = "^use[A-Z0-9_]"
+
+
+def symbols(files: DataFrame) -> DataFrame:
+    """(path, name, kind, category, layer, feature, exported, is_default): top-level declarations of TypeScript and JavaScript files (path, text), one row for each file and name.
+
+    Variables count only if their name is that of a component, hook or provider. Hooks and components are kinds of their own.
+    """
+    found = files.where(F.col("path").rlike(_CODE)).select("path", F.posexplode(_all(_DECLARED, {"exported": 1, "default": 2, "word": 3, "name": 4})).alias("ord", "d"))
+    rows = found.select("path", "ord", "d.word", "d.name", (F.col("d.exported") != "").alias("exported"), (F.col("d.default") != "").alias("is_default"))
+    name, variable = F.col("name"), F.col("word").isin("const", "let", "var")
+    rows = rows.where(~variable | name.rlike("^[A-Z][A-Za-z0-9_]*$") | name.rlike(_HOOK) | name.endswith("Provider"))
+    first = rows.groupBy("path", "name").agg(F.min(F.struct("ord", "word", "exported", "is_default")).alias("f"))
+    rows = first.select("path", "name", "f.word", "f.exported", "f.is_default")
+    callable_ = F.col("word").isin("function", "const", "let", "var")
+    kind = F.when(callable_ & name.rlike(_HOOK), "hook").when(callable_ & name.rlike("^[A-Z]"), "component").when(callable_, "function").otherwise(F.col("word"))
+    category = F.when(name.rlike(_HOOK), "hook")
+    for ending in ("Provider", "Context", "Service"):
+        category = category.when(name.endswith(ending), ending.lower())
+    category = category.when(name.rlike("^[A-Z]") | name.endswith("Component"), "component").otherwise("symbol")
+    return rows.select("path", "name", kind.alias("kind"), category.alias("category"), codes.folder_layer(F.col("path")).alias("layer"), codes.folder_feature(F.col("path")).alias("feature"), "exported", "is_default")
+
+
 def import_bindings(files: DataFrame) -> DataFrame:
     """(path, specifier, name, alias): names that a file (path, text) imports; a default import has the name default."""
     rows = files.where(F.col("path").rlike(_CODE)).select("path", F.explode(_all(_IMPORT, {"d": 1, "b": 2, "specifier": 3})).alias("m"))

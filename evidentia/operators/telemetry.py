@@ -107,3 +107,13 @@ def counter_delta(sessions: DataFrame, first: str, second: str, counters: tuple[
     two = sessions.where(F.col("id").isin(first, second))
     of = lambda c, s: F.max(F.when(F.col("id") == s, F.col(c)))
     return two.agg(*[(of(c, second) - of(c, first)).alias(c) for c in counters]).unpivot([], list(counters), "counter", "delta")
+
+
+def text_report(totals: dict, problems: list[dict], groups: list[dict], most: int = 20) -> str:
+    """A capture's inspection as lines of text, control characters escaped; problems and groups up to `most`."""
+    shown = lambda v: "".join(f"\\x{ord(c):02x}" if ord(c) < 32 or ord(c) == 127 else c for c in str("" if v is None else v))
+    lines = [f"{k}: {shown(totals[k])}" for k in sorted(totals)]
+    for name, rows in (("invalid_records", problems), ("groups", groups)):
+        if rows:
+            lines += [f"{name} ({min(len(rows), most)} of {len(rows)}):", *["  " + " ".join(f"{k}={shown(v)}" for k, v in row.items()) for row in rows[:most]]]
+    return "\n".join(lines) + "\n"

@@ -137,6 +137,15 @@ def create_verdict(verdicts: DataFrame) -> DataFrame:
     return verdicts.groupBy("task").agg(code.alias("code"))
 
 
+def operation_verdict(moves: DataFrame, tree: DataFrame, absences: DataFrame) -> DataFrame:
+    """(path, moved, verdict) of files to be moved (path, moved): the source must be in the tree (path), no two go to one place, and the destination must be absent (path, verdict)."""
+    known = tree.select("path", F.lit(True).alias("there")).distinct()
+    n = moves.groupBy("moved").agg(F.count("*").alias("n"))
+    rows = moves.join(known, "path", "left").join(n, "moved").join(absences.select(F.col("path").alias("moved"), "verdict"), "moved", "left")
+    verdict = first_of([("source_missing", F.col("there").isNull()), ("destination_shared", F.col("n") > 1), ("destination_not_observed", F.col("verdict").isNull()), ("destination_exists", F.col("verdict") == "exists"), ("not_proven", F.col("verdict") != "absent")], "ready")
+    return rows.select("path", "moved", verdict.alias("verdict"))
+
+
 # Scopes
 
 

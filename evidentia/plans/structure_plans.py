@@ -180,3 +180,14 @@ def folder_names(spark, d):
     c = F.col
     path = F.element_at(F.array(F.concat(F.lit("src/"), c("p_type"), F.lit("/components/"), c("p_name"), F.lit(".tsx")), F.concat(F.lit("app/hooks/"), c("p_type"), F.lit(".ts")), F.concat(F.lit("lib/"), c("p_name"), F.lit(".ts")), F.concat(c("p_brand"), F.lit("/services/x.ts")), F.lit("src/x.ts")), (c("p_size") % 5 + 1).cast("int"))
     return lens.table(spark, d, "part").select(path.alias("path")).distinct().select("path", codes.folder_layer(c("path")).alias("layer"), codes.folder_feature(c("path")).alias("feature"))
+
+
+@query("""with k as (select p_partkey as k, p_size % 6 as m, lower(p_type) as t from part)
+select 'src/' || t || '/hooks/m' || k || '.tsx' as path, ['use' || k, 'Part' || k || 'Provider', 'Part' || k, 'part' || k, 'PartService', 'PartContext'][(m + 1)::int] as name, ['hook', 'component', 'class', 'function', 'interface', 'component'][(m + 1)::int] as kind,
+['hook', 'provider', 'component', 'symbol', 'service', 'context'][(m + 1)::int] as category, 'logic' as layer, t as feature, m <> 3 as exported, m = 2 as is_default from k""")
+def module_symbols(spark, d):
+    k, m = F.col("p_partkey").cast("string"), F.col("p_size") % 6
+    texts = [F.concat(F.lit("export function use"), k, F.lit("() {}")), F.concat(F.lit("export const Part"), k, F.lit("Provider = 1; const x = 2;")), F.concat(F.lit("import a from 'b'\nexport default abstract class Part"), k, F.lit(" {}")),
+             F.concat(F.lit("async function part"), k, F.lit("() {}\nlet y = 1")), F.lit("export interface PartService {}"), F.lit("export let PartContext = 0\nexport const PartContext = 1")]
+    path = F.concat(F.lit("src/"), F.lower("p_type"), F.lit("/hooks/m"), k, F.lit(".tsx"))
+    return modules.symbols(lens.table(spark, d, "part").select(path.alias("path"), F.element_at(F.array(*texts), (m + 1).cast("int")).alias("text")))

@@ -110,6 +110,17 @@ def create_verdict(spark, d):
     return verdicts.create_verdict(targets.join(found, "path").select((F.col("task") % 50).alias("task"), "verdict"))
 
 
+@query("""with m as (select p_partkey as path, case when p_size % 5 = 0 then 7 else p_partkey + 100000 end as moved, p_size from part), t as (select distinct l_partkey as path from lineitem where l_quantity > 30), n as (select moved, count(*) as n from m group by 1)
+select m.path, moved, case when m.path not in (select path from t) then 'source_missing' when n > 1 then 'destination_shared' when p_size % 5 = 1 then 'destination_not_observed' when p_size % 5 = 2 then 'destination_exists' when p_size % 5 = 3 then 'not_proven' else 'ready' end as verdict from m join n using (moved)""")
+def operation_verdict(spark, d):
+    p = lens.table(spark, d, "part")
+    n = F.col("p_size") % 5
+    moved = F.when(n == 0, 7).otherwise(F.col("p_partkey") + 100_000)
+    tree = _lines(spark, d).where("l_quantity > 30").select(F.col("l_partkey").alias("path"))
+    absences = p.where(n > 1).select(moved.alias("path"), F.when(n == 2, "exists").when(n == 3, "unknown").otherwise("absent").alias("verdict"))
+    return verdicts.operation_verdict(p.select(F.col("p_partkey").alias("path"), moved.alias("moved")), tree, absences)
+
+
 def _requests(spark, d):
     """Scope requests of orders; the customer's remainder says which gate fails."""
     m = F.col("o_custkey") % 16

@@ -153,3 +153,16 @@ def front_matter(text: str) -> dict[str, str | list[str]]:
                 raise ValueError(f"repeated key {key}")
             out[key] = json.loads(value) if value.startswith("[") else value.strip("\"'")
     raise ValueError("front matter does not end")
+
+
+EVIDENCE = "schemaVersion int, snapshotToken string, provider struct<id: string, version: string>, nodes array<struct<id: string, label: string, kind: string, file: string, line: int>>, edges array<struct<src: string, dst: string, relation: string>>"
+#: Nodes, edges and bytes of an external provider's answer. Fixed values.
+ANSWER_NODES, ANSWER_EDGES, ANSWER_BYTES = 2000, 4000, 256 * 1024
+
+
+def external_evidence(spark: SparkSession, path: str, snapshot: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of an external provider's answers, JSON files of EVIDENCE made ahead; those too large, too long or of another snapshot are passed over."""
+    files = spark.read.format("binaryFile").load(path).where(F.col("length") <= ANSWER_BYTES)
+    rows = files.select(F.from_json(F.col("content").cast("string"), EVIDENCE).alias("e")).select("e.*")
+    sound = rows.where((F.col("schemaVersion") == 1) & (F.col("snapshotToken") == snapshot) & (F.size("nodes") <= ANSWER_NODES) & (F.size("edges") <= ANSWER_EDGES))
+    return sound.select(F.inline("nodes")), sound.select(F.inline("edges"))

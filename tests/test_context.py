@@ -9,12 +9,13 @@ from http.server import BaseHTTPRequestHandler, HTTPServer
 import pytest
 from pyspark.sql import functions as F
 
+from evidentia.__main__ import main
 from evidentia.functions import codes, names
-from evidentia.operators import bindings, explorer, impact, modules, structure, tasks, verdicts
-from evidentia.plans import context
+from evidentia.operators import bindings, explorer, impact, modules, structure, tasks, telemetry, verdicts
+from evidentia.plans import context, service
 from evidentia.plans.envelope import BadRequest
 from evidentia.schemas import EDGES, NODES
-from evidentia.sources import observations
+from evidentia.sources import observations, readers
 
 
 @pytest.fixture
@@ -248,3 +249,42 @@ def test_impact_budgets(spark):
     cut = impact.project_impact(nodes, edges, origins, 2, "s", witnesses=5)
     assert cut["files"].count() == 5 and cut["tests"].count() == 0
     assert {r.origin: (r.status, r.finding, r.reasons) for r in cut["origins"].collect()} == {"src/f0.ts": ("partial", "evidence_found", "output_limit"), "src/none.ts": ("unavailable", "not_evaluated", "source_unavailable")}
+
+
+def test_service_answers_and_refuses(project):
+    projects = {"p": service.Project(project, "snap")}
+    status, got = service.handle("project_impact", {"projectId": "p", "targets": ["src/one.ts"], "depth": 2}, projects)
+    assert status == 200 and [(i["file"], i["distance"]) for i in got["affectedFiles"]["items"]] == [("src/gone.ts", 1), ("src/two.ts", 1), ("src/far.ts", 2)]
+    status, got = service.handle("project_task_context", {"projectId": "p", "task": {"title": "one", "paths": ["src/one.ts"]}}, projects)
+    assert status == 200 and got["contextPackId"].startswith("context_")
+    status, got = service.handle("effective_task_scope", {"projectId": "p", "task": {"title": "one", "paths": ["src/one.ts"]}}, projects)
+    assert status == 200 and {i["path"]: i["category"] for i in got["items"]} == {"src/one.ts": "write", "src/two.ts": "watch", "src/far.ts": "watch", "src/gone.ts": "watch"}
+    assert service.handle("search", {"projectId": "p", "query": "one"}, projects)[1]["items"][0]["label"] == "One"
+    assert [n["id"] for n in service.handle("expand", {"projectId": "p", "node": 2}, projects)[1]["nodes"]["items"]] == [1, 2, 3]
+    for tool, body, want in (("weather", {}, 400), ("search", [], 400), ("search", {"projectId": "q"}, 404), ("search", {"projectId": "p", "x": 1}, 400), ("project_impact", {"projectId": "p", "targets": ["../x"]}, 400)):
+        assert service.handle(tool, body, projects)[0] == want
+    assert service.handle("search", {"projectId": "p", "query": "x"}, projects, {"search": lambda *_: 1 / 0}) == (500, {"error": "internal_error"})
+
+
+def test_command_line(capsys):
+    assert main(["queries"]) == 0 and "graph_hubs" in capsys.readouterr().out
+    assert main(["run", "nothing", "/x"]) == 2
+
+
+def test_external_evidence_is_bounded(spark, tmp_path):
+    good = {"schemaVersion": 1, "snapshotToken": "t", "provider": {"id": "x", "version": "1"}, "nodes": [{"id": "a", "label": "A", "kind": "class", "file": "a.py", "line": 1}], "edges": [{"src": "a", "dst": "a", "relation": "uses"}]}
+    for name, value in {"good": good, "stale": good | {"snapshotToken": "old"}, "long": good | {"nodes": good["nodes"] * 2001}}.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(value))
+    (tmp_path / "broken.json").write_text("{")
+    nodes, edges = readers.external_evidence(spark, f"file://{tmp_path}", "t")
+    assert [r.label for r in nodes.collect()] == ["A"] and edges.count() == 1
+
+
+def test_folding_table(spark):
+    rows = {r.code_point: (r.folded, r.simple) for r in names.folding_table(spark).where("code_point < 400").collect()}
+    assert rows[ord("A")] == ("a", "a") and rows[ord("ß")][0] == "ss" and ord("a") not in rows
+
+
+def test_text_reports_escape_controls():
+    text = telemetry.text_report({"valid": 1, "input": "a\x1bb"}, [{"line": 1, "code": "x"}], [], 5)
+    assert text == "input: a\\x1bb\nvalid: 1\ninvalid_records (1 of 1):\n  line=1 code=x\n"
