@@ -31,10 +31,14 @@ def source_files(spark: SparkSession, root: str, most_bytes: int = MAX_FILE_BYTE
     return rows.select("path", text.alias("text"), F.octet_length("content").cast("long").alias("byte_size"), F.sha2("content", 256).alias("sha256")).where(~F.col("text").contains("\0"))
 
 
-def registry(spark: SparkSession, path: str) -> DataFrame:
-    """Projects of a JSON array; names are trimmed, a missing root is 'default', rows without name or path go."""
+def registry(spark: SparkSession, path: str, source: str = "manual") -> DataFrame:
+    """Projects of a JSON array: names are trimmed, a missing root is 'default', paths have slashes and no last one, a missing source is the one given. Rows without a name or a
+    relative path go, and so do paths that leave their root.
+    """
     rows = spark.read.schema(PROJECTS).json(path, multiLine=True)
-    return rows.withColumns({"name": F.trim("name"), "rootId": F.coalesce("rootId", F.lit("default"))}).where("name <> '' and relativePath is not null")
+    relative = F.regexp_replace(F.regexp_replace(F.trim("relativePath"), r"\\", "/"), "/+$", "")
+    rows = rows.withColumns({"name": F.trim("name"), "rootId": F.coalesce("rootId", F.lit("default")), "relativePath": relative, "registrySource": F.coalesce("registrySource", F.lit(source))})
+    return rows.where("name <> '' and relativePath <> ''").where(~F.col("relativePath").rlike(r"^/|^[A-Za-z]:|(?:^|/)\.{0,2}(?:/|$)"))
 
 
 def capture_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -256,3 +256,10 @@ def test_hash_chain_folds_in_order(spark):
     for n in range(40):
         chain = hashlib.sha256((chain + f"v{n}").encode()).hexdigest()
     assert got == {"a": (40, chain), "b": (40, chain)}
+
+
+def test_registry_rows_are_canonical(spark, tmp_path):
+    rows = [{"name": " a ", "relativePath": "x\\y/"}, {"name": "b", "relativePath": "../z"}, {"name": "", "relativePath": "x"}, {"name": "c"}, {"name": "d", "rootId": "r", "relativePath": "d", "registrySource": "discovered"}, {"name": "e", "relativePath": "/abs"}]
+    (tmp_path / "registry.json").write_text(json.dumps(rows))
+    got = [(r.name, r.rootId, r.relativePath, r.registrySource) for r in readers.registry(spark, f"file://{tmp_path}/registry.json").orderBy("name").collect()]
+    assert got == [("a", "default", "x/y", "manual"), ("d", "r", "d", "discovered")]
