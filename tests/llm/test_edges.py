@@ -11,7 +11,7 @@ LABELS = "doc_id long, quality int, toxic int"
 
 
 def rows():
-    long_text = "one two three four five six seven eight nine ten " * 3000
+    long_text = "one two three four five six seven eight nine ten " * 6000
     texts = [None, "", " \n\t ", "word", long_text, "Some plain words that come twice.\n" * 3, "some plain words that come twice.", "é" * 60, "x" * 300, "idiot " * 60, "a b c\n\n a b c", "\x1c\x1d odd <|endoftext|> text   here"]
     made = [(n, t, None if n == 3 else "en", None if n == 4 else "src", 1, None, "w", 5, 6, "k", 0.5, "host", None, True, 7, "p", 8) for n, t in enumerate(texts)]
     return made + [made[5], made[5], (None, None, *made[0][2:]), (None, "text without an id " * 20, *made[0][2:])]
@@ -75,3 +75,12 @@ def test_stages(spark, tables, tmp_path, number):
         assert out.columns == tables["docs"].columns
     assert out.count() >= 5
     assert stage(spark, tables["docs"].where(F.lit(False)), str(tmp_path)).count() == 0
+
+
+def test_whole_pipeline_on_odd_and_empty_tables(spark, tables, tmp_path):
+    for folder, keep in (("odd", True), ("none", False)):
+        for name, key in (("documents", "docs"), ("labels", "labels"), ("benchmark", "bench")):
+            tables[key].where(F.lit(keep)).write.parquet(f"{tmp_path}/{folder}/{name}.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    assert {r.doc_id for r in got} >= {4, 7, 8, 10} and all(0 < r.length <= 2048 for r in got)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []

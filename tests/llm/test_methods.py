@@ -452,6 +452,38 @@ def test_language_model(docs, texts):
     assert sum(r.score for r in got.values() if r.held_out) > sum(r.base_score for r in got.values() if r.held_out)
 
 
+def test_scores_against_a_plain_model(spark, docs, texts):
+    """The whole operator, blocks, ranges and partitions included, against one pass over all texts in memory."""
+    range_bytes = 40_000
+    got = {r.doc_id: r.score for r in lm.scored(docs, rounds=2, block_bytes=30_000, range_bytes=range_bytes).collect()}
+    words = {d: [*t.encode().lower().split(), b""] for d, t in sorted(texts.items())}
+    held = {d: zlib.crc32(str(d).encode()) % 5 == 1 for d in texts}
+    c = Counter(w for d, ws in words.items() if not held[d] for w in ws)
+    n, bits = sum(c.values()), max(1, (sum(len(t.encode()) for t in texts.values()) // range_bytes).bit_length())
+    own = sorted((w for w in c if c[w] * lm.FREQUENT >= n), key=lambda w: (zlib.crc32(w) >> 32 - bits, w))
+    number = {w: lm.UNKNOWN + 1 + k for k, w in enumerate(own)}
+    kind = lambda w: number.get(w, lm.shape(w, c[w]) if c[w] else lm.UNKNOWN)
+    weight = np.zeros(lm.SHAPES + 1 + len(own))
+    for w in c:
+        weight[kind(w)] += c[w] + 0.5
+    weight[lm.UNKNOWN] = 0.5
+    model = lm.initial(weight, n, len(c), lm.STATES)
+    cls = {d: np.array([kind(w) for w in ws]) for d, ws in words.items()}
+    train = [cls[d] for d in words if not held[d]]
+    for _ in range(2):
+        starts, moves, emits, _ = lm.expected(model, np.concatenate(train), np.array([len(x) for x in train]), 1 << 30)
+        starts, moves, emits = starts + 0.1, moves + 0.1, emits + weight / weight.sum()
+        emits = lm.with_unknown(emits / emits.sum(axis=1, keepdims=True))
+        model = lm.Model(starts / starts.sum(), moves / moves.sum(axis=1, keepdims=True), emits, weight, n, len(c))
+    for d, ws in words.items():
+        alpha, total = model.start, 0.0
+        for t, (w, k) in enumerate(zip(ws, cls[d], strict=True)):
+            alpha = (alpha if t == 0 else alpha @ model.move) * model.emit[:, k]
+            total += math.log10(alpha.sum()) + math.log10(c[w] + 0.5) - math.log10(weight[k])
+            alpha = alpha / alpha.sum()
+        assert got[d] == pytest.approx(total, rel=1e-6)
+
+
 def test_forward_and_backward_agree_with_enumeration():
     rng = np.random.default_rng(1)
     make = lambda *s: (lambda x: x / x.sum(axis=-1, keepdims=True))(rng.random(s))
