@@ -2,7 +2,7 @@
 
 States emit word classes: a frequent word is a class of its own, other known words share classes by frequency and shape, unknown
 words are one class. A class emits its words in proportion to their smoothed training counts. So the model's tables are
-bounded by STATES and FREQUENT, while the counts of all words stay in the data, dealt out by ranges of a word hash.
+bounded by STATES and FREQUENT, while the counts of all words stay in the data, dealt out by ranges of a word hash. Words are told apart by 128 bits of hashes.
 """
 
 from __future__ import annotations
@@ -13,11 +13,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bucketed, crc_fold, given_back, in_batches, slices, text_or_empty, written
+from .exchange import FAN, NOBODY, RELAY_BYTES, answered, by_source, dealt, flags_of, levels_of, steps, unstepped
 
 STATES = 6
 ROUNDS = 4
@@ -32,7 +34,7 @@ END = b""
 SHAPES = 64 * 4 * 2 * 8
 UNKNOWN = SHAPES  # class numbers: shapes, the unknown word, then frequent words
 
-_BLOCK = "block long, docs binary, held binary, sizes binary, tokens binary, n_train long, range long, words binary, counts binary"
+_BLOCK = "block long, docs binary, held binary, sizes binary, tokens binary, n_train long, part long, n long, packed binary"
 
 
 def _zip(a: np.ndarray) -> bytes:
@@ -47,14 +49,69 @@ def tokens_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() + [END]
 
 
-def shape(word: bytes, count: int) -> int:
-    """Class of a known word that is not frequent: powers of two of its count, its length, whether it has other than ASCII bytes, its last letters."""
-    letters = word.rstrip(b".,;:!?|")[-2:]
-    return ((min(count.bit_length(), 63) * 4 + min(len(word) // 4, 3)) * 2 + (not word.isascii())) * 8 + zlib.crc32(letters) % 8
+def form(word: bytes) -> int:
+    """Of 64 forms: a word's length, whether it has other than ASCII bytes, its last letters."""
+    return (min(len(word) // 4, 3) * 2 + (not word.isascii())) * 8 + zlib.crc32(word.rstrip(b".,;:!?|")[-2:]) % 8
+
+
+def shapes_of(forms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Classes of known words that are not frequent: their form and the power of two of their count."""
+    return np.minimum(np.frexp(counts.astype(np.float64))[1], 63).astype(np.int64) * 64 + forms
+
+
+def names_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of the words' 128-bit names; words are dealt out by the first."""
+    return tuple(np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words)) for seed in (1, 2))
+
+
+class Words:
+    """Different words, sorted by name: its halves, the word's form and its training count."""
+
+    answer_type = np.dtype([("count", "<i8"), ("kind", "<i8")])
+
+    def __init__(self, mark: np.ndarray, low: np.ndarray, form: np.ndarray, count: np.ndarray):
+        self.mark, self.low, self.form, self.count = mark, low, form, count
+
+    @classmethod
+    def joined(cls, tables: list[Words]) -> tuple[Words, Words, np.ndarray]:
+        """All rows of several tables, the table of the different words with their counts added up, and each row's place in it."""
+        whole = cls(*(np.concatenate([getattr(t, c) for t in tables]) for c in ("mark", "low", "form", "count")))
+        order = np.lexsort((whole.low, whole.mark))
+        mark, low = whole.mark[order], whole.low[order]
+        new = np.r_[True, (mark[1:] != mark[:-1]) | (low[1:] != low[:-1])]
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.cumsum(new) - 1
+        return whole, cls(mark[new], low[new], whole.form[order][new], np.add.reduceat(whole.count[order], np.flatnonzero(new))), place
+
+    def settled(self, n_train: int, frequent: int) -> np.ndarray:
+        """Each word's training count over all blocks, and its class: a shape, the unknown word, or for a frequent word a negative number of its own."""
+        answer = np.empty(len(self.mark), self.answer_type)
+        answer["count"] = self.count
+        own = -1 - (self.mark >> np.uint64(2)).astype(np.int64)
+        answer["kind"] = np.where(self.count == 0, UNKNOWN, np.where(self.count * frequent >= n_train, own, shapes_of(self.form.astype(np.int64), self.count)))
+        return answer
+
+    def told(self, table: Words, place: np.ndarray, answer: np.ndarray) -> np.ndarray:
+        return answer[place]
+
+    def summary(self, answer: np.ndarray) -> bytes:
+        """(class, training tokens, words) of the classes with training tokens."""
+        known = answer[answer["count"] > 0]
+        kinds, at = np.unique(known["kind"], return_inverse=True)
+        total = np.zeros(len(kinds), np.int64)
+        np.add.at(total, at, known["count"])
+        return np.concatenate([kinds, total, np.bincount(at, minlength=len(kinds))]).astype("<i8").tobytes()
+
+    def part(self, b: int, e: int) -> bytes:
+        return b"".join([steps(self.mark[b:e]), self.low[b:e].tobytes(), self.form[b:e].tobytes(), self.count[b:e].tobytes()])
+
+    @classmethod
+    def read(cls, raw: bytes, n: int) -> Words:
+        return cls(unstepped(raw, n), np.frombuffer(raw, np.uint64, n, 8 * n), np.frombuffer(raw, np.uint8, n, 16 * n), np.frombuffer(raw, "<i8", n, 17 * n))
 
 
 def _blocks(docs: DataFrame, bits: int, block_bytes: int, n_bytes: int) -> DataFrame:
-    """Texts as numbers into their block's word list, and that list with training counts by ranges of the word hash; bucketed by block."""
+    """Texts as numbers into their block's list of words, sorted by name, and that list with its training counts as packed rows for the exchange; bucketed by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -65,19 +122,17 @@ def _blocks(docs: DataFrame, bits: int, block_bytes: int, n_bytes: int) -> DataF
 
         def rows() -> Iterator[pa.RecordBatch]:
             words = list(number)
-            part = np.fromiter((zlib.crc32(w) >> 32 - bits for w in words), np.int64, len(words))
-            order = np.argsort(part, kind="stable")
+            mark, low = names_of(words)
+            order = np.lexsort((low, mark))
             place = np.empty(len(order), np.int32)
             place[order] = np.arange(len(order), dtype=np.int32)
             token = place[np.concatenate(tokens)]
             train = np.repeat(~np.array(held, bool), sizes)
-            counts = np.bincount(token[train], minlength=len(words))
+            forms = np.fromiter(map(form, words), np.uint8, len(words))
+            table = Words(mark[order], low[order], forms[order], np.bincount(token[train], minlength=len(words)).astype(np.int64))
             found = [(block, np.array(ids, np.int64).tobytes(), np.array(held, np.int8).tobytes(), np.array(sizes, np.int64).tobytes(), _zip(token), int(train.sum()), None, None, None)]
-            part = part[order]
-            begins = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-            for b, e in zip(begins.tolist(), [*begins[1:].tolist(), len(part)], strict=True):
-                found.append((block, None, None, None, None, None, int(part[b]), zstandard.compress(b" ".join(words[k] for k in order[b:e].tolist()), 1), _zip(counts[b:e])))
-            kinds = [pa.int64(), *[pa.binary()] * 4, pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+            found += [(block, None, None, None, None, None, part, n, packed) for part, _, n, packed in dealt(table, block, 0, 0, bits)]
+            kinds = [pa.int64(), *[pa.binary()] * 4, *[pa.int64()] * 3, pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], [c.split()[0] for c in _BLOCK.split(", ")])
 
         for batch in (part for whole in batches for part in slices(whole)):
@@ -99,31 +154,12 @@ def _blocks(docs: DataFrame, bits: int, block_bytes: int, n_bytes: int) -> DataF
     return bucketed(in_batches(docs.select("doc_id", "held_out", "text")).mapInArrow(given_back(run), _BLOCK), "block", "blocks", n_bytes)
 
 
-def _summed(n_train: int):
-    """One range of words: their counts over all blocks, back to every block; shapes and frequent words for the model."""
-
-    def run(table: pa.Table) -> pa.Table:
-        total: dict[bytes, int] = {}
-        lists = [zstandard.decompress(w).split(b" ") for w in table.column("words").to_pylist()]
-        for words, counts in zip(lists, table.column("counts").to_pylist(), strict=True):
-            for w, c in zip(words, _unzip(counts, np.int64).tolist(), strict=True):
-                total[w] = total.get(w, 0) + c
-        own = {w: k for k, w in enumerate(sorted(w for w, c in total.items() if c * FREQUENT >= n_train and c))}
-        kind = {w: k - (1 << 20) if (k := own.get(w)) is not None else shape(w, c) if c else UNKNOWN for w, c in total.items()}
-        by_range = table.column("range")[0].as_py()
-        shapes: dict[int, list[int]] = {}
-        for w, c in total.items():
-            if c and w not in own:
-                s = shapes.setdefault(kind[w], [0, 0])
-                s[0] += c
-                s[1] += 1
-        out = [(b, by_range, zstandard.compress(np.array([total[w] for w in words], np.int64).tobytes() + np.array([kind[w] for w in words], np.int32).tobytes(), 1), None, None, None) for b, words in zip(table.column("block").to_pylist(), lists, strict=True)]
-        out += [(None, None, None, k, s[0], s[1]) for k, s in shapes.items()]
-        out += [(None, by_range, None, k - (1 << 20), total[w], 1) for w, k in own.items()]
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["block", "range", "packed", "class", "total", "n"])
-
-    return run
+def _class_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(class, total, n) from the summaries of ranges."""
+    for batch in batches:
+        for raw in batch.column("flags"):
+            kinds, total, n = np.frombuffer(zstandard.decompress(raw.as_buffer()), "<i8").reshape(3, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(total), pa.array(n)], ["class", "total", "n"])
 
 
 @dataclass
@@ -294,7 +330,7 @@ def _learned(coded: DataFrame, model: Model, rounds: int) -> Model:
     return model
 
 
-def scored(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, block_bytes: int = BLOCK_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def scored(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, block_bytes: int = BLOCK_BYTES, range_bytes: int = RANGE_BYTES, fan: int = FAN, relay_bytes: int = RELAY_BYTES) -> DataFrame:
     """Per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probability under the model).
 
     docs: doc_id, text; other columns are ignored. Rows whose crc32(doc_id as text) mod 5 is 1 are held out and teach nothing. A null text counts as empty (its end is a token);
@@ -307,22 +343,23 @@ def scored(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, block_by
     held = F.coalesce(crc_fold() == 1, F.lit(False)).alias("held_out")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held, text_or_empty().alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    store = _blocks(rows, max(1, (size // range_bytes).bit_length()), block_bytes, size)
+    levels = levels_of(size, range_bytes, fan)
+    store = _blocks(rows, levels[0], block_bytes, size)
     n = store.agg(F.sum("n_train")).first()[0] or 0
-    words = store.where("range is not null").select("block", "range", "words", "counts")
-    counted = written(words.groupBy("range").applyInArrow(_summed(n), "block long, range long, packed binary, class long, total long, n long"), "counts")
+    words = store.where("part is not null").select("part", F.col("block").alias("source"), "n", "packed")
+    counted = written(answered(words, Words, levels, size, relay_bytes, (n, FREQUENT)), "counts")
 
-    shapes = counted.where("class >= 0").groupBy("class").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).collect()  # at most SHAPES rows
-    own = sorted((r.range, r["class"], r.total) for r in counted.where("class < 0").collect())  # at most FREQUENT rows
+    classes = in_batches(counted.where(F.col("source") == NOBODY)).mapInArrow(_class_totals, "class long, total long, n long")
+    classes = classes.groupBy("class").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).collect()  # at most SHAPES and FREQUENT rows
+    own = sorted((r["class"], r.total) for r in classes if r["class"] < 0)[::-1]
     weight = np.zeros(SHAPES + 1 + len(own))
-    for r in shapes:
-        weight[r["class"]] = r.total + 0.5 * r.n
+    for r in classes:
+        if r["class"] >= 0:
+            weight[r["class"]] = r.total + 0.5 * r.n
     weight[UNKNOWN] = 0.5
-    weight[UNKNOWN + 1 :] = [t + 0.5 for _, _, t in own]
-    v = sum(r.n for r in shapes) + len(own)
-    first: dict[int, int] = {}
-    for k, (r, _, _) in enumerate(own):
-        first.setdefault(r, UNKNOWN + 1 + k)
+    weight[UNKNOWN + 1 :] = [t + 0.5 for _, t in own]
+    v = sum(r.n for r in classes)
+    of_own = np.array([-1 - k for k, _ in own], np.int64)  # rising
     log_weight = np.log10(np.where(weight > 0, weight, 1.0))
     floor = np.log10(n + 0.5 * (v + 1))
 
@@ -330,14 +367,8 @@ def scored(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, block_by
         for batch in batches:
             for row in batch.to_pylist():
                 sizes, token = np.frombuffer(row["sizes"], np.int64), _unzip(row["tokens"], np.int32)
-                counts, kinds = [], []
-                for p in sorted(row["parts"], key=lambda p: p["range"]):
-                    raw = zstandard.decompress(p["packed"])
-                    m = len(raw) // 12
-                    kind = np.frombuffer(raw, np.int32, m, 8 * m)
-                    counts.append(np.frombuffer(raw, np.int64, m))
-                    kinds.append(np.where(kind < 0, kind + (1 << 20) + first.get(p["range"], 0), kind))
-                count, kind = np.concatenate(counts), np.concatenate(kinds)
+                told = flags_of(row["counts"], Words)
+                count, kind = told["count"], np.where(told["kind"] < 0, UNKNOWN + 1 + np.searchsorted(of_own, -1 - told["kind"]), told["kind"])
                 value = np.log10(count + 0.5)
                 inner = value - log_weight[kind]
                 begins = np.cumsum(sizes) - sizes
@@ -346,8 +377,8 @@ def scored(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, block_by
                 data = [row["block"], row["docs"], row["held"], row["sizes"], _zip(kind[token].astype(np.uint16)), known.tobytes(), base.tobytes(), np.add.reduceat(inner[token], begins).tobytes()]
                 yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64() if k == 0 else pa.binary()) for k, x in enumerate(data)], ["block", "docs", "held", "sizes", "classes", "known", "base", "inner"])
 
-    answers = counted.where("packed is not null").groupBy("block").agg(F.collect_list(F.struct("range", "packed")).alias("parts")).withColumnRenamed("block", "b")  # a row for each range
-    joined = store.where("range is null").select("block", "docs", "held", "sizes", "tokens").join(answers, F.col("block") == F.col("b")).drop("b")
+    answers = by_source(counted.where(F.col("source") != NOBODY), "counts")
+    joined = store.where("part is null").select("block", "docs", "held", "sizes", "tokens").join(answers, F.col("block") == F.col("of_counts")).drop("of_counts")
     coded = written(joined.mapInArrow(given_back(code), "block long, docs binary, held binary, sizes binary, classes binary, known binary, base binary, inner binary"), "coded")
     model = _learned(coded, initial(weight, n, v, states), rounds if n else 0)
 

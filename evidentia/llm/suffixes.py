@@ -18,7 +18,7 @@ blocks what a block does for its documents (drop what is repeated, send FAN rows
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, give_back, given_back, in_batches, text_or_empty, written
+from .common import bucketed, given_back, in_batches, text_or_empty
+from .exchange import FAN, PACKED, RELAY_BYTES, answered, arrow_table, by_source, dealt, flags_of, levels_of, runs_of, steps, unstepped
 
 DEPTH = 50
 MARK = 20
@@ -42,8 +43,6 @@ SEGMENT = 1 << 17
 #: Bytes of text for each range: one range is ordered in one task, so many suffixes of it at a time.
 RANGE_BYTES = 16 << 20
 SUFFIXES = 1 << 20
-#: Ranges to which a block or a relay sends.
-FAN = 256
 #: Stretches of an anchor from which its suffixes are dealt out one by one.
 HOT = 20_000
 NO_DOC = np.iinfo(np.int64).max
@@ -51,8 +50,6 @@ NO_DOC = np.iinfo(np.int64).max
 ALONE, SHARED, CROWDED = 0, 1, 2
 #: A note about an anchor: stretches up to MANY, and TWO if two documents have it.
 MANY, TWO = 0x7FFF, 0x8000
-#: Text for each relay, where there are relays.
-RELAY_BYTES = 64 << 20
 
 _U = np.uint64
 _ODD = np.random.default_rng(50).integers(0, 1 << 64, ROW // DIGIT + 4, dtype=np.uint64) | _U(1)
@@ -130,7 +127,7 @@ class Presence:
     def of(cls, mark: np.ndarray, doc: np.ndarray) -> tuple[Presence, np.ndarray]:
         """The table of all stretches, and each stretch's row in it."""
         order = np.argsort(mark)
-        begins, key = _runs(mark[order], order)
+        begins, key = runs_of(mark[order], order)
         if not len(begins):
             return cls(mark, np.empty(0, np.uint16)), key
         d = doc[order]
@@ -143,7 +140,7 @@ class Presence:
         """All rows of several tables, the table of the different ones, and each row's place in it."""
         whole = cls(np.concatenate([t.mark for t in tables]), np.concatenate([t.note for t in tables]))
         order = np.argsort(whole.mark)
-        begins, place = _runs(whole.mark[order], order)
+        begins, place = runs_of(whole.mark[order], order)
         note = whole.note[order].astype(np.int64)
         n = np.minimum(np.add.reduceat(note & MANY, begins), MANY)
         two = (np.bitwise_or.reduceat(note, begins) >= TWO) | (np.diff(np.r_[begins, len(order)]) > 1)
@@ -158,27 +155,11 @@ class Presence:
         return answer[place]
 
     def part(self, b: int, e: int) -> bytes:
-        return _steps(self.mark[b:e]) + self.note[b:e].tobytes()
+        return steps(self.mark[b:e]) + self.note[b:e].tobytes()
 
     @classmethod
     def read(cls, raw: bytes, n: int) -> Presence:
-        return cls(_unstepped(raw, n), np.frombuffer(raw, np.uint16, n, 8 * n))
-
-
-def _steps(mark: np.ndarray) -> bytes:
-    return np.diff(mark, prepend=_U(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
-
-
-def _unstepped(raw: bytes, n: int) -> np.ndarray:
-    return np.cumsum(np.frombuffer(raw, np.uint8, 8 * n).reshape(8, n).T.copy().view(_U).ravel(), dtype=_U)
-
-
-def _runs(values: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the runs of equal sorted values begin, and for each unsorted row the number of its run."""
-    new = np.r_[True, values[1:] != values[:-1]] if len(values) else np.empty(0, bool)
-    key = np.empty(len(order), dtype=np.int64)
-    key[order] = np.cumsum(new) - 1
-    return np.flatnonzero(new), key
+        return cls(unstepped(raw, n), np.frombuffer(raw, np.uint16, n, 8 * n))
 
 
 class Contexts:
@@ -245,12 +226,12 @@ class Contexts:
         return np.where(self.doc > table.doc[place], every.astype(np.uint32), answer[place])
 
     def part(self, b: int, e: int) -> bytes:
-        return b"".join([_steps(self.mark[b:e]), *(a[b:e].tobytes() for a in (self.doc, self.count, self.lead, self.text))])
+        return b"".join([steps(self.mark[b:e]), *(a[b:e].tobytes() for a in (self.doc, self.count, self.lead, self.text))])
 
     @classmethod
     def read(cls, raw: bytes, n: int) -> Contexts:
         doc, count, lead = np.frombuffer(raw, np.int64, n, 8 * n), np.frombuffer(raw, np.uint8, n, 16 * n), np.frombuffer(raw, np.uint8, n, 17 * n)
-        return cls(_unstepped(raw, n), count, lead, doc, np.frombuffer(raw, np.uint8, ROW * n, 18 * n).reshape(n, ROW))
+        return cls(unstepped(raw, n), count, lead, doc, np.frombuffer(raw, np.uint8, ROW * n, 18 * n).reshape(n, ROW))
 
 
 def _sort_suffixes(table: Contexts, rows: np.ndarray, anchor: np.ndarray, out: np.ndarray) -> None:
@@ -286,7 +267,7 @@ def _sort_suffixes(table: Contexts, rows: np.ndarray, anchor: np.ndarray, out: n
         if depth + DIGIT > DEPTH:
             digit >>= _U(8 * (depth + DIGIT - DEPTH))
         order = np.argsort(digit)
-        _, rank = _runs(digit[order], order)
+        _, rank = runs_of(digit[order], order)
         key = np.repeat(np.arange(int(several.sum())), sizes[several]) << 32 | rank
 
 
@@ -322,90 +303,6 @@ def _rows_at(block: Block, start: np.ndarray, count: np.ndarray, lead: np.ndarra
     return Contexts(mark, count, lead, doc, text)
 
 
-# The exchange of packed rows
-
-_PACKED = "part long, source long, n long, packed binary"
-_ANSWER = "part long, source long, flags binary"
-
-
-def _arrow(found: list[tuple], schema: str) -> pa.Table:
-    names, kinds = zip(*(c.split() for c in schema.split(", ")), strict=True)
-    kinds = [pa.int64() if k == "long" else pa.binary() for k in kinds]
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*found, strict=True) if found else [[] for _ in names], kinds, strict=True)], list(names))
-
-
-def _dealt(table, source: int, above: int, skip: int, bits: int) -> list[tuple]:
-    """A packed row for each range that has some: the `bits` of the hash after the leading `skip`; above: the number those stand for."""
-    if not len(table.mark):
-        return []
-    part = (table.mark << _U(skip) >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(table.mark), np.int64)
-    begins = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]).tolist()
-    return [((above << bits) + int(part[b]), source, e - b, zstandard.compress(table.part(b, e), 1)) for b, e in zip(begins, [*begins[1:], len(part)], strict=True)]
-
-
-def _tables(kind: type, rows: pa.Table) -> tuple[list[tuple[int, int, int]], list]:
-    """(part, source, n) and the table of each packed row, in the order of the sources."""
-    found = sorted(zip(*(rows.column(c).to_pylist() for c in ("part", "source", "n")), range(rows.num_rows), strict=True), key=lambda x: (x[1], x[0]))
-    return [f[:3] for f in found], [kind.read(zstandard.decompress(rows.column("packed")[f[3]].as_buffer()), f[2]) for f in found]
-
-
-def _split(heads: list[tuple[int, int, int]], answer: np.ndarray) -> pa.Table:
-    ends = np.cumsum([n for _, _, n in heads]).tolist()
-    return _arrow([(part, source, zstandard.compress(answer[e - n : e].tobytes(), 1)) for (part, source, n), e in zip(heads, ends, strict=True)], _ANSWER)
-
-
-def _range(kind: type) -> Callable[[pa.Table], pa.Table]:
-    """One range: the answers to all sources."""
-
-    def run(rows: pa.Table) -> pa.Table:
-        heads, tables = _tables(kind, rows)
-        whole, table, place = kind.joined(tables)
-        out = _split(heads, whole.told(table, place, table.settled()))
-        del tables, whole, table, place
-        give_back()
-        return out
-
-    return run
-
-
-def _up(kind: type, skip: int, bits: int) -> Callable[[pa.Table], pa.Table]:
-    """One relay on the way up: the rows of some sources of a range as those of one source, for the ranges below it."""
-
-    def run(rows: pa.Table) -> pa.Table:
-        _, table, _ = kind.joined(_tables(kind, rows)[1])
-        return _arrow(_dealt(table, rows.column("relay")[0].as_py(), rows.column("part")[0].as_py(), skip, bits), _PACKED)
-
-    return run
-
-
-def _down(kind: type) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """The same relay on the way back: what its own rows were told goes to the sources that had them."""
-
-    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        heads, tables = _tables(kind, rows)
-        whole, table, place = kind.joined(tables)
-        return _split(heads, whole.told(table, place, _flags(answers.select(["part", "flags"]).to_pylist(), kind)))
-
-    return run
-
-
-def _answered(rows: DataFrame, kind: type, skip: int, bits: list[int], total: int, relay_bytes: int) -> DataFrame:
-    """(part, source, flags) for each packed row; `bits` has the bits of the range number that each level adds, the first is in the rows."""
-    if len(bits) == 1:
-        return rows.groupBy("part").applyInArrow(_range(kind), _ANSWER)
-    skip += bits[0]
-    slots = max(1, (total >> skip) // relay_bytes)
-    rows = written(rows.withColumn("relay", F.col("part") * slots + F.pmod(F.xxhash64("source"), F.lit(slots))), "relays")
-    above = rows.groupBy("relay").applyInArrow(_up(kind, skip, bits[1]), _PACKED)
-    said = _answered(above, kind, skip, bits[1:], total, relay_bytes).withColumnRenamed("source", "relay")
-    return rows.groupBy("relay").cogroup(said.groupBy("relay")).applyInArrow(_down(kind), _ANSWER)
-
-
-def _flags(parts: list[dict] | None, kind: type) -> np.ndarray:
-    found = [np.frombuffer(zstandard.decompress(p["flags"]), kind.answer_type) for p in sorted(parts or [], key=lambda p: p["part"])]
-    return np.concatenate(found) if found else np.empty(0, kind.answer_type)
-
-
 def _stream(parts: list[pa.RecordBatch]) -> bytes:
     sink = pa.BufferOutputStream()
     table = pa.Table.from_batches(parts).combine_chunks()
@@ -455,44 +352,31 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, Block]]:
         yield block.as_py(), Block(np.frombuffer(doc.as_buffer(), np.int64), np.frombuffer(sizes.as_buffer(), np.int64), packed.as_buffer().to_pybytes())
 
 
-def _by_source(answers: DataFrame, name: str) -> DataFrame:
-    """(block, parts): a block's answers in one row, FAN parts at most."""
-    rows = answers.groupBy("source").agg(F.collect_list(F.struct("part", "flags")).alias(name))
-    return written(rows.withColumnRenamed("source", f"of_{name}"), name)
-
-
-def _levels(total: int, range_bytes: int, fan: int) -> list[int]:
-    """Bits of the range number by levels of at most `fan` ranges each; where one level is enough, ranges down to a sixteenth keep more tasks busy."""
-    most = fan.bit_length() - 1
-    bits = max((total // range_bytes).bit_length(), min(most, (16 * total // range_bytes).bit_length()))
-    return [min(most, bits - b) for b in range(0, bits, most)] or [0]
-
-
 def _decided(docs: DataFrame, output, schema, block_bytes: int, range_bytes: int, carry: list[str] = (), fan: int = FAN, relay_bytes: int = RELAY_BYTES) -> DataFrame:
     """Both exchanges; output(block, bytes removed as a mask, carried columns) gives the rows of a block."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     store = _store(docs, block_bytes, list(carry), total)
-    levels = _levels(total, range_bytes, fan)
+    levels = levels_of(total, range_bytes, fan)
 
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ident, block in _blocks(batch):
                 _, _, _, mark, doc = block.stretches()
-                yield from _arrow(_dealt(Presence.of(mark, doc)[0], ident, 0, 0, levels[0]), _PACKED).to_batches()
+                yield from arrow_table(dealt(Presence.of(mark, doc)[0], ident, 0, 0, levels[0]), PACKED).to_batches()
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for (ident, block), said in zip(_blocks(batch), batch.column("said"), strict=True):
-                yield from _arrow(_dealt(contexts_of(block, _flags(said.as_py(), Presence))[0], ident, 0, 0, levels[0]), _PACKED).to_batches()
+                yield from arrow_table(dealt(contexts_of(block, flags_of(said.as_py(), Presence))[0], ident, 0, 0, levels[0]), PACKED).to_batches()
 
     def masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for (_, block), said, more, extra in zip(_blocks(batch), batch.column("said"), batch.column("repeated"), batch.column("extra"), strict=True):
-                yield from output(block, _removed(block, _flags(said.as_py(), Presence), _flags(more.as_py(), Contexts)), extra)
+                yield from output(block, _removed(block, flags_of(said.as_py(), Presence), flags_of(more.as_py(), Contexts)), extra)
 
-    said = _by_source(_answered(in_batches(store).mapInArrow(given_back(presence), _PACKED), Presence, 0, levels, total, relay_bytes), "said")
+    said = by_source(answered(in_batches(store).mapInArrow(given_back(presence), PACKED), Presence, levels, total, relay_bytes), "said")
     joined = store.join(said, F.col("block") == F.col("of_said"), "left")
-    repeated = _by_source(_answered(in_batches(joined).mapInArrow(given_back(contexts), _PACKED), Contexts, 0, levels, total, relay_bytes), "repeated")
+    repeated = by_source(answered(in_batches(joined).mapInArrow(given_back(contexts), PACKED), Contexts, levels, total, relay_bytes), "repeated")
     return joined.join(repeated, F.col("block") == F.col("of_repeated"), "left").mapInArrow(given_back(masks), schema)
 
 

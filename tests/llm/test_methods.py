@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from evidentia.llm import bpe, decontaminate, lm, packing, quality_classifier, quality_rules, simhash, suffixes, tokens, toxicity, warc
+from evidentia.llm import bpe, decontaminate, exchange, lm, packing, quality_classifier, quality_rules, simhash, suffixes, tokens, toxicity, warc
 from evidentia.llm.components import components
 
 LIBRARY = Tokenizer.from_file(bpe.default_vocabulary())
@@ -163,11 +163,11 @@ def test_crowded_anchors_are_dealt_by_suffix(texts, monkeypatch):
 def test_packed_rows_grow_in_proportion():
     """A block sends at most FAN rows, a relay too, and there are as many relays of a level as the text needs."""
     for total in (1 << 30, 1 << 36, 1 << 46):
-        levels = suffixes._levels(total, suffixes.RANGE_BYTES, suffixes.FAN)
+        levels = exchange.levels_of(total, suffixes.RANGE_BYTES, exchange.FAN)
         assert max(levels) <= 8 and total >> sum(levels) <= suffixes.RANGE_BYTES
     mark = np.sort(np.random.default_rng(0).integers(0, 1 << 64, 100_000, dtype=np.uint64))
     table = suffixes.Presence(mark, np.ones(len(mark), np.uint16))
-    assert len(suffixes._dealt(table, 0, 0, 0, 8)) == 256
+    assert len(exchange.dealt(table, 0, 0, 0, 8)) == 256
 
 
 def test_digits_beyond_the_first_decide(texts):
@@ -454,15 +454,16 @@ def test_language_model(docs, texts):
 
 def test_scores_against_a_plain_model(spark, docs, texts):
     """The whole operator, blocks, ranges and partitions included, against one pass over all texts in memory."""
-    range_bytes = 40_000
-    got = {r.doc_id: r.score for r in lm.scored(docs, rounds=2, block_bytes=30_000, range_bytes=range_bytes).collect()}
+    got = {r.doc_id: r.score for r in lm.scored(docs, rounds=2, block_bytes=30_000, range_bytes=40_000).collect()}
+    relayed = {r.doc_id: r.score for r in lm.scored(docs, rounds=2, block_bytes=20_000, range_bytes=10_000, fan=4, relay_bytes=60_000).collect()}
+    assert relayed == pytest.approx(got, rel=1e-6)
     words = {d: [*t.encode().lower().split(), b""] for d, t in sorted(texts.items())}
     held = {d: zlib.crc32(str(d).encode()) % 5 == 1 for d in texts}
     c = Counter(w for d, ws in words.items() if not held[d] for w in ws)
-    n, bits = sum(c.values()), max(1, (sum(len(t.encode()) for t in texts.values()) // range_bytes).bit_length())
-    own = sorted((w for w in c if c[w] * lm.FREQUENT >= n), key=lambda w: (zlib.crc32(w) >> 32 - bits, w))
+    n = sum(c.values())
+    own = sorted((w for w in c if c[w] * lm.FREQUENT >= n), key=lambda w: lm.names_of([w])[0][0])
     number = {w: lm.UNKNOWN + 1 + k for k, w in enumerate(own)}
-    kind = lambda w: number.get(w, lm.shape(w, c[w]) if c[w] else lm.UNKNOWN)
+    kind = lambda w: number.get(w, c[w].bit_length() * 64 + lm.form(w) if c[w] else lm.UNKNOWN)
     weight = np.zeros(lm.SHAPES + 1 + len(own))
     for w in c:
         weight[kind(w)] += c[w] + 0.5
