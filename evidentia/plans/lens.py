@@ -16,11 +16,12 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A part depends on the parts of the next line of its order; the return flag gives the relation."""
-    lines = table(spark, sf_dir, "lineitem")
-    a = lines.select("l_orderkey", F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("src"), F.when(F.col("l_returnflag") == "R", "imports").when(F.col("l_returnflag") == "A", "references").otherwise("uses").alias("relation"))
-    b = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("n"), F.col("l_partkey").alias("dst"))
-    return a.join(b, ["l_orderkey", "n"]).select("src", "dst", "relation").distinct()
+    """A part depends on the parts of the next line of its order; the return flag gives the relation. An order has a few lines, so its pairs are made within one row."""
+    relation = F.when(F.col("l_returnflag") == "R", "imports").when(F.col("l_returnflag") == "A", "references").otherwise("uses")
+    line = F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("part"), relation.alias("relation"))
+    orders = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(line).alias("x"))
+    after = lambda a: F.transform(F.filter("x", lambda b: b["n"] == a["n"] + 1), lambda b: F.struct(a["part"].alias("src"), b["part"].alias("dst"), a["relation"].alias("relation")))
+    return orders.select(F.inline(F.flatten(F.transform("x", after)))).distinct()
 
 
 NODES = "nodes as (select p_partkey as id, p_name as label, p_type as kind, p_brand || '/' || p_type as file, p_brand as feature, p_type as layer from part)"
