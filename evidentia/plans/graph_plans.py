@@ -199,19 +199,19 @@ _TESTED = f"{GRAPH}, tn as (select id, case when layer in ('PROMO', 'SMALL') the
 _ORIGINS = ["src/Brand2_economy.ts", "src/Brand17_economy.ts", "src/Brand5_large.ts"]
 
 
-def _project_impact_sql(depth: int, keep: int) -> str:
+def _project_impact_sql(depth: int, keep: int, budget: int = 60) -> str:
     sql = _impact_sql(_ORIGINS, depth).replace(GRAPH, _TESTED).replace("join nodes s", "join tn s").replace("join nodes t", "join tn t").replace("join nodes on", "join tn on").replace("walk join nodes using", "walk join tn using")
     return sql + f""", one as (select src, dst, min(relation) as relation from edges group by all),
     wit as (select i.*, 'impact_edge_' || sha256('["snap","native","1","' || witness_src || '","' || witness_dst || '","' || relation || '"]') as witness from impact i join one on src = witness_src and dst = witness_dst),
     rk as (select *, row_number() over (partition by file order by distance, origin, witness) as k from wit),
     item as (select file, min(distance) as distance, count(*) as origins, least(count(*), {keep}) as kept, min_by(witness, k) as first, count(*) > {keep} as cut from rk group by file),
     head as (select *, sum(kept) over (order by distance, file, first rows unbounded preceding) as running, row_number() over (order by distance, file, first) as place from item),
-    files as (select * from head where running <= 60 and place <= 100)"""
+    files as (select * from head where running <= {budget} and place <= 100)"""
 
 
-def _project_impact(spark, d):
+def _project_impact(spark, d, budget: int = 60):
     many = spark.createDataFrame([(o,) for o in _ORIGINS], "origin string").withColumn("file", F.col("origin"))
-    return impact.project_impact(_tested(spark, d), lens.edges(spark, d), many, 1, "snap", witnesses=60, keep=2)
+    return impact.project_impact(_tested(spark, d), lens.edges(spark, d), many, 1, "snap", witnesses=budget, keep=2)
 
 
 @query(_project_impact_sql(1, 2) + " select place, file, distance, origins, cut, first as witness from files")
@@ -219,10 +219,10 @@ def project_impact(spark, d):
     return _project_impact(spark, d)["files"].select("place", "file", "distance", "origins", "cut", F.get("near", F.lit(0))["witness"].alias("witness"))
 
 
-@query(_project_impact_sql(1, 2) + """, t as (select *, sum(kept) over (order by distance, file, first rows unbounded preceding) as r2, row_number() over (order by distance, file, first) as p2 from files where file like 'tests/%')
-select p2 as place, file, distance, origins from t where r2 <= 60 - (select sum(kept) from files)""")
+@query(_project_impact_sql(1, 2, 400) + """, t as (select *, sum(kept) over (order by distance, file, first rows unbounded preceding) as r2, row_number() over (order by distance, file, first) as p2 from files where file like 'tests/%')
+select p2 as place, file, distance, origins from t where r2 <= 400 - (select sum(kept) from files)""")
 def affected_tests(spark, d):
-    return _project_impact(spark, d)["tests"].select("place", "file", "distance", "origins")
+    return _project_impact(spark, d, 400)["tests"].select("place", "file", "distance", "origins")
 
 
 @query(_project_impact_sql(1, 2) + """, f as (select origin, count(*) as found from wit group by 1), s as (select origin, count(*) as shown from rk join files using (file) where k <= 2 group by 1)
