@@ -42,7 +42,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, containment:
     shingles themselves. Items are broadcast while small; beyond that the probes are shuffled by hash.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(F.lower(text_or_empty())).alias("w")).where("item_id is not null")
-    items = items.select("item_id", shingles(F.col("w"), size).alias("s"), F.transform("w", lambda w: F.xxhash64(w)).alias("wh")).select("item_id", "s", hashed(F.col("wh"), size).alias("hash"))
+    items = items.select(
+        "item_id", shingles(F.col("w"), size).alias("s"), F.transform("w", lambda w: F.xxhash64(w)).alias("wh")
+    ).select("item_id", "s", hashed(F.col("wh"), size).alias("hash"))
     full = items.select("item_id", F.explode("s").alias("s")).distinct()
     sizes = full.groupBy("item_id").agg(F.count("*").alias("n_item")).withColumn("size_class", size_class(F.col("n_item")))
     sketch = small(written(sketches(items.join(sizes, "item_id"), size, containment), "sketch"))
@@ -55,7 +57,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, containment:
     found = small(found.select("doc_id", "classes"))
 
     shared = texts.join(found, "doc_id").select("doc_id", "classes", words(F.col("text")).alias("w"))
-    shared = shared.select("doc_id", "classes", F.explode(F.array_distinct(shingles(F.col("w"), size))).alias("s")).join(full, "s").where(F.array_contains("classes", F.col("size_class")))
+    shared = shared.select(
+        "doc_id", "classes", F.explode(F.array_distinct(shingles(F.col("w"), size))).alias("s")
+    ).join(full, "s").where(F.array_contains("classes", F.col("size_class")))
     shared = shared.select("doc_id", "item_id", "n_item", "s").distinct()
     counted = shared.groupBy("doc_id", "item_id", "n_item").agg(F.count("*").alias("n_shared"))
     enough = F.col("n_shared") >= F.ceil(F.lit(containment) * F.col("n_item") - F.lit(1e-9))

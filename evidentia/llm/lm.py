@@ -130,7 +130,10 @@ def _blocks(docs: DataFrame, bits: int, block_bytes: int, n_bytes: int) -> DataF
             train = np.repeat(~np.array(held, bool), sizes)
             forms = np.fromiter(map(form, words), np.uint8, len(words))
             table = Words(mark[order], low[order], forms[order], np.bincount(token[train], minlength=len(words)).astype(np.int64))
-            found = [(block, np.array(ids, np.int64).tobytes(), np.array(held, np.int8).tobytes(), np.array(sizes, np.int64).tobytes(), _zip(token), int(train.sum()), None, None, None)]
+            found = [(
+                block, np.array(ids, np.int64).tobytes(), np.array(held, np.int8).tobytes(), np.array(sizes, np.int64).tobytes(), _zip(token),
+                int(train.sum()), None, None, None
+            )]
             found += [(block, None, None, None, None, None, part, n, packed) for part, _, n, packed in dealt(table, block, 0, 0, bits)]
             kinds = [pa.int64(), *[pa.binary()] * 4, *[pa.int64()] * 3, pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], [c.split()[0] for c in _BLOCK.split(", ")])
@@ -326,11 +329,17 @@ def _learned(coded: DataFrame, model: Model, rounds: int) -> Model:
         flat[cells["cell"].to_numpy()] = cells["value"].to_numpy()
         starts, moves, emits = flat[:states] + 0.1, flat[states : states * (states + 1)].reshape(states, states) + 0.1, flat[states * (states + 1) :].reshape(states, classes)
         emits = emits + model.weight / model.weight.sum()  # one token of the class frequencies, so nothing is impossible
-        model = Model(starts / starts.sum(), moves / moves.sum(axis=1, keepdims=True), with_unknown(emits / emits.sum(axis=1, keepdims=True)), model.weight, model.n, model.v)
+        model = Model(
+            starts / starts.sum(), moves / moves.sum(axis=1, keepdims=True), with_unknown(emits / emits.sum(axis=1, keepdims=True)), model.weight,
+            model.n, model.v
+        )
     return model
 
 
-def scored(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, block_bytes: int = BLOCK_BYTES, range_bytes: int = RANGE_BYTES, fan: int = FAN, relay_bytes: int = RELAY_BYTES) -> DataFrame:
+def scored(
+    docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, block_bytes: int = BLOCK_BYTES, range_bytes: int = RANGE_BYTES, fan: int = FAN,
+    relay_bytes: int = RELAY_BYTES
+) -> DataFrame:
     """Per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probability under the model).
 
     docs: doc_id, text; other columns are ignored. Rows whose crc32(doc_id as text) mod 5 is 1 are held out and teach nothing. A null text counts as empty (its end is a token);
@@ -374,12 +383,21 @@ def scored(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, block_by
                 begins = np.cumsum(sizes) - sizes
                 base = np.add.reduceat(value[token], begins) - sizes * floor
                 known = np.add.reduceat((count > 0)[token].astype(np.int64), begins)
-                data = [row["block"], row["docs"], row["held"], row["sizes"], _zip(kind[token].astype(np.uint16)), known.tobytes(), base.tobytes(), np.add.reduceat(inner[token], begins).tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64() if k == 0 else pa.binary()) for k, x in enumerate(data)], ["block", "docs", "held", "sizes", "classes", "known", "base", "inner"])
+                data = [
+                    row["block"], row["docs"], row["held"], row["sizes"], _zip(kind[token].astype(np.uint16)), known.tobytes(), base.tobytes(),
+                    np.add.reduceat(inner[token], begins).tobytes()
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x], pa.int64() if k == 0 else pa.binary()) for k, x in enumerate(data)],
+                    ["block", "docs", "held", "sizes", "classes", "known", "base", "inner"]
+                )
 
     answers = by_source(counted.where(F.col("source") != NOBODY), "counts")
     joined = store.where("part is null").select("block", "docs", "held", "sizes", "tokens").join(answers, F.col("block") == F.col("of_counts")).drop("of_counts")
-    coded = written(joined.mapInArrow(given_back(code), "block long, docs binary, held binary, sizes binary, classes binary, known binary, base binary, inner binary"), "coded")
+    coded = written(
+        joined.mapInArrow(given_back(code), "block long, docs binary, held binary, sizes binary, classes binary, known binary, base binary, inner binary"),
+        "coded"
+    )
     model = _learned(coded, initial(weight, n, v, states), rounds if n else 0)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,6 +406,14 @@ def scored(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, block_by
                 doc, sizes = np.frombuffer(row["docs"], np.int64), np.frombuffer(row["sizes"], np.int64)
                 value = log_likelihood(model, _unzip(row["classes"], np.uint16).astype(np.int64), sizes) + np.frombuffer(row["inner"], float)
                 ids = pa.array(doc, mask=doc == np.iinfo(np.int64).min)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(np.frombuffer(row["held"], np.int8) == 1), pa.array(sizes), pa.array(np.frombuffer(row["known"], np.int64)), pa.array(np.full(len(doc), model.n)), pa.array(np.frombuffer(row["base"], float)), pa.array(value)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    return coded.drop("block").mapInArrow(given_back(score), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        ids, pa.array(np.frombuffer(row["held"], np.int8) == 1), pa.array(sizes), pa.array(np.frombuffer(row["known"], np.int64)),
+                        pa.array(np.full(len(doc), model.n)), pa.array(np.frombuffer(row["base"], float)), pa.array(value)
+                    ],
+                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+                )
+
+    return coded.drop("block").mapInArrow(
+        given_back(score), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    )

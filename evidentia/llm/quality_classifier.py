@@ -43,7 +43,9 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 def marks_of(labels: DataFrame) -> DataFrame:
     """(doc_id, quality): one row for each labelled document; contradicting labels count as bad."""
     known = labels.where(F.col("quality").isin(0, 1)).where("doc_id is not null")
-    return known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    return known.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")
+    ).groupBy("doc_id").agg(F.min("quality").alias("quality"))
 
 
 def _classifier(labelled: DataFrame, sample: int) -> Column:

@@ -51,7 +51,10 @@ def counts(docs: DataFrame, *more: str) -> DataFrame:
         F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.transform("w", lambda w: F.xxhash64(w)).alias("wh"), F.ceil(F.log2(F.size("w").cast("double") + 2)).cast("int").alias("bits"),
     )
-    place = F.transform(F.sequence(F.lit(0), F.size("wh") - 3), lambda i: _left(F.xxhash64(F.get("wh", i), F.get("wh", i + 1), F.get("wh", i + 2)), F.col("bits")).bitwiseOR(i.cast("long")))
+    place = F.transform(
+        F.sequence(F.lit(0), F.size("wh") - 3),
+        lambda i: _left(F.xxhash64(F.get("wh", i), F.get("wh", i + 1), F.get("wh", i + 2)), F.col("bits")).bitwiseOR(i.cast("long"))
+    )
     rows = rows.withColumn("p", F.when(F.size("wh") >= 4, F.sort_array(place)).otherwise(F.array().cast("array<bigint>"))).drop("wh")
     low = _left(F.lit(1).cast("long"), F.col("bits")) - 1
     same = lambda x, i: _equal(F.get("p", i - 1), x) | _equal(F.get("p", i + 1), x)
@@ -60,8 +63,14 @@ def counts(docs: DataFrame, *more: str) -> DataFrame:
     rows = rows.withColumn("q", F.array_sort(F.transform("q", lambda i: F.struct(window(i).alias("s"), i.alias("i"))))).drop("w", "bits")
     again = lambda x, i: F.coalesce(F.get("q", i - 1)["s"] == x["s"], F.lit(False)) | F.coalesce(F.get("q", i + 1)["s"] == x["s"], F.lit(False))
     rows = rows.withColumn("q", F.array_sort(F.transform(F.filter("q", again), lambda x: x["i"])))
-    covered = F.aggregate("q", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).alias("last")), lambda a, i: F.struct((a["n"] + F.least(F.lit(3), i - a["last"])).alias("n"), i.alias("last")), lambda a: a["n"])
-    return rows.select("doc_id", *more, "n_words", (F.col("chars") - F.col("blanks")).cast("long").alias("word_chars"), "n_symbols", "n_dup_lines", covered.alias("n_repeat_words"), "n_lines")
+    covered = F.aggregate(
+        "q", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).alias("last")),
+        lambda a, i: F.struct((a["n"] + F.least(F.lit(3), i - a["last"])).alias("n"), i.alias("last")), lambda a: a["n"]
+    )
+    return rows.select(
+        "doc_id", *more, "n_words", (F.col("chars") - F.col("blanks")).cast("long").alias("word_chars"), "n_symbols", "n_dup_lines",
+        covered.alias("n_repeat_words"), "n_lines"
+    )
 
 
 def base_failed() -> Column:
@@ -116,15 +125,24 @@ def thresholds(labelled: DataFrame, stratum: str, alpha: float = ALPHA, delta: f
     good = labelled.where("quality = 1").where(~base_failed())
     first = F.least(*[F.when(F.expr(RULES[name][0]) > cut, t).otherwise(len(PATH)) for t, (name, _, cut) in enumerate(PATH)])
     wide = good.groupBy(stratum).agg(F.count("*").alias("n_good"), *[F.sum((first <= t).cast("long")).alias(f"t{t}") for t in range(len(PATH))])
-    cells = F.array(*[F.struct(F.lit(t).alias("step"), F.lit(name).alias("rule"), F.lit(cut).alias("cutoff"), F.col(f"t{t}").alias("n_rejected")) for t, (name, _, cut) in enumerate(PATH)])
+    cells = F.array(*[F.struct(
+        F.lit(t).alias("step"), F.lit(name).alias("rule"), F.lit(cut).alias("cutoff"), F.col(f"t{t}").alias("n_rejected")
+    ) for t, (name, _, cut) in enumerate(PATH)])
     tests = max(1, labelled.select(stratum).distinct().count())
     tall = wide.select(stratum, "n_good", F.inline(cells))
     safe = binomial_tail(F.col("n_rejected"), F.col("n_good"), alpha) <= F.lit(delta / tests)
     # the first step that fails; those before it are safe
-    held = tall.groupBy(stratum).agg(F.min(F.when(~safe, F.col("step"))).alias("end"), F.max("n_good").alias("n_good"), F.array_sort(F.collect_list(F.struct("step", "rule", "cutoff", "n_rejected"))).alias("steps"))
+    held = tall.groupBy(stratum).agg(
+        F.min(F.when(~safe, F.col("step"))).alias("end"), F.max("n_good").alias("n_good"),
+        F.array_sort(F.collect_list(F.struct("step", "rule", "cutoff", "n_rejected"))).alias("steps")
+    )
     last = F.coalesce("end", F.size("steps")).cast("int")
-    kept = held.where(last > 0).select(stratum, "n_good", F.get("steps", last - 1)["n_rejected"].alias("n_rejected"), F.explode(F.slice("steps", F.lit(1), last)).alias("s"))
-    return kept.groupBy(stratum, F.col("s.rule").alias("rule")).agg(F.max_by("s.cutoff", "s.step").alias("cutoff"), F.max("n_good").alias("n_good"), F.max("n_rejected").alias("n_rejected"))
+    kept = held.where(last > 0).select(
+        stratum, "n_good", F.get("steps", last - 1)["n_rejected"].alias("n_rejected"), F.explode(F.slice("steps", F.lit(1), last)).alias("s")
+    )
+    return kept.groupBy(stratum, F.col("s.rule").alias("rule")).agg(
+        F.max_by("s.cutoff", "s.step").alias("cutoff"), F.max("n_good").alias("n_good"), F.max("n_rejected").alias("n_rejected")
+    )
 
 
 def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
@@ -143,7 +161,10 @@ def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: flo
     return (
         known.join(wide, F.col(stratum).eqNullSafe(F.col("of_stratum")), "left")
         .withColumns({"base_failed": base_failed(), "rejected_by": rejects})
-        .select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & (F.size("rejected_by") == 0)).alias("kept"), F.array_join("rejected_by", ",").alias("rejected_by"))
+        .select(
+            "doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & (F.size("rejected_by") == 0)).alias("kept"),
+            F.array_join("rejected_by", ",").alias("rejected_by")
+        )
     )
 
 
@@ -151,7 +172,9 @@ def oracle(alpha: float = ALPHA, delta: float = DELTA) -> str:
     """The query's rows in DuckDB's SQL."""
     symbols = " + ".join(f"(length(t) - length(replace(t, '{c}', '')))" for c in SYMBOLS)
     grid = ", ".join(f"('{name}', {t}, {cut!r}::double)" for t, (name, _, cut) in enumerate(PATH))
-    signal = "case rule " + " ".join(f"when '{name}' then {s.replace('100.0', '100.0::double').replace('10.0 ', '10.0::double ')}" for name, (s, _) in RULES.items()) + " end"
+    signal = "case rule " + " ".join(
+        f"when '{name}' then {s.replace('100.0', '100.0::double').replace('10.0 ', '10.0::double ')}" for name, (s, _) in RULES.items()
+    ) + " end"
     return f"""
     with t as (select row_number() over () as r, doc_id, lang, coalesce(text, '') as t from documents),
     w as (select r, doc_id, lang, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') as w from t),

@@ -95,7 +95,10 @@ def _refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 index, value, visitor = ball(fps[mine], shift, width)
                 at = mine[index]
                 key = keys[at] | (value.astype(np.int64) << 36) | (part + 1 << 48)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fps[at].view(np.int64)), pa.array((first[at] | visitor.astype(np.int8) << 1).astype(np.int8))], ["key", "fp", "visitor"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key), pa.array(fps[at].view(np.int64)), pa.array((first[at] | visitor.astype(np.int8) << 1).astype(np.int8))],
+                    ["key", "fp", "visitor"]
+                )
 
 
 def _forest(fps: np.ndarray, visitor: np.ndarray, distance: int) -> list[tuple[int, int]]:

@@ -324,8 +324,14 @@ def _store(docs: DataFrame, block_bytes: int, carry: list[str], total: int) -> D
 
         def row() -> pa.RecordBatch:
             sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-            data = [[block], [np.array(ids, np.int64).tobytes()], [sizes.tobytes()], [int(sizes.sum())], [zstandard.compress(b"".join(texts), 1)], [_stream(extra) if carry else None]]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(data, (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["block", "docs", "sizes", "n_bytes", "packed", "extra"])
+            data = [
+                [block], [np.array(ids, np.int64).tobytes()], [sizes.tobytes()], [int(sizes.sum())], [zstandard.compress(b"".join(texts), 1)],
+                [_stream(extra) if carry else None]
+            ]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(data, (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary()), strict=True)],
+                ["block", "docs", "sizes", "n_bytes", "packed", "extra"]
+            )
 
         for batch in batches:
             for at, (doc, text) in enumerate(zip(batch.column("~doc"), batch.column("~text"), strict=True)):
@@ -417,7 +423,10 @@ def repeated_passages(docs: DataFrame, block_bytes: int = BLOCK_BYTES, range_byt
             n = int(mask.sum())
             spans = int(mask[:1].sum()) + int((mask[1:] & ~mask[:-1]).sum()) if n else 0
             rows.append((doc, len(data), n, spans, hashlib.sha256(data[~mask] if n else data).hexdigest()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (*[pa.int64()] * 4, pa.string()), strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (*[pa.int64()] * 4, pa.string()), strict=True)],
+            ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+        )
 
     return _decided(docs, output, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", block_bytes, range_bytes, (), fan, relay_bytes)
 

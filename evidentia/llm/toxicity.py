@@ -173,7 +173,9 @@ class Grammar:
     slope: float = 1.0
 
     def __post_init__(self) -> None:
-        self.kind = {w: k for k, ws in (("target", TARGETS), ("report", REPORTS), ("negation", NEGATIONS), ("threat", THREATS)) for w in ws} | dict.fromkeys(self.weight, "insult")
+        self.kind = {w: k for k, ws in (
+            ("target", TARGETS), ("report", REPORTS), ("negation", NEGATIONS), ("threat", THREATS)
+        ) for w in ws} | dict.fromkeys(self.weight, "insult")
         self.threat = max(self.weight.values(), default=3.0)
         self.open = frozenset(self.weight) | frozenset(THREATS)
         self.learn(self.factor)
@@ -231,9 +233,14 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Grammar:
                 seen["", toxic] += 1
         if seen:
             keys, n = zip(*seen.items(), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys], pa.int32()), pa.array(n, pa.int64())], ["word", "toxic", "n"])
-
-    counted = in_batches(train).mapInArrow(vocabulary, "word string, toxic int, n long").groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("good"))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys], pa.int32()), pa.array(n, pa.int64())], ["word", "toxic", "n"]
+            )
+
+    counted = in_batches(train).mapInArrow(vocabulary, "word string, toxic int, n long").groupBy("word").agg(
+        F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"),
+        F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("good")
+    )
     counted = counted.persist()
     total = counted.where("word = ''").first()
     if total is None or not total.bad:

@@ -65,7 +65,9 @@ def revisits(pages: DataFrame, least: int = LEAST_SHARED) -> DataFrame:
     where Spark may split a hot digest.
     """
     large = pages.where(F.col("payload_bytes") >= least)
-    holder = large.groupBy("digest", "payload_bytes").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least"), F.count("*").alias("rows"), F.count("page_id").alias("named"))
+    holder = large.groupBy("digest", "payload_bytes").agg(
+        F.max("page_id").alias("refers_to"), F.min("page_id").alias("least"), F.count("*").alias("rows"), F.count("page_id").alias("named")
+    )
     holder = holder.where("least < refers_to or named < rows and named > 0").select("digest", "payload_bytes", "refers_to")
     return large.join(holder, ["digest", "payload_bytes"]).where("page_id is null or page_id < refers_to").select("page_id", "digest", "refers_to").distinct()
 
@@ -79,7 +81,11 @@ def record(page_id: int | None, url: str, date: str, payload: bytes, refers_to:
     """One uncompressed record; a revisit has the HTTP header alone, whose Content-Length is that of the full payload."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     digest = base64.b32encode(hashlib.sha1(payload, usedforsecurity=False).digest()).decode()
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'none' if page_id is None else page_id}>", f"WARC-Date: {date}", f"WARC-Target-URI: {header_text(url)}", f"WARC-Payload-Digest: sha1:{digest}"]
+    head = [
+        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
+        f"WARC-Record-ID: <urn:page:{'none' if page_id is None else page_id}>", f"WARC-Date: {date}", f"WARC-Target-URI: {header_text(url)}",
+        f"WARC-Payload-Digest: sha1:{digest}"
+    ]
     block = http + payload
     if refers_to is not None:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
@@ -139,7 +145,9 @@ def write_archives(pages: DataFrame, folder: str) -> None:
                     hidden, final = f"{top}/.{uuid.uuid4().hex}", f"{top}/run-{part:06d}-{number:04d}.warc.gz"
                     out, size, number = store.open_output_stream(hidden, compression=None), 0, number + 1
                 squeeze = zlib.compressobj(1, zlib.DEFLATED, 31)
-                data = squeeze.compress(record(row["page_id"], row["url"] or "", row["warc_date"], (row["html"] or "").encode("utf-8", "surrogatepass"), row["refers_to"])) + squeeze.flush()
+                data = squeeze.compress(
+                    record(row["page_id"], row["url"] or "", row["warc_date"], (row["html"] or "").encode("utf-8", "surrogatepass"), row["refers_to"])
+                ) + squeeze.flush()
                 out.write(data)
                 size += len(data)
                 if size >= ARCHIVE_BYTES:
@@ -162,7 +170,10 @@ def captures_of(path: str, archive: bytes) -> list[tuple]:
         if kind == "response" and hashlib.sha1(payload, usedforsecurity=False).digest() != digest:
             raise ValueError(f"payload of {warc['warc-record-id']} does not match its digest")
         name = warc["warc-record-id"].rpartition(":")[2].rstrip(">")
-        rows.append((url_key(warc["warc-target-uri"]), warc["warc-date"], None if name == "none" else int(name), int(http["content-length"]), digest.hex(), kind, refers and int(refers.rpartition(":")[2].rstrip(">")), path, at))
+        rows.append((
+            url_key(warc["warc-target-uri"]), warc["warc-date"], None if name == "none" else int(name), int(http["content-length"]), digest.hex(),
+            kind, refers and int(refers.rpartition(":")[2].rstrip(">")), path, at
+        ))
     return rows
 
 

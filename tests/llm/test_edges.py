@@ -12,7 +12,10 @@ LABELS = "doc_id long, quality int, toxic int"
 
 def rows():
     long_text = "one two three four five six seven eight nine ten " * 6000
-    texts = [None, "", " \n\t ", "word", long_text, "Some plain words that come twice.\n" * 3, "some plain words that come twice.", "é" * 60, "x" * 300, "idiot " * 60, "a b c\n\n a b c", "\x1c\x1d odd <|endoftext|> text   here"]
+    texts = [
+        None, "", " \n\t ", "word", long_text, "Some plain words that come twice.\n" * 3, "some plain words that come twice.", "é" * 60, "x" * 300,
+        "idiot " * 60, "a b c\n\n a b c", "\x1c\x1d odd <|endoftext|> text   here"
+    ]
     made = [(n, t, None if n == 3 else "en", None if n == 4 else "src", 1, None, "w", 5, 6, "k", 0.5, "host", None, True, 7, "p", 8) for n, t in enumerate(texts)]
     return made + [made[5], made[5], (None, None, *made[0][2:]), (None, "text without an id " * 20, *made[0][2:])]
 
@@ -21,8 +24,21 @@ def rows():
 def tables(spark):
     docs = spark.createDataFrame(rows(), DOCS).repartition(3)
     labels = spark.createDataFrame([(0, 1, 0), (4, 1, 0), (5, 0, 0), (9, 0, 1), (None, 1, 1), (6, None, None), (5, 1, None), (9, 0, 1)], LABELS)
-    bench = spark.createDataFrame([(1, "some plain words that come twice.", "x"), (2, None, "y"), (3, "", "z"), (None, "word", "q"), (4, "word", "r"), (1, "some plain words that come twice.", "x")], "item_id long, text string, doc_id string")
-    pages = spark.createDataFrame([(1, "http://a.b/c", "x" * 2000), (2, None, "x" * 2000), (3, "no url \n at all", None), (4, "http://A.b/c?d#e", ""), (4, "http://A.b/c?d#e", ""), (5, "", "x" * 2000), (5, "", "x" * 2000), (None, "http://null/", "x" * 2000), (None, None, "lonely " * 300), (None, None, "lonely " * 300)], "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
+    bench = spark.createDataFrame(
+        [
+            (1, "some plain words that come twice.", "x"), (2, None, "y"), (3, "", "z"), (None, "word", "q"), (4, "word", "r"),
+            (1, "some plain words that come twice.", "x")
+        ],
+        "item_id long, text string, doc_id string"
+    )
+    pages = spark.createDataFrame(
+        [
+            (1, "http://a.b/c", "x" * 2000), (2, None, "x" * 2000), (3, "no url \n at all", None), (4, "http://A.b/c?d#e", ""),
+            (4, "http://A.b/c?d#e", ""), (5, "", "x" * 2000), (5, "", "x" * 2000), (None, "http://null/", "x" * 2000), (None, None, "lonely " * 300),
+            (None, None, "lonely " * 300)
+        ],
+        "page_id long, url string, html string"
+    ).withColumn("digest", F.lit("clash"))
     return {"docs": docs, "labels": labels, "bench": bench, "pages": pages}
 
 
@@ -50,7 +66,9 @@ def test_odd_rows(tables, name):
     elif name == "leaks":
         assert {(r.doc_id, r.item_id) for r in got} == {(3, 4), (5, 1), (6, 1)}
     elif name == "archive":
-        assert sorted((r.page_id, r.record_type, r.refers_to) for r in got if r.payload_bytes and r.page_id) == [(1, "revisit", 5), (2, "revisit", 5), (5, "response", None), (5, "response", None)]
+        assert sorted((r.page_id, r.record_type, r.refers_to) for r in got if r.payload_bytes and r.page_id) == [
+            (1, "revisit", 5), (2, "revisit", 5), (5, "response", None), (5, "response", None)
+        ]
         assert sorted((r.record_type, r.refers_to or 0) for r in got if r.page_id is None) == [("response", 0), ("response", 0), ("revisit", 5)]
         assert len(got) == 10
 

@@ -264,7 +264,10 @@ def test_archives(spark, sf_dir):
     last = {}
     for p, raw in rows.items():
         last[raw] = max(last.get(raw, p), p)
-    want = {p: (len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if len(raw) >= 1000 and last[raw] != p else "response", last[raw] if len(raw) >= 1000 and last[raw] != p else None) for p, raw in rows.items()}
+    want = {p: (
+        len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if len(raw) >= 1000 and last[raw] != p else "response",
+        last[raw] if len(raw) >= 1000 and last[raw] != p else None
+    ) for p, raw in rows.items()}
     assert {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got} == want
     assert [(r.url_key, r.warc_date, r.page_id) for r in got] == sorted((r.url_key, r.warc_date, r.page_id) for r in got)
 
@@ -334,7 +337,10 @@ def test_binomial_tail(spark, k, n):
 def test_cutoffs_together_reject_at_most_alpha(spark):
     """Rules that each reject 1.5 % of good texts, all different: together they reject more than may be."""
     rows = [(n, "x", 1, 100, 500, 60 if n % 200 < 3 else 0, 8 if 3 <= n % 200 < 6 else 0, 10, 0) for n in range(20_000)]
-    frame = spark.createDataFrame(rows, "doc_id long, lang string, quality int, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_lines long, n_repeat_words long")
+    frame = spark.createDataFrame(
+        rows,
+        "doc_id long, lang string, quality int, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_lines long, n_repeat_words long"
+    )
     cuts = {r.rule: r.cutoff for r in quality_rules.thresholds(frame, "lang").collect()}
     over = sum(100 * r[5] / r[4] > cuts.get("symbols", 1e9) or 100 * r[6] / r[7] > cuts.get("dup_lines", 1e9) for r in rows)
     assert over <= 0.02 * len(rows) and "symbols" in cuts
