@@ -24,7 +24,10 @@ DOCUMENT_KINDS = {"PROJECT.md": "project", "AGENTS.md": "agents", "CONTEXT.md":
 ADR_FOLDERS = ("docs/adr", "docs/adrs", "adr", "adrs")
 STOP_TERMS = "the and for with add update fix task".split()
 # Fixed value of the folder rule: which part of a path names which layer, the first that fits.
-FOLDER_LAYERS = (("presentation", ("components",)), ("logic", ("hooks",)), ("common", ("utils", "lib")), ("services", ("services", "api")), ("types", ("types", "interfaces")))
+FOLDER_LAYERS = (
+    ("presentation", ("components",)), ("logic", ("hooks",)), ("common", ("utils", "lib")), ("services", ("services", "api")),
+    ("types", ("types", "interfaces"))
+)
 
 
 def simple_hash(text: Column) -> Column:
@@ -64,7 +67,9 @@ def escaped_controls(text: Column) -> Column:
 def canonical(value: object) -> str:
     """JSON with sorted keys and no blanks; whole numbers without a fraction. Raises ValueError on what is no JSON number."""
     if isinstance(value, dict):
-        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{canonical(value[k])}" for k in sorted(value, key=lambda k: k.encode("utf-16-be", "surrogatepass"))) + "}"
+        return "{" + ",".join(
+            f"{json.dumps(k, ensure_ascii=False)}:{canonical(value[k])}" for k in sorted(value, key=lambda k: k.encode("utf-16-be", "surrogatepass"))
+        ) + "}"
     if isinstance(value, list):
         return "[" + ",".join(map(canonical, value)) + "]"
     if isinstance(value, float) and value.is_integer() and abs(value) < 1e21:
@@ -145,7 +150,10 @@ def feature(project: Column, layer: Column, path: Column, namespace: Column, nam
     folders = F.when(root > 0, F.filter(folders, lambda s, i: i >= root)).otherwise(folders)
     own = F.transform(F.split(project, "[._-]"), F.lower)
     spaces = F.filter(F.split(F.coalesce(namespace, F.lit("")), r"\."), lambda s: (s != "") & ~F.array_contains(own, F.lower(s)))
-    prefix = F.regexp_extract(F.coalesce(name, F.lit("")), r"^([A-Z][a-zA-Z0-9]*?)(?:Controller|Service|Handler|Repository|Command|Query|Dto|Request|Response|Entity|Client)?$", 1)
+    prefix = F.regexp_extract(
+        F.coalesce(name, F.lit("")),
+        r"^([A-Z][a-zA-Z0-9]*?)(?:Controller|Service|Handler|Repository|Command|Query|Dto|Request|Response|Entity|Client)?$", 1
+    )
     prefix = F.regexp_replace(F.regexp_replace(prefix, r"(?i)(?:Creation|Create|Update|Delete|Get|List|Sync|Processor|Manager)$", ""), r"^I(?=[A-Z])", "")
     return F.coalesce(_business(folders, layer), _business(spaces, layer), F.when(F.length(prefix) >= 3, _capital(prefix)))
 

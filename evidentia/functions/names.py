@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 #: Default-ignorable characters as ranges of the Unicode property.
-_IGNORABLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0\ufff0-\ufff8\U0001bca0-\U0001bca3\U0001d173-\U0001d17a\U000e0000-\U000e0fff]")
+_IGNORABLE = re.compile(
+    "[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0\ufff0-\ufff8\U0001bca0-\U0001bca3\U0001d173-\U0001d17a\U000e0000-\U000e0fff]"
+)
 
 
 def _finished(value: str) -> str:
@@ -44,7 +46,10 @@ def both_keys(names: pd.Series) -> pd.DataFrame:
 def collisions(names: DataFrame) -> DataFrame:
     """(key, kind, names): groups of different names with an equal key of one kind; two aggregations, one for each kind."""
     keyed = names.where("name is not null").select("name").distinct().withColumn("k", F.pandas_udf(both_keys, "full string, simple string")("name"))
-    tall = keyed.select("name", F.inline(F.array(F.struct(F.lit("full").alias("kind"), F.col("k.full").alias("key")), F.struct(F.lit("simple").alias("kind"), F.col("k.simple").alias("key")))))
+    tall = keyed.select(
+        "name",
+        F.inline(F.array(F.struct(F.lit("full").alias("kind"), F.col("k.full").alias("key")), F.struct(F.lit("simple").alias("kind"), F.col("k.simple").alias("key"))))
+    )
     return tall.groupBy("kind", "key").agg(F.count("*").alias("names")).where("names > 1")
 
 

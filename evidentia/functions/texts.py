@@ -112,7 +112,10 @@ def language(path: Column) -> Column:
     """Language of a path by its extension; null for others."""
     ext = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
     out = F.lit(None).cast("string")
-    for name, exts in (("typescript", ("ts", "tsx")), ("javascript", ("js", "jsx")), ("csharp", ("cs",)), ("python", ("py",)), ("go", ("go",)), ("rust", ("rs",)), ("java", ("java",)), ("markdown", ("md",))):
+    for name, exts in (
+        ("typescript", ("ts", "tsx")), ("javascript", ("js", "jsx")), ("csharp", ("cs",)), ("python", ("py",)), ("go", ("go",)), ("rust", ("rs",)),
+        ("java", ("java",)), ("markdown", ("md",))
+    ):
         out = F.when(ext.isin(*exts), name).otherwise(out)
     return out
 

@@ -11,7 +11,10 @@ from . import search
 
 # Fixed values of discovery: files that mark a project's folder, and the type that each speaks for, the strongest first.
 MARKERS = ("package.json", "pyproject.toml", "go.mod", "Cargo.toml", "requirements.txt", "setup.py", "tsconfig.json")
-TYPES = (("dotnet", r"\.(?:sln|slnx|csproj)$"), ("typescript", r"^tsconfig\.json$"), ("nodejs", r"^package\.json$"), ("python", r"^(?:pyproject\.toml|requirements\.txt|setup\.py)$"), ("go", r"^go\.mod$"), ("rust", r"^Cargo\.toml$"))
+TYPES = (
+    ("dotnet", r"\.(?:sln|slnx|csproj)$"), ("typescript", r"^tsconfig\.json$"), ("nodejs", r"^package\.json$"),
+    ("python", r"^(?:pyproject\.toml|requirements\.txt|setup\.py)$"), ("go", r"^go\.mod$"), ("rust", r"^Cargo\.toml$")
+)
 #: Limits of a collection: files, bytes of a file, of all, and folders deep. Fixed values.
 FILES, FILE_BYTES, ALL_BYTES, DEPTH = 2000, 131_072, 4 << 20, 12
 
@@ -67,7 +70,9 @@ def collected(files: DataFrame, most_files: int = FILES, most_bytes: int = FILE_
     judged = fit.withColumn("code", F.when(deep, "depth_limit").when(large, "file_too_large"))
     sound = judged.where("code is null").drop("code")
     head = sound.orderBy("path").limit(most_files)
-    kept = head.withColumn("running", F.sum("byte_size").over(W.orderBy("path").rowsBetween(W.unboundedPreceding, 0))).where(F.col("running") <= all_bytes).drop("running")
+    kept = head.withColumn(
+        "running", F.sum("byte_size").over(W.orderBy("path").rowsBetween(W.unboundedPreceding, 0))
+    ).where(F.col("running") <= all_bytes).drop("running")
     left = sound.select("path").join(kept.select("path"), "path", "left_anti").agg(F.count("*").alias("files")).select(F.lit("source_limit").alias("code"), "files")
     counts = judged.where("code is not null").groupBy("code").agg(F.count("*").alias("files"))
     return kept, counts.unionByName(left.where("files > 0"))
@@ -88,5 +93,9 @@ def scope_report(matches: DataFrame, wanted: DataFrame, most: int = 500, reasons
     """(workspace, paths, shown, truncated) of the first `most` workspaces that match wanted paths, each with its first paths; and the wanted paths that none matches (path)."""
     hits = matches.join(wanted.select("path").distinct(), "path", "left_semi").distinct()
     ranked = hits.withColumn("nth", F.row_number().over(W.partitionBy("workspace").orderBy("path")))
-    rows = ranked.groupBy("workspace").agg(F.count("*").alias("paths"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("nth") <= reasons, F.col("path")))), ";").alias("shown"))
-    return rows.orderBy("workspace").limit(most).withColumn("truncated", F.col("paths") > reasons), wanted.select("path").distinct().join(hits.select("path"), "path", "left_anti")
+    rows = ranked.groupBy("workspace").agg(
+        F.count("*").alias("paths"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("nth") <= reasons, F.col("path")))), ";").alias("shown")
+    )
+    return rows.orderBy("workspace").limit(most).withColumn("truncated", F.col("paths") > reasons), wanted.select("path").distinct().join(
+        hits.select("path"), "path", "left_anti"
+    )

@@ -30,7 +30,9 @@ def citation(witnesses: DataFrame) -> DataFrame:
 def inspected(tasks: DataFrame, attempts: DataFrame, pending: DataFrame) -> DataFrame:
     """(task, attempts, watermark, reason): every task with its attempts, largest mark and pending reason, null where there is none."""
     per = attempts.groupBy("task").agg(F.count("*").alias("attempts"), F.max("run").alias("watermark"))
-    return tasks.select("task").join(per, "task", "left").join(pending.select("task", "reason"), "task", "left").select("task", F.coalesce("attempts", F.lit(0)).alias("attempts"), "watermark", "reason")
+    return tasks.select("task").join(per, "task", "left").join(pending.select("task", "reason"), "task", "left").select(
+        "task", F.coalesce("attempts", F.lit(0)).alias("attempts"), "watermark", "reason"
+    )
 
 
 def choose_provider(providers: list[dict], languages: set[str], capability: str) -> tuple[dict | None, list[dict]]:

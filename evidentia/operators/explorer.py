@@ -78,8 +78,12 @@ def resolve_target(nodes: DataFrame, text: str) -> DataFrame:
 
 def context(nodes: DataFrame, edges: DataFrame, origin: int, limit: int = 40) -> tuple[DataFrame, DataFrame]:
     """Nodes (id, label, role) and edges of a compact context: the target, the other ends of at most `limit` edges each way, and nodes of its file up to the limit."""
-    out = edges.where(F.col("src") == origin).orderBy("dst", "relation").limit(limit).select(F.col("dst").alias("id"), F.lit("dependency").alias("role"), F.lit(1).alias("r"))
-    into = edges.where(F.col("dst") == origin).orderBy("src", "relation").limit(limit).select(F.col("src").alias("id"), F.lit("dependent").alias("role"), F.lit(2).alias("r"))
+    out = edges.where(F.col("src") == origin).orderBy("dst", "relation").limit(limit).select(
+        F.col("dst").alias("id"), F.lit("dependency").alias("role"), F.lit(1).alias("r")
+    )
+    into = edges.where(F.col("dst") == origin).orderBy("src", "relation").limit(limit).select(
+        F.col("src").alias("id"), F.lit("dependent").alias("role"), F.lit(2).alias("r")
+    )
     one = nodes.where(F.col("id") == origin)
     near = one.select("id", F.lit("target").alias("role"), F.lit(0).alias("r")).unionByName(out).unionByName(into)
     near = near.groupBy("id").agg(F.min_by("role", "r").alias("role"), F.min("r").alias("r"))
@@ -96,7 +100,9 @@ def isolated(nodes: DataFrame, edges: DataFrame, origin: int) -> tuple[DataFrame
     return nodes.join(F.broadcast(ids), "id", "left_semi"), touching
 
 
-def visible(nodes: DataFrame, edges: DataFrame, categories: list[str], layers: list[str], features: list[str], hide_isolated: bool = False) -> tuple[DataFrame, DataFrame]:
+def visible(
+    nodes: DataFrame, edges: DataFrame, categories: list[str], layers: list[str], features: list[str], hide_isolated: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """Nodes of the ticked categories, layers and features (an empty list ticks none) and edges with both ends among them; nodes without such an edge may be hidden."""
     kept = nodes.where(F.col("category").isin(categories) & F.col("layer").isin(layers) & F.col("feature").isin(features))
     inside = graph.induced(edges, kept.select("id"))

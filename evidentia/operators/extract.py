@@ -37,7 +37,11 @@ def resolved(imported: DataFrame, files: DataFrame) -> DataFrame:
     folder = F.split(F.regexp_replace("path", r"/?[^/]*$", ""), "/")
     parts = F.filter(F.concat(folder, F.split("specifier", "/")), lambda p: ~p.isin("", "."))
     none = F.array().cast("array<string>")
-    base = F.aggregate(parts, none, lambda a, p: F.when(p != "..", F.concat(a, F.array(p))).when(F.size(a) > 0, F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(a), lambda a: F.array_join(a, "/"))
+    base = F.aggregate(
+        parts, none,
+        lambda a, p: F.when(p != "..", F.concat(a, F.array(p))).when(F.size(a) > 0, F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(a),
+        lambda a: F.array_join(a, "/")
+    )
     tails = F.array(*map(F.lit, ("", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")))
     rows = imported.where(F.col("specifier").startswith(".")).withColumn("base", base)
     rows = rows.select("path", "specifier", "base", F.posexplode(tails).alias("n", "tail"))
@@ -73,7 +77,10 @@ def native_evidence(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, Data
 def census(declared: DataFrame, name: str, ceiling: int = 256) -> DataFrame:
     """One row: matches of a name and the verdict unique, ambiguous, not_found, or partial beyond the ceiling."""
     n = declared.where(F.col("name") == name).agg(F.count("*").alias("matches"))
-    return n.withColumn("verdict", F.when(F.col("matches") > ceiling, "partial").when(F.col("matches") == 0, "not_found").when(F.col("matches") == 1, "unique").otherwise("ambiguous"))
+    return n.withColumn(
+        "verdict",
+        F.when(F.col("matches") > ceiling, "partial").when(F.col("matches") == 0, "not_found").when(F.col("matches") == 1, "unique").otherwise("ambiguous")
+    )
 
 
 def snapshot_token(files: DataFrame, key: str) -> DataFrame:
@@ -84,7 +91,9 @@ def snapshot_token(files: DataFrame, key: str) -> DataFrame:
     """
     leaf = F.substring(F.sha2("path", 256), 1, 3)
     line = F.concat_ws(":", "path", "sha256")
-    leaves = files.groupBy(key, leaf.alias("leaf")).agg(F.count("*").alias("n"), F.sum("byte_size").alias("b"), F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("d"))
+    leaves = files.groupBy(key, leaf.alias("leaf")).agg(
+        F.count("*").alias("n"), F.sum("byte_size").alias("b"), F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("d")
+    )
     root = F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "leaf", "d"))), "\n"), 256)
     return leaves.groupBy(key).agg(F.sum("n").alias("files"), F.sum("b").alias("bytes"), root.alias("token"))
 

@@ -16,7 +16,12 @@ from .durable import counted, cut
 
 def degrees(edges: DataFrame) -> DataFrame:
     """(id, in_degree, out_degree, total): both ends in one aggregation with partial sums, without a join."""
-    ends = edges.select(F.inline(F.array(F.struct(F.col("src").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")), F.struct(F.col("dst").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o")))))
+    ends = edges.select(F.inline(
+        F.array(
+            F.struct(F.col("src").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")),
+            F.struct(F.col("dst").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o"))
+        )
+    ))
     return ends.groupBy("id").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree")).withColumn("total", F.col("in_degree") + F.col("out_degree"))
 
 
@@ -40,7 +45,10 @@ def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: nodes, edges, distinct files and features (empty ones don't count)."""
-    a = nodes.agg(F.count("*").alias("nodes"), F.countDistinct(F.nullif("file", F.lit(""))).alias("files"), F.countDistinct(F.nullif("feature", F.lit(""))).alias("features"))
+    a = nodes.agg(
+        F.count("*").alias("nodes"), F.countDistinct(F.nullif("file", F.lit(""))).alias("files"),
+        F.countDistinct(F.nullif("feature", F.lit(""))).alias("features")
+    )
     return a.crossJoin(edges.agg(F.count("*").alias("edges")))  # one row each
 
 
@@ -164,7 +172,10 @@ def file_impact(nodes: DataFrame, edges: DataFrame, origins: DataFrame, depth: i
 def merge_origins(impact: DataFrame, keep: int = 8) -> DataFrame:
     """One row per file: its least distance, how many origins reach it, and the nearest `keep` of them by distance and name."""
     ranked = impact.withColumn("rank", F.row_number().over(W.partitionBy("file").orderBy("distance", "origin")))
-    agg = ranked.groupBy("file").agg(F.min("distance").alias("distance"), F.count("*").alias("origins"), F.array_sort(F.collect_list(F.when(F.col("rank") <= keep, F.struct("distance", "origin")))).alias("near"))
+    agg = ranked.groupBy("file").agg(
+        F.min("distance").alias("distance"), F.count("*").alias("origins"),
+        F.array_sort(F.collect_list(F.when(F.col("rank") <= keep, F.struct("distance", "origin")))).alias("near")
+    )
     return agg.select("file", "distance", "origins", F.array_join(F.transform("near", lambda x: x["origin"]), ";").alias("nearest"))
 
 

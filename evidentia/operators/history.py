@@ -14,7 +14,9 @@ from pyspark.sql.window import Window as W
 def changes(entries: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
     """Entries that differ from the one before: added (no value before), deleted (none now), modified; null is no value."""
     before = F.lag(value).over(W.partitionBy(key).orderBy(*order))
-    change = F.when(before.isNull() & F.col(value).isNotNull(), "added").when(before.isNotNull() & F.col(value).isNull(), "deleted").when(before != F.col(value), "modified")
+    change = F.when(before.isNull() & F.col(value).isNotNull(), "added").when(
+        before.isNotNull() & F.col(value).isNull(), "deleted"
+    ).when(before != F.col(value), "modified")
     return entries.withColumn("change", change).where("change is not null")
 
 
@@ -80,7 +82,9 @@ def hash_chain(rows: DataFrame, key: str, order: str, parts: list[str]) -> DataF
             yield table([(now, steps, chain)], last)
 
     def table(done: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), (kind, pa.int64(), pa.string()), strict=True)], [key, "steps", "chain"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(zip(*done, strict=True), (kind, pa.int64(), pa.string()), strict=True)], [key, "steps", "chain"]
+        )
 
     line = rows.select(F.col(key).alias("k"), F.col(order).alias("o"), F.concat_ws("\x1f", *parts).alias("v"))
     return line.repartition("k").sortWithinPartitions("k", "o", "v").drop("o").mapInArrow(fold, f"`{key}` {kind}, steps long, chain string")
@@ -92,7 +96,10 @@ def sample_report(samples: DataFrame, key: str, at: str, value: str, restart: st
     moment = F.unix_micros(F.col(at).cast("timestamp"))
     gap = (moment - F.lag(moment).over(w)) / 1_000_000
     rows = samples.withColumn("gap", F.floor(gap))
-    return rows.groupBy(key).agg(F.count("*").alias("samples"), F.max("gap").alias("longest_gap"), F.count_if(restart).alias("restarts"), F.max(value).alias("peak"), F.round(F.max_by(value, at) - F.min_by(value, at), 4).alias("delta"))
+    return rows.groupBy(key).agg(
+        F.count("*").alias("samples"), F.max("gap").alias("longest_gap"), F.count_if(restart).alias("restarts"), F.max(value).alias("peak"),
+        F.round(F.max_by(value, at) - F.min_by(value, at), 4).alias("delta")
+    )
 
 
 def merge_observations(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -135,7 +142,9 @@ def soak_report(samples: DataFrame, key: str, slack: float = 2.0) -> DataFrame:
     """
     w = W.partitionBy(key).orderBy("at")
     began = F.when(F.col("uptime") >= 0, F.col("at") - F.col("uptime"))
-    rows = samples.withColumn("began", began).withColumns({"gap": F.col("at") - F.lag("at").over(w), "earlier": F.last("began", True).over(w.rowsBetween(W.unboundedPreceding, -1))})
+    rows = samples.withColumn("began", began).withColumns(
+        {"gap": F.col("at") - F.lag("at").over(w), "earlier": F.last("began", True).over(w.rowsBetween(W.unboundedPreceding, -1))}
+    )
     restart = F.coalesce(F.col("began") > F.col("earlier") + slack, F.lit(False))
     agg = rows.groupBy(key).agg(
         F.count("*").alias("samples"), F.count_if(~F.col("live")).alias("liveness_failures"), F.count_if(~F.col("ready")).alias("readiness_failures"), F.count_if(restart).alias("restarts"),

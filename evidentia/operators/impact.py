@@ -70,7 +70,9 @@ def origin_status(origins: DataFrame, nodes: DataFrame, witnessed: DataFrame, ke
     return rows.select("origin", status.alias("status"), finding.alias("finding"), reasons.alias("reasons"))
 
 
-def project_impact(nodes: DataFrame, edges: DataFrame, origins: DataFrame, depth: int = 2, snapshot: str = "", witnesses: int = 256, limit: int = 100, keep: int = 8) -> dict[str, DataFrame]:
+def project_impact(
+    nodes: DataFrame, edges: DataFrame, origins: DataFrame, depth: int = 2, snapshot: str = "", witnesses: int = 256, limit: int = 100, keep: int = 8
+) -> dict[str, DataFrame]:
     """The parts of an impact answer: files (place, file, distance, origins, cut), tests likewise, and the status of each origin."""
     witnessed = with_witnesses(graph.file_impact(nodes, edges, origins, depth), nodes, edges, snapshot)
     items = affected(witnessed, keep)

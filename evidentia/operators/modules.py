@@ -21,7 +21,10 @@ def _all(pattern: str, groups: dict[str, int]) -> Column:
 
 def _named(braces: Column) -> Column:
     """Structs (name, alias) of `{ a, b as c, type d }`."""
-    items = F.filter(F.transform(F.split(F.regexp_replace(braces, r"[{}]", ""), ","), lambda x: F.regexp_replace(F.trim(F.regexp_replace(x, r"\s+", " ")), "^type ", "")), lambda x: x != "")
+    items = F.filter(
+        F.transform(F.split(F.regexp_replace(braces, r"[{}]", ""), ","), lambda x: F.regexp_replace(F.trim(F.regexp_replace(x, r"\s+", " ")), "^type ", "")),
+        lambda x: x != ""
+    )
     part = lambda x, k: F.try_element_at(F.split(x, " as "), F.lit(k))
     return F.transform(items, lambda x: F.struct(part(x, 1).alias("name"), F.coalesce(part(x, 2), part(x, 1)).alias("alias")))
 
@@ -47,21 +50,30 @@ def symbols(files: DataFrame) -> DataFrame:
     for ending in ("Provider", "Context", "Service"):
         category = category.when(name.endswith(ending), ending.lower())
     category = category.when(name.rlike("^[A-Z]") | name.endswith("Component"), "component").otherwise("symbol")
-    return rows.select("path", "name", kind.alias("kind"), category.alias("category"), codes.folder_layer(F.col("path")).alias("layer"), codes.folder_feature(F.col("path")).alias("feature"), "exported", "is_default")
+    return rows.select(
+        "path", "name", kind.alias("kind"), category.alias("category"), codes.folder_layer(F.col("path")).alias("layer"),
+        codes.folder_feature(F.col("path")).alias("feature"), "exported", "is_default"
+    )
 
 
 def import_bindings(files: DataFrame) -> DataFrame:
     """(path, specifier, name, alias): names that a file (path, text) imports; a default import has the name default."""
     rows = files.where(F.col("path").rlike(_CODE)).select("path", F.explode(_all(_IMPORT, {"d": 1, "b": 2, "specifier": 3})).alias("m"))
-    default = F.when(F.col("m.d") != "", F.array(F.struct(F.lit("default").alias("name"), F.col("m.d").alias("alias")))).otherwise(F.array().cast("array<struct<name:string,alias:string>>"))
-    return rows.select("path", F.col("m.specifier").alias("specifier"), F.explode(F.concat(_named(F.col("m.b")), default)).alias("x")).select("path", "specifier", "x.name", "x.alias")
+    default = F.when(
+        F.col("m.d") != "", F.array(F.struct(F.lit("default").alias("name"), F.col("m.d").alias("alias")))
+    ).otherwise(F.array().cast("array<struct<name:string,alias:string>>"))
+    return rows.select(
+        "path", F.col("m.specifier").alias("specifier"), F.explode(F.concat(_named(F.col("m.b")), default)).alias("x")
+    ).select("path", "specifier", "x.name", "x.alias")
 
 
 def re_exports(files: DataFrame) -> DataFrame:
     """(path, specifier, name, alias): names that a file exports from another; `export *` has the name and alias *, `export * as x` the alias x."""
     rows = files.where(F.col("path").rlike(_CODE)).select("path", F.explode(_all(_EXPORT, {"b": 1, "star": 2, "ns": 3, "specifier": 4})).alias("m"))
     star = F.array(F.struct(F.lit(STAR).alias("name"), F.when(F.col("m.ns") != "", F.col("m.ns")).otherwise(STAR).alias("alias")))
-    return rows.select("path", F.col("m.specifier").alias("specifier"), F.explode(F.when(F.col("m.star") != "", star).otherwise(_named(F.col("m.b")))).alias("x")).select("path", "specifier", "x.name", "x.alias")
+    return rows.select(
+        "path", F.col("m.specifier").alias("specifier"), F.explode(F.when(F.col("m.star") != "", star).otherwise(_named(F.col("m.b")))).alias("x")
+    ).select("path", "specifier", "x.name", "x.alias")
 
 
 def pure_barrels(files: DataFrame) -> DataFrame:
@@ -84,10 +96,14 @@ def export_table(files: DataFrame, declared: DataFrame, rounds: int = 64) -> Dat
     them; names only ever grow, so it ends. `export *` passes no default.
     """
     table = cut(declared.select("path", "name", F.col("path").alias("origin"), F.col("name").alias("label")).distinct())
-    steps = cut(_resolved(re_exports(files), files).where("not (name = '*' and alias <> '*')").select("path", "target", F.col("name").alias("wanted"), "alias").distinct())
+    steps = cut(_resolved(re_exports(files), files).where("not (name = '*' and alias <> '*')").select(
+        "path", "target", F.col("name").alias("wanted"), "alias"
+    ).distinct())
     fresh, n = table, 1
     for _ in range(rounds):
-        passed = steps.join(fresh.select(F.col("path").alias("target"), "name", "origin", "label"), "target").where("wanted = name or (wanted = '*' and name <> 'default')")
+        passed = steps.join(
+            fresh.select(F.col("path").alias("target"), "name", "origin", "label"), "target"
+        ).where("wanted = name or (wanted = '*' and name <> 'default')")
         passed = passed.select("path", F.when(F.col("wanted") == STAR, F.col("name")).otherwise(F.col("alias")).alias("name"), "origin", "label").distinct()
         fresh, n = counted(passed.join(table, ["path", "name", "origin", "label"], "left_anti"))
         if not n:
@@ -106,13 +122,22 @@ def import_edges(files: DataFrame, declared: DataFrame, table: DataFrame | None
     there = _resolved(wanted, files)
     found = there.select("path", "target", "name").distinct().join(table.select(F.col("path").alias("target"), "name", "origin", "label"), ["target", "name"])
     origins = found.groupBy("path", "target", "name").agg(F.count("*").alias("n"))
-    rows = found.join(origins, ["path", "target", "name"]).select(F.col("path").alias("src_file"), F.col("origin").alias("dst_file"), "label", F.when(F.col("n") > 1, "ambiguous").otherwise("resolved").alias("verdict"))
-    loose = wanted.join(there.select("path", "specifier").distinct(), ["path", "specifier"], "left_anti").where("name <> 'default'").select("path", F.col("name").alias("label")).distinct()
-    named = loose.join(declared.select(F.col("path").alias("dst_file"), F.col("name").alias("label")), "label").select(F.col("path").alias("src_file"), "dst_file", "label", F.lit("by_name").alias("verdict"))
+    rows = found.join(origins, ["path", "target", "name"]).select(
+        F.col("path").alias("src_file"), F.col("origin").alias("dst_file"), "label",
+        F.when(F.col("n") > 1, "ambiguous").otherwise("resolved").alias("verdict")
+    )
+    loose = wanted.join(
+        there.select("path", "specifier").distinct(), ["path", "specifier"], "left_anti"
+    ).where("name <> 'default'").select("path", F.col("name").alias("label")).distinct()
+    named = loose.join(
+        declared.select(F.col("path").alias("dst_file"), F.col("name").alias("label")), "label"
+    ).select(F.col("path").alias("src_file"), "dst_file", "label", F.lit("by_name").alias("verdict"))
     return rows.unionByName(named).where("src_file <> dst_file").distinct()
 
 
 def barrel_edges(files: DataFrame) -> DataFrame:
     """(src_file, dst_file): files that import or re-export from a pure barrel, which stands for itself in the graph."""
     both = import_bindings(files).select("path", "specifier").unionByName(re_exports(files).select("path", "specifier")).distinct()
-    return _resolved(both, files).join(pure_barrels(files).withColumnRenamed("path", "target"), "target").select(F.col("path").alias("src_file"), F.col("target").alias("dst_file")).distinct()
+    return _resolved(both, files).join(pure_barrels(files).withColumnRenamed("path", "target"), "target").select(
+        F.col("path").alias("src_file"), F.col("target").alias("dst_file")
+    ).distinct()

@@ -29,7 +29,9 @@ def first_wins(rows: DataFrame) -> DataFrame:
 def merge(manual: DataFrame, discovered: DataFrame) -> DataFrame:
     """Manual rows, then discovered ones whose name and path no manual row has, the first of each; with their source."""
     fresh = discovered.join(manual.select("name"), "name", "left_anti").join(manual.select("path"), "path", "left_anti")
-    return manual.select("name", "path", F.lit("manual").alias("source")).unionByName(first_wins(fresh.select("name", "path", "ord")).select("name", "path", F.lit("discovered").alias("source")))
+    return manual.select("name", "path", F.lit("manual").alias("source")).unionByName(
+        first_wins(fresh.select("name", "path", "ord")).select("name", "path", F.lit("discovered").alias("source"))
+    )
 
 
 def upsert(manual: DataFrame, discovered: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -43,7 +45,9 @@ def upsert(manual: DataFrame, discovered: DataFrame, candidates: DataFrame) -> D
 def readiness(rows: DataFrame) -> DataFrame:
     """(check, conflicts): names with several paths, paths with several names, ids with several paths."""
     def bad(key: str, value: str):
-        return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.countDistinct(value).alias("n")).where("n > 1").agg(F.lit(f"{key}_{value}").alias("check"), F.count("*").alias("conflicts"))
+        return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.countDistinct(value).alias("n")).where("n > 1").agg(
+            F.lit(f"{key}_{value}").alias("check"), F.count("*").alias("conflicts")
+        )
 
     return bad("name", "path").unionByName(bad("path", "name")).unionByName(bad("project_id", "path"))
 
@@ -51,7 +55,9 @@ def readiness(rows: DataFrame) -> DataFrame:
 def session_link(outcomes: DataFrame, sessions: DataFrame) -> DataFrame:
     """(task, status): whether the session of a task's active outcome was observed; outcomes: task, run, session; sessions: id, active rows only."""
     rows = outcomes.join(sessions.select(F.col("id").alias("session"), F.lit(True).alias("seen")).distinct(), "session", "left")
-    status = F.when(F.col("run").isNull(), "active_outcome_missing").when(F.col("session").isNull(), "origin_session_not_recorded").when(F.col("seen"), "observed").otherwise("missing_from_session_snapshot")
+    status = F.when(F.col("run").isNull(), "active_outcome_missing").when(
+        F.col("session").isNull(), "origin_session_not_recorded"
+    ).when(F.col("seen"), "observed").otherwise("missing_from_session_snapshot")
     return rows.select("task", status.alias("status"))
 
 
@@ -64,9 +70,15 @@ def diff_audit(changed: DataFrame, writable: DataFrame) -> DataFrame:
 def audit_receipt(audit: DataFrame) -> DataFrame:
     """(paths, outside, receipt): an audit's counts and a digest of its sorted rows, over 256 leaves by the hash of the path."""
     path = F.col("path").cast("string")
-    leaves = audit.groupBy(F.substring(F.sha2(path, 256), 1, 2).alias("leaf")).agg(F.count("*").alias("n"), F.count_if(F.col("verdict") == "outside_write").alias("o"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", path, "verdict"))), "\n"), 256).alias("d"))
+    leaves = audit.groupBy(F.substring(F.sha2(path, 256), 1, 2).alias("leaf")).agg(
+        F.count("*").alias("n"), F.count_if(F.col("verdict") == "outside_write").alias("o"),
+        F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", path, "verdict"))), "\n"), 256).alias("d")
+    )
     root = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("leaf", "d"))), lambda x: x["d"]), "\n")
-    return leaves.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("paths"), F.coalesce(F.sum("o"), F.lit(0)).alias("outside"), F.concat(F.lit("audit_"), F.sha2(root, 256)).alias("receipt"))
+    return leaves.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("paths"), F.coalesce(F.sum("o"), F.lit(0)).alias("outside"),
+        F.concat(F.lit("audit_"), F.sha2(root, 256)).alias("receipt")
+    )
 
 
 def tree_match(tree: DataFrame, live: DataFrame, snapshot: DataFrame) -> DataFrame:

@@ -43,7 +43,9 @@ def classify(distance: Column, truncated: Column, semantics: Column, writes: Col
     """(category, rule) of an affected path."""
     risky = semantics.isin("public_signature", "interface_contract", "schema_migration", "unknown")
     category = F.when(writes, "write").when(deletes | truncated | risky | (distance <= 2), "watch").otherwise("impact")
-    rule = F.when(deletes & ~writes, "delete_intent_awareness").when(truncated, "truncated_attribution").when(risky | (distance <= 2), "distance_1_2_awareness").otherwise("transitive_impact")
+    rule = F.when(deletes & ~writes, "delete_intent_awareness").when(truncated, "truncated_attribution").when(
+        risky | (distance <= 2), "distance_1_2_awareness"
+    ).otherwise("transitive_impact")
     return category, rule
 
 
@@ -62,7 +64,10 @@ def conflicts(left: DataFrame, right: DataFrame) -> DataFrame:
 def conflict_summary(pairs: DataFrame) -> DataFrame:
     """One row: overlaps and the gravest severity (none without any)."""
     rank = F.min(F.when(F.col("severity") == "high", 0).when(F.col("severity") == "warning", 1).otherwise(2))
-    return pairs.agg(F.count("*").alias("overlaps"), F.coalesce(F.element_at(F.array(F.lit("high"), F.lit("warning"), F.lit("info")), rank + 1), F.lit("none")).alias("severity"))
+    return pairs.agg(
+        F.count("*").alias("overlaps"),
+        F.coalesce(F.element_at(F.array(F.lit("high"), F.lit("warning"), F.lit("info")), rank + 1), F.lit("none")).alias("severity")
+    )
 
 
 def within_budget(rows: DataFrame, key: list[str], order: list[str], cost: str, budget: float) -> DataFrame:

@@ -65,9 +65,15 @@ def project_rollup(files: DataFrame) -> DataFrame:
 
 def overview(files: DataFrame, edges: DataFrame, documents: DataFrame) -> DataFrame:
     """One row: counts of files, projects, layers, features, dependencies and documents, and the ways in which the project can be divided."""
-    a = files.agg(F.count("*").alias("files"), F.countDistinct("project").alias("projects"), F.countDistinct("layer").alias("layers"), F.countDistinct("feature").alias("features"))
+    a = files.agg(
+        F.count("*").alias("files"), F.countDistinct("project").alias("projects"), F.countDistinct("layer").alias("layers"),
+        F.countDistinct("feature").alias("features")
+    )
     row = a.crossJoin(edges.agg(F.count("*").alias("dependencies"))).crossJoin(documents.agg(F.count("*").alias("documents")))  # one row each
-    modes = F.concat(F.array(F.lit("all")), F.when(F.col("projects") > 1, F.array(F.lit("project"), F.lit("layer"))).otherwise(F.array().cast("array<string>")), F.when(F.col("features") > 1, F.array(F.lit("feature"))).otherwise(F.array().cast("array<string>")))
+    modes = F.concat(
+        F.array(F.lit("all")), F.when(F.col("projects") > 1, F.array(F.lit("project"), F.lit("layer"))).otherwise(F.array().cast("array<string>")),
+        F.when(F.col("features") > 1, F.array(F.lit("feature"))).otherwise(F.array().cast("array<string>"))
+    )
     return row.withColumn("modes", F.array_join(modes, ";"))
 
 

@@ -20,12 +20,16 @@ def _capped(rows: DataFrame, order: str, cap: int) -> DataFrame:
     return rows.withColumn("nth", F.row_number().over(W.partitionBy("task_id").orderBy(order))).where(F.col("nth") <= cap + 1)
 
 
-def project_rows(tasks: DataFrame, runs: DataFrame, events: DataFrame, project: str, max_runs: int = MAX_RUNS, max_events: int = MAX_EVENTS) -> tuple[DataFrame, DataFrame, DataFrame]:
+def project_rows(
+    tasks: DataFrame, runs: DataFrame, events: DataFrame, project: str, max_runs: int = MAX_RUNS, max_events: int = MAX_EVENTS
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Tasks of a project, and of each its first runs and events up to the cap and one more; payloads of the kinds that need them, unless too long."""
     own = tasks.where(F.col("project_id") == project)
     ids = own.select(F.col("id").alias("task_id"))
     payload = F.when(F.col("kind").isin(*PAYLOAD_KINDS) & (F.length("payload") <= PAYLOAD_BYTES), F.col("payload"))
-    return own, _capped(runs.join(ids, "task_id", "left_semi"), "id", max_runs), _capped(events.join(ids, "task_id", "left_semi").withColumn("payload", payload), "id", max_events)
+    return own, _capped(runs.join(ids, "task_id", "left_semi"), "id", max_runs), _capped(
+        events.join(ids, "task_id", "left_semi").withColumn("payload", payload), "id", max_events
+    )
 
 
 def observed(tasks: DataFrame, runs: DataFrame, events: DataFrame, project: str, max_runs: int = MAX_RUNS, max_events: int = MAX_EVENTS) -> DataFrame:
@@ -33,7 +37,10 @@ def observed(tasks: DataFrame, runs: DataFrame, events: DataFrame, project: str,
     own, r, e = project_rows(tasks, runs, events, project, max_runs, max_events)
     per = lambda df, name: df.groupBy("task_id").agg(F.count("*").alias(name))
     rows = own.select(F.col("id").alias("task_id")).join(per(r, "runs"), "task_id", "left").join(per(e, "events"), "task_id", "left").fillna(0, ["runs", "events"])
-    return rows.select(F.col("task_id").alias("task"), "runs", "events", F.when((F.col("runs") > max_runs) | (F.col("events") > max_events), "over_limit").otherwise("observed").alias("status"))
+    return rows.select(
+        F.col("task_id").alias("task"), "runs", "events",
+        F.when((F.col("runs") > max_runs) | (F.col("events") > max_events), "over_limit").otherwise("observed").alias("status")
+    )
 
 
 def session_rows(sessions: DataFrame, messages: DataFrame, wanted: DataFrame, counters: list[str]) -> DataFrame:
@@ -48,7 +55,9 @@ def session_rows(sessions: DataFrame, messages: DataFrame, wanted: DataFrame, co
         sound = sound & F.col(c).isNotNull() & (F.col(c) >= 0)
     rows = wanted.join(sessions.select("id", F.col("model").alias("used"), sound.alias("sound")), "id", "left").join(said, "id", "left")
     verdict = F.when(F.col("used").isNull(), "session_missing").when(F.col("used") != F.col("model"), "model_mismatch").when(~F.col("sound"), "invalid_counters")
-    verdict = verdict.when(F.col("asked").isNull() | (F.col("asked.content") != F.col("prompt")), "prompt_mismatch").when(F.col("answer").isNull(), "answer_missing").otherwise("ok")
+    verdict = verdict.when(
+        F.col("asked").isNull() | (F.col("asked.content") != F.col("prompt")), "prompt_mismatch"
+    ).when(F.col("answer").isNull(), "answer_missing").otherwise("ok")
     return rows.select("id", F.col("answer.content").alias("answer"), verdict.alias("verdict"))
 
 
@@ -80,8 +89,12 @@ def verified_labels(labels: DataFrame, index: DataFrame) -> DataFrame:
     asked = cited.select("question", "subject").distinct()
     known = asked.join(index.select("subject", "path").distinct(), "subject").where("path is not null")
     rows = cited.withColumn("c", F.lit(True)).join(known.withColumn("k", F.lit(True)), ["question", "subject", "path"], "full_outer")
-    agg = rows.groupBy("question").agg(F.sum(F.when(F.col("c").isNull(), 1).otherwise(0)).alias("missing"), F.sum(F.when(F.col("k").isNull(), 1).otherwise(0)).alias("unexpected"))
-    verdict = F.when((F.col("missing") > 0) & (F.col("unexpected") > 0), "both").when(F.col("missing") > 0, "missing").when(F.col("unexpected") > 0, "unexpected").otherwise("verified")
+    agg = rows.groupBy("question").agg(
+        F.sum(F.when(F.col("c").isNull(), 1).otherwise(0)).alias("missing"), F.sum(F.when(F.col("k").isNull(), 1).otherwise(0)).alias("unexpected")
+    )
+    verdict = F.when(
+        (F.col("missing") > 0) & (F.col("unexpected") > 0), "both"
+    ).when(F.col("missing") > 0, "missing").when(F.col("unexpected") > 0, "unexpected").otherwise("verified")
     return agg.select("question", "missing", "unexpected", verdict.alias("verdict"))
 
 
@@ -89,7 +102,9 @@ def multiset_difference(expected: DataFrame, actual: DataFrame, key: str, value:
     """(key, value, missing, unexpected): how often a value is expected and not there, or there and not expected; equal counts give no row."""
     n = lambda df, name: df.groupBy(key, value).agg(F.count("*").alias(name))
     both = n(expected, "e").join(n(actual, "a"), [key, value], "full_outer").fillna(0, ["e", "a"])
-    return both.where("e <> a").select(key, value, F.greatest(F.col("e") - F.col("a"), F.lit(0)).alias("missing"), F.greatest(F.col("a") - F.col("e"), F.lit(0)).alias("unexpected"))
+    return both.where("e <> a").select(
+        key, value, F.greatest(F.col("e") - F.col("a"), F.lit(0)).alias("missing"), F.greatest(F.col("a") - F.col("e"), F.lit(0)).alias("unexpected")
+    )
 
 
 def peer_origins(writes: DataFrame, peers: DataFrame) -> DataFrame:
@@ -131,7 +146,9 @@ def diagnosed(rows: DataFrame, column: str, schema: dict[str, str]) -> DataFrame
     doc = F.try_parse_json(column)
     keys = F.coalesce(F.json_object_keys(column), F.array().cast("array<string>"))
     kind = lambda k: F.regexp_extract(F.schema_of_variant(F.try_variant_get(doc, f"$.{k}", "variant")), "^[A-Z]+", 0)
-    found = [F.when(~F.array_contains(keys, k), F.concat(F.lit(k), F.lit(" missing"))).when(kind(k) != t, F.concat(F.lit(k), F.lit(" wrong_type"))) for k, t in schema.items()]
+    found = [F.when(
+        ~F.array_contains(keys, k), F.concat(F.lit(k), F.lit(" missing"))
+    ).when(kind(k) != t, F.concat(F.lit(k), F.lit(" wrong_type"))) for k, t in schema.items()]
     extra = F.transform(F.array_except(keys, F.array(*map(F.lit, schema))), lambda k: F.concat(k, F.lit(" extra_property")))
     codes = F.array_join(F.array_sort(F.concat(F.array_compact(F.array(*found)), extra)), ";")
     return rows.withColumn("codes", F.when(doc.isNull() | ~F.schema_of_variant(doc).startswith("OBJECT"), " not_object").otherwise(codes))

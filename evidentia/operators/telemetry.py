@@ -21,7 +21,9 @@ def inspect(lines: DataFrame) -> DataFrame:
     kind = lambda k: F.expr(f"schema_of_variant(try_variant_get(doc, '$.{k}', 'variant'))")
     paths = lambda k: F.expr(f"try_variant_get(doc, '$.{k}', 'array<variant>')")
     wrong_text = lambda k: (kind(k) != "STRING") | (F.btrim(text(k)) == "")
-    wrong_list = lambda k: ~kind(k).startswith("ARRAY") | F.exists(paths(k), lambda x: (F.schema_of_variant(x) != "STRING") | (F.btrim(F.try_variant_get(x, "$", "string")) == ""))
+    wrong_list = lambda k: ~kind(k).startswith("ARRAY") | F.exists(
+        paths(k), lambda x: (F.schema_of_variant(x) != "STRING") | (F.btrim(F.try_variant_get(x, "$", "string")) == "")
+    )
     code = (
         F.when(F.rtrim(F.regexp_replace("line", "[\r\n]+$", "")) == "", "blank_line")
         .when(F.col("doc").isNull() & (F.size("keys") > F.size(F.array_distinct("keys"))), "duplicate_keys")
@@ -42,7 +44,10 @@ def log_groups(records: DataFrame, sample: int = 5) -> DataFrame:
 
     Runs are made one row each first; then only the first few ids of a group are ever gathered.
     """
-    runs = records.groupBy("profile", "sha", "runId").agg(F.count("*").alias("records"), F.count_if("nexusTools").alias("true_records"), F.sum(F.size("writePaths")).alias("write_entries"), F.sum(F.size("watchPaths")).alias("watch_entries"))
+    runs = records.groupBy("profile", "sha", "runId").agg(
+        F.count("*").alias("records"), F.count_if("nexusTools").alias("true_records"), F.sum(F.size("writePaths")).alias("write_entries"),
+        F.sum(F.size("watchPaths")).alias("watch_entries")
+    )
     ranked = runs.withColumn("nth", F.row_number().over(W.partitionBy("profile", "sha").orderBy(F.asc_nulls_last("runId"))))
     return ranked.groupBy("profile", "sha").agg(
         F.sum("records").alias("records"), F.count("runId").alias("distinct_runs"), F.sum("true_records").alias("true_records"), F.sum("write_entries").alias("write_entries"), F.sum("watch_entries").alias("watch_entries"),
@@ -86,7 +91,9 @@ def completeness(rows: DataFrame, arms: list[str]) -> DataFrame:
     """(repeat, status, tasks): tasks whose every arm completed (complete), some did (partial), none (unavailable)."""
     done = F.count_distinct(F.when(F.col("execution") == "completed", F.col("arm")))
     per = rows.where(F.col("arm").isin(arms)).groupBy("repeat", "task").agg(done.alias("n"))
-    return per.groupBy("repeat", F.when(F.col("n") == len(arms), "complete").when(F.col("n") > 0, "partial").otherwise("unavailable").alias("status")).agg(F.count("*").alias("tasks"))
+    return per.groupBy(
+        "repeat", F.when(F.col("n") == len(arms), "complete").when(F.col("n") > 0, "partial").otherwise("unavailable").alias("status")
+    ).agg(F.count("*").alias("tasks"))
 
 
 def scorecard(expected: DataFrame, observed: DataFrame, group: str, item: str) -> DataFrame:
@@ -94,7 +101,10 @@ def scorecard(expected: DataFrame, observed: DataFrame, group: str, item: str) -
     count = lambda rows, name: rows.groupBy(group, item).agg(F.count("*").alias(name))
     both = count(expected, "e").join(count(observed, "o"), [group, item], "full_outer").na.fill(0, ["e", "o"])
     sums = both.groupBy(group).agg(F.sum(F.least("e", "o")).alias("hits"), F.sum("e").alias("n_expected"), F.sum("o").alias("n_observed"))
-    return sums.select(group, "hits", (F.col("n_expected") - F.col("hits")).alias("missing"), (F.col("n_observed") - F.col("hits")).alias("unexpected"), F.try_divide("hits", "n_observed").alias("precision"), F.try_divide("hits", "n_expected").alias("recall"))
+    return sums.select(
+        group, "hits", (F.col("n_expected") - F.col("hits")).alias("missing"), (F.col("n_observed") - F.col("hits")).alias("unexpected"),
+        F.try_divide("hits", "n_observed").alias("precision"), F.try_divide("hits", "n_expected").alias("recall")
+    )
 
 
 def exclusions(rows: DataFrame, reason: Column) -> DataFrame:

@@ -31,7 +31,10 @@ def declaration_verdict(files: DataFrame, declared: DataFrame, names: DataFrame,
     Not evaluated if the task has no file, a file is too large or differs from the hash that binds it; with a file that did not parse two and more matches are still ambiguous, fewer
     partial; beyond the ceiling partial; else unique, ambiguous or not_found.
     """
-    state = files.groupBy("task").agg(F.max(F.col("byte_size") > most).alias("large"), F.max(~same(F.col("sha256"), F.col("bound"))).alias("unbound"), F.max(~F.col("parsed")).alias("broken"))
+    state = files.groupBy("task").agg(
+        F.max(F.col("byte_size") > most).alias("large"), F.max(~same(F.col("sha256"), F.col("bound"))).alias("unbound"),
+        F.max(~F.col("parsed")).alias("broken")
+    )
     n = declared.join(names, ["task", "name"], "left_semi").groupBy("task", "name").agg(F.count("*").alias("matches"))
     rows = names.join(state, "task", "left").join(n, ["task", "name"], "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
     several = F.col("matches") >= 2
@@ -48,7 +51,10 @@ def completeness_witness(names: DataFrame, paths: DataFrame, declared: DataFrame
     Reasons in order of priority: binding_mismatch, name_list_truncated, uncovered_language, path_unevaluated; a witness without one holds if all its names are unique.
     """
     asked = names.groupBy("task").agg(F.countDistinct("name").alias("names"))
-    seen = paths.groupBy("task").agg(F.count("*").alias("paths"), F.min(F.col("bound")).alias("bound"), F.min(F.col("language").isin(languages)).alias("covered"), F.min(F.col("language").isNotNull()).alias("known"))
+    seen = paths.groupBy("task").agg(
+        F.count("*").alias("paths"), F.min(F.col("bound")).alias("bound"), F.min(F.col("language").isin(languages)).alias("covered"),
+        F.min(F.col("language").isNotNull()).alias("known")
+    )
     hits = declared.join(names.distinct(), ["task", "name"], "left_semi").groupBy("task", "name").agg(F.count("*").alias("n"))
     unique = hits.groupBy("task").agg(F.sum((F.col("n") == 1).cast("long")).alias("unique"))
     rows = asked.join(seen, "task", "left").join(unique, "task", "left")
@@ -56,11 +62,17 @@ def completeness_witness(names: DataFrame, paths: DataFrame, declared: DataFrame
         ("binding_mismatch", F.col("paths").isNull() | ~F.col("bound")), ("name_list_truncated", F.col("names") > most_names),
         ("path_unevaluated", ~F.col("known") & F.coalesce(F.col("covered"), F.lit(True))), ("uncovered_language", ~F.coalesce(F.col("covered"), F.lit(False))),
     ], "")
-    return rows.select("task", "names", F.coalesce("paths", F.lit(0)).alias("paths"), reason.alias("reason"), ((reason == "") & F.coalesce(F.col("unique") == F.col("names"), F.lit(False))).alias("holds"))
+    return rows.select(
+        "task", "names", F.coalesce("paths", F.lit(0)).alias("paths"), reason.alias("reason"),
+        ((reason == "") & F.coalesce(F.col("unique") == F.col("names"), F.lit(False))).alias("holds")
+    )
 
 
 #: Codes of a consumed witness, in the order of its checks. Fixed values.
-WITNESS_CODES = ("symbol_target_evidence_missing", "symbol_target_domain_unsupported", "symbol_target_binding_mismatch", "symbol_target_evidence_inconsistent", "symbol_target_completeness_not_established", "symbol_target_uniqueness_not_established")
+WITNESS_CODES = (
+    "symbol_target_evidence_missing", "symbol_target_domain_unsupported", "symbol_target_binding_mismatch", "symbol_target_evidence_inconsistent",
+    "symbol_target_completeness_not_established", "symbol_target_uniqueness_not_established"
+)
 
 
 def witness_verdict(witnesses: DataFrame, evaluations: DataFrame, required: DataFrame) -> DataFrame:
@@ -71,15 +83,22 @@ def witness_verdict(witnesses: DataFrame, evaluations: DataFrame, required: Data
     """
     keys = F.struct("domain", "names", "paths", "project", "snapshot", "complete", "unique")
     one = witnesses.groupBy("task").agg(F.count("*").alias("n"), F.min(keys).alias("w")).where("n = 1").select("task", "w")
-    told = evaluations.groupBy("task").agg(F.array_sort(F.collect_list("name")).alias("told"), F.collect_set("path").alias("told_paths"), F.collect_set("snapshot").alias("told_snapshots"))
+    told = evaluations.groupBy("task").agg(
+        F.array_sort(F.collect_list("name")).alias("told"), F.collect_set("path").alias("told_paths"),
+        F.collect_set("snapshot").alias("told_snapshots")
+    )
     rows = required.join(one, "task", "left").join(told, "task", "left")
     alike = lambda a, b: same(F.array_sort(F.array_distinct(a)), F.array_sort(F.array_distinct(b)))
     bound = alike(F.col("w.names"), F.col("names")) & alike(F.col("w.paths"), F.col("paths")) & same(F.col("w.project"), F.col("project")) & same(F.col("w.snapshot"), F.col("snapshot"))
     agree = same(F.col("told"), F.array_sort("names")) & (F.size(F.array_except("told_paths", "paths")) == 0) & same(F.col("told_snapshots"), F.array("snapshot"))
     missing, domain, binding, inconsistent, complete, unique = WITNESS_CODES
     code = first_of([
-        (missing, F.col("w").isNull()), (domain, ~same(F.col("w.domain"), F.lit("typescript-direct-declarations"))), (binding, ~bound), (inconsistent, F.col("told").isNull()),
-        (binding, ~F.coalesce(agree, F.lit(False))), (inconsistent, F.col("w.unique") & ~F.col("w.complete")), (complete, ~F.col("w.complete")), (unique, ~F.col("w.unique")),
+        (missing, F.col("w").isNull()), (
+            domain, ~same(F.col("w.domain"), F.lit("typescript-direct-declarations"))
+        ), (binding, ~bound), (inconsistent, F.col("told").isNull()),
+        (binding, ~F.coalesce(agree, F.lit(False))), (
+            inconsistent, F.col("w.unique") & ~F.col("w.complete")
+        ), (complete, ~F.col("w.complete")), (unique, ~F.col("w.unique")),
     ], "ok")
     return rows.select("task", code.alias("code"))
 
@@ -120,10 +139,14 @@ def absence(targets: DataFrame, listings: DataFrame, folders: DataFrame, boundar
     state = folders.select("folder", "complete", F.lit(True).alias("there")).join(named, "folder", "left")
     exact = listings.select("folder", "name", F.lit(True).alias("exact")).distinct()
     alike = listings.select("folder", F.lower("name").alias("low"), F.lit(True).alias("alike")).distinct()
-    crossed = rows.select("path", F.explode(prefixes(F.col("path"))).alias("folder")).join(boundaries.select("folder").distinct(), "folder").select("path", F.lit(True).alias("crossed")).distinct()
+    crossed = rows.select(
+        "path", F.explode(prefixes(F.col("path"))).alias("folder")
+    ).join(boundaries.select("folder").distinct(), "folder").select("path", F.lit(True).alias("crossed")).distinct()
     rows = rows.withColumn("low", F.lower("name")).join(state, "folder", "left").join(exact, ["folder", "name"], "left").join(alike, ["folder", "low"], "left").join(crossed, "path", "left")
     verdict = first_of([
-        ("ancestor_boundary", F.col("crossed")), ("parent_absent", F.col("there").isNull()), ("unknown", ~F.col("complete") | F.col("n").isNull()), ("exists", F.col("exact")),
+        ("ancestor_boundary", F.col("crossed")), ("parent_absent", F.col("there").isNull()), (
+            "unknown", ~F.col("complete") | F.col("n").isNull()
+        ), ("exists", F.col("exact")),
         ("unknown", F.col("alike") | F.col("name").rlike("~[0-9]")),
     ], "absent")
     return rows.select("path", verdict.alias("verdict"))
@@ -142,7 +165,14 @@ def operation_verdict(moves: DataFrame, tree: DataFrame, absences: DataFrame) ->
     known = tree.select("path", F.lit(True).alias("there")).distinct()
     n = moves.groupBy("moved").agg(F.count("*").alias("n"))
     rows = moves.join(known, "path", "left").join(n, "moved").join(absences.select(F.col("path").alias("moved"), "verdict"), "moved", "left")
-    verdict = first_of([("source_missing", F.col("there").isNull()), ("destination_shared", F.col("n") > 1), ("destination_not_observed", F.col("verdict").isNull()), ("destination_exists", F.col("verdict") == "exists"), ("not_proven", F.col("verdict") != "absent")], "ready")
+    verdict = first_of(
+        [
+            ("source_missing", F.col("there").isNull()), ("destination_shared", F.col("n") > 1),
+            ("destination_not_observed", F.col("verdict").isNull()), ("destination_exists", F.col("verdict") == "exists"),
+            ("not_proven", F.col("verdict") != "absent")
+        ],
+        "ready"
+    )
     return rows.select("path", "moved", verdict.alias("verdict"))
 
 
@@ -150,7 +180,10 @@ def operation_verdict(moves: DataFrame, tree: DataFrame, absences: DataFrame) ->
 
 
 #: Checks of a scope request against its evidence, in order. Fixed values.
-SCOPE_GATES = ("task_echo_mismatch", "project_identity_mismatch", "worktree_locator_mismatch", "revision_binding_mismatch", "repository_identity_mismatch", "worktree_identity_mismatch", "snapshot_token_mismatch", "provider_mismatch", "origin_set_mismatch")
+SCOPE_GATES = (
+    "task_echo_mismatch", "project_identity_mismatch", "worktree_locator_mismatch", "revision_binding_mismatch", "repository_identity_mismatch",
+    "worktree_identity_mismatch", "snapshot_token_mismatch", "provider_mismatch", "origin_set_mismatch"
+)
 
 
 def scope_gate(requests: DataFrame) -> DataFrame:
@@ -171,12 +204,18 @@ def scope_gate(requests: DataFrame) -> DataFrame:
         moved = moved | ~f(f"p.revision.{k}").eqNullSafe(f(f"r.revision.{k}"))
     sets = same(F.array_sort(f("r.paths")), F.array_sort(f("i.origins")))
     echo = same(f("r.task"), f("p.task")) & same(F.array_sort(f("r.paths")), F.array_sort(f("p.paths")))
-    gates = dict(zip(SCOPE_GATES, (echo, all3("project"), all3("locator"), coherent, all3("repository"), all3("worktree"), both("snapshot"), both("provider"), sets), strict=True))
+    gates = dict(zip(
+        SCOPE_GATES,
+        (echo, all3("project"), all3("locator"), coherent, all3("repository"), all3("worktree"), both("snapshot"), both("provider"), sets),
+        strict=True
+    ))
     rejected = first_of([(code, ~ok) for code, ok in gates.items()], "")
     silent = f("r.revision.status").isin("unavailable", "unborn", "not_git") | f("r.revision.dirty").isNull() | f("r.revision.commit").isNull() | f("r.revision.linked").isNull()
     unclean = (f("r.revision.status") != "available") | f("r.revision.dirty") | ~f("r.revision.linked")
     status = F.when(rejected != "", "rejected").otherwise(first_of([("not_evaluated", silent), ("stale", moved), ("not_evaluated", unclean)], "available"))
-    code = F.when(rejected != "", rejected).otherwise(first_of([("working_tree_observation_only", silent), ("scope_stale", moved), ("working_tree_observation_only", unclean)], ""))
+    code = F.when(rejected != "", rejected).otherwise(
+        first_of([("working_tree_observation_only", silent), ("scope_stale", moved), ("working_tree_observation_only", unclean)], "")
+    )
     return requests.select("task", status.alias("status"), code.alias("code"))
 
 
@@ -191,7 +230,12 @@ def effective_scope(gated: DataFrame, writes: DataFrame, affected: DataFrame, re
     held = reserved.select("task", "path").distinct().withColumn("reserved", F.lit(True))
     rows = asked.join(affected, ["task", "path"], "full_outer").join(held, ["task", "path"], "full_outer").join(ok, "task", "left_semi")
     rows = rows.withColumns({"writes": F.coalesce("writes", F.lit(False)), "reserved": F.coalesce("reserved", F.lit(False))})
-    category, rule = scope.classify(*(F.coalesce(F.col(c), d) for c, d in (("distance", F.lit(99)), ("truncated", F.lit(False)), ("semantics", F.lit("local_implementation")), ("writes", F.lit(False)), ("deletes", F.lit(False)))))
+    category, rule = scope.classify(
+        *(F.coalesce(F.col(c), d) for c, d in (
+            ("distance", F.lit(99)), ("truncated", F.lit(False)), ("semantics", F.lit("local_implementation")), ("writes", F.lit(False)),
+            ("deletes", F.lit(False))
+        ))
+    )
     return rows.select(
         "task", "path", F.when(F.col("writes"), "write").when(F.col("reserved"), "reserved").otherwise(category).alias("category"),
         F.when(F.col("writes"), "declared_write").when(F.col("reserved"), "strong_coupling").otherwise(rule).alias("rule"),
@@ -204,8 +248,12 @@ def shared_write_evidence(overlaps: DataFrame, left: DataFrame, right: DataFrame
     overlaps: path, left_category, right_category, severity; left, right: path, hash, as each side's own impact has them. Equal hashes keep the severity; different ones are a warning if the commits differ, else nothing is proven. Other pairs
     count only where proven, so they are left out.
     """
-    rows = overlaps.join(left.select("path", F.col("hash").alias("a")), "path").join(right.select("path", F.col("hash").alias("b")), "path").where("left_category = 'write' and right_category = 'write'")
-    return rows.where(same(F.col("a"), F.col("b")) | F.lit(distinct_commits)).withColumn("severity", F.when(F.col("a") == F.col("b"), F.col("severity")).otherwise("warning"))
+    rows = overlaps.join(left.select("path", F.col("hash").alias("a")), "path").join(
+        right.select("path", F.col("hash").alias("b")), "path"
+    ).where("left_category = 'write' and right_category = 'write'")
+    return rows.where(same(F.col("a"), F.col("b")) | F.lit(distinct_commits)).withColumn(
+        "severity", F.when(F.col("a") == F.col("b"), F.col("severity")).otherwise("warning")
+    )
 
 
 def conflict_verdict(overlaps: DataFrame, incomplete: list[str] = (), most: int = 16, distinct_commits: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -216,12 +264,19 @@ def conflict_verdict(overlaps: DataFrame, incomplete: list[str] = (), most: int
     shown = overlaps.withColumn("rank", rank).orderBy("rank", "path").limit(most).drop("rank")
     one = overlaps.agg(F.count("*").alias("total"), F.min(rank).alias("rank"))
     cut = F.col("total") > most
-    reasons = F.array_sort(F.array_distinct(F.concat(F.array(*map(F.lit, incomplete)).cast("array<string>"), F.when(cut, F.array(F.lit("overlap_limit"))).otherwise(F.array().cast("array<string>")))))
+    reasons = F.array_sort(
+        F.array_distinct(F.concat(
+            F.array(*map(F.lit, incomplete)).cast("array<string>"),
+            F.when(cut, F.array(F.lit("overlap_limit"))).otherwise(F.array().cast("array<string>"))
+        ))
+    )
     unsure = F.size(reasons) > 0
     severity = F.when(F.col("rank").isNotNull(), F.element_at(F.array(F.lit("high"), F.lit("warning"), F.lit("info")), F.col("rank") + 1)).when(~unsure, "none")
     action = F.when(severity == "high", "serialize").when(severity == "warning", "revalidate").when(unsure, "reobserve").otherwise("none")
     verdict = one.select(
         F.when(unsure, "incomplete").otherwise("available").alias("status"), F.when(F.col("total") > 0, "overlap_observed").otherwise("no_overlap_observed").alias("finding"),
-        severity.alias("severity"), action.alias("action"), "total", cut.alias("truncated"), (F.lit(distinct_commits) | unsure | F.coalesce(severity.isin("warning", "high"), F.lit(False))).alias("look_again"), F.array_join(reasons, ";").alias("reasons"),
+        severity.alias("severity"), action.alias("action"), "total", cut.alias("truncated"), (F.lit(distinct_commits) | unsure | F.coalesce(
+            severity.isin("warning", "high"), F.lit(False)
+        )).alias("look_again"), F.array_join(reasons, ";").alias("reasons"),
     )
     return verdict, shown

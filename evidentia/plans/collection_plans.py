@@ -17,8 +17,12 @@ _TREE = """t as (select case p_size % 6 when 0 then p_type || '/' || replace(p_b
 def _tree(spark, d):
     p = lens.table(spark, d, "part").where("p_type <> 'PROMO' or p_size % 6 <> 1")
     brand, n = F.regexp_replace("p_brand", "#", ""), F.col("p_size") % 6
-    path = F.when(n == 0, F.concat_ws("/", "p_type", brand, F.lit("package.json"))).when(n == 1, F.concat_ws("/", "p_type", F.lit("package.json"))).when(n == 2, F.concat_ws("/", "p_type", brand, F.lit("x"), F.concat("p_type", F.lit(".csproj"))))
-    path = path.when(n == 3, F.concat_ws("/", F.lit("node_modules"), "p_type", F.lit("package.json"))).when(n == 4, F.concat_ws("/", F.lit("apps"), brand, F.lit("tsconfig.json"))).otherwise(F.concat_ws("/", F.lit("apps"), brand, F.lit("src/main.ts")))
+    path = F.when(n == 0, F.concat_ws("/", "p_type", brand, F.lit("package.json"))).when(n == 1, F.concat_ws("/", "p_type", F.lit("package.json"))).when(
+        n == 2, F.concat_ws("/", "p_type", brand, F.lit("x"), F.concat("p_type", F.lit(".csproj")))
+    )
+    path = path.when(
+        n == 3, F.concat_ws("/", F.lit("node_modules"), "p_type", F.lit("package.json"))
+    ).when(n == 4, F.concat_ws("/", F.lit("apps"), brand, F.lit("tsconfig.json"))).otherwise(F.concat_ws("/", F.lit("apps"), brand, F.lit("src/main.ts")))
     return p.select(path.alias("path"))
 
 
@@ -31,7 +35,11 @@ def project_boundaries(spark, d):
 
 def _sources(spark, d):
     k = F.col("doc_id")
-    path = F.when(k % 17 == 0, F.concat(F.lit("node_modules/"), k.cast("string"), F.lit(".ts"))).when(k % 19 == 0, F.concat(F.lit("a/b/c/d/"), k.cast("string"), F.lit(".py"))).otherwise(F.concat(F.lit("src/"), (k % 7).cast("string"), F.lit("/"), (k % 300).cast("string"), F.lit(".cs")))
+    path = F.when(
+        k % 17 == 0, F.concat(F.lit("node_modules/"), k.cast("string"), F.lit(".ts"))
+    ).when(k % 19 == 0, F.concat(F.lit("a/b/c/d/"), k.cast("string"), F.lit(".py"))).otherwise(F.concat(
+        F.lit("src/"), (k % 7).cast("string"), F.lit("/"), (k % 300).cast("string"), F.lit(".cs")
+    ))
     text = F.coalesce("text", F.lit(""))
     return lens.table(spark, d, "documents").select(path.alias("path"), text.alias("text"), F.octet_length(text).cast("long").alias("byte_size"), k.alias("k"))
 
@@ -132,13 +140,18 @@ case when count(*) filter (where not live or not ready) > 0 or count(*) filter (
 def soak_report(spark, d):
     e = lens.table(spark, d, "events")
     kind = F.col("event_type")
-    samples = e.select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("at"), (kind != "error").alias("live"), (kind != "click").alias("ready"), F.when(kind != "error", F.col("value")).alias("uptime"), (F.col("value") * 3).alias("rss"))
+    samples = e.select(
+        "user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("at"), (kind != "error").alias("live"),
+        (kind != "click").alias("ready"), F.when(kind != "error", F.col("value")).alias("uptime"), (F.col("value") * 3).alias("rss")
+    )
     return history.soak_report(samples, "user_id")
 
 
 @query("select l_orderkey as task, run, status, truncated from (select l_orderkey, l_linenumber as run, l_returnflag as status, row_number() over (order by l_orderkey, l_linenumber, l_returnflag) as n, (select count(*) from (select distinct l_orderkey, l_linenumber, l_returnflag from lineitem where l_linestatus = 'F')) > 30 as truncated from (select distinct l_orderkey, l_linenumber, l_returnflag from lineitem where l_linestatus = 'F')) where n <= 30")
 def history_page(spark, d):
-    rows = lens.table(spark, d, "lineitem").where("l_linestatus = 'F'").select(F.col("l_orderkey").alias("task"), F.col("l_linenumber").alias("run"), F.col("l_returnflag").alias("status")).distinct()
+    rows = lens.table(spark, d, "lineitem").where("l_linestatus = 'F'").select(
+        F.col("l_orderkey").alias("task"), F.col("l_linenumber").alias("run"), F.col("l_returnflag").alias("status")
+    ).distinct()
     return history.page(rows, ["task", "run", "status"], 30)
 
 
@@ -146,7 +159,9 @@ def history_page(spark, d):
 select any_value(paths_) as paths, any_value(o) as outside, 'audit_' || sha256(string_agg(d, chr(10) order by leaf)) as receipt from (select leaf, sha256(string_agg(path || ':' || verdict, chr(10) order by path || ':' || verdict)) as d, count(*) as n from (select *, sha256(path::varchar)[1:2] as leaf from v) group by leaf) l, (select count(*) as paths_, count(*) filter (where verdict = 'outside_write') as o from v) group by ()""")
 def audit_receipt(spark, d):
     li = lens.table(spark, d, "lineitem")
-    return registry.audit_receipt(registry.diff_audit(li.where("l_quantity > 40").select(F.col("l_partkey").alias("path")), li.where("l_returnflag = 'R'").select(F.col("l_partkey").alias("path"))))
+    return registry.audit_receipt(
+        registry.diff_audit(li.where("l_quantity > 40").select(F.col("l_partkey").alias("path")), li.where("l_returnflag = 'R'").select(F.col("l_partkey").alias("path")))
+    )
 
 
 @query("select o_orderkey, row_number() over (order by k, o_orderkey) as place from (select o_orderkey, case o_custkey % 3 when 0 then 2 when 1 then 1 else 0 end as k from orders)")

@@ -59,7 +59,9 @@ def section_rows(task: dict, files: DataFrame, nodes: DataFrame, edges: DataFram
     above = F.lit(False)
     for p in paths:
         above = above | search.within(F.lit(p), F.when(folder == "", ".").otherwise(folder))
-    docs = documents.where(standing | _explicit(F.col("path"), paths) | F.when(F.col("kind") == "adr", codes.lexical(F.concat_ws(" ", "path", "title"), terms)).otherwise(above))
+    docs = documents.where(
+        standing | _explicit(F.col("path"), paths) | F.when(F.col("kind") == "adr", codes.lexical(F.concat_ws(" ", "path", "title"), terms)).otherwise(above)
+    )
     covers = F.lit(False)
     for p in paths:
         covers = covers | search.within(F.lit(p), F.col("folder"))
@@ -81,13 +83,19 @@ def section(rows: DataFrame, limit: int) -> dict:
 
 def context_pack(project: str, task: dict, tables: dict[str, DataFrame], limits: dict[str, int] | None = None, most_bytes: int = 131_072) -> dict:
     """A bounded context pack: sections with their limits, cut from the end of the least important one until its JSON fits, and a content id."""
-    task = {"title": str(task.get("title", "")), "description": str(task.get("description", "")), "paths": sorted(map(relative_path, task.get("paths") or [])), "symbols": sorted(task.get("symbols") or [])}
+    task = {
+        "title": str(task.get("title", "")), "description": str(task.get("description", "")),
+        "paths": sorted(map(relative_path, task.get("paths") or [])), "symbols": sorted(task.get("symbols") or [])
+    }
     limits = LIMITS | (limits or {})
     if set(limits) - set(LIMITS) or any(type(n) is not int or not 0 <= n <= 250 for n in limits.values()):
         raise BadRequest("invalid_limit")
     rows = section_rows(task, *(tables[t] for t in ("files", "nodes", "edges", "documents", "workspaces")))
     sections = {name: section(df, limits[name]) for name, df in rows.items()}
-    pack = {"schemaVersion": 1, "projectId": project, "task": task, "sections": sections, "incomplete": any(s["truncated"] for s in sections.values()), "contextPackId": "context_" + "0" * 64}
+    pack = {
+        "schemaVersion": 1, "projectId": project, "task": task, "sections": sections, "incomplete": any(s["truncated"] for s in sections.values()),
+        "contextPackId": "context_" + "0" * 64
+    }
     for name in CUT_ORDER:
         part = sections.get(name)
         while part and part["items"] and size_of(pack) > most_bytes:
@@ -116,13 +124,19 @@ def task_brief(pack: dict, impact: dict, limits: dict[str, int] | None = None) -
     if pack.get("snapshotToken") != impact.get("snapshotToken") or sorted(pack["task"]["paths"]) != sorted(impact["paths"]):
         raise BadRequest("task_brief_evidence_mismatch")
     tests = impact.get("testCandidates")
-    whole = {"symbols": [f"{_label(s['label'])}@{_label(s['file'])}" for s in pack["sections"]["symbols"]["items"]], "affectedFiles": [*map(_label, impact["affectedFiles"])], "testCandidates": [*map(_label, tests or [])]}
+    whole = {
+        "symbols": [f"{_label(s['label'])}@{_label(s['file'])}" for s in pack["sections"]["symbols"]["items"]],
+        "affectedFiles": [*map(_label, impact["affectedFiles"])], "testCandidates": [*map(_label, tests or [])]
+    }
     shown = {k: v[: values[k]] for k, v in whole.items()}
 
     def text() -> str:
         cut = "; briefTruncated=true" if any(len(shown[k]) < len(whole[k]) for k in shown) else ""
         tested = "Tests " + ", ".join(shown["testCandidates"]) if tests is not None else "Tests (not requested)"
-        return "\n".join(["Symbols " + ", ".join(shown["symbols"]), "Affected " + ", ".join(shown["affectedFiles"]), tested, f"Coverage {impact['status']}; {impact['finding']}; sourceIncomplete={json.dumps(bool(impact['incomplete'] or pack['incomplete']))}{cut}"])
+        return "\n".join([
+            "Symbols " + ", ".join(shown["symbols"]), "Affected " + ", ".join(shown["affectedFiles"]), tested,
+            f"Coverage {impact['status']}; {impact['finding']}; sourceIncomplete={json.dumps(bool(impact['incomplete'] or pack['incomplete']))}{cut}"
+        ])
 
     while len(text().encode()) > values["textBytes"] and any(shown.values()):
         shown[max(shown, key=lambda k: (len(shown[k]), k))].pop()
@@ -238,7 +252,9 @@ class Analyzer:
 #: Codes of refused requests and the HTTP status that tells of them; anything else is 500. Fixed values.
 STATUS_OF = {
     400: ("invalid_path", "invalid_limit", "unknown_field", "missing_project", "invalid_targets", "invalid_task_brief", "invalid_record", "unsupported_question"),
-    404: ("project_unavailable", "project_not_found"), 409: ("context_sources_changed", "context_revision_changed", "context_project_changed", "task_brief_evidence_mismatch"),
+    404: ("project_unavailable", "project_not_found"), 409: (
+        "context_sources_changed", "context_revision_changed", "context_project_changed", "task_brief_evidence_mismatch"
+    ),
     413: ("scope_budget_exceeded", "context_budget_exceeded", "task_brief_budget_exceeded", "impact_budget_exceeded"),
 }
 

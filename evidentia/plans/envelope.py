@@ -21,7 +21,9 @@ def relative_path(value: object) -> str:
     """A canonical relative path, or BadRequest. Backslashes are taken for slashes, blanks around it and a last slash go."""
     if isinstance(value, str) and not value.strip().startswith(("/", "\\")):
         value = re.sub("/+$", "", value.strip().replace("\\", "/"))
-    if not isinstance(value, str) or not 0 < len(value) <= 1024 or re.search(r"[\x00-\x1f\x7f\\]|^[A-Za-z]:", value) or any(p in ("", ".", "..") for p in value.split("/")):
+    if not isinstance(value, str) or not 0 < len(value) <= 1024 or re.search(r"[\x00-\x1f\x7f\\]|^[A-Za-z]:", value) or any(
+        p in ("", ".", "..") for p in value.split("/")
+    ):
         raise BadRequest("invalid_path")
     return value
 
@@ -56,17 +58,28 @@ def context_request(raw: dict) -> dict:
     if not isinstance(raw, dict) or set(raw) - {"projectId", "task", "limits"}:
         raise BadRequest("unknown_field")
     task = raw.get("task")
-    if not isinstance(raw.get("projectId"), str) or not raw["projectId"].strip() or not isinstance(task, dict) or set(task) - {"title", "description", "paths", "symbols"}:
+    if not isinstance(raw.get("projectId"), str) or not raw["projectId"].strip() or not isinstance(task, dict) or set(task) - {
+        "title", "description", "paths", "symbols"
+    }:
         raise BadRequest("invalid_task")
     lists = {k: task.get(k, []) for k in ("paths", "symbols")}
-    if any(not isinstance(v, list) or len(v) > n or len(set(map(str, v))) != len(v) for v, n in zip(lists.values(), (32, 8), strict=True)) or not all(isinstance(s, str) and 0 < len(s) <= 128 for s in lists["symbols"]):
+    if any(not isinstance(v, list) or len(v) > n or len(set(map(str, v))) != len(v) for v, n in zip(lists.values(), (32, 8), strict=True)) or not all(
+        isinstance(s, str) and 0 < len(s) <= 128 for s in lists["symbols"]
+    ):
         raise BadRequest("invalid_task")
     if not isinstance(task.get("title", ""), str) or not isinstance(task.get("description", ""), str):
         raise BadRequest("invalid_task")
     limits = raw.get("limits", {})
     if not isinstance(limits, dict):
         raise BadRequest("invalid_limit")
-    return {"projectId": raw["projectId"].strip(), "task": {"title": task.get("title", ""), "description": task.get("description", ""), "paths": sorted(map(relative_path, lists["paths"])), "symbols": sorted(lists["symbols"])}, "limits": {k: bounded(v, 0, 250, 0) for k, v in limits.items()}}
+    return {
+        "projectId": raw["projectId"].strip(),
+        "task": {
+            "title": task.get("title", ""), "description": task.get("description", ""), "paths": sorted(map(relative_path, lists["paths"])),
+            "symbols": sorted(lists["symbols"])
+        },
+        "limits": {k: bounded(v, 0, 250, 0) for k, v in limits.items()}
+    }
 
 
 def impact_request(raw: dict) -> dict:
@@ -78,7 +91,10 @@ def impact_request(raw: dict) -> dict:
     targets = raw.get("targets")
     if not isinstance(targets, list) or not 0 < len(targets) <= 32 or len(set(map(str, targets))) != len(targets):
         raise BadRequest("invalid_targets")
-    return {"projectId": raw["projectId"].strip(), "targets": sorted(map(relative_path, targets)), "depth": bounded(raw.get("depth"), 1, 5, 2), "limit": bounded(raw.get("limit"), 1, 250, 100)}
+    return {
+        "projectId": raw["projectId"].strip(), "targets": sorted(map(relative_path, targets)), "depth": bounded(raw.get("depth"), 1, 5, 2),
+        "limit": bounded(raw.get("limit"), 1, 250, 100)
+    }
 
 
 def size_of(value: object) -> int:
@@ -124,7 +140,10 @@ def register_analyzer(project_type: str, analyze: Callable) -> None:
 
 
 #: Evidence producers by question.
-QUESTIONS: dict[str, Callable] = {"symbol": search.located, "impact": graph.file_impact, "tests": scope.test_candidates, "history": history.changes, "validated_history": history.active_receipts}
+QUESTIONS: dict[str, Callable] = {
+    "symbol": search.located, "impact": graph.file_impact, "tests": scope.test_candidates, "history": history.changes,
+    "validated_history": history.active_receipts
+}
 
 
 def ask(question: str, *args) -> DataFrame:

@@ -26,7 +26,12 @@ def usage_corroboration(spark, d):
 @query("select l_partkey as path, w[1] as distance, w[2] as origin from (select l_partkey, min((l_linenumber, l_suppkey)) as w from lineitem where l_returnflag <> 'N' and l_linestatus = 'F' group by 1)")
 def dependency_citation(spark, d):
     li = lens.table(spark, d, "lineitem")
-    return evidence.citation(li.select(F.col("l_partkey").alias("path"), F.col("l_linenumber").alias("distance"), F.col("l_suppkey").alias("origin"), (F.col("l_returnflag") != "N").alias("own"), (F.col("l_linestatus") == "F").alias("peer")))
+    return evidence.citation(
+        li.select(
+            F.col("l_partkey").alias("path"), F.col("l_linenumber").alias("distance"), F.col("l_suppkey").alias("origin"),
+            (F.col("l_returnflag") != "N").alias("own"), (F.col("l_linestatus") == "F").alias("peer")
+        )
+    )
 
 
 @query("select o_orderkey as task, coalesce(n, 0) as attempts, watermark, case when o_orderstatus = 'P' then 'quarantined' end as reason from orders left join (select l_orderkey, count(*) as n, max(l_linenumber)::bigint as watermark from lineitem group by 1) on l_orderkey = o_orderkey")

@@ -141,7 +141,10 @@ def _serviced(spark, d):
     p = lens.table(spark, d, "part")
     n = F.col("p_size") % 7
     label = F.when(n == 0, "OrderService").when(n == 1, "OrderController").when(n == 2, "Shop.Tests.Order").otherwise(F.col("p_name"))
-    return p.select(F.col("p_partkey").alias("id"), label.alias("label"), _sample_category().alias("category"), F.col("p_type").alias("kind"), F.concat_ws("/", "p_brand", "p_type").alias("file"), F.col("p_brand").alias("feature"), F.col("p_type").alias("layer"))
+    return p.select(
+        F.col("p_partkey").alias("id"), label.alias("label"), _sample_category().alias("category"), F.col("p_type").alias("kind"),
+        F.concat_ws("/", "p_brand", "p_type").alias("file"), F.col("p_brand").alias("feature"), F.col("p_type").alias("layer")
+    )
 
 
 @query(f"{SERVICED} select src, dst, relation, score from es order by score, src, dst, relation limit 100")
@@ -192,7 +195,10 @@ def visible_nodes(spark, d):
 def _tested(spark, d):
     """Nodes whose files are source paths, some of them tests."""
     n = lens.nodes(spark, d)
-    return n.withColumn("file", F.concat(F.when(F.col("layer").isin("PROMO", "SMALL"), "tests/").otherwise("src/"), F.translate("feature", "#", ""), F.lit("_"), F.lower("layer"), F.lit(".ts")))
+    return n.withColumn(
+        "file",
+        F.concat(F.when(F.col("layer").isin("PROMO", "SMALL"), "tests/").otherwise("src/"), F.translate("feature", "#", ""), F.lit("_"), F.lower("layer"), F.lit(".ts"))
+    )
 
 
 _TESTED = f"{GRAPH}, tn as (select id, case when layer in ('PROMO', 'SMALL') then 'tests/' else 'src/' end || replace(feature, '#', '') || '_' || lower(layer) || '.ts' as file from nodes)"
@@ -200,7 +206,9 @@ _ORIGINS = ["src/Brand2_economy.ts", "src/Brand17_economy.ts", "src/Brand5_large
 
 
 def _project_impact_sql(depth: int, keep: int, budget: int = 60) -> str:
-    sql = _impact_sql(_ORIGINS, depth).replace(GRAPH, _TESTED).replace("join nodes s", "join tn s").replace("join nodes t", "join tn t").replace("join nodes on", "join tn on").replace("walk join nodes using", "walk join tn using")
+    sql = _impact_sql(_ORIGINS, depth).replace(GRAPH, _TESTED).replace("join nodes s", "join tn s").replace("join nodes t", "join tn t").replace("join nodes on", "join tn on").replace(
+        "walk join nodes using", "walk join tn using"
+    )
     return sql + f""", one as (select src, dst, min(relation) as relation from edges group by all),
     wit as (select i.*, 'impact_edge_' || sha256('["snap","native","1","' || witness_src || '","' || witness_dst || '","' || relation || '"]') as witness from impact i join one on src = witness_src and dst = witness_dst),
     rk as (select *, row_number() over (partition by file order by distance, origin, witness) as k from wit),

@@ -58,7 +58,9 @@ def task_marks(spark, d):
 
 @query("select conv_id, count(*) as steps, list_reduce(list_prepend('', list(concat_ws(chr(31), turn::varchar, role, text) order by turn, concat_ws(chr(31), turn::varchar, role, text))), lambda a, b: sha256(a || b)) as chain from conversations group by conv_id")
 def hash_chain(spark, d):
-    return history.hash_chain(lens.table(spark, d, "conversations").withColumn("turn_text", F.col("turn").cast("string")), "conv_id", "turn", ["turn_text", "role", "text"])
+    return history.hash_chain(
+        lens.table(spark, d, "conversations").withColumn("turn_text", F.col("turn").cast("string")), "conv_id", "turn", ["turn_text", "role", "text"]
+    )
 
 
 @query("""with s as (select *, floor((epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts)) / 1000000)::bigint as gap from events)
@@ -76,9 +78,15 @@ select task, n.watermark, case when o.watermark is null then 'imported' when n.w
 def watermark_merge(spark, d):
     def heads(where: str):
         g = lens.table(spark, d, "lineitem").where(where).groupBy(F.col("l_orderkey").alias("task"))
-        return g.agg(F.max("l_linenumber").cast("long").alias("watermark"), F.concat(F.lit("p"), F.max("l_linenumber")).alias("prefix"), F.sum("l_suppkey").cast("string").alias("rows_hash"))
+        return g.agg(
+            F.max("l_linenumber").cast("long").alias("watermark"), F.concat(F.lit("p"), F.max("l_linenumber")).alias("prefix"),
+            F.sum("l_suppkey").cast("string").alias("rows_hash")
+        )
 
     new = heads("l_returnflag <> 'N'")
     marks = F.sequence(F.lit(1).cast("long"), F.col("watermark"))
-    new = new.withColumn("prefixes", F.map_from_arrays(marks, F.transform(marks, lambda n: F.concat(F.when(F.col("task") % 11 == 0, "x").otherwise("p"), n.cast("string")))))
+    new = new.withColumn(
+        "prefixes",
+        F.map_from_arrays(marks, F.transform(marks, lambda n: F.concat(F.when(F.col("task") % 11 == 0, "x").otherwise("p"), n.cast("string"))))
+    )
     return history.merge_observations(heads("l_linestatus = 'F'"), new)

@@ -41,7 +41,9 @@ def stream_minimise(spark, d):
 @query("""with h as (select l_orderkey as task, l_linenumber::bigint as watermark, min(l_linestatus) as rows_hash, max(l_linestatus) as other from lineitem group by all),
 t as (select * from h qualify row_number() over (partition by task order by watermark desc) = 1) select task, watermark, rows_hash from t where rows_hash = other""")
 def watermark_sync(spark, d):
-    rows = _stream(spark, d, "lineitem").select(F.col("l_orderkey").alias("task"), F.col("l_linenumber").cast("long").alias("watermark"), F.col("l_linestatus").alias("rows_hash"))
+    rows = _stream(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("task"), F.col("l_linenumber").cast("long").alias("watermark"), F.col("l_linestatus").alias("rows_hash")
+    )
     at = _folder(spark)
     return usage.synchronise(rows, f"{at}/state", f"{at}/log")[0]
 
@@ -49,5 +51,8 @@ def watermark_sync(spark, d):
 @query("select kind, key, count(*) as names from (select distinct 'full' as kind, name, rtrim(lower(name), ' .') as key from (select regexp_replace(p_name, 'e', case when p_size > 25 then 'E' else 'e' end, 'g') || case when p_size % 2 = 0 then '.' else '' end as name from part) union all select distinct 'simple', name, rtrim(lower(name), ' .') from (select regexp_replace(p_name, 'e', case when p_size > 25 then 'E' else 'e' end, 'g') || case when p_size % 2 = 0 then '.' else '' end as name from part)) group by all having count(*) > 1")
 def name_collisions(spark, d):
     p = lens.table(spark, d, "part")
-    name = F.concat(F.when(F.col("p_size") > 25, F.replace("p_name", F.lit("e"), F.lit("E"))).otherwise(F.col("p_name")), F.when(F.col("p_size") % 2 == 0, ".").otherwise(""))
+    name = F.concat(
+        F.when(F.col("p_size") > 25, F.replace("p_name", F.lit("e"), F.lit("E"))).otherwise(F.col("p_name")),
+        F.when(F.col("p_size") % 2 == 0, ".").otherwise("")
+    )
     return names.collisions(p.select(name.alias("name")))

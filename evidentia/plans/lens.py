@@ -12,7 +12,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as symbols; a file is a brand and type."""
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label"), F.col("p_type").alias("kind"), F.concat_ws("/", "p_brand", "p_type").alias("file"), F.col("p_brand").alias("feature"), F.col("p_type").alias("layer"))
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("id"), F.col("p_name").alias("label"), F.col("p_type").alias("kind"),
+        F.concat_ws("/", "p_brand", "p_type").alias("file"), F.col("p_brand").alias("feature"), F.col("p_type").alias("layer")
+    )
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,7 +23,10 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     relation = F.when(F.col("l_returnflag") == "R", "imports").when(F.col("l_returnflag") == "A", "references").otherwise("uses")
     line = F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("part"), relation.alias("relation"))
     orders = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(line).alias("x"))
-    after = lambda a: F.transform(F.filter("x", lambda b: b["n"] == a["n"] + 1), lambda b: F.struct(a["part"].alias("src"), b["part"].alias("dst"), a["relation"].alias("relation")))
+    after = lambda a: F.transform(
+        F.filter("x", lambda b: b["n"] == a["n"] + 1),
+        lambda b: F.struct(a["part"].alias("src"), b["part"].alias("dst"), a["relation"].alias("relation"))
+    )
     return orders.select(F.inline(F.flatten(F.transform("x", after)))).distinct()
 
 
@@ -34,7 +40,10 @@ GRAPH = f"with recursive {NODES}, {EDGES}"
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as source files: path, text, byte_size, sha256."""
     text = F.coalesce("text", F.lit(""))
-    return table(spark, sf_dir, "documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), text.alias("text"), F.octet_length(text).cast("long").alias("byte_size"), F.sha2(text, 256).alias("sha256"))
+    return table(spark, sf_dir, "documents").select(
+        F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), text.alias("text"),
+        F.octet_length(text).cast("long").alias("byte_size"), F.sha2(text, 256).alias("sha256")
+    )
 
 
 FILES = "files as (select source || '/' || doc_id || '.md' as path, coalesce(text, '') as text, strlen(coalesce(text, ''))::bigint as byte_size, sha256(coalesce(text, '')) as sha256 from documents)"
@@ -43,7 +52,11 @@ FILES = "files as (select source || '/' || doc_id || '.md' as path, coalesce(tex
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as capture records: profile = type, sha = user, run = day, flag = value over 100; path entries from the id."""
     e = table(spark, sf_dir, "events")
-    return e.select(F.date_format("ts", "yyyy-MM-dd").alias("runId"), F.col("event_type").alias("profile"), F.concat(F.lit("u"), F.col("user_id")).alias("sha"), (F.col("value") > 100).alias("nexusTools"), F.array(F.concat(F.lit("w/"), F.col("user_id"))).alias("writePaths"), F.when(F.col("value") > 50, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a"))).alias("watchPaths"), "event_id")
+    return e.select(
+        F.date_format("ts", "yyyy-MM-dd").alias("runId"), F.col("event_type").alias("profile"), F.concat(F.lit("u"), F.col("user_id")).alias("sha"),
+        (F.col("value") > 100).alias("nexusTools"), F.array(F.concat(F.lit("w/"), F.col("user_id"))).alias("writePaths"),
+        F.when(F.col("value") > 50, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a"))).alias("watchPaths"), "event_id"
+    )
 
 
 LOG = """log as (select strftime(ts, '%Y-%m-%d') as runId, event_type as profile, 'u' || user_id as sha, value > 100 as flag,
@@ -52,7 +65,10 @@ LOG = """log as (select strftime(ts, '%Y-%m-%d') as runId, event_type as profile
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of orders as task attempts: task, run, receipt, completion, claim, created, done."""
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("task"), F.col("l_linenumber").cast("long").alias("run"), F.unix_timestamp("l_shipdate").alias("at"), "l_returnflag", "l_linestatus", "l_quantity")
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("task"), F.col("l_linenumber").cast("long").alias("run"), F.unix_timestamp("l_shipdate").alias("at"),
+        "l_returnflag", "l_linestatus", "l_quantity"
+    )
 
 
 def dotnet_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +85,9 @@ def dotnet_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(" {\n  private readonly List<"), named(at(7, 3)), F.lit("> items;\n  public "), named(k), F.lit("("), named(at(11, 5)), F.lit(" a, string b, Guid? c) { var x = new "),
         named(at(13, 1)), F.lit("(a); }\n}\nenum Kind"), k.cast("string"), F.lit(" { A }\n"),
     )
-    return table(spark, sf_dir, "part").select(F.concat_ws("/", F.lit("src"), project, folder, F.concat(named(k), F.lit(".cs"))).alias("path"), text.alias("text"), project.alias("project"))
+    return table(spark, sf_dir, "part").select(
+        F.concat_ws("/", F.lit("src"), project, folder, F.concat(named(k), F.lit(".cs"))).alias("path"), text.alias("text"), project.alias("project")
+    )
 
 
 DOTNET = """dn as (select p_partkey as k, 'Part' || p_partkey || ['Service', 'Controller', 'Repository', 'Dto', 'Handler'][(p_partkey % 5 + 1)::int] as name,
@@ -86,5 +104,11 @@ def module_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     barrel = F.concat(F.lit("// all\nexport { Sym"), at(k + 1), F.lit(" as Sym"), at(k + 1), F.lit(" , Sym"), at(k + 2), F.lit(" as Two"), at(k + 2), F.lit(" } from './m"), at(k + 1), F.lit("';\nexport { Sym"), at(k + 2), F.lit(" as Two"), at(k + 2), F.lit(" } from \"./m"), at(k + 2), F.lit("\";\n"),
                       F.when(k % 50 != 40, F.concat(F.lit("export * from './m"), at(k + 10), F.lit("';\n"))).otherwise(F.lit("")))
     group = k - k % 10
-    plain = F.concat(F.lit("import type { Sym"), at(group + 1), F.lit(" as First, Sym"), at(group + 11), F.lit(", Two"), at(group + 2), F.lit(" } from './m"), at(group), F.lit("';\nimport Main, { Sym"), at(group + k % 9 + 1), F.lit(" } from './m"), at(group + k % 9 + 1), F.lit(".ts';\nimport { Sym7 } from '@lost/pkg';\nexport default class Sym"), at(k), F.lit(" {}\n"))
-    return table(spark, sf_dir, "part").select(F.concat(F.lit("src/m"), at(k), F.lit(".ts")).alias("path"), F.when(k % 10 == 0, barrel).otherwise(plain).alias("text"), k.alias("k"))
+    plain = F.concat(
+        F.lit("import type { Sym"), at(group + 1), F.lit(" as First, Sym"), at(group + 11), F.lit(", Two"), at(group + 2), F.lit(" } from './m"),
+        at(group), F.lit("';\nimport Main, { Sym"), at(group + k % 9 + 1), F.lit(" } from './m"), at(group + k % 9 + 1),
+        F.lit(".ts';\nimport { Sym7 } from '@lost/pkg';\nexport default class Sym"), at(k), F.lit(" {}\n")
+    )
+    return table(spark, sf_dir, "part").select(
+        F.concat(F.lit("src/m"), at(k), F.lit(".ts")).alias("path"), F.when(k % 10 == 0, barrel).otherwise(plain).alias("text"), k.alias("k")
+    )

@@ -10,8 +10,14 @@ from .registered import query
 
 
 def _registries(spark, d):
-    s = lens.table(spark, d, "supplier").select(F.concat(F.lit("n"), F.col("s_suppkey")).alias("name"), F.concat_ws("/", F.lit("r"), "s_nationkey", F.floor("s_acctbal").cast("string")).alias("path"))
-    c = lens.table(spark, d, "customer").select(F.concat(F.lit("n"), F.col("c_custkey")).alias("name"), F.concat_ws("/", F.lit("r"), "c_nationkey", F.floor("c_acctbal").cast("string")).alias("path"), F.col("c_custkey").alias("ord"))
+    s = lens.table(spark, d, "supplier").select(
+        F.concat(F.lit("n"), F.col("s_suppkey")).alias("name"),
+        F.concat_ws("/", F.lit("r"), "s_nationkey", F.floor("s_acctbal").cast("string")).alias("path")
+    )
+    c = lens.table(spark, d, "customer").select(
+        F.concat(F.lit("n"), F.col("c_custkey")).alias("name"),
+        F.concat_ws("/", F.lit("r"), "c_nationkey", F.floor("c_acctbal").cast("string")).alias("path"), F.col("c_custkey").alias("ord")
+    )
     return s, c
 
 
@@ -32,14 +38,19 @@ def registry_upsert(spark, d):
 @query(f"with {REG}, a as (select name, path, null as project_id from m union all select name, path, 'p' || (ord // 2) from k) select 'name_path' as \"check\", count(*) as conflicts from (select name from a group by 1 having count(distinct path) > 1) union all select 'path_name', count(*) from (select path from a group by 1 having count(distinct name) > 1) union all select 'project_id_path', count(*) from (select project_id from a where project_id is not null group by 1 having count(distinct path) > 1)")
 def registry_readiness(spark, d):
     m, k = _registries(spark, d)
-    rows = m.withColumn("project_id", F.lit(None).cast("string")).unionByName(k.select("name", "path", F.concat(F.lit("p"), F.floor(F.col("ord") / 2)).alias("project_id")))
+    rows = m.withColumn("project_id", F.lit(None).cast("string")).unionByName(k.select(
+        "name", "path", F.concat(F.lit("p"), F.floor(F.col("ord") / 2)).alias("project_id")
+    ))
     return registry.readiness(rows)
 
 
 @query("""select o_orderkey as task, case when o_orderstatus = 'P' then 'active_outcome_missing' when o_orderpriority = '5-LOW' then 'origin_session_not_recorded' when o_custkey in (select user_id from events) then 'observed' else 'missing_from_session_snapshot' end as status from orders""")
 def session_link(spark, d):
     o = lens.table(spark, d, "orders")
-    rows = o.select(F.col("o_orderkey").alias("task"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderkey")).alias("run"), F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_custkey")).alias("session"))
+    rows = o.select(
+        F.col("o_orderkey").alias("task"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderkey")).alias("run"),
+        F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_custkey")).alias("session")
+    )
     return registry.session_link(rows, lens.table(spark, d, "events").select(F.col("user_id").alias("id")))
 
 
@@ -55,7 +66,10 @@ select case when sides < 3 then 'missing' when a = b then 'equal' else 'changed'
 def tree_match(spark, d):
     rows = lens.table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.coalesce("text", F.lit("")).alias("text"), "lang", "n_chars")
     of = lambda x, text: x.select("path", F.sha2(text, 256).alias("hash"))
-    return registry.tree_match(of(rows, F.col("text")), of(rows.where("lang <> 'es'"), F.col("text")), of(rows, F.when(F.col("n_chars") > 4000, "x").otherwise(F.col("text"))))
+    return registry.tree_match(
+        of(rows, F.col("text")), of(rows.where("lang <> 'es'"), F.col("text")),
+        of(rows, F.when(F.col("n_chars") > 4000, "x").otherwise(F.col("text")))
+    )
 
 
 @query("select p as path, 'archive/old' || p[5:] as moved from (select source || '/' || doc_id as p from documents) where p like 'src3/%'")

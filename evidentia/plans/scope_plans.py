@@ -36,7 +36,10 @@ def _classes(spark, d, segment: str):
     rank = F.min(F.when(F.col("role") == "write", 0).otherwise(1))
     n = F.count("*")
     rows = _bought(spark, d, segment).groupBy("path").agg(rank.alias("r"), n.alias("n"))
-    return rows.select("path", F.when((F.col("r") == 0) & (F.col("n") > 3), "write").when(F.col("n") > 4, "reserved").when(F.col("n") > 2, "watch").otherwise("impact").alias("category"))
+    return rows.select(
+        "path",
+        F.when((F.col("r") == 0) & (F.col("n") > 3), "write").when(F.col("n") > 4, "reserved").when(F.col("n") > 2, "watch").otherwise("impact").alias("category")
+    )
 
 
 CLASSES = "{0}c as (select path, case when min(case role when 'write' then 0 else 1 end) = 0 and count(*) > 3 then 'write' when count(*) > 4 then 'reserved' when count(*) > 2 then 'watch' else 'impact' end as category from {0} group by path)"
@@ -59,8 +62,14 @@ s as (select a.*, case p_type when 'ECONOMY' then 'public_signature' when 'PROMO
 select path, case when writes then 'write' when deletes or truncated or semantics in ('public_signature', 'unknown') or distance <= 2 then 'watch' else 'impact' end as category,
 case when deletes and not writes then 'delete_intent_awareness' when truncated then 'truncated_attribution' when semantics in ('public_signature', 'unknown') or distance <= 2 then 'distance_1_2_awareness' else 'transitive_impact' end as rule from s""")
 def scope_classes(spark, d):
-    li = lens.table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("path")).agg(F.min("l_linenumber").alias("distance"), (F.count("*") > 40).alias("truncated"), F.bool_or(F.col("l_discount") > 0.09).alias("deletes"), (F.sum("l_quantity") > 900).alias("writes"))
-    part = lens.table(spark, d, "part").select(F.col("p_partkey").alias("path"), F.when(F.col("p_type") == "ECONOMY", "public_signature").when(F.col("p_type") == "PROMO", "unknown").otherwise("local_implementation").alias("semantics"))
+    li = lens.table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("path")).agg(
+        F.min("l_linenumber").alias("distance"), (F.count("*") > 40).alias("truncated"), F.bool_or(F.col("l_discount") > 0.09).alias("deletes"),
+        (F.sum("l_quantity") > 900).alias("writes")
+    )
+    part = lens.table(spark, d, "part").select(
+        F.col("p_partkey").alias("path"),
+        F.when(F.col("p_type") == "ECONOMY", "public_signature").when(F.col("p_type") == "PROMO", "unknown").otherwise("local_implementation").alias("semantics")
+    )
     category, rule = scope.classify(*(F.col(c) for c in ("distance", "truncated", "semantics", "writes", "deletes")))
     return li.join(part, "path").select("path", category.alias("category"), rule.alias("rule"))
 
@@ -73,7 +82,9 @@ def budget_prefix(spark, d):
 
 @query("select o_custkey, array_to_string(list_sort(list_distinct(list(code))), ';') as reasons from (select o_custkey, unnest(['status_' || o_orderstatus, 'prio_' || o_orderpriority]) as code from orders) group by 1")
 def reasons_union(spark, d):
-    rows = lens.table(spark, d, "orders").select("o_custkey", F.array(F.concat(F.lit("status_"), "o_orderstatus"), F.concat(F.lit("prio_"), "o_orderpriority")).alias("codes"))
+    rows = lens.table(spark, d, "orders").select(
+        "o_custkey", F.array(F.concat(F.lit("status_"), "o_orderstatus"), F.concat(F.lit("prio_"), "o_orderpriority")).alias("codes")
+    )
     return scope.reasons(rows, "o_custkey", "codes")
 
 
@@ -81,7 +92,9 @@ def _paths(spark, d):
     """Parts as source paths: small sizes are tests."""
     p = lens.table(spark, d, "part")
     name = F.concat_ws("_", F.translate("p_name", " ", "_"), F.lower(F.regexp_replace("p_brand", "#", "")), F.lower("p_type"))
-    path = F.when(F.col("p_size") < 10, F.concat(F.lit("tests/"), name, F.lit(".test.ts"))).when(F.col("p_size") < 20, F.concat(F.lit("lib/test_"), name, F.lit(".py"))).otherwise(F.concat(F.lit("src/"), name, F.lit(".ts")))
+    path = F.when(
+        F.col("p_size") < 10, F.concat(F.lit("tests/"), name, F.lit(".test.ts"))
+    ).when(F.col("p_size") < 20, F.concat(F.lit("lib/test_"), name, F.lit(".py"))).otherwise(F.concat(F.lit("src/"), name, F.lit(".ts")))
     return p.select(path.alias("path"), F.col("p_brand").alias("brand")).distinct()
 
 

@@ -31,9 +31,14 @@ def lookup_unique(spark, d):
 
 
 def _places(spark, d):
-    c = lens.table(spark, d, "customer").select(F.concat_ws("/", F.lit("r"), (F.col("c_nationkey") % 5).cast("string"), F.col("c_nationkey").cast("string"), F.col("c_custkey").cast("string")).alias("path"))
+    c = lens.table(spark, d, "customer").select(
+        F.concat_ws("/", F.lit("r"), (F.col("c_nationkey") % 5).cast("string"), F.col("c_nationkey").cast("string"), F.col("c_custkey").cast("string")).alias("path")
+    )
     n = lens.table(spark, d, "nation")
-    deep = n.select(F.concat_ws("/", F.lit("r"), (F.col("n_nationkey") % 5).cast("string"), F.col("n_nationkey").cast("string")).alias("folder"), F.col("n_name").alias("project"))
+    deep = n.select(
+        F.concat_ws("/", F.lit("r"), (F.col("n_nationkey") % 5).cast("string"), F.col("n_nationkey").cast("string")).alias("folder"),
+        F.col("n_name").alias("project")
+    )
     top = lens.table(spark, d, "region").select(F.concat_ws("/", F.lit("r"), F.col("r_regionkey").cast("string")).alias("folder"), F.col("r_name").alias("project"))
     return c, deep.unionByName(top)
 
@@ -51,7 +56,10 @@ def nested_paths(spark, d):
     return search.nested(_places(spark, d)[1])
 
 
-SPACES = [{"id": "w1", "folder": "src1", "include": ["src1/**", "src2/*.md"], "exclude": ["src1/1*.md"]}, {"id": "w2", "folder": "src3"}, {"id": "w3", "folder": ".", "include": ["**/7?.md"]}]
+SPACES = [
+    {"id": "w1", "folder": "src1", "include": ["src1/**", "src2/*.md"], "exclude": ["src1/1*.md"]}, {"id": "w2", "folder": "src3"},
+    {"id": "w3", "folder": ".", "include": ["**/7?.md"]}
+]
 
 
 @query(f"""with {FILES} select path, 'w1' as workspace from files where (path = 'src1' or path like 'src1/%' or (path like 'src2/%.md')) and not path like 'src1/1%.md'

@@ -14,7 +14,10 @@ from . import context
 from .envelope import BadRequest, context_request, impact_request, parsed_limit
 
 #: Tools by name with the properties of their closed requests.
-TOOLS = {"project_task_context": ("projectId", "task", "limits"), "project_impact": ("projectId", "targets", "depth", "limit"), "search": ("projectId", "query", "limit"), "expand": ("projectId", "node"), "effective_task_scope": ("projectId", "task")}
+TOOLS = {
+    "project_task_context": ("projectId", "task", "limits"), "project_impact": ("projectId", "targets", "depth", "limit"),
+    "search": ("projectId", "query", "limit"), "expand": ("projectId", "node"), "effective_task_scope": ("projectId", "task")
+}
 
 
 @dataclass
@@ -30,9 +33,17 @@ def effective_task_scope(project: Project, task: dict, depth: int = 2) -> DataFr
     spark = project.tables["nodes"].sparkSession
     paths = spark.createDataFrame([(p,) for p in task["paths"]], "path string")  # a bounded request
     origins = paths.select(F.col("path").alias("origin"), F.col("path").alias("file"))
-    found = impact.affected(impact.with_witnesses(graph.file_impact(project.tables["nodes"], project.tables["edges"], origins, depth), project.tables["nodes"], project.tables["edges"], project.snapshot))
+    found = impact.affected(
+        impact.with_witnesses(
+            graph.file_impact(project.tables["nodes"], project.tables["edges"], origins, depth), project.tables["nodes"], project.tables["edges"],
+            project.snapshot
+        )
+    )
     name = F.lit(task.get("title", ""))
-    affected = found.select(name.alias("task"), F.col("file").alias("path"), "distance", F.col("cut").alias("truncated"), F.lit("local_implementation").alias("semantics"), F.lit(False).alias("deletes"))
+    affected = found.select(
+        name.alias("task"), F.col("file").alias("path"), "distance", F.col("cut").alias("truncated"),
+        F.lit("local_implementation").alias("semantics"), F.lit(False).alias("deletes")
+    )
     gated = spark.createDataFrame([(task.get("title", ""), "available")], "task string, status string")
     return verdicts.effective_scope(gated, paths.select(name.alias("task"), "path"), affected, affected.select("task", "path").limit(0))
 
@@ -47,7 +58,11 @@ def _impact(project: Project, body: dict) -> dict:
     spark = project.tables["nodes"].sparkSession
     origins = spark.createDataFrame([(t, t) for t in asked["targets"]], "origin string, file string")
     parts = impact.project_impact(project.tables["nodes"], project.tables["edges"], origins, asked["depth"], project.snapshot, limit=asked["limit"])
-    return {"affectedFiles": _rows(parts["files"].orderBy("place").select("file", "distance", "origins"), asked["limit"]), "affectedTests": _rows(parts["tests"].orderBy("place").select("file", "distance"), asked["limit"]), "targets": _rows(parts["origins"].orderBy("origin"), 32)}
+    return {
+        "affectedFiles": _rows(parts["files"].orderBy("place").select("file", "distance", "origins"), asked["limit"]),
+        "affectedTests": _rows(parts["tests"].orderBy("place").select("file", "distance"), asked["limit"]),
+        "targets": _rows(parts["origins"].orderBy("origin"), 32)
+    }
 
 
 def _context(project: Project, body: dict) -> dict:
@@ -74,7 +89,9 @@ def _scope(project: Project, body: dict) -> dict:
     return _rows(effective_task_scope(project, asked["task"]).orderBy("path"), 320)
 
 
-HANDLERS: dict[str, Callable[[Project, dict], dict]] = {"project_task_context": _context, "project_impact": _impact, "search": _search, "expand": _expand, "effective_task_scope": _scope}
+HANDLERS: dict[str, Callable[[Project, dict], dict]] = {
+    "project_task_context": _context, "project_impact": _impact, "search": _search, "expand": _expand, "effective_task_scope": _scope
+}
 
 
 def handle(tool: str, body: object, projects: dict[str, Project], handlers: dict[str, Callable[[Project, dict], dict]] | None = None) -> tuple[int, dict]:

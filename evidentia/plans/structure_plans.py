@@ -53,7 +53,11 @@ def project_overview(spark, d):
 def _documents(spark, d):
     """Documents as files of a project: every tenth is an architecture decision, others are notes or manifests."""
     k = F.col("doc_id")
-    path = F.when(k % 10 == 0, F.concat(F.lit("docs/adr/"), k.cast("string"), F.lit(".md"))).when(k % 10 == 1, F.concat(F.lit("a"), k.cast("string"), F.lit("/AGENT.md"))).when(k % 10 == 2, F.concat(F.lit("p"), k.cast("string"), F.lit("/PROJECT.md"))).otherwise(F.concat(F.lit("notes/"), k.cast("string"), F.lit(".txt")))
+    path = F.when(
+        k % 10 == 0, F.concat(F.lit("docs/adr/"), k.cast("string"), F.lit(".md"))
+    ).when(k % 10 == 1, F.concat(F.lit("a"), k.cast("string"), F.lit("/AGENT.md"))).when(
+        k % 10 == 2, F.concat(F.lit("p"), k.cast("string"), F.lit("/PROJECT.md"))
+    ).otherwise(F.concat(F.lit("notes/"), k.cast("string"), F.lit(".txt")))
     text = F.coalesce("text", F.lit(""))
     return lens.table(spark, d, "documents").select(path.alias("path"), text.alias("text"), F.octet_length(text).cast("long").alias("byte_size"), k.alias("k"))
 
@@ -69,7 +73,10 @@ _MANIFESTS = "m as (select 'a' || doc_id || '/AGENT.md' as path, case when doc_i
 def _manifests(spark, d):
     k = F.col("k")
     rows = _documents(spark, d).where("path like 'a%/AGENT.md'")
-    return rows.select("path", F.when(k % 7 != 0, F.concat(F.lit("w"), (F.floor(k / 20) % 40).cast("string"))).alias("id"), F.when(k % 3 == 0, "other").otherwise("shop").alias("project"))
+    return rows.select(
+        "path", F.when(k % 7 != 0, F.concat(F.lit("w"), (F.floor(k / 20) % 40).cast("string"))).alias("id"),
+        F.when(k % 3 == 0, "other").otherwise("shop").alias("project")
+    )
 
 
 @query(f"with {_MANIFESTS}, g as (select *, count(*) over (partition by id) as n from m where id is not null and project = 'shop') select id, path from g where n = 1")
@@ -83,7 +90,10 @@ union all select 0, 'workspace', 'duplicate_workspace_id', path from g where n >
 union all select 1, 'document', 'document_too_large', 'docs/adr/' || doc_id || '.md' from documents where doc_id % 10 = 0 and strlen(text) > 20000)
 select source, code, path from (select * from e order by r, path, code limit 60)""")
 def index_issues(spark, d):
-    return structure.issues({"workspace": structure.workspace_index(_manifests(spark, d), "shop")[1], "document": structure.document_index(_documents(spark, d), largest=20_000)[1]}, 60)
+    return structure.issues(
+        {"workspace": structure.workspace_index(_manifests(spark, d), "shop")[1], "document": structure.document_index(_documents(spark, d), largest=20_000)[1]},
+        60
+    )
 
 
 @query("""with f as (select 'packages/' || lower(replace(p_brand, '#', '')) || '/' || p_type || case when p_size % 3 = 0 then '/package.json' when p_size % 3 = 1 then '/' || p_type || '.csproj' else '/index.ts' end as path from part)
@@ -135,19 +145,30 @@ def simple_hashes(spark, d):
 @query("select event_id, '{\"a\":{\"b\":[1,2.5,null],\"k\":' || (props::json ->> 'k') || '},\"user\":\"u' || user_id || '\",\"z\":' || (value * 100)::int || '}' as canonical, strlen(canonical)::int as n_bytes from events")
 def canonical_json(spark, d):
     e = lens.table(spark, d, "events")
-    raw = F.concat(F.lit('{ "z": '), F.round(F.col("value") * 100).cast("int").cast("string"), F.lit('.0, "user" : "u'), F.col("user_id").cast("string"), F.lit('", "a": {"k": '), F.get_json_object("props", "$.k"), F.lit(', "b": [1.0, 2.50, null]}}'))
+    raw = F.concat(
+        F.lit('{ "z": '), F.round(F.col("value") * 100).cast("int").cast("string"), F.lit('.0, "user" : "u'), F.col("user_id").cast("string"),
+        F.lit('", "a": {"k": '), F.get_json_object("props", "$.k"), F.lit(', "b": [1.0, 2.50, null]}}')
+    )
     return e.select("event_id", codes.canonical_json(raw).alias("canonical")).withColumn("n_bytes", F.octet_length("canonical"))
 
 
-@query("""select p_partkey, case p_size % 4 when 0 then 'Part' || p_partkey when 1 then p_type when 2 then p_name else null end as clean from part""".replace("p_name else", "split_part(p_name, ' ', 2) else"))
+@query("""select p_partkey, case p_size % 4 when 0 then 'Part' || p_partkey when 1 then p_type when 2 then p_name else null end as clean from part""".replace(
+    "p_name else", "split_part(p_name, ' ', 2) else"
+))
 def clean_types(spark, d):
-    raw = F.when(F.col("p_size") % 4 == 0, F.concat(F.lit("List<Part"), F.col("p_partkey").cast("string"), F.lit(">?"))).when(F.col("p_size") % 4 == 1, F.concat(F.lit("Map<string, "), "p_type", F.lit("[]>"))).when(F.col("p_size") % 4 == 2, F.concat(F.lit("("), "p_name", F.lit(")"))).otherwise("<?>")
+    raw = F.when(
+        F.col("p_size") % 4 == 0, F.concat(F.lit("List<Part"), F.col("p_partkey").cast("string"), F.lit(">?"))
+    ).when(
+        F.col("p_size") % 4 == 1, F.concat(F.lit("Map<string, "), "p_type", F.lit("[]>"))
+    ).when(F.col("p_size") % 4 == 2, F.concat(F.lit("("), "p_name", F.lit(")"))).otherwise("<?>")
     return lens.table(spark, d, "part").select("p_partkey", codes.clean_type(raw).alias("clean"))
 
 
 @query("""select p_partkey, case p_size % 4 when 0 then p_type when 1 then '"' || p_name || '"' when 2 then null else '"' || p_brand || '\\"\\\\"' end as quoted from part""")
 def quoted_labels(spark, d):
-    raw = F.when(F.col("p_size") % 4 == 0, F.col("p_type")).when(F.col("p_size") % 4 == 1, F.col("p_name")).when(F.col("p_size") % 4 == 2, F.concat("p_name", F.lit("​"))).otherwise(F.concat("p_brand", F.lit('"\\')))
+    raw = F.when(F.col("p_size") % 4 == 0, F.col("p_type")).when(F.col("p_size") % 4 == 1, F.col("p_name")).when(
+        F.col("p_size") % 4 == 2, F.concat("p_name", F.lit("​"))
+    ).otherwise(F.concat("p_brand", F.lit('"\\')))
     return lens.table(spark, d, "part").select("p_partkey", codes.quoted(raw).alias("quoted"))
 
 
@@ -159,7 +180,9 @@ def escaped_text(spark, d):
 @query("""select p_partkey, p_size % 5 in (0, 4) as ok from part""")
 def symbol_labels(spark, d):
     n = F.col("p_size") % 5
-    raw = F.when(n == 0, F.col("p_name")).when(n == 1, F.concat(F.lit("../"), "p_name")).when(n == 2, F.concat(F.lit("https://"), "p_type")).when(n == 3, F.concat("p_name", F.lit("/.git/x"))).otherwise(F.concat(F.lit("std::"), "p_type"))
+    raw = F.when(n == 0, F.col("p_name")).when(n == 1, F.concat(F.lit("../"), "p_name")).when(
+        n == 2, F.concat(F.lit("https://"), "p_type")
+    ).when(n == 3, F.concat("p_name", F.lit("/.git/x"))).otherwise(F.concat(F.lit("std::"), "p_type"))
     return lens.table(spark, d, "part").select("p_partkey", codes.symbol_label(raw).alias("ok"))
 
 
@@ -178,8 +201,17 @@ def lexical_terms(spark, d):
 select distinct path, ['presentation', 'logic', 'common', 'services', 'unknown'][(n + 1)::int] as layer, [p_type, 'shared', 'shared', p_brand, 'shared'][(n + 1)::int] as feature from p""")
 def folder_names(spark, d):
     c = F.col
-    path = F.element_at(F.array(F.concat(F.lit("src/"), c("p_type"), F.lit("/components/"), c("p_name"), F.lit(".tsx")), F.concat(F.lit("app/hooks/"), c("p_type"), F.lit(".ts")), F.concat(F.lit("lib/"), c("p_name"), F.lit(".ts")), F.concat(c("p_brand"), F.lit("/services/x.ts")), F.lit("src/x.ts")), (c("p_size") % 5 + 1).cast("int"))
-    return lens.table(spark, d, "part").select(path.alias("path")).distinct().select("path", codes.folder_layer(c("path")).alias("layer"), codes.folder_feature(c("path")).alias("feature"))
+    path = F.element_at(
+        F.array(
+            F.concat(F.lit("src/"), c("p_type"), F.lit("/components/"), c("p_name"), F.lit(".tsx")),
+            F.concat(F.lit("app/hooks/"), c("p_type"), F.lit(".ts")), F.concat(F.lit("lib/"), c("p_name"), F.lit(".ts")),
+            F.concat(c("p_brand"), F.lit("/services/x.ts")), F.lit("src/x.ts")
+        ),
+        (c("p_size") % 5 + 1).cast("int")
+    )
+    return lens.table(spark, d, "part").select(path.alias("path")).distinct().select(
+        "path", codes.folder_layer(c("path")).alias("layer"), codes.folder_feature(c("path")).alias("feature")
+    )
 
 
 @query("""with k as (select p_partkey as k, p_size % 6 as m, lower(p_type) as t from part)
@@ -187,7 +219,11 @@ select 'src/' || t || '/hooks/m' || k || '.tsx' as path, ['use' || k, 'Part' ||
 ['hook', 'provider', 'component', 'symbol', 'service', 'context'][(m + 1)::int] as category, 'logic' as layer, t as feature, m <> 3 as exported, m = 2 as is_default from k""")
 def module_symbols(spark, d):
     k, m = F.col("p_partkey").cast("string"), F.col("p_size") % 6
-    texts = [F.concat(F.lit("export function use"), k, F.lit("() {}")), F.concat(F.lit("export const Part"), k, F.lit("Provider = 1; const x = 2;")), F.concat(F.lit("import a from 'b'\nexport default abstract class Part"), k, F.lit(" {}")),
-             F.concat(F.lit("async function part"), k, F.lit("() {}\nlet y = 1")), F.lit("export interface PartService {}"), F.lit("export let PartContext = 0\nexport const PartContext = 1")]
+    texts = [F.concat(F.lit("export function use"), k, F.lit("() {}")), F.concat(F.lit("export const Part"), k, F.lit("Provider = 1; const x = 2;")), F.concat(
+        F.lit("import a from 'b'\nexport default abstract class Part"), k, F.lit(" {}")
+    ),
+             F.concat(
+                 F.lit("async function part"), k, F.lit("() {}\nlet y = 1")
+             ), F.lit("export interface PartService {}"), F.lit("export let PartContext = 0\nexport const PartContext = 1")]
     path = F.concat(F.lit("src/"), F.lower("p_type"), F.lit("/hooks/m"), k, F.lit(".tsx"))
     return modules.symbols(lens.table(spark, d, "part").select(path.alias("path"), F.element_at(F.array(*texts), (m + 1).cast("int")).alias("text")))

@@ -15,7 +15,11 @@ def _history(spark, d):
     t = c.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("project_id"))
     r = o.select(F.col("o_custkey").alias("task_id"), F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
     e = li.join(o.select("o_orderkey", "o_custkey"), li.l_orderkey == o.o_orderkey).select(
-        F.col("o_custkey").alias("task_id"), (((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100_000 + F.col("l_partkey")) * 1000 + F.col("l_suppkey")).alias("id"), F.when(F.col("l_returnflag") == "R", "created").otherwise("claimed").alias("kind"), F.repeat("l_returnflag", F.col("l_quantity").cast("int")).alias("payload"))
+        F.col("o_custkey").alias("task_id"), (
+            ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100_000 + F.col("l_partkey")) * 1000 + F.col("l_suppkey")
+        ).alias("id"), F.when(F.col("l_returnflag") == "R", "created").otherwise("claimed").alias("kind"), F.repeat(
+            "l_returnflag", F.col("l_quantity").cast("int")
+        ).alias("payload"))
     return t, r, e
 
 
@@ -45,7 +49,9 @@ def session_rows(spark, d):
     sessions = ids.select("id", F.when(k % 7 == 1, "other").otherwise("model").alias("model"), F.when(k % 7 == 2, -1).otherwise(5).alias("tokens"))
     first = m.where("role = 'user'").groupBy(F.col("session").alias("id")).agg(F.min_by("content", "n").alias("content"))
     wanted = ids.join(first, "id", "left").select("id", F.lit("model").alias("model"), F.when(k % 7 == 3, F.lit("?")).otherwise(F.col("content")).alias("prompt"))
-    more = lens.table(spark, d, "customer").where("c_custkey < 5").select((F.col("c_custkey") + 1_000_000).alias("id"), F.lit("model").alias("model"), F.lit("?").alias("prompt"))
+    more = lens.table(spark, d, "customer").where("c_custkey < 5").select(
+        (F.col("c_custkey") + 1_000_000).alias("id"), F.lit("model").alias("model"), F.lit("?").alias("prompt")
+    )
     return tasks.session_rows(sessions, m, wanted.unionByName(more), ["tokens"])
 
 
@@ -53,11 +59,17 @@ def session_rows(spark, d):
 def answer_verdicts(spark, d):
     m = F.col("o_custkey") % 7
     right = '{"paths": ["src/b.js", "src/a.js"]}'
-    texts = [right, f"```json\n{right}\n```", '{"paths": ["src/a.js"]}', '{"paths": [1, 2]}', "src/a.js and src/b.js, not src/t.js or tests/a.js", '{"paths": [], "more": 1}', '{"paths": []}']
+    texts = [
+        right, f"```json\n{right}\n```", '{"paths": ["src/a.js"]}', '{"paths": [1, 2]}', "src/a.js and src/b.js, not src/t.js or tests/a.js",
+        '{"paths": [], "more": 1}', '{"paths": []}'
+    ]
     answer = F.element_at(F.array(*map(F.lit, texts)), (m + 1).cast("int"))
     expected = F.array(F.lit("src/a.js"), F.lit("src/b.js"))
     o = lens.table(spark, d, "orders")
-    return o.select("o_orderkey", tasks.answer_verdict(answer, expected).alias("verdict"), tasks.mentions_expected(answer, expected, "src/", "src/t.js").alias("mentioned"))
+    return o.select(
+        "o_orderkey", tasks.answer_verdict(answer, expected).alias("verdict"),
+        tasks.mentions_expected(answer, expected, "src/", "src/t.js").alias("mentioned")
+    )
 
 
 @query("""with l as (select distinct l_orderkey as q, l_suppkey % 10 as s, l_partkey % 50 as p from lineitem where l_returnflag <> 'N'), i as (select distinct l_suppkey % 10 as s, l_partkey % 50 as p from lineitem where l_tax < 0.01 and l_orderkey % 3 = 0),
@@ -66,7 +78,10 @@ select q as question, coalesce(missing, 0)::bigint as missing, coalesce(unexpect
 def label_verification(spark, d):
     li = lens.table(spark, d, "lineitem")
     subject, path = (F.col("l_suppkey") % 10).alias("subject"), (F.col("l_partkey") % 50).alias("path")
-    return tasks.verified_labels(li.where("l_returnflag <> 'N'").select(F.col("l_orderkey").alias("question"), subject, path), li.where("l_tax < 0.01 and l_orderkey % 3 = 0").select(subject, path))
+    return tasks.verified_labels(
+        li.where("l_returnflag <> 'N'").select(F.col("l_orderkey").alias("question"), subject, path),
+        li.where("l_tax < 0.01 and l_orderkey % 3 = 0").select(subject, path)
+    )
 
 
 @query("""with e as (select l_suppkey as k, l_linenumber as v, count(*) as e from lineitem where l_orderkey % 2 = 0 group by all), a as (select l_suppkey as k, l_linenumber as v, count(*) as a from lineitem where l_orderkey % 2 = 1 group by all)
@@ -79,13 +94,19 @@ def multiset_difference(spark, d):
 @query("select distinct a.l_suppkey as task, b.l_suppkey as peer from lineitem a join lineitem b on a.l_partkey = b.l_partkey where a.l_returnflag = 'R' and a.l_quantity > 48 and b.l_returnflag = 'N' and b.l_quantity < 3 and a.l_suppkey <> b.l_suppkey")
 def peer_origins(spark, d):
     li = lens.table(spark, d, "lineitem")
-    return tasks.peer_origins(li.where("l_returnflag = 'R' and l_quantity > 48").select(F.col("l_suppkey").alias("task"), F.col("l_partkey").alias("path")), li.where("l_returnflag = 'N' and l_quantity < 3").select(F.col("l_suppkey").alias("peer"), F.col("l_partkey").alias("path")))
+    return tasks.peer_origins(
+        li.where("l_returnflag = 'R' and l_quantity > 48").select(F.col("l_suppkey").alias("task"), F.col("l_partkey").alias("path")),
+        li.where("l_returnflag = 'N' and l_quantity < 3").select(F.col("l_suppkey").alias("peer"), F.col("l_partkey").alias("path"))
+    )
 
 
 @query("""select event_id, case event_id % 5 when 0 then '' when 1 then 'extra extra_property;paths missing' when 2 then 'depth wrong_type' when 3 then 'depth missing;paths wrong_type;project wrong_type' else ' not_object' end as codes from events""")
 def request_diagnostics(spark, d):
     m = F.col("event_id") % 5
-    texts = ['{"project": "p", "paths": [], "depth": 2}', '{"project": "p", "depth": 2, "extra": {}}', '{"project": "p", "paths": ["a"], "depth": "2"}', '{"project": 1, "paths": "a"}', "[1]"]
+    texts = [
+        '{"project": "p", "paths": [], "depth": 2}', '{"project": "p", "depth": 2, "extra": {}}', '{"project": "p", "paths": ["a"], "depth": "2"}',
+        '{"project": 1, "paths": "a"}', "[1]"
+    ]
     rows = lens.table(spark, d, "events").select("event_id", F.element_at(F.array(*map(F.lit, texts)), (m + 1).cast("int")).alias("body"))
     return tasks.diagnosed(rows, "body", {"project": "STRING", "paths": "ARRAY", "depth": "BIGINT"}).select("event_id", "codes")
 
@@ -101,5 +122,8 @@ def witness_summaries(spark, d):
 def response_mismatches(spark, d):
     c = F.col("o_custkey")
     a = F.struct(F.lit("c").alias("commit"), F.lit("p").alias("project"), F.when(c % 5 != 0, F.lit("t")).alias("token"))
-    b = F.struct(F.when(c % 2 == 1, "x").otherwise("c").alias("commit"), F.when(c % 3 == 0, F.lit(None).cast("string")).otherwise("p").alias("project"), F.when(c % 5 == 1, F.lit(None).cast("string")).otherwise("t").alias("token"))
+    b = F.struct(
+        F.when(c % 2 == 1, "x").otherwise("c").alias("commit"), F.when(c % 3 == 0, F.lit(None).cast("string")).otherwise("p").alias("project"),
+        F.when(c % 5 == 1, F.lit(None).cast("string")).otherwise("t").alias("token")
+    )
     return lens.table(spark, d, "orders").select("o_orderkey", tasks.mismatches(a, b, ["commit", "project", "token"]).alias("fields"))

@@ -41,7 +41,10 @@ def _lines(spark, d):
     line = F.lit(good)
     for k, v in bad.items():
         line = F.when(F.col("event_type") == k, F.lit(v)).otherwise(line)
-    for low, high, v in ((100, 150, good.replace("true", "1")), (150, 200, good.replace('"a"', '" "')), (60, 80, good.replace('"sha"', '"other"')), (80, 100, '{"runId":"r"}'), (200, 9e9, good.replace('"p"', '"  "'))):
+    for low, high, v in (
+        (100, 150, good.replace("true", "1")), (150, 200, good.replace('"a"', '" "')), (60, 80, good.replace('"sha"', '"other"')),
+        (80, 100, '{"runId":"r"}'), (200, 9e9, good.replace('"p"', '"  "'))
+    ):
         line = F.when((F.col("event_type") == "purchase") & (F.col("value") >= low) & (F.col("value") < high), F.lit(v)).otherwise(line)
     return e.select(F.col("event_id").alias("line_no"), line.alias("line"))
 
@@ -56,7 +59,9 @@ def _paired(spark, d):
     e = lens.table(spark, d, "events")
     arm = F.when(F.col("event_type") == "view", "baseline").when(F.col("event_type") == "click", "full").when(F.col("event_type") == "purchase", "compact")
     rows = e.withColumn("arm", arm).where("arm is not null").groupBy(F.dayofmonth("ts").alias("repeat"), F.col("user_id").alias("task"), "arm")
-    return rows.agg(F.sum("value").alias("total"), F.max("value").alias("largest"), F.count("*").alias("n")).withColumn("execution", F.when(F.col("largest") > 5, "completed").otherwise("failed"))
+    return rows.agg(
+        F.sum("value").alias("total"), F.max("value").alias("largest"), F.count("*").alias("n")
+    ).withColumn("execution", F.when(F.col("largest") > 5, "completed").otherwise("failed"))
 
 
 PAIRED = """p as (select day(ts)::int as repeat, user_id as task, case event_type when 'view' then 'baseline' when 'click' then 'full' else 'compact' end as arm, sum(value) as total, max(value) as largest, count(*) as n,
@@ -88,7 +93,9 @@ select lang, sum(least(e, o))::bigint as hits, (sum(e) - sum(least(e, o)))::bigi
 def scorecard_pr(spark, d):
     docs, labels = lens.table(spark, d, "documents"), lens.table(spark, d, "labels")
     expected = labels.where("quality = 0").join(docs, "doc_id").select("lang", "doc_id")
-    observed = docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi").where((F.col("n_chars") < 600) | F.col("text").contains("%%%")).select("lang", "doc_id")
+    observed = docs.join(
+        labels.select("doc_id").distinct(), "doc_id", "left_semi"
+    ).where((F.col("n_chars") < 600) | F.col("text").contains("%%%")).select("lang", "doc_id")
     return telemetry.scorecard(expected, observed, "lang", "doc_id")
 
 
@@ -102,8 +109,13 @@ COUNTERS = ("first", "second", "third")
 
 
 @query("with s as (select user_id, count(*) as first, count(*) filter (where value > 100) as second, nullif(count(*) filter (where event_type = 'error'), 0) as third from events where user_id in (8, 46) group by 1), "
-       "a as (select * from s where user_id = 8), b as (select * from s where user_id = 46) " + " union all ".join(f"select '{c}' as counter, (select {c} from b) - (select {c} from a) as delta" for c in COUNTERS))
+       "a as (select * from s where user_id = 8), b as (select * from s where user_id = 46) " + " union all ".join(
+           f"select '{c}' as counter, (select {c} from b) - (select {c} from a) as delta" for c in COUNTERS
+       ))
 def counter_delta(spark, d):
     e = lens.table(spark, d, "events")
-    rows = e.groupBy(F.col("user_id").cast("string").alias("id")).agg(F.count("*").alias("first"), F.count_if(F.col("value") > 100).alias("second"), F.expr("nullif(count_if(event_type = 'error'), 0)").alias("third"))
+    rows = e.groupBy(F.col("user_id").cast("string").alias("id")).agg(
+        F.count("*").alias("first"), F.count_if(F.col("value") > 100).alias("second"),
+        F.expr("nullif(count_if(event_type = 'error'), 0)").alias("third")
+    )
     return telemetry.counter_delta(rows, "8", "46", COUNTERS)

@@ -28,7 +28,9 @@ def identifier_index(spark, d):
 def _symbols(spark, d):
     p = lens.table(spark, d, "part")
     named = p.select(F.col("p_partkey").alias("id"), F.concat_ws("#", "p_name", F.col("p_size").cast("string")).alias("name"))
-    deps = [p.select(F.col("p_partkey").alias("id"), F.concat_ws("#", "p_name", (F.col("p_size") + n).cast("string")).alias("dep_name"), F.lit(r).alias("relation")) for n, r in ((1, "uses"), (2, "references"))]
+    deps = [p.select(
+        F.col("p_partkey").alias("id"), F.concat_ws("#", "p_name", (F.col("p_size") + n).cast("string")).alias("dep_name"), F.lit(r).alias("relation")
+    ) for n, r in ((1, "uses"), (2, "references"))]
     return deps[0].unionByName(deps[1]), named
 
 
@@ -45,7 +47,9 @@ def doc_titles(spark, d):
 
 
 BOUND = r"\b"
-RED = "regexp_replace(regexp_replace(regexp_replace(text, '" + "', '[REDACTED]', 'g'), '".join(p.replace("'", "''").replace("(?<![A-Za-z0-9_])", BOUND).replace("(?![A-Za-z0-9_])", BOUND) for p in texts.SECRETS) + "', '[REDACTED]', 'g')"
+RED = "regexp_replace(regexp_replace(regexp_replace(text, '" + "', '[REDACTED]', 'g'), '".join(
+    p.replace("'", "''").replace("(?<![A-Za-z0-9_])", BOUND).replace("(?![A-Za-z0-9_])", BOUND) for p in texts.SECRETS
+) + "', '[REDACTED]', 'g')"
 
 
 @query(f"with {FILES}, r as (select path, {RED} as t from files) select path, t[1 : list_max(list_filter(range(0, 513), lambda n: strlen(t[1 : n]) <= 512))] as text from r")

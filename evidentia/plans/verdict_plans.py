@@ -20,8 +20,15 @@ select q.task, q.name, coalesce(matches, 0) as matches, case when large is null
 from q left join f using (task) left join n on n.task = q.task and n.name = q.name""")
 def declaration_verdict(spark, d):
     li = _lines(spark, d)
-    files = li.where("l_linenumber > 1").select(F.col("l_orderkey").alias("task"), F.col("l_linenumber").alias("path"), F.when(F.col("l_quantity") > 49, 200_000).otherwise(10).alias("byte_size"), (F.col("l_discount") <= 0.09).alias("parsed"), F.lit("h").alias("sha256"), F.when((F.col("l_linestatus") == "F") & (F.col("l_tax") > 0.07), "x").otherwise("h").alias("bound"))
-    declared = li.select(F.col("l_orderkey").alias("task"), F.col("l_linenumber").alias("path"), F.concat(F.lit("s"), (F.col("l_suppkey") % 5).cast("string")).alias("name"))
+    files = li.where("l_linenumber > 1").select(
+        F.col("l_orderkey").alias("task"), F.col("l_linenumber").alias("path"),
+        F.when(F.col("l_quantity") > 49, 200_000).otherwise(10).alias("byte_size"), (F.col("l_discount") <= 0.09).alias("parsed"),
+        F.lit("h").alias("sha256"), F.when((F.col("l_linestatus") == "F") & (F.col("l_tax") > 0.07), "x").otherwise("h").alias("bound")
+    )
+    declared = li.select(
+        F.col("l_orderkey").alias("task"), F.col("l_linenumber").alias("path"),
+        F.concat(F.lit("s"), (F.col("l_suppkey") % 5).cast("string")).alias("name")
+    )
     names = lens.table(spark, d, "orders").select(F.col("o_orderkey").alias("task"), F.concat(F.lit("s"), (F.col("o_custkey") % 6).cast("string")).alias("name"))
     return verdicts.declaration_verdict(files, declared, names, ceiling=3)
 
@@ -35,7 +42,10 @@ def completeness_witness(spark, d):
     li = _lines(spark, d)
     names = li.select(F.col("l_orderkey").alias("task"), (F.col("l_suppkey") % 12).alias("name")).distinct()
     language = F.when((F.col("l_linestatus") != "F") | (F.col("l_quantity") < 20), "typescript").otherwise("cobol")
-    paths = li.where("l_tax < 0.07").select(F.col("l_orderkey").alias("task"), F.col("l_linenumber").alias("path"), language.alias("language"), (F.col("l_discount") < 0.09).alias("bound"))
+    paths = li.where("l_tax < 0.07").select(
+        F.col("l_orderkey").alias("task"), F.col("l_linenumber").alias("path"), language.alias("language"),
+        (F.col("l_discount") < 0.09).alias("bound")
+    )
     declared = li.select(F.col("l_orderkey").alias("task"), (F.col("l_partkey") % 12).alias("name"))
     return verdicts.completeness_witness(names, paths, declared, ["typescript"], 5)
 
@@ -48,7 +58,11 @@ def witness_verdict(spark, d):
     names, paths = F.array(F.lit("A"), F.lit("B")), F.array(F.lit("x.ts"), F.lit("y.ts"))
     required = o.select("task", names.alias("names"), paths.alias("paths"), F.lit("p").alias("project"), F.lit("t").alias("snapshot"))
     domain = F.when(F.col("m") == 1, "other").otherwise("typescript-direct-declarations")
-    witnesses = o.where("m <> 0").select("task", domain.alias("domain"), F.reverse(names).alias("names"), F.when(F.col("m") == 2, F.array(F.lit("x.ts"))).otherwise(paths).alias("paths"), F.lit("p").alias("project"), F.lit("t").alias("snapshot"), (~F.col("m").isin(4, 5)).alias("complete"), (~F.col("m").isin(5, 6)).alias("unique"))
+    witnesses = o.where("m <> 0").select(
+        "task", domain.alias("domain"), F.reverse(names).alias("names"),
+        F.when(F.col("m") == 2, F.array(F.lit("x.ts"))).otherwise(paths).alias("paths"), F.lit("p").alias("project"), F.lit("t").alias("snapshot"),
+        (~F.col("m").isin(4, 5)).alias("complete"), (~F.col("m").isin(5, 6)).alias("unique")
+    )
     has = _lines(spark, d).where("l_linenumber = 2").select(F.col("l_orderkey").alias("task")).distinct()
     rows = o.join(has, "task", "left_semi").select("task", "m", F.explode(names).alias("name"))
     evaluations = rows.select("task", "name", F.when(F.col("m") == 3, "z.ts").otherwise("x.ts").alias("path"), F.lit("t").alias("snapshot"))
@@ -56,7 +70,10 @@ def witness_verdict(spark, d):
 
 
 def _side(spark, d, residue: int):
-    return _lines(spark, d).where(F.col("l_orderkey") % 3 == residue).select((F.col("l_partkey") % 500).alias("path"), F.concat(F.lit("n"), F.col("l_linenumber").cast("string")).alias("name"), (F.col("l_suppkey") % 4).alias("hash"), (F.col("l_quantity") % 3).cast("int").alias("declaration")).distinct()
+    return _lines(spark, d).where(F.col("l_orderkey") % 3 == residue).select(
+        (F.col("l_partkey") % 500).alias("path"), F.concat(F.lit("n"), F.col("l_linenumber").cast("string")).alias("name"),
+        (F.col("l_suppkey") % 4).alias("hash"), (F.col("l_quantity") % 3).cast("int").alias("declaration")
+    ).distinct()
 
 
 @query("""with s as (select distinct l_orderkey % 3 as side, l_partkey % 500 as path, 'n' || l_linenumber as name, l_suppkey % 4 as hash, (l_quantity % 3)::int as declaration from lineitem)
@@ -89,10 +106,15 @@ v as (select task, t.folder || '/' || t.name as path, case when n in (5, 10) the
 def _creations(spark, d):
     o = lens.table(spark, d, "orders")
     c = F.col("o_custkey")
-    name = F.when(c % 4 == 0, F.concat(F.lit("c"), c.cast("string"), F.lit(".ts"))).when(c % 4 == 1, F.concat(F.lit("new"), c.cast("string"), F.lit(".ts"))).when(c % 4 == 2, F.concat(F.lit("c"), F.floor(c / 7).cast("string"), F.lit(".ts"))).otherwise("LONG~1.ts")
+    name = F.when(c % 4 == 0, F.concat(F.lit("c"), c.cast("string"), F.lit(".ts"))).when(c % 4 == 1, F.concat(F.lit("new"), c.cast("string"), F.lit(".ts"))).when(
+        c % 4 == 2, F.concat(F.lit("c"), F.floor(c / 7).cast("string"), F.lit(".ts"))
+    ).otherwise("LONG~1.ts")
     targets = o.select(F.col("o_orderkey").alias("task"), F.concat(F.lit("n"), (c % 25).cast("string"), F.lit("/"), name).alias("path"))
     k = F.col("c_custkey")
-    listings = lens.table(spark, d, "customer").where("c_nationkey % 6 <> 1").select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("folder"), F.concat(F.when(k % 2 == 0, "C").otherwise("c"), k.cast("string"), F.lit(".ts")).alias("name"))
+    listings = lens.table(spark, d, "customer").where("c_nationkey % 6 <> 1").select(
+        F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("folder"),
+        F.concat(F.when(k % 2 == 0, "C").otherwise("c"), k.cast("string"), F.lit(".ts")).alias("name")
+    )
     n = lens.table(spark, d, "nation").where("n_nationkey % 6 <> 3")
     folders = n.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("folder"), (F.col("n_nationkey") % 6 != 2).alias("complete"))
     boundaries = spark.createDataFrame([("n5",), ("n10",)], "folder string")
@@ -125,15 +147,29 @@ def _requests(spark, d):
     """Scope requests of orders; the customer's remainder says which gate fails."""
     m = F.col("o_custkey") % 16
     off = lambda n, a, b="x": F.when(m == n, b).otherwise(a)
-    revision = lambda commit, branch, dirty, linked, status: F.struct(commit.alias("commit"), branch.alias("branch"), dirty.alias("dirty"), linked.alias("linked"), status.alias("status"))
+    revision = lambda commit, branch, dirty, linked, status: F.struct(
+        commit.alias("commit"), branch.alias("branch"), dirty.alias("dirty"), linked.alias("linked"), status.alias("status")
+    )
     text, no, yes = F.lit, F.lit(False), F.lit(True)
     task = F.col("o_orderkey")
     paths = F.array(F.lit("a.ts"), F.lit("b.ts"))
-    r = F.struct(task.alias("task"), paths.alias("paths"), text("p").alias("project"), text("w").alias("locator"), revision(F.when(m != 9, off(10, "c1")), text("main"), F.when(m == 11, yes).otherwise(no), yes, text("available")).alias("revision"), text("repo").alias("repository"), F.when(m != 5, text("tree")).alias("worktree"))
+    r = F.struct(
+        task.alias("task"), paths.alias("paths"), text("p").alias("project"), text("w").alias("locator"),
+        revision(F.when(m != 9, off(10, "c1")), text("main"), F.when(m == 11, yes).otherwise(no), yes, text("available")).alias("revision"),
+        text("repo").alias("repository"), F.when(m != 5, text("tree")).alias("worktree")
+    )
     seen = revision(text("c1"), text("main"), F.when(m == 11, yes).otherwise(no), yes, text("available")).alias("revision")
-    p = F.struct(task.alias("task"), F.when(m == 0, F.array(F.lit("a.ts"))).otherwise(F.reverse(paths)).alias("paths"), off(1, "p").alias("project"), text("w").alias("locator"), seen, off(4, "repo").alias("repository"), F.when(m != 5, text("tree")).alias("worktree"), off(6, "t").alias("snapshot"), off(7, "v1").alias("provider"))
+    p = F.struct(
+        task.alias("task"), F.when(m == 0, F.array(F.lit("a.ts"))).otherwise(F.reverse(paths)).alias("paths"), off(1, "p").alias("project"),
+        text("w").alias("locator"), seen, off(4, "repo").alias("repository"), F.when(m != 5, text("tree")).alias("worktree"),
+        off(6, "t").alias("snapshot"), off(7, "v1").alias("provider")
+    )
     other = revision(off(3, "c1"), text("main"), F.when(m == 11, yes).otherwise(no), yes, text("available")).alias("revision")
-    i = F.struct(text("p").alias("project"), off(2, "w").alias("locator"), other, text("repo").alias("repository"), F.when(m != 5, text("tree")).alias("worktree"), text("t").alias("snapshot"), text("v1").alias("provider"), F.when(m == 8, F.array(F.lit("a.ts"))).otherwise(paths).alias("origins"))
+    i = F.struct(
+        text("p").alias("project"), off(2, "w").alias("locator"), other, text("repo").alias("repository"),
+        F.when(m != 5, text("tree")).alias("worktree"), text("t").alias("snapshot"), text("v1").alias("provider"),
+        F.when(m == 8, F.array(F.lit("a.ts"))).otherwise(paths).alias("origins")
+    )
     return lens.table(spark, d, "orders").select(task.alias("task"), r.alias("r"), p.alias("p"), i.alias("i"))
 
 
@@ -152,7 +188,10 @@ select task, path, case when writes then 'write' when held then 'reserved' when
 case when writes then 'declared_write' when held then 'strong_coupling' when truncated then 'truncated_attribution' when distance <= 2 then 'distance_1_2_awareness' else 'transitive_impact' end as rule
 from a join g using (task) where status = 'available'""")
 def effective_scope(spark, d):
-    a = _lines(spark, d).groupBy(F.col("l_orderkey").alias("task"), F.col("l_linenumber").alias("path")).agg(F.min(F.col("l_suppkey") % 6).alias("distance"), F.bool_or(F.col("l_tax") > 0.07).alias("truncated"), F.bool_or(F.col("l_returnflag") == "R").alias("w"), F.bool_or(F.col("l_quantity") > 45).alias("h"))
+    a = _lines(spark, d).groupBy(F.col("l_orderkey").alias("task"), F.col("l_linenumber").alias("path")).agg(
+        F.min(F.col("l_suppkey") % 6).alias("distance"), F.bool_or(F.col("l_tax") > 0.07).alias("truncated"),
+        F.bool_or(F.col("l_returnflag") == "R").alias("w"), F.bool_or(F.col("l_quantity") > 45).alias("h")
+    )
     affected = a.select("task", "path", "distance", "truncated", F.lit("local_implementation").alias("semantics"), F.lit(False).alias("deletes"))
     return verdicts.effective_scope(verdicts.scope_gate(_requests(spark, d)), a.where("w").select("task", "path"), affected, a.where("h").select("task", "path"))
 

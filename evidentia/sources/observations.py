@@ -41,11 +41,19 @@ def revision(path: str) -> dict:
     if said is None:
         return row
     own, common, prefix = (said.decode().split("\n") + ["", "", ""])[:3]
-    row |= {"isLinkedWorktree": own != common, "commonDir": common, "subdirectory": prefix.rstrip("/"), "repositoryId": _opaque("repository", common, prefix), "worktreeId": _opaque("worktree", own, prefix)}
-    head, branch, status = _git(path, "rev-parse", "--verify", "HEAD"), _git(path, "symbolic-ref", "--short", "-q", "HEAD"), _git(path, "status", "--porcelain", "-z", "--", ".")
+    row |= {
+        "isLinkedWorktree": own != common, "commonDir": common, "subdirectory": prefix.rstrip("/"),
+        "repositoryId": _opaque("repository", common, prefix), "worktreeId": _opaque("worktree", own, prefix)
+    }
+    head, branch, status = _git(path, "rev-parse", "--verify", "HEAD"), _git(path, "symbolic-ref", "--short", "-q", "HEAD"), _git(
+        path, "status", "--porcelain", "-z", "--", "."
+    )
     if head is None:
         return row | {"status": "unborn"}
-    return row | {"status": "available" if status is not None else "unavailable", "commitSha": head.decode().strip(), "branch": branch and branch.decode().strip(), "dirty": None if status is None else porcelain_dirty(status)}
+    return row | {
+        "status": "available" if status is not None else "unavailable", "commitSha": head.decode().strip(),
+        "branch": branch and branch.decode().strip(), "dirty": None if status is None else porcelain_dirty(status)
+    }
 
 
 def revisions(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -56,7 +64,9 @@ def revisions(spark: SparkSession, paths: list[str]) -> DataFrame:
 def linked_worktrees(projects: DataFrame, candidates: DataFrame) -> DataFrame:
     """(project, worktree): candidates (path, commonDir, subdirectory, isLinkedWorktree) that are linked worktrees of a registered project's repository, at the same place in it and not the project itself."""
     of = projects.select(F.col("path").alias("project"), "commonDir", "subdirectory")
-    return candidates.where("isLinkedWorktree").select(F.col("path").alias("worktree"), "commonDir", "subdirectory").join(of, ["commonDir", "subdirectory"]).where("project <> worktree").select("project", "worktree")
+    return candidates.where("isLinkedWorktree").select(
+        F.col("path").alias("worktree"), "commonDir", "subdirectory"
+    ).join(of, ["commonDir", "subdirectory"]).where("project <> worktree").select("project", "worktree")
 
 
 def locate(roots: dict[str, str], root_id: str, relative: str) -> str | None:
@@ -161,7 +171,9 @@ def backup_problems(target: str, allowed: list[str]) -> list[str]:
     except (OSError, ValueError):
         return ["manifest_invalid"]
     there = set(os.listdir(target)) - {"manifest.json"}
-    out = [f"not_allowed {n}" for n in sorted(set(manifest) - set(allowed))] + [f"missing {n}" for n in sorted(set(manifest) - there)] + [f"unlisted {n}" for n in sorted(there - set(manifest))]
+    out = [f"not_allowed {n}" for n in sorted(set(manifest) - set(allowed))] + [f"missing {n}" for n in sorted(set(manifest) - there)] + [
+        f"unlisted {n}" for n in sorted(there - set(manifest))
+    ]
     return out + [f"digest_differs {n}" for n in sorted(there & set(manifest)) if _digest(os.path.join(target, n)) != manifest[n]]
 
 

@@ -28,7 +28,9 @@ def source_files(spark: SparkSession, root: str, most_bytes: int = MAX_FILE_BYTE
     rows = found.where(F.col("length") <= most_bytes).select(F.substring(full, len(base) + 2, 1 << 20).alias("path"), "content")
     text = F.decode("content", "UTF-8")
     rows = rows.where(texts.path_allowed(F.col("path")) & F.lower(F.regexp_extract("path", r"\.([^.]+)$", 1)).isin(EXTENSIONS))
-    return rows.select("path", text.alias("text"), F.octet_length("content").cast("long").alias("byte_size"), F.sha2("content", 256).alias("sha256")).where(~F.col("text").contains("\0"))
+    return rows.select(
+        "path", text.alias("text"), F.octet_length("content").cast("long").alias("byte_size"), F.sha2("content", 256).alias("sha256")
+    ).where(~F.col("text").contains("\0"))
 
 
 def registry(spark: SparkSession, path: str, source: str = "manual") -> DataFrame:
@@ -37,7 +39,12 @@ def registry(spark: SparkSession, path: str, source: str = "manual") -> DataFram
     """
     rows = spark.read.schema(PROJECTS).json(path, multiLine=True)
     relative = F.regexp_replace(F.regexp_replace(F.trim("relativePath"), r"\\", "/"), "/+$", "")
-    rows = rows.withColumns({"name": F.trim("name"), "rootId": F.coalesce("rootId", F.lit("default")), "relativePath": relative, "registrySource": F.coalesce("registrySource", F.lit(source))})
+    rows = rows.withColumns(
+        {
+            "name": F.trim("name"), "rootId": F.coalesce("rootId", F.lit("default")), "relativePath": relative,
+            "registrySource": F.coalesce("registrySource", F.lit(source))
+        }
+    )
     return rows.where("name <> '' and relativePath <> ''").where(~F.col("relativePath").rlike(r"^/|^[A-Za-z]:|(?:^|/)\.{0,2}(?:/|$)"))
 
 

@@ -33,7 +33,10 @@ def append_capture(records: DataFrame, folder: str) -> DataFrame:
     """Append capture records as JSON lines, with exactly the six keys, and return counts."""
     rows = records.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in LOG])
     rows.write.mode("append").option("ignoreNullFields", False).json(folder)
-    return rows.agg(F.count("*").alias("records"), F.coalesce(F.sum(F.size("writePaths")), F.lit(0)).alias("write_entries"), F.coalesce(F.sum(F.size("watchPaths")), F.lit(0)).alias("watch_entries"))
+    return rows.agg(
+        F.count("*").alias("records"), F.coalesce(F.sum(F.size("writePaths")), F.lit(0)).alias("write_entries"),
+        F.coalesce(F.sum(F.size("watchPaths")), F.lit(0)).alias("watch_entries")
+    )
 
 
 def manifest(files: DataFrame) -> DataFrame:

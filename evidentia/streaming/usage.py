@@ -47,7 +47,9 @@ def deduplicated_stream(events: DataFrame, key: str, body: str) -> DataFrame:
         yield pd.DataFrame({key: [ident[0]], "events": [n], "state": ["conflict" if conflict else "duplicate" if n > 1 else "accepted"]})
 
     rows = events.select(F.col(key).cast("string").alias(key), F.sha2(F.col(body).cast("string"), 256).alias("digest"))
-    return rows.groupBy(key).applyInPandasWithState(step, f"{key} string, events long, state string", "first string, n long, conflict boolean", "update", GroupStateTimeout.NoTimeout)
+    return rows.groupBy(key).applyInPandasWithState(
+        step, f"{key} string, events long, state string", "first string, n long, conflict boolean", "update", GroupStateTimeout.NoTimeout
+    )
 
 
 def advance(heads: DataFrame, arrived: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -62,7 +64,10 @@ def advance(heads: DataFrame, arrived: DataFrame) -> tuple[DataFrame, DataFrame]
     split = (F.col("rows_hash") != F.col("other")) | ((F.col("watermark") == F.col("w")) & (F.col("rows_hash") != F.col("h")))
     both = both.withColumn("bad", F.coalesce(split & (F.col("w").isNull() | (F.col("watermark") >= F.col("w"))), F.lit(False)))
     newer = ~F.col("bad") & F.col("watermark").isNotNull() & (F.col("w").isNull() | (F.col("watermark") > F.col("w")))
-    kept = both.where(newer | F.col("w").isNotNull()).select("task", F.when(newer, F.col("watermark")).otherwise(F.col("w")).alias("watermark"), F.when(newer, F.col("rows_hash")).otherwise(F.col("h")).alias("rows_hash"))
+    kept = both.where(newer | F.col("w").isNotNull()).select(
+        "task", F.when(newer, F.col("watermark")).otherwise(F.col("w")).alias("watermark"),
+        F.when(newer, F.col("rows_hash")).otherwise(F.col("h")).alias("rows_hash")
+    )
     return kept, both.where("bad").select("task", F.lit("divergent_task_history").alias("reason"))
 
 

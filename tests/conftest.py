@@ -14,7 +14,9 @@ def spark(tmp_path_factory):
     shared = tmp_path_factory.mktemp("shared")
     session = (
         SparkSession.builder.master("local[4]").appName("tests").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.driver.memory", "4g")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", f"file://{shared}").config("spark.sql.warehouse.dir", f"{shared}/warehouse").getOrCreate()
+        .config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", f"file://{shared}").config(
+            "spark.sql.warehouse.dir", f"{shared}/warehouse"
+        ).getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

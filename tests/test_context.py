@@ -20,10 +20,22 @@ from evidentia.sources import observations, readers
 
 @pytest.fixture
 def project(spark):
-    files = spark.createDataFrame([(p, 10, "h") for p in ("src/one.ts", "src/two.ts", "src/far.ts", "tests/one.test.ts", "PROJECT.md")], "path string, byte_size long, sha256 string")
-    nodes = spark.createDataFrame([(1, "One", "class", "src/one.ts", "", ""), (2, "Two", "class", "src/two.ts", "", ""), (3, "Far", "class", "src/far.ts", "", ""), (4, "../odd", "class", "src/one.ts", "", ""), (5, "Gone", "class", "src/gone.ts", "", "")], NODES)
+    files = spark.createDataFrame(
+        [(p, 10, "h") for p in ("src/one.ts", "src/two.ts", "src/far.ts", "tests/one.test.ts", "PROJECT.md")],
+        "path string, byte_size long, sha256 string"
+    )
+    nodes = spark.createDataFrame(
+        [
+            (1, "One", "class", "src/one.ts", "", ""), (2, "Two", "class", "src/two.ts", "", ""), (3, "Far", "class", "src/far.ts", "", ""),
+            (4, "../odd", "class", "src/one.ts", "", ""), (5, "Gone", "class", "src/gone.ts", "", "")
+        ],
+        NODES
+    )
     edges = spark.createDataFrame([(2, 1, "imports"), (3, 2, "uses"), (5, 1, "uses")], EDGES)
-    docs = spark.createDataFrame([("project", "PROJECT.md", "P"), ("adr", "docs/adr/1.md", "About one"), ("adr", "docs/adr/2.md", "Other")], "kind string, path string, title string")
+    docs = spark.createDataFrame(
+        [("project", "PROJECT.md", "P"), ("adr", "docs/adr/1.md", "About one"), ("adr", "docs/adr/2.md", "Other")],
+        "kind string, path string, title string"
+    )
     spaces = spark.createDataFrame([("w", "src/AGENT.md", "src")], "id string, path string, folder string")
     return {"files": files, "nodes": nodes, "edges": edges, "documents": docs, "workspaces": spaces}
 
@@ -54,7 +66,10 @@ def test_context_pack_is_bounded(project):
 
 def test_task_brief(project):
     pack = context.context_pack("p", {"title": "one", "paths": ["src/one.ts"]}, project) | {"snapshotToken": "t"}
-    found = {"snapshotToken": "t", "paths": ["src/one.ts"], "status": "available", "finding": "evidence_found", "incomplete": False, "affectedFiles": [f"src/f {n}.ts" for n in range(30)], "testCandidates": None}
+    found = {
+        "snapshotToken": "t", "paths": ["src/one.ts"], "status": "available", "finding": "evidence_found", "incomplete": False,
+        "affectedFiles": [f"src/f {n}.ts" for n in range(30)], "testCandidates": None
+    }
     text = context.task_brief(pack, found)
     assert "Symbols One@src/one.ts, Two@src/two.ts" in text and "Tests (not requested)" in text and '"src/f 0.ts"' in text and "briefTruncated=true" in text
     assert len(context.task_brief(pack, found, {"textBytes": 300}).encode()) <= 300
@@ -74,7 +89,9 @@ def test_bounds_and_codes():
     with pytest.raises(BadRequest):
         context.input_budget(pack="x" * 200_000, impact={})
     assert context.http_status(BadRequest("invalid_path")) == 400 and context.http_status(BadRequest("scope_budget_exceeded")) == 413 and context.http_status(ValueError("?")) == 500
-    assert tasks.request_diagnostics({"a": True, "c": 1}, {"a": int, "b": str}) == [{"code": "wrong_type", "property": "a"}, {"code": "missing", "property": "b"}, {"code": "extra_property", "property": "c"}]
+    assert tasks.request_diagnostics({"a": True, "c": 1}, {"a": int, "b": str}) == [
+        {"code": "wrong_type", "property": "a"}, {"code": "missing", "property": "b"}, {"code": "extra_property", "property": "c"}
+    ]
     assert tasks.strict_answer('{"a": 1}') == {"a": 1}
     for bad in ('{"a": 1, "a": 2}', "[1]", '{"a": NaN}'):
         with pytest.raises(ValueError):
@@ -118,7 +135,9 @@ def test_reads_that_change_are_refused(spark):
 
 
 def test_observed_checkouts(spark, tmp_path):
-    git = lambda *a, d=tmp_path / "r": subprocess.run(["git", "-C", str(d), "-c", "user.name=t", "-c", "user.email=t@example.org", *a], check=True, capture_output=True)
+    git = lambda *a, d=tmp_path / "r": subprocess.run(
+        ["git", "-C", str(d), "-c", "user.name=t", "-c", "user.email=t@example.org", *a], check=True, capture_output=True
+    )
     (tmp_path / "r").mkdir()
     assert observations.revision(str(tmp_path / "r"))["status"] in ("not_git", "available")
     git("init", "-q", "-b", "main")
@@ -186,8 +205,12 @@ def test_probes():
 
 def test_module_cycles_and_ambiguity(spark):
     files = spark.createDataFrame([
-        ("a.ts", "export * from './b';\nexport * from './c';\n"), ("b.ts", "export * from './a';\nexport class B {}\nexport class Same {}"), ("c.ts", "export class Same {}\nexport class C {}"),
-        ("u.ts", "import { B, Same, C as K } from './a';\nimport * as all from './a';"), ("p.ts", "/* only */ export { B as X } from './b'\n"), ("m.ts", "export * from './b';\nconst x = 1;"),
+        ("a.ts", "export * from './b';\nexport * from './c';\n"), (
+            "b.ts", "export * from './a';\nexport class B {}\nexport class Same {}"
+        ), ("c.ts", "export class Same {}\nexport class C {}"),
+        (
+            "u.ts", "import { B, Same, C as K } from './a';\nimport * as all from './a';"
+        ), ("p.ts", "/* only */ export { B as X } from './b'\n"), ("m.ts", "export * from './b';\nconst x = 1;"),
     ], "path string, text string")
     declared = spark.createDataFrame([("b.ts", "B"), ("b.ts", "Same"), ("c.ts", "Same"), ("c.ts", "C")], "path string, name string")
     table = {(r.path, r.name, r.origin) for r in modules.export_table(files, declared).collect()}
@@ -217,7 +240,9 @@ def test_admission_equals_one_by_one(spark, node_limit, edge_limit):
 
 def test_names_and_features(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
-    assert one(codes.simple_hash(F.lit(""))) == "0" and one(codes.simple_hash(F.lit("a😀"))) == format(abs(((((97 * 31 + 0xD83D) * 31 + 0xDE00) + 2**31) % 2**32) - 2**31), "x")
+    assert one(codes.simple_hash(F.lit(""))) == "0" and one(codes.simple_hash(F.lit("a😀"))) == format(
+        abs(((((97 * 31 + 0xD83D) * 31 + 0xDE00) + 2**31) % 2**32) - 2**31), "x"
+    )
     feature = lambda *a: one(codes.feature(*map(F.lit, a)))
     assert feature("Shop.Api", "API", "src/Shop.Api/Controllers/Orders/X.cs", "", "X") == "Orders"
     assert feature("Shop.Api", "API", "src/Shop.Api/X.cs", "Shop.Api.Billing", "X") == "Billing"
@@ -248,7 +273,9 @@ def test_impact_budgets(spark):
     assert [r.file for r in whole["tests"].orderBy("place").collect()] == ["tests/f1.ts", "tests/f3.ts", "tests/f5.ts", "tests/f7.ts"]
     cut = impact.project_impact(nodes, edges, origins, 2, "s", witnesses=5)
     assert cut["files"].count() == 5 and cut["tests"].count() == 0
-    assert {r.origin: (r.status, r.finding, r.reasons) for r in cut["origins"].collect()} == {"src/f0.ts": ("partial", "evidence_found", "output_limit"), "src/none.ts": ("unavailable", "not_evaluated", "source_unavailable")}
+    assert {r.origin: (r.status, r.finding, r.reasons) for r in cut["origins"].collect()} == {
+        "src/f0.ts": ("partial", "evidence_found", "output_limit"), "src/none.ts": ("unavailable", "not_evaluated", "source_unavailable")
+    }
 
 
 def test_service_answers_and_refuses(project):
@@ -258,10 +285,15 @@ def test_service_answers_and_refuses(project):
     status, got = service.handle("project_task_context", {"projectId": "p", "task": {"title": "one", "paths": ["src/one.ts"]}}, projects)
     assert status == 200 and got["contextPackId"].startswith("context_")
     status, got = service.handle("effective_task_scope", {"projectId": "p", "task": {"title": "one", "paths": ["src/one.ts"]}}, projects)
-    assert status == 200 and {i["path"]: i["category"] for i in got["items"]} == {"src/one.ts": "write", "src/two.ts": "watch", "src/far.ts": "watch", "src/gone.ts": "watch"}
+    assert status == 200 and {i["path"]: i["category"] for i in got["items"]} == {
+        "src/one.ts": "write", "src/two.ts": "watch", "src/far.ts": "watch", "src/gone.ts": "watch"
+    }
     assert service.handle("search", {"projectId": "p", "query": "one"}, projects)[1]["items"][0]["label"] == "One"
     assert [n["id"] for n in service.handle("expand", {"projectId": "p", "node": 2}, projects)[1]["nodes"]["items"]] == [1, 2, 3]
-    for tool, body, want in (("weather", {}, 400), ("search", [], 400), ("search", {"projectId": "q"}, 404), ("search", {"projectId": "p", "x": 1}, 400), ("project_impact", {"projectId": "p", "targets": ["../x"]}, 400)):
+    for tool, body, want in (
+        ("weather", {}, 400), ("search", [], 400), ("search", {"projectId": "q"}, 404), ("search", {"projectId": "p", "x": 1}, 400),
+        ("project_impact", {"projectId": "p", "targets": ["../x"]}, 400)
+    ):
         assert service.handle(tool, body, projects)[0] == want
     assert service.handle("search", {"projectId": "p", "query": "x"}, projects, {"search": lambda *_: 1 / 0}) == (500, {"error": "internal_error"})
 
@@ -272,7 +304,10 @@ def test_command_line(capsys):
 
 
 def test_external_evidence_is_bounded(spark, tmp_path):
-    good = {"schemaVersion": 1, "snapshotToken": "t", "provider": {"id": "x", "version": "1"}, "nodes": [{"id": "a", "label": "A", "kind": "class", "file": "a.py", "line": 1}], "edges": [{"src": "a", "dst": "a", "relation": "uses"}]}
+    good = {
+        "schemaVersion": 1, "snapshotToken": "t", "provider": {"id": "x", "version": "1"},
+        "nodes": [{"id": "a", "label": "A", "kind": "class", "file": "a.py", "line": 1}], "edges": [{"src": "a", "dst": "a", "relation": "uses"}]
+    }
     for name, value in {"good": good, "stale": good | {"snapshotToken": "old"}, "long": good | {"nodes": good["nodes"] * 2001}}.items():
         (tmp_path / f"{name}.json").write_text(json.dumps(value))
     (tmp_path / "broken.json").write_text("{")

@@ -66,8 +66,14 @@ def test_inspect_codes(spark):
 
 
 def test_run_status_chain(spark):
-    rows = [(1, 1, "claimed", 1, None), (1, 1, "pr_acceptance", 2, True), (1, 1, "completed", 3, None), (1, 2, "claimed", 4, None), (1, 2, "pr_acceptance", 5, True), (1, 2, "completed", 6, None), (2, 1, "claimed", 1, None), (2, 2, "pr_acceptance", 2, True), (3, 1, "pr_acceptance", 1, False)]
-    got = {(r.task, r.run): r.status for r in history.run_status(spark.createDataFrame(rows, "task long, run long, kind string, event_id long, verified boolean")).collect()}
+    rows = [
+        (1, 1, "claimed", 1, None), (1, 1, "pr_acceptance", 2, True), (1, 1, "completed", 3, None), (1, 2, "claimed", 4, None),
+        (1, 2, "pr_acceptance", 5, True), (1, 2, "completed", 6, None), (2, 1, "claimed", 1, None), (2, 2, "pr_acceptance", 2, True),
+        (3, 1, "pr_acceptance", 1, False)
+    ]
+    got = {(r.task, r.run): r.status for r in history.run_status(spark.createDataFrame(
+        rows, "task long, run long, kind string, event_id long, verified boolean"
+    )).collect()}
     assert got == {(1, 1): "superseded", (1, 2): "active", (2, 1): "candidate", (2, 2): "rejected", (3, 1): "rejected"}
 
 
@@ -83,7 +89,13 @@ def test_first_wins_reads_in_order(spark):
     assert sorted(r.ord for r in registry.first_wins(spark.createDataFrame(rows, "name string, path string, ord long")).collect()) == want
 
 
-@pytest.mark.parametrize("a, b, same", [("New.js", "new.js", True), ("new.js.", "new.js", True), ("new.js ", "new.js", True), ("é.js", "é.js", True), ("new.js", "new.jsx", False), ("STRASSE", "straße", True)])
+@pytest.mark.parametrize(
+    "a, b, same",
+    [
+        ("New.js", "new.js", True), ("new.js.", "new.js", True), ("new.js ", "new.js", True), ("é.js", "é.js", True), ("new.js", "new.jsx", False),
+        ("STRASSE", "straße", True)
+    ]
+)
 def test_names_collide(a, b, same):
     assert names.collide(a, b) == same
 
@@ -110,14 +122,30 @@ def test_globs():
 
 
 def test_typescript_symbols_and_imports(spark):
-    files = spark.createDataFrame([("src/a.ts", "import { B } from './b';\nimport x from \"../lib/c\";\nexport class A {}\nexport const y = 1;"), ("src/b.ts", "export interface B {}\nexport default function run() {}"), ("lib/c/index.ts", "export type C = number;"), ("d.py", "class D: pass")], "path string, text string")
-    assert {(r.path, r.name) for r in extract.exports(files).collect()} == {("src/a.ts", "A"), ("src/a.ts", "y"), ("src/b.ts", "B"), ("src/b.ts", "run"), ("lib/c/index.ts", "C")}
+    files = spark.createDataFrame(
+        [
+            ("src/a.ts", "import { B } from './b';\nimport x from \"../lib/c\";\nexport class A {}\nexport const y = 1;"),
+            ("src/b.ts", "export interface B {}\nexport default function run() {}"), ("lib/c/index.ts", "export type C = number;"),
+            ("d.py", "class D: pass")
+        ],
+        "path string, text string"
+    )
+    assert {(r.path, r.name) for r in extract.exports(files).collect()} == {
+        ("src/a.ts", "A"), ("src/a.ts", "y"), ("src/b.ts", "B"), ("src/b.ts", "run"), ("lib/c/index.ts", "C")
+    }
     found = {(r.path, r.specifier): r.target for r in extract.resolved(extract.imports(files), files).collect()}
     assert found == {("src/a.ts", "./b"): "src/b.ts", ("src/a.ts", "../lib/c"): "lib/c/index.ts"}
 
 
 def test_symbol_categories(spark):
-    rows = spark.createDataFrame([("UserController", "App", "class", "Web", "controller"), ("IThing", "App", "interface", "Web", "interface"), ("PayService", "App", "class", "Web", "service"), ("Order", "App.Domain.Orders", "class", "X", "domain"), ("Foo", "", "class", "My.Api", "api"), ("Foo", "", "class", "", "unknown")], "name string, ns string, kind string, project string, want string")
+    rows = spark.createDataFrame(
+        [
+            ("UserController", "App", "class", "Web", "controller"), ("IThing", "App", "interface", "Web", "interface"),
+            ("PayService", "App", "class", "Web", "service"), ("Order", "App.Domain.Orders", "class", "X", "domain"),
+            ("Foo", "", "class", "My.Api", "api"), ("Foo", "", "class", "", "unknown")
+        ],
+        "name string, ns string, kind string, project string, want string"
+    )
     got = rows.select(texts.category(F.col("name"), F.col("ns"), F.col("kind"), F.col("project")).alias("got"), "want").collect()
     assert all(r.got == r.want for r in got)
 
@@ -144,7 +172,10 @@ def test_sources_and_sinks(spark, tmp_path):
     spark.dataSource.register(readers.SqliteSource)
     got = spark.read.format("sqlite_snapshot").schema("id string, input_tokens long").option("path", str(tmp_path / "s.db")).option("table", "sessions").load()
     assert {r.id: r.input_tokens for r in got.collect()} == {f"s{k}": k or None for k in range(9)}
-    row = spark.createDataFrame([("r", "p", "s", True, ["a"], [])], "runId string, profile string, sha string, nexusTools boolean, writePaths array<string>, watchPaths array<string>")
+    row = spark.createDataFrame(
+        [("r", "p", "s", True, ["a"], [])],
+        "runId string, profile string, sha string, nexusTools boolean, writePaths array<string>, watchPaths array<string>"
+    )
     assert sinks.append_capture(row, str(tmp_path / "log")).first().records == 1
     assert telemetry.inspect(readers.capture_lines(spark, str(tmp_path / "log"))).first().code is None
 
@@ -177,7 +208,10 @@ def test_watermarks_ignore_older_and_quarantine_divergent(spark):
 
 def test_envelopes(spark):
     assert envelope.impact_request({"projectId": "p", "targets": ["b", "a"]}) == {"projectId": "p", "targets": ["a", "b"], "depth": 2, "limit": 100}
-    for bad in ({}, {"projectId": "p", "targets": []}, {"projectId": "p", "targets": ["a"], "x": 1}, {"projectId": "p", "targets": ["a"], "depth": 9}, {"projectId": "p", "targets": ["../a"]}):
+    for bad in (
+        {}, {"projectId": "p", "targets": []}, {"projectId": "p", "targets": ["a"], "x": 1}, {"projectId": "p", "targets": ["a"], "depth": 9},
+        {"projectId": "p", "targets": ["../a"]}
+    ):
         with pytest.raises(envelope.BadRequest):
             envelope.impact_request(bad)
     trimmed = envelope.trim({"items": [{"n": k} for k in range(50)]}, "items", 200)
@@ -189,7 +223,11 @@ def test_envelopes(spark):
 
 
 def test_provider_choice():
-    providers = [{"id": "b", "priority": 1, "languages": ["go"], "capabilities": {"impact": "full"}}, {"id": "a", "priority": 1, "languages": ["go", "java"], "capabilities": {}}, {"id": "c", "priority": 9, "languages": ["java"], "capabilities": {"impact": "full"}}]
+    providers = [
+        {"id": "b", "priority": 1, "languages": ["go"], "capabilities": {"impact": "full"}},
+        {"id": "a", "priority": 1, "languages": ["go", "java"], "capabilities": {}},
+        {"id": "c", "priority": 9, "languages": ["java"], "capabilities": {"impact": "full"}}
+    ]
     from evidentia.operators import evidence
 
     found, attempts = evidence.choose_provider(providers, {"go"}, "impact")
@@ -211,7 +249,10 @@ def test_requests_and_limits(tmp_path):
     assert [envelope.parsed_limit(v, 7, 2, 9) for v in (0, 1, "4", 99)] == [7, 2, 4, 9]
     want = {"projectId": "p", "task": {"title": "t", "description": "", "paths": ["a", "b"], "symbols": ["S"]}, "limits": {"files": 3}}
     assert envelope.context_request({"projectId": " p ", "task": {"title": "t", "paths": ["b", "a"], "symbols": ["S"]}, "limits": {"files": 3}}) == want
-    for bad in ({}, {"projectId": "p"}, {"projectId": "p", "task": {"paths": ["a", "a"]}}, {"projectId": "p", "task": {}, "limits": {"files": 999}}, {"projectId": "p", "task": {}, "x": 1}):
+    for bad in (
+        {}, {"projectId": "p"}, {"projectId": "p", "task": {"paths": ["a", "a"]}}, {"projectId": "p", "task": {}, "limits": {"files": 999}},
+        {"projectId": "p", "task": {}, "x": 1}
+    ):
         with pytest.raises(envelope.BadRequest):
             envelope.context_request(bad)
     for n in (1, 2):
@@ -259,7 +300,10 @@ def test_hash_chain_folds_in_order(spark):
 
 
 def test_registry_rows_are_canonical(spark, tmp_path):
-    rows = [{"name": " a ", "relativePath": "x\\y/"}, {"name": "b", "relativePath": "../z"}, {"name": "", "relativePath": "x"}, {"name": "c"}, {"name": "d", "rootId": "r", "relativePath": "d", "registrySource": "discovered"}, {"name": "e", "relativePath": "/abs"}]
+    rows = [
+        {"name": " a ", "relativePath": "x\\y/"}, {"name": "b", "relativePath": "../z"}, {"name": "", "relativePath": "x"}, {"name": "c"},
+        {"name": "d", "rootId": "r", "relativePath": "d", "registrySource": "discovered"}, {"name": "e", "relativePath": "/abs"}
+    ]
     (tmp_path / "registry.json").write_text(json.dumps(rows))
     got = [(r.name, r.rootId, r.relativePath, r.registrySource) for r in readers.registry(spark, f"file://{tmp_path}/registry.json").orderBy("name").collect()]
     assert got == [("a", "default", "x/y", "manual"), ("d", "r", "d", "discovered")]
