@@ -6,18 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, quality_rules
+from . import decontaminate, merkle, quality_rules, topk
 from .common import table
 from .decontaminate import leaks
 from .lm import scored as lm_scored
+from .merkle import manifest
 from .packing import pack
 from .quality_classifier import scored
 from .quality_rules import judged
 from .simhash import near_duplicates
+from .topk import top_k
 from .toxicity import toxicity
 from .warc import archive_pages
 from .suffixes import repeated_passages
 from .tokens import token_counts
+from .whitening import whitened
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,9 +64,24 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op11_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontaminate.oracle(), "op2_quality_rules": quality_rules.oracle()}
+    return {
+        "op1_decontamination": decontaminate.oracle(), "op2_quality_rules": quality_rules.oracle(), "op11_exact_topk": topk.oracle(),
+        "op13_merkle_manifest": merkle.oracle()
+    }
