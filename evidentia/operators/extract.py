@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import texts
+from .ordered import placed
 
 _TS = r"(?m)^[ \t]*export\s+(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?(class|interface|type|enum|function|const|let|var)\s*\*?\s+([A-Za-z_$][A-Za-z0-9_$]*)"
 _IMPORT = r"(?:^|\n)[ \t]*(?:import|export)\s[^;'\"]*?from\s*['\"]([^'\"]+)['\"]|(?:^|\n)[ \t]*import\s*['\"]([^'\"]+)['\"]"
+# Fixed values of the resolution: what may follow a specifier, in order.
+TAILS = ("", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")
 
 
 def declarations(files: DataFrame, pattern: str) -> DataFrame:
@@ -33,7 +36,7 @@ def imports(files: DataFrame) -> DataFrame:
 
 
 def resolved(imported: DataFrame, files: DataFrame) -> DataFrame:
-    """(path, specifier, target): relative specifiers resolved to the first candidate that is a file; null where none is."""
+    """(path, specifier, target): relative specifiers, and those that begin with a slash, taken from the importing file's folder and resolved to the first candidate that is a file; null where none is."""
     folder = F.split(F.regexp_replace("path", r"/?[^/]*$", ""), "/")
     parts = F.filter(F.concat(folder, F.split("specifier", "/")), lambda p: ~p.isin("", "."))
     none = F.array().cast("array<string>")
@@ -42,8 +45,8 @@ def resolved(imported: DataFrame, files: DataFrame) -> DataFrame:
         lambda a, p: F.when(p != "..", F.concat(a, F.array(p))).when(F.size(a) > 0, F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(a),
         lambda a: F.array_join(a, "/")
     )
-    tails = F.array(*map(F.lit, ("", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")))
-    rows = imported.where(F.col("specifier").startswith(".")).withColumn("base", base)
+    tails = F.array(*map(F.lit, TAILS))
+    rows = imported.where(F.col("specifier").startswith(".") | F.col("specifier").startswith("/")).withColumn("base", base)
     rows = rows.select("path", "specifier", "base", F.posexplode(tails).alias("n", "tail"))
     hits = rows.select("path", "specifier", "n", F.concat("base", "tail").alias("target")).join(files.select(F.col("path").alias("target")).distinct(), "target")
     best = hits.groupBy("path", "specifier").agg(F.min_by("target", "n").alias("target"))
@@ -114,3 +117,16 @@ def unique_rows(rows: DataFrame, key: list[str]) -> DataFrame:
     """The rows whose key no other row has; keys are counted first, so a hot key costs one row for each task."""
     once = rows.groupBy(*key).agg(F.count("*").alias("n")).where("n = 1").select(*key)
     return rows.join(once, key, "left_semi")
+
+
+def inspected_census(entries: DataFrame, order: list[str], matches: int = 256, inspected: int = 20_000) -> DataFrame:
+    """(name, matches, retained, verdict) of every name at once, as a census for each would see it. entries: name, cost (how many entries one takes: a statement and its declarations), order.
+
+    Entries are inspected in order until `inspected` are spent over all of them; up to `matches` of a name are kept. A name with more, or one whose entries were not all inspected, is
+    partial; else unique, ambiguous or not_found. The sum runs over sorted runs, not through one task.
+    """
+    rows = placed(entries, order, amount=F.col("cost")).withColumn("seen", F.col("running") - F.col("cost") < inspected)
+    short = rows.agg(F.coalesce(F.max((~F.col("seen")).cast("int")), F.lit(0))).first()[0] == 1
+    per = rows.groupBy("name").agg(F.sum(F.col("seen").cast("long")).alias("matches"))
+    verdict = F.when(F.col("matches") > matches, "partial").when(F.lit(short), "partial").when(F.col("matches") == 1, "unique").when(F.col("matches") == 0, "not_found").otherwise("ambiguous")
+    return per.select("name", "matches", F.least("matches", F.lit(matches)).alias("retained"), verdict.alias("verdict"))

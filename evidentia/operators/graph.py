@@ -226,3 +226,51 @@ def normalized(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame
     ids = nodes.select("id")
     bad = once.join(ids.toDF("src"), "src", "left_anti").unionByName(once.join(ids.toDF("dst"), "dst", "left_anti"), allowMissingColumns=True)
     return once, bad.select("src", "dst", "relation").distinct()
+
+
+def _jumped(only: DataFrame) -> DataFrame:
+    """(id, end): where chains of nodes with one dependency each lead: the first node that is none of them. Chains of any length by path doubling, in a logarithmic number of rounds.
+
+    only: id, next. Nodes on a circle of such nodes lead nowhere and are left out.
+    """
+    now, n = counted(only.select("id", F.col("next").alias("end")))
+    bits = max(1, n).bit_length() + 1  # after that many doublings only circles are left
+    for _ in range(bits):
+        ahead = now.select(F.col("id").alias("end"), F.col("end").alias("further"))
+        moved = now.join(ahead, "end", "left").select("id", F.coalesce("further", "end").alias("end"), F.col("further").isNotNull().alias("open"))
+        now = cut(moved)
+        if not now.where("open").head(1):
+            break
+        now = now.drop("open")
+    return now.join(only.select(F.col("id").alias("end")), "end", "left_anti").select("id", "end")
+
+
+def reachable_importers(edges: DataFrame, targets: DataFrame) -> DataFrame:
+    """(target, id): everything that depends on a target over any number of edges; targets: target, id. Circles end, a target is no importer of itself.
+
+    Nodes that nothing leads on from and that are no target are of no use to a path, nodes with a single dependency lie on a chain: chains are condensed to one edge by path doubling, so their
+    length costs a logarithmic number of rounds, and only the branching rest is searched level by level, each level from what the last one found. At the end chain nodes take the answer of the node
+    that their chain leads to, and those before a target on a chain are found by the doubling itself, as a target always ends a chain.
+    """
+    steps = edges.select("src", "dst").where("src <> dst").distinct()
+    steps = cut(steps)
+    aims = cut(targets.select("target", "id").distinct())
+    out = steps.groupBy("src").agg(F.count("*").alias("n"), F.min("dst").alias("next")).where("n = 1")
+    only = cut(out.join(aims.select(F.col("id").alias("src")).distinct(), "src", "left_anti").select(F.col("src").alias("id"), "next"))
+    ends = cut(_jumped(only))
+    # edges of the branching nodes, each on to where a chain leads
+    rest = steps.join(only.select(F.col("id").alias("src")), "src", "left_anti")
+    direct = rest.join(only.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst")
+    over = rest.join(ends.withColumnRenamed("id", "dst"), "dst").select("src", F.col("end").alias("dst"))
+    short = cut(direct.unionByName(over).where("src <> dst").distinct())
+    frontier, n = counted(aims)
+    seen, level = frontier, 0
+    while n:
+        step = short.join(frontier.withColumnRenamed("id", "dst"), "dst").select("target", F.col("src").alias("id")).distinct()
+        frontier, n = counted(step.join(seen, ["target", "id"], "left_anti"))
+        seen, level = seen.unionByName(frontier), level + 1
+        if level % 3 == 0:
+            seen = cut(seen)
+    seen = cut(seen)
+    chained = ends.join(seen.withColumnRenamed("id", "end"), "end").select("target", "id")
+    return seen.unionByName(chained).distinct().join(aims, ["target", "id"], "left_anti")

@@ -57,29 +57,34 @@ def affected_tests(items: DataFrame, budget: int, limit: int = 80) -> DataFrame:
     return within_witnesses(items.where(scope.is_test(F.col("file"))), budget, limit)
 
 
-def origin_status(origins: DataFrame, nodes: DataFrame, witnessed: DataFrame, kept: DataFrame) -> DataFrame:
-    """(origin, status, finding, reasons) of each origin: unavailable where it has no node, partial where a retained list left some of its items out."""
+def origin_status(origins: DataFrame, nodes: DataFrame, witnessed: DataFrame, kept: DataFrame, traversal: DataFrame | None = None) -> DataFrame:
+    """(origin, status, finding, reasons) of each origin: unavailable where it has no node, partial where a retained list left some of its items out or its traversal was cut short.
+
+    traversal: (origin, reasons) as budget.budgeted() gives them: depth_limit, traversal_work_limit.
+    """
     known = origins.join(nodes.select("file").distinct(), "file", "left_semi").select("origin").withColumn("known", F.lit(True))
     found = witnessed.groupBy("origin").agg(F.count("*").alias("found"))
     shown = kept.select(F.explode("near").alias("w")).groupBy(F.col("w.origin").alias("origin")).agg(F.count("*").alias("shown"))
     rows = origins.select("origin").join(known, "origin", "left").join(found, "origin", "left").join(shown, "origin", "left")
     left = F.coalesce("found", F.lit(0)) > F.coalesce("shown", F.lit(0))
-    reasons = F.when(F.col("known").isNull(), "source_unavailable").when(left, "output_limit").otherwise("")
-    status = F.when(F.col("known").isNull(), "unavailable").when(left, "partial").otherwise("available")
+    rows = rows.join(traversal.select("origin", F.col("reasons").alias("cut_short")), "origin", "left") if traversal is not None else rows.withColumn("cut_short", F.lit(""))
+    both = F.array_sort(F.filter(F.array_append(F.split(F.coalesce("cut_short", F.lit("")), ";"), F.when(left, "output_limit").otherwise("")), lambda r: r != ""))
+    reasons = F.when(F.col("known").isNull(), "source_unavailable").otherwise(F.array_join(both, ";"))
+    status = F.when(F.col("known").isNull(), "unavailable").when(F.size(both) > 0, "partial").otherwise("available")
     finding = F.when(F.col("known").isNull(), "not_evaluated").when(F.col("found") > 0, "evidence_found").otherwise("no_evidence_found")
     return rows.select("origin", status.alias("status"), finding.alias("finding"), reasons.alias("reasons"))
 
 
 def project_impact(
-    nodes: DataFrame, edges: DataFrame, origins: DataFrame, depth: int = 2, snapshot: str = "", witnesses: int = 256, limit: int = 100, keep: int = 8
+    nodes: DataFrame, edges: DataFrame, origins: DataFrame, depth: int = 2, snapshot: str = "", witnesses: int = 256, limit: int = 100, keep: int = 8, traversal: DataFrame | None = None
 ) -> dict[str, DataFrame]:
-    """The parts of an impact answer: files (place, file, distance, origins, cut), tests likewise, and the status of each origin."""
+    """The parts of an impact answer: files (place, file, distance, origins, cut), tests likewise, and the status of each origin, with the reasons of a budgeted traversal if one is given."""
     witnessed = with_witnesses(graph.file_impact(nodes, edges, origins, depth), nodes, edges, snapshot)
     items = affected(witnessed, keep)
     files = within_witnesses(items, witnesses, limit)
     spent = files.agg(F.coalesce(F.sum(F.size("near")), F.lit(0))).first()[0]
     tests = affected_tests(files.drop("place", "running"), witnesses - spent, limit)
-    return {"files": files, "tests": tests, "origins": origin_status(origins, nodes, witnessed, files)}
+    return {"files": files, "tests": tests, "origins": origin_status(origins, nodes, witnessed, files, traversal)}
 
 
 def coverage(observed: DataFrame, provider_languages: DataFrame) -> DataFrame:

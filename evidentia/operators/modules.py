@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codes
-from . import extract
+from . import extract, scoped
 from .durable import counted, cut
 
 _IMPORT = r"(?:^|[\n;]|\*/)[ \t]*import\s+(?:type\s+)?(?:([A-Za-z_$][\w$]*)\s*,?\s*)?(?:(\{[^}]*\})|\*\s*as\s+[\w$]+)?\s*from\s*['\"]([^'\"]+)['\"]"
@@ -15,6 +15,11 @@ _CODE = r"(?i)\.(?:tsx?|jsx?)$"
 STAR = "*"
 
 
+def _code(files: DataFrame) -> DataFrame:
+    """(path, text) of TypeScript and JavaScript files without what comments, templates and strings hold, but for the names of modules."""
+    return files.where(F.col("path").rlike(_CODE)).select("path", scoped.masked(F.col("text")).alias("text"))
+
+
 def _all(pattern: str, groups: dict[str, int]) -> Column:
     return F.arrays_zip(*[F.regexp_extract_all("text", F.lit(pattern), k).alias(n) for n, k in groups.items()])
 
@@ -29,17 +34,16 @@ def _named(braces: Column) -> Column:
     return F.transform(items, lambda x: F.struct(part(x, 1).alias("name"), F.coalesce(part(x, 2), part(x, 1)).alias("alias")))
 
 
-_DECLARED = r"(?:^|[\n;])[ \t]*(export\s+)?(default\s+)?(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?(class|interface|type|enum|function|const|let|var)\s*\*?\s+([A-Za-z_$][\w$]*)"
 _HOOK = "^use[A-Z0-9_]"
 
 
 def symbols(files: DataFrame) -> DataFrame:
     """(path, name, kind, category, layer, feature, exported, is_default): top-level declarations of TypeScript and JavaScript files (path, text), one row for each file and name.
 
-    Variables count only if their name is that of a component, hook or provider. Hooks and components are kinds of their own.
+    Variables count only if their name is that of a component, hook or provider. Hooks and components are kinds of their own. What stands in brackets, comments, strings or
+    templates is no top-level declaration.
     """
-    found = files.where(F.col("path").rlike(_CODE)).select("path", F.posexplode(_all(_DECLARED, {"exported": 1, "default": 2, "word": 3, "name": 4})).alias("ord", "d"))
-    rows = found.select("path", "ord", "d.word", "d.name", (F.col("d.exported") != "").alias("exported"), (F.col("d.default") != "").alias("is_default"))
+    rows = scoped.declarations(files.where(F.col("path").rlike(_CODE))).withColumnRenamed("at", "ord")
     name, variable = F.col("name"), F.col("word").isin("const", "let", "var")
     rows = rows.where(~variable | name.rlike("^[A-Z][A-Za-z0-9_]*$") | name.rlike(_HOOK) | name.endswith("Provider"))
     first = rows.groupBy("path", "name").agg(F.min(F.struct("ord", "word", "exported", "is_default")).alias("f"))
@@ -58,7 +62,7 @@ def symbols(files: DataFrame) -> DataFrame:
 
 def import_bindings(files: DataFrame) -> DataFrame:
     """(path, specifier, name, alias): names that a file (path, text) imports; a default import has the name default."""
-    rows = files.where(F.col("path").rlike(_CODE)).select("path", F.explode(_all(_IMPORT, {"d": 1, "b": 2, "specifier": 3})).alias("m"))
+    rows = _code(files).select("path", F.explode(_all(_IMPORT, {"d": 1, "b": 2, "specifier": 3})).alias("m"))
     default = F.when(
         F.col("m.d") != "", F.array(F.struct(F.lit("default").alias("name"), F.col("m.d").alias("alias")))
     ).otherwise(F.array().cast("array<struct<name:string,alias:string>>"))
@@ -69,7 +73,7 @@ def import_bindings(files: DataFrame) -> DataFrame:
 
 def re_exports(files: DataFrame) -> DataFrame:
     """(path, specifier, name, alias): names that a file exports from another; `export *` has the name and alias *, `export * as x` the alias x."""
-    rows = files.where(F.col("path").rlike(_CODE)).select("path", F.explode(_all(_EXPORT, {"b": 1, "star": 2, "ns": 3, "specifier": 4})).alias("m"))
+    rows = _code(files).select("path", F.explode(_all(_EXPORT, {"b": 1, "star": 2, "ns": 3, "specifier": 4})).alias("m"))
     star = F.array(F.struct(F.lit(STAR).alias("name"), F.when(F.col("m.ns") != "", F.col("m.ns")).otherwise(STAR).alias("alias")))
     return rows.select(
         "path", F.col("m.specifier").alias("specifier"), F.explode(F.when(F.col("m.star") != "", star).otherwise(_named(F.col("m.b")))).alias("x")

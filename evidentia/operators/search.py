@@ -60,20 +60,36 @@ def nested(folders: DataFrame) -> DataFrame:
     return steps.join(known, "outer").select("outer", "inner", F.expr("substring(inner, length(outer) + 2)").alias("relative"))
 
 
+def _segment(segment: str) -> str:
+    """Regular expression of one segment of a glob; a wildcard or class at its head takes no dot."""
+    out, k, pieces = "", 0, re.findall(r"\\.|\[[!^]?\]?[^\]]*\]|\*+|\?|[^*?\[\\]+|\[|\\", segment)
+    for piece in pieces:
+        if piece[0] == "*":
+            out += "[^/]*"
+        elif piece == "?":
+            out += "[^/]"
+        elif piece[0] == "[" and len(piece) > 2:
+            body = piece[2:-1] if piece[1] in "!^" else piece[1:-1]
+            out += ("[^" if piece[1] in "!^" else "[") + re.sub(r"[\[&~\\]", lambda m: "\\" + m[0], body) + "]"
+        else:
+            out += re.escape(piece[1] if piece[0] == "\\" and len(piece) == 2 else piece)
+        k += 1
+    magic = pieces and (pieces[0][0] in "*?" or (pieces[0][0] == "[" and len(pieces[0]) > 2))
+    return ("(?!\\.)" if magic else "") + out
+
+
 def glob_regex(glob: str) -> str:
-    """Anchored regular expression of a glob: ** crosses folders, * and ? don't; 'x/**' holds x itself."""
-    out, k = "", 0
+    """Anchored regular expression of a glob. ** as a segment stands for folders without a leading dot; *, ? and [..] stay within a segment, and take no leading dot; 'x/**' holds the path x as it is written."""
     if glob.endswith("/**"):
-        return glob_regex(glob[:-3])[:-1] + "(?:/.*)?$"
-    while k < len(glob):
-        if glob.startswith("**/", k):
-            out, k = out + "(?:.*/)?", k + 3
-        elif glob.startswith("**", k):
-            out, k = out + ".*", k + 2
+        return f"^(?:{re.escape(glob[:-3])}|{glob_regex(glob[:-3] + '/**/*')[1:-1]})$"
+    parts, out = glob.split("/"), ""
+    for k, part in enumerate(parts):
+        last = k == len(parts) - 1
+        if part == "**":
+            out += r"(?!\.)[^/]+(?:/(?!\.)[^/]+)*" if last else r"(?:(?!\.)[^/]+/)*"
         else:
-            c, k = glob[k], k + 1
-            out += "[^/]*" if c == "*" else "[^/]" if c == "?" else re.escape(c)
-    return "^" + out.removeprefix("^") + "$"
+            out += _segment(part) + ("" if last else "/")
+    return f"^{out}$"
 
 
 def scope_matches(files: DataFrame, workspaces: list[dict]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import binding_plans, collection_plans, evidence_plans, graph_plans, history_plans, incremental_plans, registry_plans, scope_plans, search_plans, structure_plans, task_plans, telemetry_plans, text_plans, verdict_plans  # noqa: F401  they register their queries
+from . import binding_plans, collection_plans, evidence_plans, graph_plans, history_plans, incremental_plans, registry_plans, scope_plans, scoped_plans, search_plans, structure_plans, task_plans, telemetry_plans, text_plans, verdict_plans  # noqa: F401  they register their queries
 from .registered import QUERIES, SQL
 
 

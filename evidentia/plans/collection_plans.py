@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from ..functions import texts
 from ..operators import collection, extract, history, registry, search
@@ -162,11 +161,3 @@ def audit_receipt(spark, d):
     return registry.audit_receipt(
         registry.diff_audit(li.where("l_quantity > 40").select(F.col("l_partkey").alias("path")), li.where("l_returnflag = 'R'").select(F.col("l_partkey").alias("path")))
     )
-
-
-@query("select o_orderkey, row_number() over (order by k, o_orderkey) as place from (select o_orderkey, case o_custkey % 3 when 0 then 2 when 1 then 1 else 0 end as k from orders)")
-def code_unit_order(spark, d):
-    """A private-use character sorts after an astral one by code units, before it by code points."""
-    m = F.col("o_custkey") % 3
-    text = F.when(m == 0, F.lit("")).when(m == 1, F.lit("\U0001f600")).otherwise("z")
-    return lens.table(spark, d, "orders").select("o_orderkey", F.row_number().over(W.orderBy(texts.code_units(text), "o_orderkey")).alias("place"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import explorer, graph, impact
+from ..operators import budget, explorer, graph, impact
 from . import lens
 from .lens import GRAPH
 from .registered import query
@@ -233,11 +233,53 @@ def affected_tests(spark, d):
     return _project_impact(spark, d, 400)["tests"].select("place", "file", "distance", "origins")
 
 
-@query(_project_impact_sql(1, 2) + """, f as (select origin, count(*) as found from wit group by 1), s as (select origin, count(*) as shown from rk join files using (file) where k <= 2 group by 1)
-select o.origin, case when not known then 'unavailable' when coalesce(found, 0) > coalesce(shown, 0) then 'partial' else 'available' end as status, case when not known then 'not_evaluated' when found > 0 then 'evidence_found' else 'no_evidence_found' end as finding,
-case when not known then 'source_unavailable' when coalesce(found, 0) > coalesce(shown, 0) then 'output_limit' else '' end as reasons from (select origin, origin in (select file from tn) as known from o) o left join f using (origin) left join s using (origin)""")
+@query(_project_impact_sql(1, 2) + """, f as (select origin, count(*) as found from wit group by 1), s as (select origin, count(*) as shown from rk join files using (file) where k <= 2 group by 1),
+dl as (select distinct x.origin from seen x join e on e.dst = x.id where x.distance + e.cost > 1 and not exists (select 1 from seen y where y.origin = x.origin and y.id = e.src)),
+r as (select o.origin, known, coalesce(found, 0) as found, array_to_string(list_filter([case when dl.origin is not null then 'depth_limit' end, case when coalesce(found, 0) > coalesce(shown, 0) then 'output_limit' end], lambda x: x is not null), ';') as reasons
+  from (select origin, origin in (select file from tn) as known from o) o left join f using (origin) left join s using (origin) left join dl using (origin))
+select origin, case when not known then 'unavailable' when reasons <> '' then 'partial' else 'available' end as status, case when not known then 'not_evaluated' when found > 0 then 'evidence_found' else 'no_evidence_found' end as finding,
+case when not known then 'source_unavailable' else reasons end as reasons from r""")
 def impact_origins(spark, d):
-    return _project_impact(spark, d)["origins"]
+    """With budgets that nothing exceeds, so that only the depth cuts a traversal short; impact_budget has the other reason."""
+    nodes, edges = _tested(spark, d), lens.edges(spark, d)
+    many = spark.createDataFrame([(o,) for o in _ORIGINS], "origin string").withColumn("file", F.col("origin"))
+    spent = budget.budgeted(nodes, edges.where("src <> dst"), many, 1, 1_000_000, 1_000_000)[0]
+    return impact.project_impact(nodes, edges, many, 1, "snap", witnesses=60, keep=2, traversal=spent)["origins"]
+
+
+_BUDGET = 5_000
+
+
+@query(f"""{GRAPH}, e as (select distinct src, dst, relation from edges where src <> dst), o(origin, id) as (select 'f' || p_partkey, p_partkey from part where p_partkey in (5, 17, 40)),
+l1 as (select distinct origin, e.src as id from o join e on e.dst = o.id where e.src <> o.id),
+l2 as (select distinct l1.origin, e.src as id from l1 join e on e.dst = l1.id where (l1.origin, e.src) not in (select (origin, id) from o) and (l1.origin, e.src) not in (select (origin, id) from l1)),
+known as (select *, 0 as distance from o union all select *, 1 from l1 union all select *, 2 from l2),
+ex as (select origin, k.id as start, distance, e.*, row_number() over (order by origin, distance, e.dst, e.src, e.relation) as g from known k join e on e.dst = k.id),
+x as (select * from ex where g <= {_BUDGET}), seen as (select origin, src as id from x where distance < 2 union select origin, id from o),
+c as (select o.origin, (select count(*) from seen where seen.origin = o.origin) as states, (select count(*) from x where x.origin = o.origin) as edges, (select count(*) from ex where ex.origin = o.origin) as every,
+  exists (select 1 from x where x.origin = o.origin and distance = 2 and (x.origin, x.src) not in (select (origin, id) from seen)) as far from o)
+select origin, states, edges, states - 1 as files, case when far or edges < every then 'partial' else 'available' end as status,
+  case when states > 1 then 'evidence_found' when every > edges then 'not_evaluated' else 'no_evidence_found' end as finding,
+  array_to_string(list_filter([case when far then 'depth_limit' end, case when edges < every then 'traversal_work_limit' end], lambda r: r is not null), ';') as reasons from c""")
+def impact_budget(spark, d):
+    """Every part a file of its own; three origins share 5,000 examinations, so the first spends most of them and the last may not begin."""
+    nodes = lens.nodes(spark, d).withColumn("file", F.concat(F.lit("f"), F.col("id").cast("string")))
+    many = nodes.where(F.col("id").isin(5, 17, 40)).select(F.col("file").alias("origin"), "file")
+    return budget.budgeted(nodes, lens.edges(spark, d).where("src <> dst"), many, 2, 100_000, _BUDGET)[0]
+
+
+_PARENTS = """pe as (select p_partkey as src, case when p_partkey % 10 <> 0 then p_partkey - 1 else p_partkey // 3 end as dst from part where p_partkey > 0 union select l_partkey, l_partkey - 100 from lineitem where l_partkey >= 100 and l_quantity > 49)"""
+
+
+@query(f"""with recursive {_PARENTS}, r(target, id) as (select p_partkey, p_partkey from part where p_partkey in (1, 13, 40, 90) union select r.target, src from r join pe on dst = r.id)
+select target, id from r where target <> id""")
+def reachable_importers(spark, d):
+    """Parts on chains of ten, each chain's head on an earlier part, and some a hundred further on: paths as long as there are parts."""
+    p, li = lens.table(spark, d, "part"), lens.table(spark, d, "lineitem")
+    k = F.col("p_partkey")
+    up = F.when(k % 10 != 0, k - 1).otherwise(F.floor(k / 3))
+    edges = p.where(k > 0).select(k.alias("src"), up.cast("long").alias("dst")).unionByName(li.where("l_partkey >= 100 and l_quantity > 49").select(F.col("l_partkey").alias("src"), (F.col("l_partkey") - 100).alias("dst")))
+    return graph.reachable_importers(edges, p.where(k.isin(1, 13, 40, 90)).select(k.alias("target"), k.alias("id")))
 
 
 @query("select distinct lang as language, case when lang in ('en', 'de', 'xx') then 'covered' else 'uncovered' end as state from documents where lang is not null")

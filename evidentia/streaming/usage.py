@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -34,21 +34,28 @@ def deduplicated(events: DataFrame, key: str, body: str) -> DataFrame:
     return per.select(key, "events", F.when(F.col("a") != F.col("b"), "conflict").when(F.col("events") > 1, "duplicate").otherwise("accepted").alias("state"))
 
 
-def deduplicated_stream(events: DataFrame, key: str, body: str) -> DataFrame:
-    """As deduplicated(), for a stream: every micro-batch gives each key's count and state so far. The state is a body's digest, a count and a flag."""
+def deduplicated_stream(events: DataFrame, key: str, body: str, ttl_ms: int = 86_400_000) -> DataFrame:
+    """As deduplicated(), for a stream: every micro-batch gives each key's count and state so far. The state is a body's digest, a count and a flag.
+
+    A key is forgotten ttl_ms after its last row (a day, if nothing else is said), so the state is bounded by what comes in that time; a row after it is accepted anew.
+    """
 
     def step(ident: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         first, n, conflict = state.get if state.exists else (None, 0, False)
         for rows in batches:
             for value in rows["digest"]:
                 first = value if first is None else first
                 n, conflict = n + 1, conflict or value != first
         state.update((first, n, conflict))
+        state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame({key: [ident[0]], "events": [n], "state": ["conflict" if conflict else "duplicate" if n > 1 else "accepted"]})
 
     rows = events.select(F.col(key).cast("string").alias(key), F.sha2(F.col(body).cast("string"), 256).alias("digest"))
     return rows.groupBy(key).applyInPandasWithState(
-        step, f"{key} string, events long, state string", "first string, n long, conflict boolean", "update", GroupStateTimeout.NoTimeout
+        step, f"{key} string, events long, state string", "first string, n long, conflict boolean", "update", GroupStateTimeout.ProcessingTimeTimeout
     )
 
 
@@ -72,33 +79,15 @@ def advance(heads: DataFrame, arrived: DataFrame) -> tuple[DataFrame, DataFrame]
 
 
 def synchronise(stream: DataFrame, folder: str, checkpoint: str) -> tuple[DataFrame, DataFrame]:
-    """Run a stream of heads to its present end, one writer, and return (heads, quarantine).
+    """Run a stream of heads to its present end, one writer, and return (heads, quarantine: task, reason). Quarantined tasks are left out of the heads.
 
-    A micro-batch writes a new version of both tables under its number, from the version before it, so a repeated batch writes the same version again;
-    the last complete version is the state. Quarantined tasks are left out of the heads.
+    The state is a store of buckets in the folder, of which a micro-batch rewrites those that it changes.
     """
-    spark = stream.sparkSession
-    schema = {"heads": "task long, watermark long, rows_hash string", "pending": "task long, reason string"}
-    load: Callable = lambda name, n: spark.createDataFrame([], schema[name]) if n < 0 else spark.read.schema(schema[name]).parquet(f"{folder}/{name}/{n}")
-
-    def complete() -> int:
-        """The last version of which both tables are whole; -1 without any. An idle run, too, starts from it."""
-        fs = spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-        found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/pending/*/_SUCCESS")) or []
-        return max((int(f.getPath().getParent().getName()) for f in found), default=-1)
-
-    def write(batch: DataFrame, n: int) -> None:
-        batch = batch.persist()
-        heads, bad = advance(load("heads", n - 1), batch)
-        heads.write.mode("overwrite").parquet(f"{folder}/heads/{n}")
-        bad.unionByName(load("pending", n - 1)).distinct().write.mode("overwrite").parquet(f"{folder}/pending/{n}")
-        batch.unpersist()
-
-    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    n = complete()
-    pending = load("pending", n)
-    return load("heads", n).join(pending.select("task").distinct(), "task", "left_anti"), pending
+    from .store import Store  # which builds on advance()
+
+    store = Store(stream.sparkSession, folder)
+    store.drain(stream, checkpoint)
+    return store.heads(), store.pending().select("task", "reason")
 
 
 def drained(stream: DataFrame, folder: str, checkpoint: str) -> DataFrame:
