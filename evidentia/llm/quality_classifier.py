@@ -20,6 +20,8 @@ FEATURES = {
     "dup_lines": "n_dup_lines / greatest(n_lines, 1)",
     "repeats": "n_repeat_words / greatest(n_words, 1)",
 }
+#: Parts of the documents, by a hash of doc_id. What is said of a part's documents is learnt from the labels of the others.
+FOLDS = 3
 #: Bounds of a probability before its log-odds are taken.
 LEAST = 1e-4
 #: Bounds of the prior strengths that the method of moments may give, in documents.
@@ -48,12 +50,16 @@ def marks_of(labels: DataFrame) -> DataFrame:
     ).groupBy("doc_id").agg(F.min("quality").alias("quality"))
 
 
+def fold_of() -> Column:
+    return F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)), F.lit(0)).cast("int")
+
+
 def _classifier(labelled: DataFrame, sample: int) -> Column:
-    """Log-odds that a document is good, as an expression of its counts."""
+    """Log-odds that a document is good, as an expression of its counts. labelled: one row for each document."""
     rows, n = labelled, labelled.count()
     if n > sample:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 62)) < (1 << 62) * sample // n)
-    got = rows.select(*[F.expr(e).cast("double").alias(k) for k, e in FEATURES.items()], F.col("quality").cast("double")).toPandas().to_numpy()  # bounded by sample
+        rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 62)) < (1 << 62) * sample // n)
+    got = rows.select(*FEATURES, "quality").toPandas().to_numpy(dtype=float)  # bounded by sample
     if not len(got) or len(set(got[:, -1])) < 2:
         return F.lit(2.0)
     x, y = got[:, :-1], got[:, -1]
@@ -96,39 +102,70 @@ def strength(groups: DataFrame, prior: Column) -> float:
     return min(STRENGTHS[1], max(STRENGTHS[0], (1 - rho) / rho)) if rho > 0 else STRENGTHS[1]
 
 
+def _of_fold(values: list[float | Column]) -> Column:
+    """The value for the document's own part."""
+    found = F.lit(values[0]) if not isinstance(values[0], Column) else values[0]
+    for f, v in enumerate(values[1:], 1):
+        found = F.when(F.col("fold") == f, v).otherwise(found)
+    return found
+
+
 def scored(docs: DataFrame, labels: DataFrame, host: str | Column = "source", path: str | Column = "lang", sample: int = SAMPLE) -> DataFrame:
     """Per row of docs: doc_id, host, path, evidence (the classifier's probability), host_quality, path_quality, score and kept (score >= 0.5).
 
     docs: doc_id, text and what host and path are made of (columns or expressions; site() makes both from a URL); labels: doc_id, quality. The labelled documents of a
     host are a binomial outcome under a beta prior around the global rate, those of a path one under a beta prior around its host's posterior mean; both strengths come by moments, so
-    sparse sites shrink. Groups are counted with partial sums, so a host with very many documents costs one row for each task. A labelled document's own label is taken out
-    before its path speaks about it. The score adds the path's log-odds, relative to the global ones, to the document's evidence. Nulls in host or path are a host or
+    sparse sites shrink. Groups are counted with partial sums, so a host with very many documents costs one row for each task. The score adds the path's log-odds, relative to the global ones, to
+    the document's evidence.
+
+    No document's own label has a part in its score: the classifier, the global rate and the strengths that speak about a document come from the labels of the other parts (FOLDS), and
+    its label, once for each row that carries it, is taken out of the counts of its path and of its host. Nulls in host or path are a host or
     path of their own; a group without labels has its prior's mean; null texts have no words; repeated rows stay and count. Without labels of both kinds
     every document is equally likely good and is kept.
     """
     keys = ["host", "path"]
     host, path = (F.col(c) if isinstance(c, str) else c for c in (host, path))
-    known = written(counts(docs.withColumns({"host": host.cast("string"), "path": path.cast("string")}), *keys), "counts")
+    known = written(counts(docs.withColumns({"host": host.cast("string"), "path": path.cast("string")}), *keys).withColumn("fold", fold_of()), "counts")
     labelled = written(known.join(marks_of(labels), "doc_id"), "labelled")
-    z = _classifier(labelled, sample)
-    outcomes = labelled.select(*keys, F.col("quality").alias("good"), F.lit(1).alias("n"))
-    everywhere = known.select(*keys).distinct().select(*keys, F.lit(0).alias("good"), F.lit(0).alias("n"))  # a group without labels, too
-    paths = written(outcomes.unionAll(everywhere).groupBy(*keys).agg(F.sum("good").alias("good"), F.sum("n").alias("n")), "paths")
-    hosts = written(paths.groupBy("host").agg(F.sum("good").alias("good"), F.sum("n").alias("n")), "hosts")
-    total = hosts.agg(F.sum("good").alias("good"), F.sum("n").alias("n")).first()
+    # rows of one document may differ in text: the classifier is fitted on one of them
+    features = F.struct(*[F.expr(e).cast("double").alias(k) for k, e in FEATURES.items()])
+    single = written(labelled.groupBy("doc_id", "fold").agg(F.min(features).alias("x"), F.min("quality").alias("quality")).select("doc_id", "fold", "x.*", "quality"), "single")
+    z = [_classifier(single.where(F.col("fold") != f), sample) for f in range(FOLDS)]
+
+    inside = {f"{c}{f}": F.when(F.col("fold") == f, F.col(c)).otherwise(0) for f in range(FOLDS) for c in ("good", "n")}
+    outcomes = labelled.select(*keys, "fold", F.col("quality").alias("good"), F.lit(1).alias("n")).withColumns(inside).drop("fold")
+    everywhere = known.select(*keys).distinct().select(*keys, *[F.lit(0).alias(c) for c in ("good", "n", *inside)])  # a group without labels, too
+    sums = [F.sum(c).alias(c) for c in ("good", "n", *inside)]
+    paths = written(outcomes.unionByName(everywhere).groupBy(*keys).agg(*sums), "paths")
+    hosts = written(paths.groupBy("host").agg(*sums), "hosts")
+    total = hosts.agg(*sums).first()
+    means, up, down = [], [], []
+    for f in range(FOLDS):  # what the other parts say
+        rest = {c: (F.col(c) - F.col(f"{c}{f}")).alias(c) for c in ("good", "n")}
+        n, good = (total.n or 0) - (total[f"n{f}"] or 0), (total.good or 0) - (total[f"good{f}"] or 0)
+        means.append(good / n if n and 0 < good < n else 0.5)
+        of_hosts = hosts.select(F.col("host").alias("h"), *rest.values())
+        up.append(strength(of_hosts, F.lit(means[f])))
+        prior = of_hosts.select("h", ((F.col("good") + up[f] * means[f]) / (F.col("n") + up[f])).alias("host_quality"))
+        of_paths = paths.select("host", *rest.values()).join(prior, F.col("host").eqNullSafe(F.col("h")))
+        down.append(strength(of_paths, F.col("host_quality")))
     both = bool(total.n) and 0 < total.good < total.n
-    mean = total.good / total.n if both else 0.5
-    up = strength(hosts, F.lit(mean))
-    hosts = hosts.select(F.col("host").alias("h"), ((F.col("good") + up * mean) / (F.col("n") + up)).alias("host_quality"))
-    paths = paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).drop("h")
-    down = strength(paths, F.col("host_quality"))
-    paths = small(written(paths.select(F.col("host").alias("h"), F.col("path").alias("p"), "good", "n", "host_quality"), "posteriors"))
-    own = small(written(labelled.select("doc_id", "quality").distinct(), "own"))
-    rows = known.select("doc_id", *keys, (1 / (1 + F.exp(-z))).alias("evidence")).join(own, "doc_id", "left")
-    rows = rows.join(paths, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")))
-    self = F.when(F.col("quality").isNull(), 0).otherwise(1)
-    path_quality = (F.col("good") - F.coalesce("quality", F.lit(0)) + down * F.col("host_quality")) / (F.col("n") - self + down)
-    rows = rows.withColumn("path_quality", F.col("host_quality") if not both else path_quality)
-    odds = logit(F.col("evidence")) + logit(F.col("path_quality")) - logit(F.lit(mean))
-    rows = rows.withColumn("score", 1 / (1 + F.exp(-odds)))
+
+    whole = paths.select(F.col("host").alias("h"), F.col("path").alias("p"), "good", "n").join(
+        hosts.select(F.col("host").alias("h2"), F.col("good").alias("host_good"), F.col("n").alias("host_n")), F.col("h").eqNullSafe(F.col("h2"))
+    ).drop("h2")
+    whole = small(written(whole, "sites"))
+    own = labelled.groupBy("doc_id", *keys).agg(F.count("*").alias("own_n"), F.sum("quality").alias("own_good"))
+    at_host = own.groupBy(F.col("doc_id").alias("d"), F.col("host").alias("oh")).agg(F.sum("own_n").alias("own_host_n"), F.sum("own_good").alias("own_host_good"))
+    own = own.join(at_host, (F.col("doc_id") == F.col("d")) & F.col("host").eqNullSafe(F.col("oh"))).drop("oh", "doc_id")
+    own = small(written(own.withColumnsRenamed({"host": "oh", "path": "op"}), "own"))
+    rows = known.select("doc_id", "fold", *keys, (1 / (1 + F.exp(-_of_fold(z)))).alias("evidence"))
+    rows = rows.join(own, (F.col("doc_id") == F.col("d")) & F.col("host").eqNullSafe(F.col("oh")) & F.col("path").eqNullSafe(F.col("op")), "left")
+    rows = rows.join(whole, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")))
+    less = lambda c, own: F.col(c) - F.coalesce(own, F.lit(0))
+    mean, a, b = _of_fold(means), _of_fold(up), _of_fold(down)
+    rows = rows.withColumn("host_quality", (less("host_good", "own_host_good") + a * mean) / (less("host_n", "own_host_n") + a))
+    path_quality = (less("good", "own_good") + b * F.col("host_quality")) / (less("n", "own_n") + b)
+    rows = rows.withColumn("path_quality", path_quality if both else F.col("host_quality"))
+    rows = rows.withColumn("score", 1 / (1 + F.exp(-(logit(F.col("evidence")) + logit(F.col("path_quality")) - logit(mean)))))
     return rows.select("doc_id", "host", "path", "evidence", "host_quality", "path_quality", "score", (F.col("score") >= 0.5).alias("kept"))

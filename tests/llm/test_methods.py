@@ -297,6 +297,32 @@ def same_rows(spark, sf_dir, frame, sql):
     assert sorted(got.columns) == sorted(want.columns) and key(got) == key(want)
 
 
+def test_short_items_are_found_inside_long_documents(spark, sf_dir, tmp_path):
+    """Items of one to four words, wherever they stand; brute force over all runs of words, and the operator's own SQL."""
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(40)}"
+    docs = [(n, " ".join(word() for _ in range(rng.choice([0, 1, 2, 3, 4, 5, 17, 60])))) for n in range(60)] + [(60, "well the Secret answer is\tforty said nobody at all in these many words here"), (61, None), (62, "secret answer is")]
+    items = [(1, "secret answer IS forty"), (2, "w1 w2"), (3, "w7"), (4, "w3 w4 w5"), (5, ""), (6, None), (7, " ".join(docs[55][1].split()[:6])), (8, "w9 w9 w9 w9")]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.n_shared, r.n_item) for r in decontaminate.leaks(frame, bench).collect()}
+    grams = lambda w, n: {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+    want = set()
+    for d, text in docs:
+        for i, item in items:
+            w, b = (text or "").lower().split(), (item or "").lower().split()
+            own = grams(b, min(len(b), 5)) if b else set()
+            shared = len(own & grams(w, min(len(b), 5))) if own else 0
+            if shared and shared >= math.ceil(0.8 * len(own) - 1e-9):
+                want.add((d, i, shared, len(own)))
+    assert got == want and {d for d, i, *_ in got if i == 1} == {60}
+    for name, df in (("documents", frame), ("benchmark", bench)):
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"create view {name} as select * from read_parquet('{tmp_path}/{name}/*.parquet')")
+    assert {tuple(r[:4]) for r in con.execute(decontaminate.oracle()).fetchall()} == want
+
+
 def test_leaks_and_rules_equal_sql(spark, sf_dir, docs):
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     same_rows(spark, sf_dir, decontaminate.leaks(docs, read("benchmark")), decontaminate.oracle())
@@ -429,20 +455,53 @@ def test_quality_posteriors_against_numpy(spark):
     labels = spark.createDataFrame([(d, q) for d, q in quality.items()], "doc_id long, quality int")
     got = {r.doc_id: r for r in quality_classifier.scored(docs, labels, *quality_classifier.site(F.col("url"))).collect()}
     key = {n: (u.lower().split("/")[2].removeprefix("www."), u.split("/")[3]) for n, _, u in rows}
-    paths = {k: [sum(quality.get(n, 0) for n in key if key[n] == k), sum(n in quality for n in key if key[n] == k)] for k in set(key.values())}
-    hosts = {h: [sum(g for (a, _), (g, _) in paths.items() if a == h), sum(c for (a, _), (_, c) in paths.items() if a == h)] for h, _ in paths}
-    mean = sum(quality.values()) / len(quality)
-    up = beta_strength(list(hosts.values()), mean)
-    post = {h: (g + up * mean) / (c + up) for h, (g, c) in hosts.items()}
-    down = beta_strength(list(paths.values()), np.array([post[h] for h, _ in paths]))
+    fold = {r.doc_id: r.fold for r in docs.select("doc_id", quality_classifier.fold_of().alias("fold")).collect()}
     logit = lambda p: math.log(min(max(p, 1e-4), 1 - 1e-4) / (1 - min(max(p, 1e-4), 1 - 1e-4)))
-    for n, k in key.items():
-        g, c = paths[k]
-        want = (g - quality.get(n, 0) + down * post[k[0]]) / (c - (n in quality) + down)
-        assert (got[n].host, got[n].path) == k
-        assert got[n].host_quality == pytest.approx(post[k[0]], rel=1e-9) and got[n].path_quality == pytest.approx(want, rel=1e-9)
-        assert got[n].score == pytest.approx(1 / (1 + math.exp(-(logit(got[n].evidence) + logit(want) - logit(mean)))), rel=1e-6)
-    assert post["a.org"] > post["c.org"] and post["d.org"] == pytest.approx(mean)
+
+    def groups(of, known):
+        found: dict = {of(k): [0, 0] for k in key.values()}
+        for n in known:
+            found[of(key[n])][0] += quality[n]
+            found[of(key[n])][1] += 1
+        return found
+
+    every = {name: groups(of, quality) for name, of in (("paths", lambda k: k), ("hosts", lambda k: k[0]))}
+    for f in range(quality_classifier.FOLDS):  # what is learnt for a part of the documents comes from the others
+        others = [n for n in quality if fold[n] != f]
+        hosts, paths = groups(lambda k: k[0], others), groups(lambda k: k, others)
+        mean = sum(quality[n] for n in others) / len(others)
+        up = beta_strength(list(hosts.values()), mean)
+        post = {h: (g + up * mean) / (c + up) for h, (g, c) in hosts.items()}
+        down = beta_strength(list(paths.values()), np.array([post[h] for h, _ in paths]))
+        for n, k in key.items():
+            if fold[n] != f:
+                continue
+            own, one = quality.get(n, 0), n in quality
+            (g, c), (hg, hc) = every["paths"][k], every["hosts"][k[0]]
+            at_host = (hg - own + up * mean) / (hc - one + up)
+            want = (g - own + down * at_host) / (c - one + down)
+            assert (got[n].host, got[n].path) == k
+            assert got[n].host_quality == pytest.approx(at_host, rel=1e-9) and got[n].path_quality == pytest.approx(want, rel=1e-9)
+            assert got[n].score == pytest.approx(1 / (1 + math.exp(-(logit(got[n].evidence) + logit(want) - logit(mean)))), rel=1e-6)
+        assert post["a.org"] > post["c.org"] and post["d.org"] == pytest.approx(mean)
+
+
+def test_no_label_has_a_part_in_its_own_score(spark):
+    """Whatever the label of a document, and however often its row is repeated, its own score stays; those of others move."""
+    rng = random.Random(8)
+    rows = [(n, ("good words in a row " * rng.randrange(5, 40)) if rng.random() < 0.6 else "## ! $$\n" * 9, f"h{n % 7}", f"p{n % 3}") for n in range(200)]
+    rows += [rows[11]] * 9 + [(11, "another text of it", "h9", "p1"), (12, rows[12][1], None, None), (12, rows[12][1], None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(3)
+    marks = {n: int(rng.random() < 0.6) for n in range(150)}
+
+    def scores(changed):
+        labels = spark.createDataFrame(list((marks | changed).items()), "doc_id long, quality int")
+        return sorted((r.doc_id, r.host or "", r.path or "", r.evidence, r.host_quality, r.path_quality, r.score) for r in quality_classifier.scored(docs, labels).collect())
+
+    for d in (11, 12, 40):
+        before, after = scores({d: 0}), scores({d: 1})
+        assert [r for r in before if r[0] == d] == [r for r in after if r[0] == d]
+        assert before != after
 
 
 def test_language_model(docs, texts):
