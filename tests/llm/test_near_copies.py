@@ -49,11 +49,11 @@ def varied(seed=5):
     return dict(enumerate(texts, 1))
 
 
-@pytest.mark.parametrize("group, pivots", [(1000, 512), (10, 7)])
-def test_groups_are_those_of_all_pairs(spark, group, pivots):
+@pytest.mark.parametrize("group_bytes, levels", [(near_copies.GROUP_BYTES, 2), (6000, 1), (6000, 0)])
+def test_groups_are_those_of_all_pairs(spark, group_bytes, levels):
     texts = varied()
     frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
-    got = {r.doc_id: r.component_id for r in near_copies.near_copies(frame, group=group, pivots=pivots).collect()}
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(frame, group_bytes=group_bytes, levels=levels).collect()}
     assert got == groups(texts)
 
 
@@ -74,7 +74,52 @@ def test_stage_finds_copies_beyond_four_bits(spark):
 
 def test_sets_at_the_threshold():
     sets = [np.array(x, np.uint64) for x in ([1, 2, 3, 4], [1, 2, 3, 4, 5], [1, 2, 3, 4, 6, 7])]
-    assert near_copies.forest(np.arange(3), sets, 3) == [(1, 0)]
+    assert near_copies.forest(np.arange(3), sets) == [(1, 0)]
+
+
+def crowd(seed=9, texts=160):
+    """Texts that share a bucket without being near copies: half of each is the same in all; a few are near copies of others."""
+    rng = random.Random(seed)
+    word = lambda: "w" + str(rng.randrange(10**6))
+    common, rows = [f"c{k}" for k in range(400)], []
+    for k in range(texts):
+        own = [word() for _ in range(130)]
+        rows.append(common + own)
+        if k % 9 == 0:
+            near = list(own)
+            near[rng.randrange(130)] = word()
+            rows.append(common + near)
+    return {n: " ".join(r) for n, r in enumerate(rows, 1)}
+
+
+@pytest.mark.parametrize("group_bytes, levels", [(near_copies.GROUP_BYTES, 2), (40_000, 2), (40_000, 0)])
+def test_crowded_buckets_lose_and_invent_no_link(spark, group_bytes, levels):
+    texts = crowd()
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(frame, group_bytes=group_bytes, levels=levels).collect()}
+    assert got == groups(texts)
+
+
+def test_a_long_chain_takes_a_bounded_number_of_jobs(spark):
+    """2,000 drifting texts, each near the next one only: one group, in no more jobs than a fixed number and the logarithm of the chain."""
+    rng = random.Random(1)
+    text, texts = [f"w{k}" for k in range(120)], {}
+    for n in range(1, 2001):  # as long as a fixed number of rounds would never reach
+        texts[n] = " ".join(text)
+        text = text[1:] + [f"n{n}"] if n % 2 else [*text[:60], f"m{n}", *text[61:]]
+        rng.random()
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    spark.sparkContext.setJobGroup("chain", "near copies of a chain")
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(frame).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain"))
+    spark.sparkContext.setJobGroup("", "")
+    sets = {d: grams(t) for d, t in texts.items()}
+    want, first = {}, 1
+    for d in texts:  # neighbours only are near
+        if d > 1 and 5 * len(sets[d] & sets[d - 1]) < 4 * len(sets[d] | sets[d - 1]):
+            first = d
+        want[d] = first
+    assert got == want and jobs < 400
 
 
 def test_ids_that_repeat_with_other_texts(spark):
