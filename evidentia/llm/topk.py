@@ -17,6 +17,8 @@ K, EVERY, SCALE = 20, 20, 64
 BLOCK_BYTES = 8 << 20
 #: Rows of the first slab by length, and how much larger each further slab is.
 FIRST_ROWS, GROWTH = 4096, 4
+#: Bytes of rows for a task at least, if there are tasks enough for all cores.
+TASK_BYTES = 8 << 20
 #: Queries and rows compared at a time.
 TILE = (512, 2048)
 #: Share of pairs that are still possible from which all of a tile are multiplied out.
@@ -175,6 +177,7 @@ def top_k(
     cuts = one.approxQuantile("norm", [1 - s / n for s in sizes], 0.0005) if sizes else []
     cuts = sorted(set(cuts) - {longest}, reverse=True)
     slabs = list(zip([None, *cuts], [*cuts, None], strict=True))
+    tasks = max(sc.defaultParallelism, n * length * 8 // TASK_BYTES)
 
     per_block = max(1, block_bytes // (8 * length))
     queries = one.where(F.col("vec_id") % every == 0)
@@ -199,7 +202,7 @@ def top_k(
                 break  # no shorter row reaches any threshold
             slab = slab.where(F.col("norm") >= reach) if reach > 0 else slab
             block = sc.broadcast((ids, x, copies, axes, levels, exact, k, floor, floor_id))
-            new = in_batches(slab.select("vec_id", "x", "copies")).mapInArrow(_search(block, length), FOUND)
+            new = in_batches(slab.select("vec_id", "x", "copies").coalesce(tasks)).mapInArrow(_search(block, length), FOUND)
             found = written(best(new if found is None else new.unionByName(found), k), "found")
             last = found.groupBy("query").agg(F.count("*").alias("n"), F.max(F.struct((-F.col("score")).alias("s"), "vec_id")).alias("last")).where(F.col("n") >= k)
             for r in last.select("query", "last.s", "last.vec_id").collect():  # a row for each query of the block
