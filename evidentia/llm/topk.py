@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordered import placed
 from .common import fresh_path, in_batches, written
 from .vectors import matrix, padded, singular, whole
 
@@ -181,11 +182,9 @@ def top_k(
 
     per_block = max(1, block_bytes // (8 * length))
     queries = one.where(F.col("vec_id") % every == 0)
-    parts = max(1, -(-queries.count() // per_block))
-    asked = queries.repartitionByRange(parts, F.desc("norm"), "vec_id").withColumn("at", F.monotonically_increasing_id())
-    # a block has per_block queries at most, however well the ranges were cut
-    at = F.col("at").bitwiseAND((1 << 33) - 1)
-    asked = written(asked.withColumn("block", F.floor(at / per_block) + F.shiftleft(F.shiftright("at", 33), 33)), "queries")
+    # by falling length, per_block queries a block, however the ranges of the table are cut
+    asked = placed(queries, [F.desc("norm"), "vec_id"]).withColumn("block", F.floor(F.col("place") / per_block)).drop("place")
+    asked = written(asked, "queries")
     names = [r.block for r in asked.select("block").distinct().orderBy("block").collect()]  # one for each block_bytes of queries
     out = fresh_path(spark, "answers")
     for name in names:
