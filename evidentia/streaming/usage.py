@@ -34,10 +34,11 @@ def deduplicated(events: DataFrame, key: str, body: str) -> DataFrame:
     return per.select(key, "events", F.when(F.col("a") != F.col("b"), "conflict").when(F.col("events") > 1, "duplicate").otherwise("accepted").alias("state"))
 
 
-def deduplicated_stream(events: DataFrame, key: str, body: str, ttl_ms: int = 86_400_000) -> DataFrame:
+def deduplicated_stream(events: DataFrame, key: str, body: str, ttl_ms: int | None = None) -> DataFrame:
     """As deduplicated(), for a stream: every micro-batch gives each key's count and state so far. The state is a body's digest, a count and a flag.
 
-    A key is forgotten ttl_ms after its last row (a day, if nothing else is said), so the state is bounded by what comes in that time; a row after it is accepted anew.
+    With ttl_ms a key is forgotten that long after its last row, so the state is bounded by what comes in that time; a row after it is accepted anew. Such a stream has time-outs to wait for and
+    so never comes to an end by itself: run it by a processing-time trigger, not by availableNow.
     """
 
     def step(ident: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -50,12 +51,14 @@ def deduplicated_stream(events: DataFrame, key: str, body: str, ttl_ms: int = 86
                 first = value if first is None else first
                 n, conflict = n + 1, conflict or value != first
         state.update((first, n, conflict))
-        state.setTimeoutDuration(ttl_ms)
+        if ttl_ms is not None:
+            state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame({key: [ident[0]], "events": [n], "state": ["conflict" if conflict else "duplicate" if n > 1 else "accepted"]})
 
     rows = events.select(F.col(key).cast("string").alias(key), F.sha2(F.col(body).cast("string"), 256).alias("digest"))
     return rows.groupBy(key).applyInPandasWithState(
-        step, f"{key} string, events long, state string", "first string, n long, conflict boolean", "update", GroupStateTimeout.ProcessingTimeTimeout
+        step, f"{key} string, events long, state string", "first string, n long, conflict boolean", "update",
+        GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout
     )
 
 
