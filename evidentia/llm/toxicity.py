@@ -1,7 +1,8 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
 Five weighted transducers read the word classes of a clause one after the other: reported speech, negation, target, insult, threat. Their composition is
-one transducer; what counts is the heaviest path through it for each clause. The lexicon, the weights of contexts and the final scale are learned.
+one transducer; what counts is the heaviest path through it for each clause. Insults, the scale of threats, the weights of contexts and the final scale
+are learned; the verbs of threats are fixed, with forms made by rules of four languages.
 """
 
 from __future__ import annotations
@@ -21,19 +22,59 @@ from .common import crc_fold, given_back, in_batches, slices, text_or_empty
 
 #: Labelled training texts that are read at most; of more, a part chosen by a hash of doc_id.
 SAMPLE = 20_000
-#: A word is taken for an insult if it is in so large a part of the toxic training texts, in so many of them, and so many times as frequent there.
-SHARE, SUPPORT, RATIO = 0.004, 4, 8.0
-
-# Fixed word lists of the grammar: function words of four languages.
-TARGETS = "you your yours he she they him her them this these who people du ihr sie dich euch er tu vous il elle ils elles toi tú usted ustedes él ella ellos ellas".split()
-NEGATIONS = "not no never neither nor without isn't aren't wasn't nicht kein keine nie niemals ne pas jamais aucun sans nunca jamás sin tampoco".split()
+#: A word is taken for an insult if it is in so large a part of the toxic training texts, in so many of them, and so many times as frequent there,
+#: and if exact binomial tests say so: of the words taken, a part of LEVEL at most is there by chance (Benjamini and Hochberg's step-up over all words tested).
+SHARE, SUPPORT, RATIO, LEVEL = 0.004, 4, 8.0, 0.01
+
+# Fixed word lists of the grammar: function words of four languages, and the verbs of threats.
+TARGETS = (
+    "you your yours he she they him her them this these who people du ihr sie dich dir euch ihn er tu te t' vous il elle ils elles toi tú usted ustedes os él ella ellos ellas"
+).split()
+NEGATIONS = "not no never neither nor without isn't aren't wasn't don't didn't won't nicht kein keine nie niemals ne n' pas jamais aucun sans nunca jamás sin tampoco".split()
 REPORTS = "said says say claimed claims wrote called calls quoted quote reported alleged sagte sagt behauptete nannte schrieb dit disait écrit appelé dijo dice llamó escribió".split()
-THREATS = "kill hurt beat destroy murder attack töten schlagen umbringen tuer frapper détruire matar golpear destruir".split()
+ENGLISH = "kill hurt beat destroy murder attack shoot burn stab strangle smash slaughter".split()
+GERMAN = "töt schlag schläg ermord erschieß erwürg zerstör verprügel verbrenn erstech".split()
+SEPARABLE = {"bring": "um", "leg": "um", "stech": "ab", "knall": "ab", "mach": "fertig", "schlag": "zusammen"}
+FRENCH = "tu frapp massacr étrangl poignard brûl égorg assassin".split()
+SPANISH = "mat golpe asesin quem apuñal estrangul dispar".split()
+IRREGULAR = "shot beaten umbringen umgebracht erschossen détruire détruis détruit détruirai destruir destruyo destruiré".split()
+ENDINGS = {
+    "german": "e st est t et en te test ten tet".split(),
+    "separable": "e st t en".split(),
+    "french": "er e es ons ez ent é ée és ées ai as a erai eras era erons erez eront ais ait aient ant".split(),
+    "spanish": "ar o as a amos an é aste ó aron aré arás ará aremos arán aba ado ada ando".split(),
+}
+CLITICS = "te os lo la los las le les".split()
+
+
+def english_forms(verb: str) -> set[str]:
+    """A verb, its -s, -ed and -ing: a last e falls out, and one short syllable doubles its last consonant."""
+    stem = verb.removesuffix("e")
+    if re.fullmatch(r"[^aeiou]+[aeiou][bdgmnpt]", verb):
+        stem = verb + verb[-1]
+    return {verb, f"{verb}s", f"{stem}ed", f"{stem}ing"}
+
+
+def threat_forms() -> set[str]:
+    """All inflected forms of the verbs of threats that are one word; forms that no language has do no harm."""
+    forms = {f for verb in ENGLISH for f in english_forms(verb)} | set(IRREGULAR)
+    for stems, kind in ((GERMAN, "german"), (FRENCH, "french"), (SPANISH, "spanish")):
+        forms |= {stem + ending for stem in stems for ending in ENDINGS[kind]}
+    return forms - set(TARGETS)
+
+
+#: Infinitives that carry their target, as matarte.
+AIMED = {f"{stem}ar{clitic}" for stem in SPANISH for clitic in CLITICS}
+#: The form of a verb whose particle, later in the clause, makes it a threat.
+HEADS = {stem + ending: particle for stem, particle in SEPARABLE.items() for ending in ENDINGS["separable"]}
+THREATS = threat_forms()
 
 CONTEXTS = ("plain", "targeted", "negated", "reported")
 #: Factors before any evidence, and the matches that they count for.
 PRIOR, STRENGTH = (1.0, 1.2, 0.4, 0.4), 20.0
-_WORDS = re.compile(r"\w+(?:'\w+)?").findall
+_WORDS = re.compile(r"(?:[cdjlmnst]|qu)'(?=\w)|\w+(?:'\w+)?").findall
+#: A word that no text has, under which texts with an aimed threat are counted.
+THREATENS = " threatens"
 _CLAUSES = re.compile(r"[.!?;:\n\r()\"“”«»]+|,\s").split
 
 
@@ -171,13 +212,15 @@ class Grammar:
     factor: dict[str, float] = field(default_factory=lambda: dict(zip(CONTEXTS, PRIOR, strict=True)))
     bias: float = 0.0
     slope: float = 1.0
+    threat: float | None = None
 
     def __post_init__(self) -> None:
         self.kind = {w: k for k, ws in (
             ("target", TARGETS), ("report", REPORTS), ("negation", NEGATIONS), ("threat", THREATS)
         ) for w in ws} | dict.fromkeys(self.weight, "insult")
-        self.threat = max(self.weight.values(), default=3.0)
-        self.open = frozenset(self.weight) | frozenset(THREATS)
+        if self.threat is None:
+            self.threat = max(self.weight.values(), default=3.0)
+        self.open = frozenset(self.weight) | THREATS | AIMED | HEADS.keys()
         self.learn(self.factor)
 
     def learn(self, factor: dict[str, float]) -> None:
@@ -185,12 +228,22 @@ class Grammar:
 
     def clause(self, tokens: list[str]) -> list[tuple[str, float]]:
         """(context, weight) of the matches on the clause's best path."""
-        symbols = [(k, self.weight.get(w, self.threat if k == "threat" else 0.0)) for w in tokens if (k := self.kind.get(w))]
+        symbols: list[tuple[str, float]] = []
+        particles: set[str] = set()
+        for n, w in enumerate(tokens, 1):
+            if w in particles and n == len(tokens):  # the second half of a separable verb ends its clause
+                symbols.append(("threat", self.threat))
+            elif w in AIMED:
+                symbols += [("threat", self.threat), ("target", 0.0)]
+            elif k := self.kind.get(w):
+                symbols.append((k, self.weight.get(w, self.threat if k == "threat" else 0.0)))
+            if w in HEADS:
+                particles.add(HEADS[w])
         return [(out, scale) for out, scale in best_path(self.rules, symbols) if out in self.factor]
 
     def matches(self, text: str) -> dict[str, float]:
         """Weight by context over all clauses of a text; the best match of a clause and half of its others."""
-        low = text.lower()
+        low = text.lower().replace("\u2019", "'")
         if self.open.isdisjoint(_WORDS(low)):
             return {}
         total: dict[str, float] = {}
@@ -211,19 +264,34 @@ class Grammar:
 
 
 def _training(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """(text, toxic) of at most about `sample` labelled rows that are not held out."""
+    """(doc_id, text, toxic) of the rows of at most about `sample` labelled documents that are not held out."""
     marks = labels.where(F.col("toxic").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(crc_fold() != 0)
     marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = marks.count()
     if n > sample:
         marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 62)) < (1 << 62) * sample // n)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.join(F.broadcast(marks), "doc_id").select("text", "toxic")  # bounded by sample
+    return rows.join(F.broadcast(marks), "doc_id")  # bounded by sample
+
+
+def binomial_tail(bad: int, n: int, share: float) -> float:
+    """The exact probability of `bad` or more toxic ones in n texts of which each is toxic with probability share, strictly between 0 and 1."""
+    k = np.arange(bad, n + 1)
+    choose = math.lgamma(n + 1) - np.array([math.lgamma(i + 1) + math.lgamma(n - i + 1) for i in k])
+    return float(min(np.exp(choose + k * math.log(share) + (n - k) * math.log1p(-share)).sum(), 1.0))
+
+
+def discoveries(tails: dict[str, float], tests: int, level: float = LEVEL) -> set[str]:
+    """Of the tails among so many tests, those that the step-up procedure takes: the k smallest, for the largest k whose k-th is at most level * k / tests."""
+    ranked = sorted(tails, key=lambda w: (tails[w], w))
+    last = max((k for k, w in enumerate(ranked, 1) if tails[w] <= level * k / tests), default=0)
+    return set(ranked[:last])
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Grammar:
     """Learn insults, context factors and the final scale from labelled texts outside the held-out fold."""
     train = _training(docs, labels, sample)
+    bare = Grammar({})
 
     def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -231,6 +299,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Grammar:
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 seen.update((w, toxic) for w in set(_WORDS(text.lower())))
                 seen["", toxic] += 1
+                seen[THREATENS, toxic] += "targeted" in bare.matches(text)
         if seen:
             keys, n = zip(*seen.items(), strict=True)
             yield pa.RecordBatch.from_arrays(
@@ -247,18 +316,30 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Grammar:
         counted.unpersist()
         return Grammar({}, bias=-4.0)
     bad, good = total.bad, total.good
-    enough = (F.col("bad") >= max(SUPPORT, SHARE * bad)) & (F.col("bad") / bad >= RATIO * F.greatest(F.col("good"), F.lit(0.5)) / max(good, 1)) & (F.col("word") != "")
-    rows = counted.where(enough).collect()  # at most 1 / SHARE words for each word of an average text
+    tried = counted.where((F.col("bad") >= max(SUPPORT, SHARE * bad)) & ~F.col("word").isin("", THREATENS))
+    often = F.col("bad") / bad >= RATIO * F.greatest(F.col("good"), F.lit(0.5)) / max(good, 1)
+    rows, tests = tried.where(often).collect(), tried.count()  # at most 1 / SHARE words for each word of an average text
+    aimed = counted.where(F.col("word") == THREATENS).first()
     counted.unpersist()
-    own = set(TARGETS + NEGATIONS + REPORTS + THREATS)
-    grammar = Grammar({r.word: math.log((r.bad + 0.5) / (bad + 1)) - math.log((r.good + 0.5) / (good + 1)) for r in rows if r.word not in own})
+    own = THREATS.union(TARGETS, NEGATIONS, REPORTS, AIMED)
+    odds = lambda b, g: math.log((b + 0.5) / (bad + 1)) - math.log((g + 0.5) / (good + 1))
+    tails = {r.word: binomial_tail(r.bad, r.bad + r.good, bad / (bad + good)) for r in rows if good and r.word not in own}
+    found = discoveries(tails, tests)
+    words = {r.word: odds(r.bad, r.good) for r in rows if r.word in found}
+    # What aimed threats tell, shrunk to the strongest insult as far as few texts hold any.
+    n, prior = (aimed.bad + aimed.good, max(words.values(), default=3.0)) if aimed else (0, 3.0)
+    grammar = Grammar(words, threat=max((n * odds(aimed.bad, aimed.good) + STRENGTH * prior) / (n + STRENGTH), 0.0) if n else None)
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [grammar.matches(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[pa.array([m.get(c, 0.0) for m in found], pa.float64()) for c in CONTEXTS], batch.column("toxic")], [*CONTEXTS, "toxic"])
+            kept = [batch.column("doc_id"), batch.column("toxic")]
+            yield pa.RecordBatch.from_arrays([*[pa.array([m.get(c, 0.0) for m in found], pa.float64()) for c in CONTEXTS], *kept], [*CONTEXTS, "doc_id", "toxic"])
 
-    seen = in_batches(train).mapInArrow(contexts, ", ".join(f"{c} double" for c in CONTEXTS) + ", toxic int").toPandas()  # bounded by sample
+    schema = ", ".join(f"{c} double" for c in CONTEXTS) + ", doc_id long, toxic int"
+    # One row a document: repeated rows of a labelled document add nothing to what comes to the driver.
+    each = in_batches(train).mapInArrow(contexts, schema).groupBy("doc_id").agg(F.max(F.struct(*CONTEXTS)).alias("m"), F.max("toxic").alias("toxic"))
+    seen = each.orderBy("doc_id").select("m.*", "toxic").toPandas()  # bounded by sample
     is_bad = seen["toxic"].to_numpy() == 1
     weight = seen[list(CONTEXTS)].to_numpy()
     grammar.learn(_factors(weight, is_bad))
@@ -311,7 +392,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """docs without those predicted toxic, in one narrow pass; all columns stay."""
+    """docs without those predicted toxic, in one narrow pass; all columns stay.
+
+    Null texts count as empty, so they stay; repeated rows share one fate, and a null doc_id changes nothing. Empty tables give empty tables.
+    """
     grammar = learn(docs, labels, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
