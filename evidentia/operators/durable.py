@@ -17,6 +17,8 @@ def shared_dir(df: DataFrame) -> str:
     spark = df.sparkSession
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if where is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="evidentia-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from ..functions import names
+from ..operators.durable import shared_dir
 from ..streaming import usage
 from . import lens
 from .registered import query
@@ -15,8 +15,7 @@ from .registered import query
 
 def _folder(spark) -> str:
     """A fresh folder where the cluster shares files; a temporary one only where none is named, as in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="evidentia-")
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark.range(0))}/stream-{uuid.uuid4().hex}"
 
 
 def _stream(spark, d, name: str):
