@@ -1,92 +1,119 @@
-"""Caseless keys of file names, and whether two names collide on some file system."""
+"""Caseless keys of file names, and whether two names collide on some file system. All of it runs in the JVM: Spark brings ICU, whose static methods the SQL function reflect() calls."""
 
 from __future__ import annotations
 
-import re
-import unicodedata
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
-#: Default-ignorable characters as ranges of the Unicode property.
-_IGNORABLE = re.compile(
-    "[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0\ufff0-\ufff8\U0001bca0-\U0001bca3\U0001d173-\U0001d17a\U000e0000-\U000e0fff]"
+# Fixed values of the key rules.
+#: Characters that are ignored by default, as ranges of the Unicode property.
+IGNORABLE = (
+    r"[\x{ad}\x{34f}\x{61c}\x{115f}-\x{1160}\x{17b4}-\x{17b5}\x{180b}-\x{180f}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{206f}\x{3164}\x{fe00}-\x{fe0f}\x{feff}"
+    r"\x{ffa0}\x{fff0}-\x{fff8}\x{1bca0}-\x{1bca3}\x{1d173}-\x{1d17a}\x{e0000}-\x{e0fff}]"
 )
+#: Foldings that Unicode 17 adds to those of ICU's version: (first, last, distance to the folded character, step).
+ADDED = ((0xA7CE, 0xA7CE, 1, 1), (0xA7D2, 0xA7D4, 1, 2), (0x16EA0, 0x16EB8, 0x1B, 1))
+#: The file-system model folds and ignores what Unicode 12 had; later characters stay.
+MODEL_AGE = 12
+MODEL_IGNORABLE = IGNORABLE.replace(r"\x{180f}", r"\x{180e}")
+
+_ICU = "com.ibm.icu.text.Normalizer", "com.ibm.icu.lang.UCharacter"
+
+
+def decomposed(text: Column) -> Column:
+    """Canonical decomposition (NFD) of a text, null for null."""
+    return F.when(text.isNotNull(), F.reflect(F.lit(_ICU[0]), F.lit("decompose"), F.coalesce(text, F.lit("")), F.lit(False)))
+
+
+def composed(text: Column) -> Column:
+    """Canonical composition (NFC) of a text, null for null."""
+    return F.when(text.isNotNull(), F.reflect(F.lit(_ICU[0]), F.lit("compose"), F.coalesce(text, F.lit("")), F.lit(False)))
 
 
-def _finished(value: str) -> str:
-    value = value.replace("\u0131", "i").replace("\u0307", "")
-    return unicodedata.normalize("NFD", re.sub(r"[ .]+\Z", "", _IGNORABLE.sub("", value)))
+def _folded(text: Column) -> Column:
+    """Full case folding, character by character, without a locale."""
+    added = [(chr(c), chr(c + by)) for first, last, by, step in ADDED for c in range(first, last + 1, step)]
+    known = F.reflect(F.lit(_ICU[1]), F.lit("foldCase"), F.coalesce(text, F.lit("")), F.lit(True))
+    return F.translate(known, "".join(a for a, _ in added), "".join(b for _, b in added))
 
 
-def name_key(name: str) -> str:
-    """Canonical caseless key: full case folding of the decomposed name, then dots, ignorables and trailing dots and spaces go."""
-    return _finished(unicodedata.normalize("NFD", unicodedata.normalize("NFD", name).casefold()))
+def _finished(text: Column) -> Column:
+    plain = F.replace(F.replace(text, F.lit("\u0131"), F.lit("i")), F.lit("\u0307"), F.lit(""))
+    return decomposed(F.rtrim(F.regexp_replace(plain, IGNORABLE, ""), F.lit(" .")))
 
 
-def simple_key(name: str) -> str:
-    """As name_key(), each character folded by itself and only if that leaves one character, as file systems with case tables do."""
-    folded = "".join(c if len(f := c.casefold()) != 1 else f for c in unicodedata.normalize("NFC", _IGNORABLE.sub("", name)))
-    return _finished(unicodedata.normalize("NFD", folded))
+def name_key(name: Column) -> Column:
+    """Canonical caseless key: full case folding of the decomposed name, then dots above, ignorables and trailing dots and spaces go. Null for null."""
+    return F.when(name.isNotNull(), _finished(decomposed(_folded(decomposed(name)))))
 
 
-def collide(a: str, b: str) -> bool:
-    """Either key equal. The relation is not transitive, so names are never put into one group by both keys."""
-    return name_key(a) == name_key(b) or simple_key(a) == simple_key(b)
+def model_characters(name: Column) -> Column:
+    """What a file system with fixed tables compares: each character decomposed and folded by itself, ignorable ones dropped, then marks put in order.
 
+    Unlike name_key() it does not order marks before it folds, so a mark that folds to a letter stays where it is written.
+    """
+    age = lambda c: F.substring_index(F.reflect(F.lit(_ICU[1]), F.lit("getAge"), F.ascii(c)), ".", 1).cast("int")  # noqa: E731  # ascii() is a code point; 0 is of no version
+    apart = lambda c: F.concat(F.lit("\0"), c, F.lit("\0"))  # noqa: E731  # no file name holds a zero
+    one = lambda c: F.when(c.rlike("^[ -@\\[-~]$"), c).when(~age(c).between(1, MODEL_AGE), apart(c)).otherwise(decomposed(_folded(decomposed(c))))
+    in_order = lambda piece, n: F.when(n % 2 == 1, piece).otherwise(decomposed(piece))
+    # ignorable and later characters part the marks beside them, so each stretch between two of them is put in order by itself
+    stretch = lambda s: F.array_join(F.transform(F.split(F.array_join(F.transform(F.split(s, ""), one), ""), "\\x00"), in_order), "")
+    return F.array_join(F.transform(F.split(name, MODEL_IGNORABLE), stretch), "")
 
-def both_keys(names: pd.Series) -> pd.DataFrame:
-    known = names.fillna("")
-    return pd.DataFrame({"full": known.map(name_key), "simple": known.map(simple_key)})
+
+def model_key(name: Column) -> Column:
+    """model_characters() without dots above and trailing dots and spaces. Null for null."""
+    return F.when(name.isNotNull(), _finished(model_characters(name)))
+
+
+def collide(a: Column, b: Column) -> Column:
+    """Either key equal. The relation is not transitive, so names are never put into one group by both keys. Null names collide with nothing."""
+    return F.coalesce((name_key(a) == name_key(b)) | (model_key(a) == model_key(b)), F.lit(False))
 
 
 def collisions(names: DataFrame) -> DataFrame:
-    """(key, kind, names): groups of different names with an equal key of one kind; two aggregations, one for each kind."""
-    keyed = names.where("name is not null").select("name").distinct().withColumn("k", F.pandas_udf(both_keys, "full string, simple string")("name"))
-    tall = keyed.select(
-        "name",
-        F.inline(F.array(F.struct(F.lit("full").alias("kind"), F.col("k.full").alias("key")), F.struct(F.lit("simple").alias("kind"), F.col("k.simple").alias("key"))))
-    )
+    """(kind, key, names): groups of different names with an equal key of one kind. Names are made distinct first, and each group is a count, combined before the shuffle."""
+    once = names.where("name is not null").select("name").distinct()
+    keyed = once.select("name", name_key(F.col("name")).alias("full"), model_key(F.col("name")).alias("simple"))
+    tall = keyed.select(F.inline(F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("key")) for kind in ("full", "simple")])))
     return tall.groupBy("kind", "key").agg(F.count("*").alias("names")).where("names > 1")
 
 
-def protected(path: str, excluded: list[str]) -> bool:
-    """Whether a path is one of the excluded ones or below one, whatever the case and composition of its letters."""
-    key = lambda p: unicodedata.normalize("NFC", p).lower()
-    return any(key(path) == key(e) or key(path).startswith(key(e) + "/") for e in excluded)
+def protected_in(excluded: list[str]):
+    """Maker of a column: whether a path is one of the excluded ones or below one, whatever the case and composition of its letters. False for null."""
 
+    def judged(path: Column) -> Column:
+        key = F.lower(composed(path))
+        bases = [F.lower(composed(F.lit(e))) for e in excluded]
+        hit = F.exists(F.array(*bases), lambda b: (key == b) | F.startswith(key, F.concat(b, F.lit("/")))) if bases else F.lit(False)
+        return F.coalesce(hit, F.lit(False))
 
-def crosses(path: str, boundaries: list[str]) -> bool:
-    """Whether a path is at or below a boundary, where each of the boundary's parts collides with the path's part at its place."""
-    parts = path.split("/")
-    return any(len(b := boundary.split("/")) <= len(parts) and all(map(collide, b, parts)) for boundary in boundaries)
+    return judged
 
 
-def _judge(check):
-    def columns(excluded: list[str]):
-        def judged(paths: pd.Series) -> pd.Series:
-            return paths.map(lambda p: p is not None and check(p, excluded))
+def crossing(boundaries: list[str]):
+    """Maker of a column: whether a path is at or below a boundary, where each of the boundary's parts collides with the path's part at its place. False for null."""
 
-        return F.pandas_udf(judged, BooleanType())
+    def judged(path: Column) -> Column:
+        keys = lambda of: F.transform(F.split(of, "/"), lambda part: F.struct(name_key(part).alias("full"), model_key(part).alias("simple")))
+        same = lambda pair: (pair["p"]["full"] == pair["b"]["full"]) | (pair["p"]["simple"] == pair["b"]["simple"])
+        hit = F.lit(False)
+        for boundary in boundaries:
+            depth = boundary.count("/") + 1
+            pairs = F.arrays_zip(F.slice(keys(path), 1, depth).alias("p"), keys(F.lit(boundary)).alias("b"))
+            hit = hit | F.coalesce(F.forall(pairs, lambda pair: F.coalesce(same(pair), F.lit(False))), F.lit(False))
+        return hit
 
-    return columns
+    return judged
 
 
-#: Makers of column functions of a path, for a bounded list of excluded paths or boundaries.
-protected_in, crossing = _judge(protected), _judge(crosses)
+def characters(spark: SparkSession) -> DataFrame:
+    """(code_point, char): every character there is, surrogates left out."""
+    points = spark.range(1, 0x110000).where("id < 55296 or id > 57343").select(F.col("id").cast("int").alias("code_point"))
+    return points.withColumn("char", F.decode(F.unhex(F.lpad(F.hex("code_point"), 8, "0")), "UTF-32"))
 
 
 def folding_table(spark: SparkSession) -> DataFrame:
-    """(code_point, folded, simple) of all characters whose caseless key differs from themselves, from Python's Unicode tables; the version is unicodedata.unidata_version."""
-    points = spark.range(0x110000).where("id < 55296 or id > 57343").select(F.col("id").cast("int").alias("code_point"))
-
-    def folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            made = pd.DataFrame({"code_point": batch["code_point"], "char": batch["code_point"].map(chr)})
-            made["folded"], made["simple"] = made["char"].map(name_key), made["char"].map(simple_key)
-            yield made[(made["folded"] != made["char"]) | (made["simple"] != made["char"])][["code_point", "folded", "simple"]]
-
-    return points.mapInPandas(folded, "code_point int, folded string, simple string")
+    """(code_point, folded, simple) of all characters of which a key differs from themselves."""
+    keyed = characters(spark).select("code_point", "char", name_key(F.col("char")).alias("folded"), model_key(F.col("char")).alias("simple"))
+    return keyed.where("folded <> char or simple <> char").drop("char")
