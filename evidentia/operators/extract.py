@@ -101,6 +101,31 @@ def snapshot_token(files: DataFrame, key: str) -> DataFrame:
     return leaves.groupBy(key).agg(F.sum("n").alias("files"), F.sum("b").alias("bytes"), root.alias("token"))
 
 
+#: Files that one snapshot may have, as analyzers accept them.
+SNAPSHOT_FILES = 500
+_REVISION = ("status", "commitSha", "branch", "repositoryId", "worktreeId", "dirty", "isGit", "isLinkedWorktree")
+
+
+def provider_tokens(files: DataFrame, projects: DataFrame, most: int = SNAPSHOT_FILES) -> DataFrame:
+    """(project, files, token) of projects (project and columns of their revision, null or absent where unknown) with their files (project, path, sha256).
+
+    The token is the sha256 of the canonical JSON of project, revision and files by path, in UTF-16 order. A project with more files than `most`, or with a path twice, is refused: its
+    token is null. Files are counted first and only those of accepted projects meet in a row, so a row holds `most` pairs and a hot project costs one row for each task.
+    """
+    counts = files.groupBy("project").agg(F.count("*").alias("files"), F.count_distinct("path").alias("paths"))
+    sized = projects.join(counts, "project", "left").withColumns({"files": F.coalesce("files", F.lit(0)), "paths": F.coalesce("paths", F.lit(0))})
+    sound = F.col("files").between(0, most) & (F.col("files") == F.col("paths"))
+    kept = files.join(sized.where(sound).select("project"), "project", "left_semi")
+    pair = F.struct(texts.code_units(F.col("path")).alias("at"), F.array("path", "sha256").alias("pair"))
+    lists = kept.groupBy("project").agg(F.transform(F.array_sort(F.collect_list(pair)), lambda p: p["pair"]).alias("pairs"))
+    there = set(projects.columns)
+    revision = F.struct(*[(F.col(c) if c in there else F.lit(None).cast("boolean" if c in _REVISION[5:] else "string")).alias(c) for c in _REVISION])
+    quoted = F.coalesce(F.regexp_extract(F.to_json(F.array("project")), r"(?s)^\[(.*)\]$", 1), F.lit("null"))
+    pairs = F.coalesce(F.to_json("pairs"), F.lit("[]"))
+    text = F.concat(F.lit("["), quoted, F.lit(","), F.to_json(revision, {"ignoreNullFields": "false"}), F.lit(","), pairs, F.lit("]"))
+    return sized.join(lists, "project", "left").select("project", "files", F.when(sound, F.sha2(text, 256)).alias("token"))
+
+
 def rollup(files: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n): counts over all keys and over each alone, in one aggregation with grouping sets; null stands for all."""
     sets = [[F.col(k) for k in keys], *[[F.col(k)] for k in keys]]

@@ -11,6 +11,9 @@ from pyspark.sql.window import Window as W
 GATES = ("input_not_evaluated", "input_rejected", "input_incomplete", "identity_mismatch", "revision_mismatch")
 _TEST = r"(?i)(?:^|/)(?:__tests__|tests?|specs?)(?:/|$)|\.(?:test|spec)\.|Tests?\.cs$|(?:^|/)test_|_test\.go$"
 _CODE = r"(?i)\.(?:tsx?|jsx?|cs|py|go|rs|java)$"
+_DOCUMENT = r"\.(?:md|rst|txt)$"
+#: Declared kinds of change that no path contradicts.
+_STANDING = ("public_signature", "interface_contract", "schema_migration", "unknown")
 
 
 def write_write(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -100,5 +103,22 @@ def test_candidates(files: DataFrame) -> DataFrame:
 
 def inferred_semantics(paths: DataFrame, key: str) -> DataFrame:
     """(key, semantics): documentation or test_only if all its paths are, else unknown."""
-    docs = F.bool_and(F.col("path").rlike(r"\.(?:md|mdx|rst|adoc|txt)$"))
+    docs = F.bool_and(F.col("path").rlike(_DOCUMENT))
     return paths.groupBy(key).agg(F.when(docs, "documentation").when(F.bool_and(is_test(F.col("path"))), "test_only").otherwise("unknown").alias("semantics"))
+
+
+def resolved_semantics(tasks: DataFrame, paths: DataFrame, key: str) -> DataFrame:
+    """(key, declared, inferred, effective, provenance, reasons) of tasks (key, declared) with their paths (key, path).
+
+    Without a declaration the paths decide. Declared interfaces, schemas, signatures and unknown changes stand. A declared local implementation stands where the paths say nothing else;
+    declared documentation or tests stand only where the paths say the same. Otherwise the effective kind is unknown, for declaration_path_disagreement. A task without paths infers unknown.
+    """
+    rows = tasks.select(key, "declared").join(inferred_semantics(paths, key).withColumnRenamed("semantics", "inferred"), key, "left")
+    rows = rows.withColumn("inferred", F.coalesce("inferred", F.lit("unknown")))
+    declared, inferred = F.col("declared"), F.col("inferred")
+    agrees = declared.isin(*_STANDING) | (declared == inferred) | ((declared == "local_implementation") & (inferred == "unknown"))
+    return rows.select(
+        key, "declared", "inferred", F.when(declared.isNull(), inferred).when(agrees, declared).otherwise("unknown").alias("effective"),
+        F.when(declared.isNull(), "path_inference").otherwise("task_declaration").alias("provenance"),
+        F.when(declared.isNotNull() & ~agrees, "declaration_path_disagreement").otherwise("").alias("reasons")
+    )

@@ -111,3 +111,26 @@ def test_candidates(spark, d):
 def change_semantics(spark, d):
     rows = _paths(spark, d).withColumn("task", F.concat_ws("/", "brand", F.col("path").startswith("src/").cast("string")))
     return scope.inferred_semantics(rows, "task")
+
+
+@query("""with t as (select o_orderkey as task, case o_custkey % 8 when 0 then 'public_signature' when 1 then 'interface_contract' when 2 then 'schema_migration' when 3 then 'local_implementation'
+  when 4 then 'documentation' when 5 then 'test_only' when 6 then 'unknown' end as declared from orders),
+p as (select l_orderkey as task, case when l_orderkey % 3 = 0 and (l_orderkey % 5 > 0 or l_linenumber > 1) then 'docs/' || l_partkey || ['.md', '.rst', '.txt'][(l_partkey % 3 + 1)::int]
+  when l_orderkey % 3 = 1 and (l_orderkey % 5 > 0 or l_linenumber > 1) then 'tests/p' || l_partkey || '.ts' when l_orderkey % 3 < 2 then 'docs/' || l_partkey || '.MD' else 'src/p' || l_partkey || '.ts' end as path from lineitem),
+i as (select task, case when bool_and(path like '%.md' or path like '%.rst' or path like '%.txt') then 'documentation' when bool_and(path like 'tests/%') then 'test_only' else 'unknown' end as inferred from p group by 1),
+r as (select task, declared, coalesce(inferred, 'unknown') as inferred from t left join i using (task))
+select task, declared, inferred, case when declared is null then inferred when declared in ('public_signature', 'interface_contract', 'schema_migration', 'unknown') then declared
+  when declared = 'local_implementation' then case when inferred = 'unknown' then declared else 'unknown' end when declared = inferred then declared else 'unknown' end as effective,
+case when declared is null then 'path_inference' else 'task_declaration' end as provenance,
+case when declared = 'local_implementation' and inferred in ('documentation', 'test_only') or declared in ('documentation', 'test_only') and declared <> inferred then 'declaration_path_disagreement' else '' end as reasons from r""")
+def declared_semantics(spark, d):
+    """Orders as tasks that declare a kind or none; their lines as the paths: documents, tests or sources, one in five tasks with a file of another kind."""
+    k, line, part = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey").cast("string")
+    kinds = ("public_signature", "interface_contract", "schema_migration", "local_implementation", "documentation", "test_only", "unknown")
+    declared = F.get(F.array(*map(F.lit, kinds)), (F.col("o_custkey") % 8).cast("int"))
+    pure = (k % 5 > 0) | (line > 1)
+    ending = F.element_at(F.array(F.lit(".md"), F.lit(".rst"), F.lit(".txt")), (F.col("l_partkey") % 3 + 1).cast("int"))
+    path = F.when((k % 3 == 0) & pure, F.concat(F.lit("docs/"), part, ending)).when((k % 3 == 1) & pure, F.concat(F.lit("tests/p"), part, F.lit(".ts")))
+    path = path.when(k % 3 < 2, F.concat(F.lit("docs/"), part, F.lit(".MD"))).otherwise(F.concat(F.lit("src/p"), part, F.lit(".ts")))
+    tasks = lens.table(spark, d, "orders").select(F.col("o_orderkey").alias("task"), declared.alias("declared"))
+    return scope.resolved_semantics(tasks, lens.table(spark, d, "lineitem").select(k.alias("task"), path.alias("path")), "task")

@@ -19,6 +19,22 @@ def file_snapshot(spark, d):
     return extract.snapshot_token(lens.files(spark, d).withColumn("source", F.substring_index("path", "/", 1)), "source")
 
 
+@query(f"""with {FILES}, f as (select case when source = 'src1' then source else source || '/' || split_part(split_part(path, '/', 2), '.', 1)::bigint // 100 end as project, * from (select split_part(path, '/', 1) as source, * from files)),
+t as (select project, count(*) as n, max(path like 'src2/%') as wide, string_agg('["' || path || '","' || sha256 || '"]', ',' order by path) as pairs from f group by 1)
+select project, n as files, case when n <= 500 then sha256('["' || project || '",{{"status":' || case when wide then '"available"' else '"not_git"' end || ',"commitSha":' || case when wide then '"' || sha256(project) || '"' else 'null' end
+  || ',"branch":null,"repositoryId":null,"worktreeId":null,"dirty":' || case when wide then 'false' else 'null' end || ',"isGit":' || wide::varchar || ',"isLinkedWorktree":null}},[' || pairs || ']]') end as token from t""")
+def provider_tokens(spark, d):
+    """Hundreds of documents as projects, one source as a single project, which may have too many files; those of another have a revision."""
+    files = lens.files(spark, d).withColumn("source", F.substring_index("path", "/", 1))
+    number = F.regexp_extract("path", r"/(\d+)\.md$", 1).cast("long")
+    files = files.withColumn("project", F.when(F.col("source") == "src1", "src1").otherwise(F.concat_ws("/", "source", F.floor(number / 100).cast("string"))))
+    git = F.startswith("project", F.lit("src2/"))
+    projects = files.select("project").distinct().select(
+        "project", F.when(git, "available").otherwise("not_git").alias("status"), F.when(git, F.sha2("project", 256)).alias("commitSha"), F.when(git, False).alias("dirty"), git.alias("isGit")
+    )
+    return extract.provider_tokens(files, projects)
+
+
 @query(f"""with {FILES}, w as (select path, unnest(list_distinct(regexp_extract_all(text, '\\b([A-Za-z_][A-Za-z0-9_]*)\\b', 1))) as identifier from files)
 select identifier, count(*) as files from w where length(identifier) >= 3 and identifier not in ({WORDS}) group by 1""")
 def identifier_index(spark, d):
