@@ -9,20 +9,51 @@ from pyspark.sql.window import Window as W
 from . import graph, scope
 
 
-def witness_id(*parts: Column) -> Column:
-    """Name of an edge witness: sha256 over the canonical JSON array of its parts."""
-    return F.concat(F.lit("impact_edge_"), F.sha2(F.to_json(F.array(*[p.cast("string") for p in parts])), 256))
+_LOCATION = "struct<path:string,line:bigint,column:bigint>"
 
 
-def with_witnesses(impact: DataFrame, nodes: DataFrame, edges: DataFrame, snapshot: str, provider: str = "native", version: str = "1") -> DataFrame:
-    """impact (origin, file, distance, witness_src, witness_dst) with the witness's relation, id, basis and consumer's file.
+def _quoted(text: Column) -> Column:
+    return F.regexp_extract(F.to_json(F.array(text)), r"(?s)^\[(.*)\]$", 1)
 
-    Of several relations between a witness's ends the least counts. Imports are structural, other relations semantic.
+
+def witness_id(snapshot: Column, provider: Column, version: Column, edge: Column) -> Column:
+    """Name of an edge witness: sha256 over the canonical JSON of snapshot, provider, version and edge (from, to, relation, location)."""
+    head = F.concat_ws(",", *map(_quoted, (snapshot, provider, version)))
+    return F.concat(F.lit("impact_edge_"), F.sha2(F.concat(F.lit("["), head, F.lit(","), F.to_json(edge, {"ignoreNullFields": "false"}), F.lit("]")), 256))
+
+
+def with_witnesses(impact: DataFrame, nodes: DataFrame, edges: DataFrame, snapshot: str, provider: str = "native", version: str = "1", kind: str = "native") -> DataFrame:
+    """impact (origin, file, distance, witness_src, witness_dst) with the witness's relation, location, id, source (the file it is seen in), capability, basis and trust.
+
+    edges may have a location (path, line, column) of where they are written; without one the witness is seen in the affected file. Of several edges between a witness's ends the one with
+    the least relation counts, then the least location. Imports are structural dependencies, other relations semantic references. What a provider of kind external says is untrusted.
+    """
+    there = F.col("location").cast(_LOCATION) if "location" in edges.columns else F.lit(None).cast(_LOCATION)
+    least = edges.select("src", "dst", "relation", there.alias("location")).groupBy(F.col("src").alias("witness_src"), F.col("dst").alias("witness_dst")).agg(
+        F.min(F.struct("relation", "location")).alias("edge")
+    )
+    shown = impact.join(least, ["witness_src", "witness_dst"]).select(*impact.columns, "edge.relation", "edge.location")
+    edge = F.struct(F.col("witness_src").cast("string").alias("from"), F.col("witness_dst").cast("string").alias("to"), "relation", "location")
+    imports = F.col("relation") == "imports"
+    return shown.withColumns({
+        "witness": witness_id(F.lit(snapshot), F.lit(provider), F.lit(version), edge), "source": F.coalesce("location.path", "file"),
+        "capability": F.when(imports, "dependencies").otherwise("references"), "basis": F.when(imports, "structural").otherwise("semantic"),
+        "trust": F.lit("untrusted_external_analysis" if kind == "external" else "derived_analysis")
+    })
+
+
+def unsound_locations(edges: DataFrame, files: DataFrame) -> DataFrame:
+    """The edges whose location is no place in the text of a file (path, text): an unknown file, a line beyond its last one, or a column more than one beyond the line's end.
+
+    Lines end at a line feed, with or without a carriage return; columns count UTF-16 code units. Only the lines' lengths meet the edges, never the texts.
     """
-    one = edges.groupBy(F.col("src").alias("witness_src"), F.col("dst").alias("witness_dst")).agg(F.min("relation").alias("relation"))
-    shown = impact.join(one, ["witness_src", "witness_dst"])
-    ident = witness_id(F.lit(snapshot), F.lit(provider), F.lit(version), F.col("witness_src"), F.col("witness_dst"), F.col("relation"))
-    return shown.withColumns({"witness": ident, "basis": F.when(F.col("relation") == "imports", "structural").otherwise("semantic")})
+    at = edges.where("location is not null")
+    wanted = files.join(at.select(F.col("location.path").alias("path")).distinct(), "path", "left_semi")
+    width = lambda line: (F.octet_length(F.encode(line, "UTF-16BE")) / 2).cast("long")
+    lines = wanted.select(F.col("path").alias("_path"), F.posexplode(F.split("text", "\r?\n", -1)).alias("_n", "_text"))
+    lines = lines.select("_path", (F.col("_n") + 1).cast("long").alias("_line"), width(F.col("_text")).alias("_width"))
+    place = (F.col("location.path") == F.col("_path")) & (F.col("location.line") == F.col("_line")) & F.col("location.column").between(1, F.col("_width") + 1)
+    return at.join(lines, place, "left_anti")
 
 
 def affected(witnessed: DataFrame, keep: int = 8) -> DataFrame:

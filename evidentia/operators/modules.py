@@ -80,6 +80,21 @@ def re_exports(files: DataFrame) -> DataFrame:
     ).select("path", "specifier", "x.name", "x.alias")
 
 
+def import_sites(files: DataFrame) -> DataFrame:
+    """(path, specifier, at): each specifier that a file (path, text) imports or re-exports from, with the offset of its first character."""
+    code = _code(files)
+    rows = [scoped.found(code, pattern, {"specifier": group}) for pattern, group in ((_IMPORT, 3), (_EXPORT, 4))]
+    return rows[0].unionByName(rows[1]).select("path", "specifier", (F.col("stop") - 1 - F.length("specifier")).alias("at"))
+
+
+def located_edges(files: DataFrame) -> DataFrame:
+    """(src, dst, relation, location): files that import or re-export from another file, once for each place where they do."""
+    sites = _resolved(import_sites(files), files)
+    placed = scoped.located(sites, files)
+    location = F.struct("path", "line", "column").alias("location")
+    return placed.select(F.col("path").alias("src"), F.col("target").alias("dst"), F.lit("imports").alias("relation"), location)
+
+
 def pure_barrels(files: DataFrame) -> DataFrame:
     """(path): files of which nothing is left but blanks and comments once their re-exports are taken out, and that have one."""
     bare = F.concat(F.lit("\n"), F.regexp_replace("text", r"(?s)/\*.*?\*/|//[^\n]*", ""))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import budget, explorer, graph, impact
+from ..operators import budget, explorer, graph, impact, modules
 from . import lens
 from .lens import GRAPH
 from .registered import query
@@ -210,7 +210,7 @@ def _project_impact_sql(depth: int, keep: int, budget: int = 60) -> str:
         "walk join nodes using", "walk join tn using"
     )
     return sql + f""", one as (select src, dst, min(relation) as relation from edges group by all),
-    wit as (select i.*, 'impact_edge_' || sha256('["snap","native","1","' || witness_src || '","' || witness_dst || '","' || relation || '"]') as witness from impact i join one on src = witness_src and dst = witness_dst),
+    wit as (select i.*, 'impact_edge_' || sha256('["snap","native","1",{{"from":"' || witness_src || '","to":"' || witness_dst || '","relation":"' || relation || '","location":null}}]') as witness from impact i join one on src = witness_src and dst = witness_dst),
     rk as (select *, row_number() over (partition by file order by distance, origin, witness) as k from wit),
     item as (select file, min(distance) as distance, count(*) as origins, least(count(*), {keep}) as kept, min_by(witness, k) as first, count(*) > {keep} as cut from rk group by file),
     head as (select *, sum(kept) over (order by distance, file, first rows unbounded preceding) as running, row_number() over (order by distance, file, first) as place from item),
@@ -298,3 +298,34 @@ def context_subgraph(spark, d):
 def reference_closure(spark, d):
     n, e = _both(spark, d)
     return graph.closure_of_references(e, n.where("file = 'Brand#2/ECONOMY'").select("id"))
+
+
+_SITES = """with recursive m as (select p_partkey as k, p_partkey // 10 * 10 as g, p_size % 4 as skip, (select max(p_partkey) from part) as top from part),
+s as (select k, g as t, skip + 1 as line, length('import type { Sym' || (g + 1) || ' as First, Sym' || (g + 11) || ', Two' || (g + 2) || ' } from ') + 2 as col from m where k % 10 <> 0
+  union all select k, g + k % 9 + 1, skip + 2, length('import Main, { Sym' || (g + k % 9 + 1) || ' } from ') + 2 from m where k % 10 <> 0
+  union all select k, k + 1, skip + 2, length('export { Sym' || (k + 1) || ' as Sym' || (k + 1) || ' , Sym' || (k + 2) || ' as Two' || (k + 2) || ' } from ') + 2 from m where k % 10 = 0
+  union all select k, k + 2, skip + 3, length('export { Sym' || (k + 2) || ' as Two' || (k + 2) || ' } from ') + 2 from m where k % 10 = 0
+  union all select k, k + 10, skip + 4, length('export * from ') + 2 from m where k % 10 = 0 and k % 50 <> 40),
+e as (select k as src, t as dst, line, col from s where t <> k and t in (select k from m)),
+o as (select * from (values (1), (52), (103)) v(origin) where origin in (select k from m)),
+walk as (select origin, origin as id, 0 as distance from o union select origin, src, distance + 1 from walk join e on dst = id where distance < 3),
+best as (select origin, id, min(distance) as distance from walk group by all having min(distance) > 0)"""
+
+
+def _written_modules(spark, d):
+    """Modules under a head of up to three lines of comments."""
+    heads = F.array(*[F.lit("// head\n" * n) for n in range(4)])
+    sizes = lens.table(spark, d, "part").select(F.col("p_partkey").alias("k"), "p_size")
+    return lens.module_files(spark, d).join(sizes, "k").select("path", F.concat(F.get(heads, (F.col("p_size") % 4).cast("int")), "text").alias("text"))
+
+
+@query(_SITES + """, w as (select b.origin, b.id, b.distance, min('src/m' || n.id || '.ts') as via from best b join e on e.src = b.id join (select * from walk) n on n.origin = b.origin and n.id = e.dst and n.distance = b.distance - 1 group by all)
+select 'src/m' || w.origin || '.ts' as origin, 'src/m' || w.id || '.ts' as file, w.distance, min((line, col))[1] as line, min((line, col))[2] as "column", 'src/m' || w.id || '.ts' as source from w join e on e.src = w.id and 'src/m' || e.dst || '.ts' = via group by all""")
+def impact_locations(spark, d):
+    """Three modules' importers to three steps, each with the line and column of the specifier that leads back."""
+    files = _written_modules(spark, d)
+    nodes = files.select(F.col("path").alias("id"), F.col("path").alias("file"))
+    edges = modules.located_edges(files)
+    origins = spark.createDataFrame([(f"src/m{k}.ts",) for k in (1, 52, 103)], "origin string").withColumn("file", F.col("origin"))
+    found = impact.with_witnesses(graph.file_impact(nodes, edges.select("src", "dst", "relation"), origins, 3), nodes, edges, "snap")
+    return found.select("origin", "file", "distance", "location.line", "location.column", "source")

@@ -1,11 +1,13 @@
 """Scoped declarations, positions, places in a total order, and budgeted traversals, each against a plain version."""
 
+import hashlib
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from evidentia.operators import budget, modules, ordered, scoped
+from evidentia.operators import budget, extract, impact, modules, ordered, scope, scoped
 
 CODE = '''/* class Gone {} */
 // class Also {}
@@ -178,3 +180,70 @@ def test_a_chain_longer_than_the_depth_is_partial(spark):
     assert status(2) == ("partial", "depth_limit") and status(4) == ("available", "")
 
 
+
+
+def test_import_sites_and_located_edges(spark):
+    texts = {
+        "src/a.ts": "// import {no} from './b'\r\n/* x */ import { b } from './b';\nexport * from './c'\n\U0001f600; export { z } from \"./lost\";\n", "src/b.ts": "import c from\n  './c';", "src/c.ts": "",
+        "src/d.md": "import { b } from './b'"
+    }
+    sites = {(r.path, r.specifier, r["at"]) for r in modules.import_sites(files(spark, texts)).collect()}
+    assert sites == {("src/a.ts", s, texts["src/a.ts"].rindex(s)) for s in ("./b", "./c", "./lost")} | {("src/b.ts", "./c", texts["src/b.ts"].index("./c"))}
+    edges = {(r.src, r.dst, r.location.line, r.location.column) for r in modules.located_edges(files(spark, texts)).collect()}
+    assert edges == {("src/a.ts", "src/b.ts", 2, 28), ("src/a.ts", "src/c.ts", 3, 16), ("src/b.ts", "src/c.ts", 2, 4)}
+
+
+EDGE = "src string, dst string, relation string, location struct<path:string,line:bigint,column:bigint>"
+
+
+def test_witnesses_carry_the_least_location(spark):
+    place = lambda line: {"path": "x/\u00e9\"q.ts", "line": line, "column": 2}
+    rows = [("a", "b", "imports", place(9)), ("a", "b", "imports", place(3)), ("a", "b", "uses", place(1)), ("c", "b", "calls", None)]
+    edges = spark.createDataFrame(rows, EDGE)
+    found = spark.createDataFrame([("o", "f/a.ts", 1, "a", "b"), ("o", "f/c.ts", 1, "c", "b")], "origin string, file string, distance int, witness_src string, witness_dst string")
+    got = {r.file: r for r in impact.with_witnesses(found, None, edges, "s\"n", "p", "2", "external").collect()}
+    for file, (src, dst, relation, location), source, basis in (("f/a.ts", rows[1], "x/\u00e9\"q.ts", "structural"), ("f/c.ts", rows[3], "f/c.ts", "semantic")):
+        edge = {"from": src, "to": dst, "relation": relation, "location": location}
+        text = json.dumps(["s\"n", "p", "2", edge], ensure_ascii=False, separators=(",", ":"))
+        r = got[file]
+        assert r.witness == "impact_edge_" + hashlib.sha256(text.encode()).hexdigest()
+        assert (r.source, r.basis, r.trust) == (source, basis, "untrusted_external_analysis")
+
+
+@pytest.mark.parametrize("line, column, sound", [(1, 1, True), (1, 5, True), (1, 6, False), (2, 1, True), (2, 2, False), (3, 3, True), (3, 4, False), (4, 1, False), (0, 1, False), (1, 0, False)])
+def test_locations_lie_in_the_text(spark, line, column, sound):
+    edges = spark.createDataFrame([("a", "b", "imports", {"path": "f", "line": line, "column": column}), ("a", "b", "uses", None)], EDGE)
+    assert impact.unsound_locations(edges, files(spark, {"f": "ab\U0001f600\r\n\nxy", "g": ""})).count() == (0 if sound else 1)
+
+
+def test_unknown_files_hold_no_location(spark):
+    edges = spark.createDataFrame([("a", "b", "imports", {"path": "h", "line": 1, "column": 1})], EDGE)
+    assert impact.unsound_locations(edges, files(spark, {"f": "a"})).count() == 1
+
+
+def test_provider_tokens(spark):
+    names = ["b.ts", "\uffee.ts", "\U0001f600.ts", "a\"b.ts"]
+    rows = [("p", n, f"h{i}") for i, n in enumerate(names)] + [("q", "x", "1"), ("q", "x", "2")] + [("big", f"f{i}", "h") for i in range(6)]
+    projects = spark.createDataFrame([("p", "unborn"), ("q", None), ("big", None), ("none", None)], "project string, status string")
+    got = {r.project: (r.files, r.token) for r in extract.provider_tokens(spark.createDataFrame(rows, "project string, path string, sha256 string"), projects, 5).collect()}
+
+    def token(project, status, pairs):
+        revision = dict.fromkeys(("status", "commitSha", "branch", "repositoryId", "worktreeId", "dirty", "isGit", "isLinkedWorktree")) | {"status": status}
+        return hashlib.sha256(json.dumps([project, revision, pairs], ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
+
+    in_order = sorted(([n, f"h{i}"] for i, n in enumerate(names)), key=lambda p: p[0].encode("utf-16-be"))
+    assert got == {"p": (4, token("p", "unborn", in_order)), "q": (2, None), "big": (6, None), "none": (0, token("none", None, []))}
+
+
+def test_declared_semantics(spark):
+    kinds = ["public_signature", "interface_contract", "schema_migration", "local_implementation", "documentation", "test_only", "unknown", None]
+    paths = {"documentation": ["a.md", "b.txt"], "test_only": ["tests/a.ts"], "unknown": ["a.mdx"], "": []}
+    tasks = [(f"{kind}/{of}", kind) for kind in kinds for of in paths]
+    rows = [(t, p) for t, _ in tasks for p in paths[t.split("/")[1]]]
+    got = scope.resolved_semantics(spark.createDataFrame(tasks, "task string, declared string"), spark.createDataFrame(rows, "task string, path string"), "task").collect()
+    assert len(got) == len(tasks)
+    for r in got:
+        inferred = r.task.split("/")[1] or "unknown"
+        stands = r.declared in kinds[:3] + ["unknown"] or (r.declared, inferred) == ("local_implementation", "unknown") or r.declared == inferred
+        want = (inferred, "path_inference", "") if r.declared is None else (r.declared if stands else "unknown", "task_declaration", "" if stands else "declaration_path_disagreement")
+        assert r.inferred == inferred and (r.effective, r.provenance, r.reasons) == want
