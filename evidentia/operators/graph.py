@@ -128,29 +128,40 @@ def distances(nodes: DataFrame, edges: DataFrame, origins: DataFrame, depth: int
     return _distances(nodes, _ends(nodes, edges), origins, depth).join(nodes.select("id", "file"), "id").select("origin", "id", "file", "distance")
 
 
+class _Parts:
+    """Rows kept as the files of a few steps: a step adds its own without writing the others again, and every `most` steps they are made one."""
+
+    def __init__(self, df: DataFrame, most: int = 6) -> None:
+        self.rows, self._n, self._most = df, 1, most
+
+    def add(self, df: DataFrame) -> None:
+        self.rows, self._n = self.rows.unionByName(df), self._n + 1
+        if self._n >= self._most:
+            self.rows, self._n = cut(self.rows), 1
+
+
 def _distances(nodes: DataFrame, ends: DataFrame, origins: DataFrame, depth: int) -> DataFrame:
+    """(origin, id, distance) of what is reached, as the files of at most a few steps."""
     frontier, n = counted(origins.join(nodes.select("id", "file"), "file").select("origin", "id").distinct())
-    seen = frontier.withColumn("distance", F.lit(0))
+    seen = _Parts(frontier.withColumn("distance", F.lit(0)))
     inner = bool(ends.where("cost = 0").head(1))
     level = 0
     while n:
-        fresh = frontier
+        fresh, reached = frontier, _Parts(frontier)
         while inner:  # hops within files
             near = ends.where("cost = 0").join(fresh.withColumnRenamed("id", "dst"), "dst").select("origin", F.col("src").alias("id")).distinct()
-            fresh, n = counted(near.join(seen, ["origin", "id"], "left_anti"))
+            fresh, n = counted(near.join(seen.rows, ["origin", "id"], "left_anti"))
             if not n:
                 break
-            frontier = cut(frontier.unionByName(fresh))
-            seen = cut(seen.unionByName(fresh.withColumn("distance", F.lit(level))))
+            reached.add(fresh)
+            seen.add(fresh.withColumn("distance", F.lit(level)))
         level += 1
         if level > depth:
             break
-        far = ends.where("cost = 1").join(frontier.withColumnRenamed("id", "dst"), "dst").select("origin", F.col("src").alias("id")).distinct()
-        frontier, n = counted(far.join(seen, ["origin", "id"], "left_anti"))
-        seen = seen.unionByName(frontier.withColumn("distance", F.lit(level)))
-        if level % 3 == 0:  # a union of three levels' files is planned as one scan each
-            seen = cut(seen)
-    return seen
+        far = ends.where("cost = 1").join(reached.rows.withColumnRenamed("id", "dst"), "dst").select("origin", F.col("src").alias("id")).distinct()
+        frontier, n = counted(far.join(seen.rows, ["origin", "id"], "left_anti"))
+        seen.add(frontier.withColumn("distance", F.lit(level)))
+    return seen.rows
 
 
 def file_impact(nodes: DataFrame, edges: DataFrame, origins: DataFrame, depth: int) -> DataFrame:
@@ -160,7 +171,7 @@ def file_impact(nodes: DataFrame, edges: DataFrame, origins: DataFrame, depth: i
     out; files are those of other nodes reached.
     """
     ends = _ends(nodes, edges)
-    seen = cut(_distances(nodes, ends, origins, depth))
+    seen = _distances(nodes, ends, origins, depth)
     left = seen.select("origin", F.col("id").alias("src"), F.col("distance").alias("at"))
     right = seen.select("origin", F.col("id").alias("dst"), F.col("distance").alias("before"))
     shown = ends.join(left, "src").join(right, ["origin", "dst"]).where("at = before + cost and src_file <> origin")
