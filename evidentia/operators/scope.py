@@ -95,8 +95,19 @@ def stem(path: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(name, r"(?i)(?:\.(?:test|spec)|_test|Tests?)$", ""), "(?i)^test_", ""))
 
 
+def tests_of(files: DataFrame, targets: DataFrame) -> DataFrame:
+    """The tests among files (path, ...) for targets (path), with a reason: task_path_or_reference for a test that is a target itself, basename_convention for one whose stem is a target's.
+
+    Stems and paths are made distinct first and only asked for, so a stem that very many files share (index) makes no pairs. A test is listed once for each of its rows.
+    """
+    stems = targets.select(stem(F.col("path")).alias("_stem")).distinct()
+    own = targets.select("path").distinct().withColumn("_own", F.lit(True))
+    tests = files.where(is_test(F.col("path"))).withColumn("_stem", stem(F.col("path"))).join(stems, "_stem", "left_semi").join(own, "path", "left")
+    return tests.withColumn("reason", F.when(F.col("_own"), "task_path_or_reference").otherwise("basename_convention")).select(*files.columns, "reason")
+
+
 def test_candidates(files: DataFrame) -> DataFrame:
-    """(path, test): files and the tests whose stem equals theirs."""
+    """(path, test): files and the tests whose stem equals theirs. Every pair is a row of the result; tests_of() answers for a set of files without pairs."""
     tests = files.where(is_test(F.col("path"))).select(F.col("path").alias("test"), stem(F.col("path")).alias("stem"))
     return files.where(~is_test(F.col("path"))).select("path", stem(F.col("path")).alias("stem")).join(tests, "stem").select("path", "test")
 

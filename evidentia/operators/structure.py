@@ -32,15 +32,18 @@ def symbols(files: DataFrame) -> DataFrame:
 def likely_dependencies(files: DataFrame) -> DataFrame:
     """(id, dep_name): types in the parameters of a symbol's constructors, in read-only fields and after `new` in its file, but ignored ones; once each.
 
-    A constructor is the symbol's name with a parameter list, so its pattern differs by row.
+    A constructor is the symbol's name with a parameter list, so its pattern differs by symbol. All symbols of a file are worked on in the file's own row: fields and creations are sought
+    once for each file, no text is repeated or shuffled.
     """
-    rows = files.join(symbols(files).select("id", "path", "name").distinct(), "path")
-    lists = F.regexp_extract_all("text", F.concat("name", F.lit(r"\s*\(([^)]*)\)")), 1)
     first = lambda p: F.get(F.split(F.trim(p), r"\s+"), F.lit(0))
-    parameters = F.transform(F.flatten(F.transform(lists, lambda x: F.split(x, ","))), first)
-    found = F.concat(parameters, F.regexp_extract_all("text", F.lit(_FIELD), 1), F.regexp_extract_all("text", F.lit(_NEW), 1))
-    names = F.array_distinct(F.filter(F.transform(found, codes.clean_type), codes.useful_type))
-    return rows.select("id", F.explode(names).alias("dep_name"))
+    lists = lambda name: F.regexp_extract_all("text", F.concat(name, F.lit(r"\s*\(([^)]*)\)")), 1)
+    parameters = lambda name: F.transform(F.flatten(F.transform(lists(name), lambda x: F.split(x, ","))), first)
+    useful = lambda types: F.array_distinct(F.filter(F.transform(types, codes.clean_type), codes.useful_type))
+    shared = F.concat(F.regexp_extract_all("text", F.lit(_FIELD), 1), F.regexp_extract_all("text", F.lit(_NEW), 1))
+    named = F.array_distinct(F.regexp_extract_all("text", F.lit(_TYPE), 2))
+    rows = files.select("path", F.transform(named, lambda n: F.struct(n.alias("name"), useful(parameters(n)).alias("own"))).alias("symbols"), useful(shared).alias("shared"))
+    rows = rows.select("path", "shared", F.explode("symbols").alias("s"))
+    return rows.select(F.concat_ws("#", "path", "s.name").alias("id"), F.explode(F.array_union("s.own", "shared")).alias("dep_name"))
 
 
 def with_features(files: DataFrame) -> DataFrame:

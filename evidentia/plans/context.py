@@ -52,8 +52,7 @@ def section_rows(task: dict, files: DataFrame, nodes: DataFrame, edges: DataFram
     named = codes.lexical(base, terms) if open_ended else F.lit(False)
     touched = chosen.select(F.col("file").alias("path")).distinct().withColumn("t", F.lit(True))
     targets = files.join(touched, "path", "left").where(F.coalesce("t", F.lit(False)) | _explicit(F.col("path"), paths) | named).drop("t")
-    stems = targets.select(scope.stem(F.col("path")).alias("stem")).distinct()
-    tests = files.where(scope.is_test(F.col("path"))).withColumn("stem", scope.stem(F.col("path"))).join(stems, "stem", "left_semi")
+    tests = scope.tests_of(files, targets)
     standing = F.col("path").isin("PROJECT.md", "AGENTS.md", "CONTEXT.md", "docs/CURRENT_STATUS.md")
     folder = F.regexp_replace("path", r"/?[^/]*$", "")
     above = F.lit(False)

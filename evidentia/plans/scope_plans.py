@@ -107,6 +107,14 @@ def test_candidates(spark, d):
     return scope.test_candidates(_paths(spark, d).select("path"))
 
 
+@query(f"""with {PATHS}, p as (select brand, path, name from f2), t as (select path, name from p where brand in ('Brand#2', 'Brand#17'))
+select distinct path, case when path in (select path from t) then 'task_path_or_reference' else 'basename_convention' end as reason from p where path not like 'src/%' and name in (select name from t)""")
+def tests_of_brands(spark, d):
+    """All tests for the files of two brands."""
+    rows = _paths(spark, d)
+    return scope.tests_of(rows.select("path").distinct(), rows.where(F.col("brand").isin("Brand#2", "Brand#17")))
+
+
 @query(f"with {PATHS} select brand || '/' || (path like 'src/%')::varchar as task, case when bool_and(path not like 'src/%') then 'test_only' else 'unknown' end as semantics from f2 group by 1")
 def change_semantics(spark, d):
     rows = _paths(spark, d).withColumn("task", F.concat_ws("/", "brand", F.col("path").startswith("src/").cast("string")))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidentia.functions import names, texts
-from evidentia.operators import extract, graph, history, registry, scope, search, telemetry
+from evidentia.operators import extract, graph, history, registry, scope, search, structure, telemetry
 from evidentia.plans import catalog, envelope
 from evidentia.schemas import EDGES, NODES
 from evidentia.sources import readers, sinks
@@ -307,3 +307,22 @@ def test_registry_rows_are_canonical(spark, tmp_path):
     (tmp_path / "registry.json").write_text(json.dumps(rows))
     got = [(r.name, r.rootId, r.relativePath, r.registrySource) for r in readers.registry(spark, f"file://{tmp_path}/registry.json").orderBy("name").collect()]
     assert got == [("a", "default", "x/y", "manual"), ("d", "r", "d", "discovered")]
+
+
+def test_tests_of_targets(spark):
+    rows = spark.createDataFrame([("src/one.ts",), ("a/one.test.ts",), ("b/One.spec.tsx",), ("tests/test_two.py",), ("t/three.test.ts",), ("a/one.test.ts",)], "path string")
+    targets = spark.createDataFrame([("src/one.ts",), ("t/three.test.ts",), (None,), ("src/one.ts",)], "path string")
+    got = sorted((r.path, r.reason) for r in scope.tests_of(rows, targets).collect())
+    assert got == [("a/one.test.ts", "basename_convention")] * 2 + [("b/One.spec.tsx", "basename_convention"), ("t/three.test.ts", "task_path_or_reference")]
+    assert scope.tests_of(rows, targets.limit(0)).count() == 0
+
+
+def test_likely_dependencies_keep_each_text_in_its_row(spark):
+    text = "class A { private readonly IB b; A(C<D> c, string s) { new E(); } } class AA { AA(F f) {} }"
+    rows = spark.createDataFrame([("x.cs", text), ("y.cs", "class Z { new E(); }"), ("empty.cs", ""), ("null.cs", None)], "path string, text string")
+    found = structure.likely_dependencies(rows)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.id, set()).add(r.dep_name)
+    assert {k: sorted(v) for k, v in got.items()} == {"x.cs#A": ["D", "E", "F", "IB"], "x.cs#AA": ["E", "F", "IB"], "y.cs#Z": ["E"]}
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
