@@ -118,7 +118,7 @@ def answered(rows: DataFrame, kind: type, bits: list[int], total: int, relay_byt
     if len(bits) == 1:
         return rows.groupBy("part").applyInArrow(_range(kind, settings), ANSWER)
     skip += bits[0]
-    slots = max(1, (total >> skip) // relay_bytes)
+    slots = max(1, -(-(total >> skip) // relay_bytes))
     rows = written(rows.withColumn("relay", F.col("part") * slots + F.pmod(F.xxhash64("source"), F.lit(slots))), "relays")
     above = rows.groupBy("relay").applyInArrow(_up(kind, skip, bits[1]), PACKED)
     said = written(answered(above, kind, bits[1:], total, relay_bytes, settings, skip), "said")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bucketed, given_back, in_batches, text_or_empty
-from .exchange import FAN, PACKED, RELAY_BYTES, answered, arrow_table, by_source, dealt, flags_of, levels_of, runs_of, steps, unstepped
+from .exchange import FAN, PACKED, answered, arrow_table, by_source, dealt, flags_of, levels_of, runs_of, steps, unstepped
 
 DEPTH = 50
 MARK = 20
@@ -43,6 +43,8 @@ SEGMENT = 1 << 17
 #: Bytes of text for each range: one range is ordered in one task, so many suffixes of it at a time.
 RANGE_BYTES = 16 << 20
 SUFFIXES = 1 << 20
+#: Bytes of text for each relay: where every stretch is repeated, its rows take six times as much.
+RELAY_BYTES = 16 << 20
 #: Stretches of an anchor from which its suffixes are dealt out one by one.
 HOT = 20_000
 NO_DOC = np.iinfo(np.int64).max
@@ -68,6 +70,14 @@ def _mixed(x: np.ndarray, k: int) -> np.ndarray:
     return x
 
 
+def _row_sums(words: np.ndarray) -> np.ndarray:
+    """A hash of each row, column by column, without a product of the whole table."""
+    sums = np.zeros(len(words), dtype=_U)
+    for k in range(words.shape[1]):
+        sums += words[:, k] * _ODD[k]
+    return sums
+
+
 def _anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The place of each suffix's anchor, and the hashes of all MARK-byte strings; data has at least DEPTH bytes."""
     sums = np.zeros(len(data) + 1, dtype=_U)
@@ -105,7 +115,8 @@ class Block:
             keep = ok[change]
             start, count = change[keep], count[keep]
             there = place[start]
-            parts.append((start + at, count.astype(np.uint8), (there - start).astype(np.uint8), marks[there] & _SENT))
+            # an anchor's hash is the smallest of many, so its leading bits are nearly all zero: mixed once more it deals evenly
+            parts.append((start + at, count.astype(np.uint8), (there - start).astype(np.uint8), _mixed(marks[there], 12) & _SENT))
         if not parts:
             parts = [(np.empty(0, np.int64), np.empty(0, np.uint8), np.empty(0, np.uint8), np.empty(0, _U))]
         start, count, lead, mark = (np.concatenate(c) for c in zip(*parts, strict=True))
@@ -176,17 +187,19 @@ class Contexts:
         Neighbours are found by a hash and compared by their bytes: a collision leaves a row too many, never one too few.
         """
         words = self.text.view(_U)
-        key = (words * _ODD[: words.shape[1]]).sum(axis=1, dtype=_U)
-        key = _mixed(key + (self.count.astype(_U) << _U(8) | self.lead) * _ODD[-3], 2)
+        key = _mixed(_row_sums(words) + (self.count.astype(_U) << _U(8) | self.lead) * _ODD[-3], 2)
         order = np.lexsort((self.doc, key, self.mark))
-        mark, text, count, lead = self.mark[order], words[order], self.count[order], self.lead[order]
+        mark, count, lead = self.mark[order], self.count[order], self.lead[order]
         new = np.ones(len(order), dtype=bool)
         new[1:] = (mark[1:] != mark[:-1]) | (count[1:] != count[:-1]) | (lead[1:] != lead[:-1])
         same = np.flatnonzero(~new)
-        new[same] = (text[same] != text[same - 1]).any(axis=1)
+        for at in range(0, len(same), SEGMENT):  # a segment at a time: the rows are held once, not sorted copies of all
+            some = same[at : at + SEGMENT]
+            new[some] = (words[order[some]] != words[order[some - 1]]).any(axis=1)
         place = np.empty(len(order), dtype=np.int64)
         place[order] = np.cumsum(new) - 1
-        return Contexts(mark[new], count[new], lead[new], self.doc[order][new], text[new].view(np.uint8)), place
+        kept = order[new]
+        return Contexts(mark[new], count[new], lead[new], self.doc[kept], words[kept].view(np.uint8)), place
 
     @classmethod
     def together(cls, tables: list[Contexts]) -> Contexts:
@@ -285,8 +298,7 @@ def contexts_of(block: Block, said: np.ndarray) -> tuple[Contexts, tuple[np.ndar
     for at in range(0, len(each), SEGMENT):
         some = each[at : at + SEGMENT]
         table = _rows_at(block, some, np.ones(len(some), np.uint8), np.zeros(len(some), np.uint8), np.zeros(len(some), _U), one[at : at + SEGMENT])
-        words = table.text.view(_U)
-        table.mark = _mixed((words * _ODD[: words.shape[1]]).sum(axis=1, dtype=_U), 2) & _SENT
+        table.mark = _mixed(_row_sums(table.text.view(_U)), 2) & _SENT
         table, place = table.different()
         tables.append(table)
         owner.append(place + rows)

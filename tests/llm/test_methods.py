@@ -160,6 +160,13 @@ def test_crowded_anchors_are_dealt_by_suffix(texts, monkeypatch):
     assert got == {d: r[1] for d, r in removed(texts).items()}
 
 
+def test_anchors_are_dealt_evenly(texts):
+    """An anchor's hash is the smallest of many; the leading bits that deal it must not show that."""
+    mark = np.concatenate([np.unique(b.stretches()[3]) for b in blocks_of(texts, 1000)])
+    sizes = np.bincount((mark >> np.uint64(60)).astype(int), minlength=16)
+    assert len(mark) > 10_000 and sizes.max() < 1.2 * sizes.mean()
+
+
 def test_packed_rows_grow_in_proportion():
     """A block sends at most FAN rows, a relay too, and there are as many relays of a level as the text needs."""
     for total in (1 << 30, 1 << 36, 1 << 46):
