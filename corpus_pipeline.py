@@ -21,7 +21,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies: Jaccard similarity of five-word shingles of 0.8 and more, directly or over others."""
+    """The document with the smallest doc_id of each group of near copies: found by SimHash, and by MinHash where they differ in more than four bits, then checked by whole sets (a Jaccard
+    similarity of five-word shingles of 0.8 and more), directly or over others."""
     return deduplicated(docs)
 
 

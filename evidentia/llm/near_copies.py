@@ -1,4 +1,4 @@
-"""Near duplicates by Jaccard similarity: candidates from banded MinHash, links verified by whole shingle sets."""
+"""Near duplicates by Jaccard similarity: candidates from SimHash and from banded MinHash, links verified by whole shingle sets."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import ordered
+from . import simhash
 from .common import in_batches, small, text_or_empty, written
 from .components import components
 
@@ -18,6 +19,8 @@ SEED = 42
 SIZE = 5
 #: Similarity from which two texts are near copies, as a fraction.
 SIMILAR = (4, 5)
+#: Bits in which linked SimHash fingerprints differ at most.
+DISTANCE = 4
 #: A pair of similarity s shares a band with probability 1 - (1 - s**6)**40: 0.999995 at 0.8, and more above.
 BANDS, ROWS = 40, 6
 _DRAWN = np.random.default_rng(SEED).integers(0, 1 << 64, size=(3, BANDS * ROWS), dtype=np.uint64)
@@ -76,21 +79,22 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def sketches(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """(doc_id, digest, fp, bands): one narrow pass; fp names the set of shingles, so copies are equal. A null text counts as empty."""
+    """(doc_id, digest, fp, bands, print): one narrow pass; fp names the set of shingles, so copies are equal; print is the SimHash fingerprint. A null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, keys = [], []
+            fps, keys, prints = [], [], []
             for text in batch.column("text").to_pylist():
                 hashes = shingle_set(text, size)
+                prints.append(simhash.fingerprint(text))
                 fps.append(name_of(hashes))
                 keys.append(bands(hashes))
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *keys])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(fps, pa.int64()), lists], ["doc_id", "digest", "fp", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(fps, pa.int64()), lists, pa.array(prints, pa.int64())], ["doc_id", "digest", "fp", "bands", "print"])
 
     rows = _keyed(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "digest", text_or_empty().alias("text"))
-    return in_batches(rows).mapInArrow(run, "doc_id long, digest long, fp long, bands array<long>")
+    return in_batches(rows).mapInArrow(run, "doc_id long, digest long, fp long, bands array<long>, print long")
 
 
 def similar(common, sizes_a, sizes_b):
@@ -264,9 +268,16 @@ def links_of(buckets: DataFrame, sets: DataFrame, group_bytes: int = GROUP_BYTES
     return links
 
 
+def simhash_buckets(sketched: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(fp, key): sets by the component of their SimHash fingerprint over links of at most `distance` bits, as operator 5 finds them."""
+    pairs = written(sketched.select("fp", "print").distinct(), "prints")
+    member = components(simhash.near_links(pairs.select(F.col("print").alias("fp")).distinct(), distance)).withColumnRenamed("node", "print")
+    return pairs.join(member, "print", "left").select("fp", F.xxhash64(F.lit("simhash"), F.coalesce("root", "print")).alias("key"))
+
+
 def similar_links(docs: DataFrame, sketched: DataFrame, size: int = SIZE, group_bytes: int = GROUP_BYTES, levels: int = LEVELS) -> DataFrame:
-    """(a, b): links of sets with a Jaccard similarity of 4/5 and more that connect whatever such links connect among sets that share a band."""
-    probes = sketched.select("fp", F.explode("bands").alias("key"))
+    """(a, b): links of sets with a Jaccard similarity of 4/5 and more that connect whatever such links connect among sets that share a SimHash component or a band."""
+    probes = sketched.select("fp", F.explode("bands").alias("key")).unionByName(written(simhash_buckets(sketched), "simhash"))
     shared = probes.groupBy("key").agg(F.min("fp").alias("l"), F.max("fp").alias("m")).where("l <> m").select("key")
     buckets = written(probes.join(small(written(shared, "bands")), "key").select("key", "fp").distinct(), "buckets")
     # one row stands for all copies of a set

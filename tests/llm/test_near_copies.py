@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from evidentia.llm import near_copies, simhash
@@ -72,6 +73,19 @@ def test_stage_finds_copies_beyond_four_bits(spark):
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, frame, "").collect()} == set(want.values())
 
 
+def test_stage_takes_candidates_from_simhash(spark):
+    """Without bands, what is within four bits is found all the same, and only if the sets agree."""
+    body = [f"w{k}" for k in range(400)]
+    texts = {1: " ".join(body), 2: " ".join([*body[:-1], "other"]), 3: " ".join(f"v{k}" for k in range(300)), 4: "a " * 200 + "b c d e f g h", 5: "a " * 200 + "i j k l m n o"}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    linked = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame).collect()}
+    assert linked == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4} and groups(texts) == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+    sketched = near_copies.sketches(frame).withColumn("bands", F.array().cast("array<long>"))
+    links = near_copies.similar_links(frame, near_copies.written(sketched, "sketches")).collect()
+    names = {near_copies.name_of(near_copies.shingle_set(texts[d])) for d in (1, 2)}
+    assert [{r.a, r.b} for r in links] == [names]
+
+
 def test_sets_at_the_threshold():
     sets = [np.array(x, np.uint64) for x in ([1, 2, 3, 4], [1, 2, 3, 4, 5], [1, 2, 3, 4, 6, 7])]
     assert near_copies.forest(np.arange(3), sets) == [(1, 0)]
