@@ -48,9 +48,10 @@ def resolved(imported: DataFrame, files: DataFrame) -> DataFrame:
     tails = F.array(*map(F.lit, TAILS))
     rows = imported.where(F.col("specifier").startswith(".") | F.col("specifier").startswith("/")).withColumn("base", base)
     rows = rows.select("path", "specifier", "base", F.posexplode(tails).alias("n", "tail"))
-    hits = rows.select("path", "specifier", "n", F.concat("base", "tail").alias("target")).join(files.select(F.col("path").alias("target")).distinct(), "target")
+    # as many rows as there are files: never broadcast, whatever their compressed size makes Spark expect
+    hits = rows.select("path", "specifier", "n", F.concat("base", "tail").alias("target")).join(files.select(F.col("path").alias("target")).distinct().hint("merge"), "target")
     best = hits.groupBy("path", "specifier").agg(F.min_by("target", "n").alias("target"))
-    return imported.join(best, ["path", "specifier"], "left")
+    return imported.join(best.hint("merge"), ["path", "specifier"], "left")
 
 
 def identifier_index(files: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codes
 from . import extract, scoped
-from .durable import counted, cut
+from .durable import FRONTIER_ROWS, counted, cut
 
 _IMPORT = r"(?:^|[\n;]|\*/)[ \t]*import\s+(?:type\s+)?(?:([A-Za-z_$][\w$]*)\s*,?\s*)?(?:(\{[^}]*\})|\*\s*as\s+[\w$]+)?\s*from\s*['\"]([^'\"]+)['\"]"
 _EXPORT = r"(?:^|[\n;]|\*/)[ \t]*export\s+(?:type\s+)?(?:(\{[^}]*\})|(\*)(?:\s*as\s+([\w$]+))?)\s*from\s*['\"]([^'\"]+)['\"]"
@@ -89,10 +89,10 @@ def import_sites(files: DataFrame) -> DataFrame:
 
 def located_edges(files: DataFrame) -> DataFrame:
     """(src, dst, relation, location): files that import or re-export from another file, once for each place where they do."""
-    sites = _resolved(import_sites(files), files)
+    sites = cut(_resolved(cut(import_sites(files)), files))
     placed = scoped.located(sites, files)
     location = F.struct("path", "line", "column").alias("location")
-    return placed.select(F.col("path").alias("src"), F.col("target").alias("dst"), F.lit("imports").alias("relation"), location)
+    return cut(placed.select(F.col("path").alias("src"), F.col("target").alias("dst"), F.lit("imports").alias("relation"), location))
 
 
 def pure_barrels(files: DataFrame) -> DataFrame:
@@ -105,7 +105,7 @@ def pure_barrels(files: DataFrame) -> DataFrame:
 def _resolved(rows: DataFrame, files: DataFrame) -> DataFrame:
     """rows with the file that their specifier names (target), without those that name none."""
     known = extract.resolved(rows.select("path", "specifier").distinct(), files).where("target is not null and target <> path")
-    return rows.join(known, ["path", "specifier"])
+    return rows.join(known.hint("merge"), ["path", "specifier"])
 
 
 def export_table(files: DataFrame, declared: DataFrame, rounds: int = 64) -> DataFrame:
@@ -118,13 +118,13 @@ def export_table(files: DataFrame, declared: DataFrame, rounds: int = 64) -> Dat
     steps = cut(_resolved(re_exports(files), files).where("not (name = '*' and alias <> '*')").select(
         "path", "target", F.col("name").alias("wanted"), "alias"
     ).distinct())
-    fresh, n = table, 1
+    fresh, n = table, FRONTIER_ROWS + 1
     for _ in range(rounds):
-        passed = steps.join(
+        passed = (steps if n <= FRONTIER_ROWS else steps.hint("merge")).join(
             fresh.select(F.col("path").alias("target"), "name", "origin", "label"), "target"
         ).where("wanted = name or (wanted = '*' and name <> 'default')")
         passed = passed.select("path", F.when(F.col("wanted") == STAR, F.col("name")).otherwise(F.col("alias")).alias("name"), "origin", "label").distinct()
-        fresh, n = counted(passed.join(table, ["path", "name", "origin", "label"], "left_anti"))
+        fresh, n = counted(passed.join(table.hint("merge"), ["path", "name", "origin", "label"], "left_anti"))
         if not n:
             break
         table = cut(table.unionByName(fresh))
@@ -137,19 +137,19 @@ def import_edges(files: DataFrame, declared: DataFrame, table: DataFrame | None
     Names of a specifier that no file answers to are looked up among all declarations of that name (by_name), as nothing better is known. Names found nowhere are left out.
     """
     table = export_table(files, declared) if table is None else table
-    wanted = import_bindings(files)
-    there = _resolved(wanted, files)
-    found = there.select("path", "target", "name").distinct().join(table.select(F.col("path").alias("target"), "name", "origin", "label"), ["target", "name"])
+    wanted = cut(import_bindings(files))
+    there = cut(_resolved(wanted, files))
+    found = there.select("path", "target", "name").distinct().join(table.select(F.col("path").alias("target"), "name", "origin", "label").hint("merge"), ["target", "name"])
     origins = found.groupBy("path", "target", "name").agg(F.count("*").alias("n"))
-    rows = found.join(origins, ["path", "target", "name"]).select(
+    rows = found.join(origins.hint("merge"), ["path", "target", "name"]).select(
         F.col("path").alias("src_file"), F.col("origin").alias("dst_file"), "label",
         F.when(F.col("n") > 1, "ambiguous").otherwise("resolved").alias("verdict")
     )
     loose = wanted.join(
-        there.select("path", "specifier").distinct(), ["path", "specifier"], "left_anti"
+        there.select("path", "specifier").distinct().hint("merge"), ["path", "specifier"], "left_anti"
     ).where("name <> 'default'").select("path", F.col("name").alias("label")).distinct()
     named = loose.join(
-        declared.select(F.col("path").alias("dst_file"), F.col("name").alias("label")), "label"
+        declared.select(F.col("path").alias("dst_file"), F.col("name").alias("label")).hint("merge"), "label"
     ).select(F.col("path").alias("src_file"), "dst_file", "label", F.lit("by_name").alias("verdict"))
     return rows.unionByName(named).where("src_file <> dst_file").distinct()
 
@@ -157,6 +157,6 @@ def import_edges(files: DataFrame, declared: DataFrame, table: DataFrame | None
 def barrel_edges(files: DataFrame) -> DataFrame:
     """(src_file, dst_file): files that import or re-export from a pure barrel, which stands for itself in the graph."""
     both = import_bindings(files).select("path", "specifier").unionByName(re_exports(files).select("path", "specifier")).distinct()
-    return _resolved(both, files).join(pure_barrels(files).withColumnRenamed("path", "target"), "target").select(
+    return _resolved(cut(both), files).join(pure_barrels(files).withColumnRenamed("path", "target").hint("merge"), "target").select(
         F.col("path").alias("src_file"), F.col("target").alias("dst_file")
     ).distinct()
