@@ -1,6 +1,6 @@
 """Results on odd rows, and plans whose work does not outgrow the tables."""
 
-from evidentia.operators import extract, modules
+from evidentia.operators import bindings, extract, modules
 from evidentia.plans import lens
 
 
@@ -9,3 +9,16 @@ def test_import_edges_broadcast_no_table_of_files(spark, sf_dir):
     declared = extract.exports(files).select("path", "name")
     plan = modules.import_edges(files, declared)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan
+
+
+def test_scopes_of_the_same_paths_share_their_answer(spark):
+    ends = "project int, snapshot string, from_path int, to_path int, strength string"
+    witnesses = spark.createDataFrame([(1, "t", 10, 20, "strong"), (1, "t", 20, 30, "strong"), (1, "t", 10, 40, "weak"), (2, "t", 10, 50, "strong"), (1, "t", 10, 20, "strong")], ends)
+    scopes = spark.createDataFrame(
+        [(1, 1, "t", [10, 20]), (2, 1, "t", [20, 10, 10]), (3, 1, "t", [30]), (4, 1, "t", [10]), (4, 2, "t", [10]), (5, 1, None, [10]), (None, 1, "t", [10]), (6, 1, "t", None)],
+        "task int, project int, snapshot string, paths array<int>"
+    )
+    got = bindings.reserved(witnesses, scopes)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, 30), (2, 30), (3, 20), (4, 20), (4, 50), (None, 20)], key=str)
+    plan = got._jdf.queryExecution().optimizedPlan().children().head().toString()
+    assert plan.lstrip().startswith("Project") and "Aggregate" not in plan.split("Join")[0]
