@@ -60,9 +60,16 @@ def identifier_index(files: DataFrame) -> DataFrame:
 
 
 def dependency_edges(deps: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(src, dst, relation): dependencies (id, dep_name, relation) on symbols of that name, without self-edges, once each."""
-    named = symbols.select(F.col("id").alias("dst"), F.col("name").alias("dep_name"))
-    return deps.join(named, "dep_name").where("id <> dst").select(F.col("id").alias("src"), "dst", "relation").distinct()
+    """(src, dst, relation): dependencies (id, dep_name, relation) on symbols of that name, without self-edges, once each.
+
+    An edge to a symbol of one name comes of one row of each side once both are made different, so these edges are not compared with each other; only symbols that bear several names need that.
+    """
+    named = symbols.select(F.col("id").alias("dst"), F.col("name").alias("dep_name")).where("dep_name is not null").distinct()
+    least = named.groupBy("dst").agg(F.count("*").alias("n"), F.min("dep_name").alias("dep_name"))
+    several = named.join(least.where("n > 1").select("dst").hint("merge"), "dst", "left_semi")
+    wanted = deps.select("id", "dep_name", "relation").distinct()
+    edges = lambda names: wanted.join(names.hint("merge"), "dep_name").where("id <> dst").select(F.col("id").alias("src"), "dst", "relation")
+    return edges(least.where("n = 1").drop("n")).unionByName(edges(several).distinct())
 
 
 def unrepresented(imported: DataFrame, edges: DataFrame) -> DataFrame:

@@ -22,3 +22,14 @@ def test_scopes_of_the_same_paths_share_their_answer(spark):
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, 30), (2, 30), (3, 20), (4, 20), (4, 50), (None, 20)], key=str)
     plan = got._jdf.queryExecution().optimizedPlan().children().head().toString()
     assert plan.lstrip().startswith("Project") and "Aggregate" not in plan.split("Join")[0]
+
+
+def test_edges_to_symbols_of_several_names_come_once(spark):
+    deps = spark.createDataFrame([("a", "x", "uses"), ("a", "y", "uses"), ("a", "x", "uses"), ("a", "x", "references"), ("b", "x", "uses"), ("c", None, "uses")], "id string, dep_name string, relation string")
+    symbols = spark.createDataFrame([("b", "x"), ("b", "y"), ("b", "x"), ("d", "x"), ("e", None)], "id string, name string")
+    got = extract.dependency_edges(deps, symbols)
+    want = [("a", "b", "references"), ("a", "b", "uses"), ("a", "d", "references"), ("a", "d", "uses"), ("b", "d", "uses")]
+    assert sorted(map(tuple, got.collect())) == want
+    # edges to symbols of one name are made by the last join: they are not shuffled
+    plan = got._jdf.queryExecution().optimizedPlan().children().head().toString()
+    assert plan.lstrip().startswith("Project") and "Aggregate" not in plan.split("Join")[0]
