@@ -1,6 +1,6 @@
 """Results on odd rows, and plans whose work does not outgrow the tables."""
 
-from evidentia.operators import bindings, extract, modules
+from evidentia.operators import bindings, extract, modules, tasks
 from evidentia.plans import lens
 
 
@@ -33,3 +33,12 @@ def test_edges_to_symbols_of_several_names_come_once(spark):
     # edges to symbols of one name are made by the last join: they are not shuffled
     plan = got._jdf.queryExecution().optimizedPlan().children().head().toString()
     assert plan.lstrip().startswith("Project") and "Aggregate" not in plan.split("Join")[0]
+
+
+def test_labels_with_unknown_values_and_rows_of_the_index_nobody_cites(spark):
+    labels = spark.createDataFrame([(1, 1, 1), (1, 1, 1), (1, 2, 9), (2, 1, 1), (2, 1, 2), (3, 1, None), (None, 1, 1), (4, None, 1), (5, 7, 7)], "question int, subject int, path int")
+    index = spark.createDataFrame([(1, 1), (1, 2), (1, 2), (1, None), (2, 8), (None, 1)], "subject int, path int")
+    got = tasks.verified_labels(labels, index)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, 2, 1, "both"), (2, 0, 0, "verified"), (3, 2, 1, "both"), (None, 2, 1, "both"), (4, 0, 1, "unexpected"), (5, 0, 1, "unexpected")], key=str)
+    # no row of the index is written out for each question: cited rows meet the index by one left join
+    assert "FullOuter" not in got._jdf.queryExecution().optimizedPlan().toString()
