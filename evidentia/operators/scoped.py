@@ -26,8 +26,8 @@ def _template(levels: int) -> str:
     return rf"`(?:{_ESCAPED}|{hole}[^`\\])*+`?"
 
 
-#: Each match is one stretch of text and the matches are all of it. Group 1: what is masked.
-_TOKEN = rf"({_COMMENT}|{_template(NESTED)}|(?!{_SPECIFIER}){_STRING}|{_REGEX})|{_STRING}|[A-Za-z0-9_$]++|[^A-Za-z0-9_$/'\"`]++|/"
+#: Each match is one stretch of text and the matches are all of it. Group 1: what is masked. What looks behind is tried only where a string or a slash begins.
+_TOKEN = rf"[^/'\"`]++|({_COMMENT}|{_template(NESTED)}|(?=['\"])(?!{_SPECIFIER}){_STRING}|(?=/){_REGEX})|{_STRING}|/"
 _LINE = r"[^\n\r\u2028\u2029]*+(?:\r\n|[\n\r\u2028\u2029])|[^\n\r\u2028\u2029]++"
 _NAME = r"[\p{L}_$][\p{L}\p{N}_$]*+"
 _HEAD = r"(export\s+)?(default\s+)?(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?(class|interface|type|enum|function|const|let|var)(?:\s*\*\s*|\s+)"

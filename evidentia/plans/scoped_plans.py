@@ -20,7 +20,7 @@ def _sources(spark, d):
         if_(k % 3 == 0, "const t", n, " = `class Fake", n, " ${ `x", n, "` }\n`, u", n, " = '};';\n"), if_(k % 5 == 0, "namespace N", n, " { export class Deep", n, " {} }\n"),
         F.repeat(F.lit(" "), (s % 7).cast("int")), F.lit("export default function Main"), n, F.lit("(a = {}) { const inner = 1; }\n"),
     )
-    return lens.table(spark, d, "part").select(F.concat(F.lit("src/s"), n, F.lit(".ts")).alias("path"), text.alias("text"))
+    return lens.spread(lens.table(spark, d, "part").select("p_partkey", "p_size"), "p_partkey").select(F.concat(F.lit("src/s"), n, F.lit(".ts")).alias("path"), text.alias("text"))
 
 
 @query("""with p as (select p_partkey as k, p_size as s, 1 + case when p_partkey % 2 = 0 then 2 else 0 end + p_size % 4 as top from part), q as (select *, 'src/s' || k || '.ts' as path from p)

@@ -42,3 +42,8 @@ def test_labels_with_unknown_values_and_rows_of_the_index_nobody_cites(spark):
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, 2, 1, "both"), (2, 0, 0, "verified"), (3, 2, 1, "both"), (None, 2, 1, "both"), (4, 0, 1, "unexpected"), (5, 0, 1, "unexpected")], key=str)
     # no row of the index is written out for each question: cited rows meet the index by one left join
     assert "FullOuter" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_made_of_a_small_file_are_worked_on_by_many_tasks(spark, sf_dir):
+    for files in (lens.module_files(spark, sf_dir), lens.dotnet_files(spark, sf_dir)):
+        assert files.rdd.getNumPartitions() >= 4
