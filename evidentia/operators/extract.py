@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import texts
+from .durable import counted, cut
 from .ordered import placed
 
 _TS = r"(?m)^[ \t]*export\s+(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?(class|interface|type|enum|function|const|let|var)\s*\*?\s+([A-Za-z_$][A-Za-z0-9_$]*)"
@@ -64,12 +65,13 @@ def dependency_edges(deps: DataFrame, symbols: DataFrame) -> DataFrame:
 
     An edge to a symbol of one name comes of one row of each side once both are made different, so these edges are not compared with each other; only symbols that bear several names need that.
     """
-    named = symbols.select(F.col("id").alias("dst"), F.col("name").alias("dep_name")).where("dep_name is not null").distinct()
+    named = cut(symbols.select(F.col("id").alias("dst"), F.col("name").alias("dep_name")).where("dep_name is not null").distinct())
     least = named.groupBy("dst").agg(F.count("*").alias("n"), F.min("dep_name").alias("dep_name"))
-    several = named.join(least.where("n > 1").select("dst").hint("merge"), "dst", "left_semi")
+    several, n = counted(named.join(least.where("n > 1").select("dst").hint("merge"), "dst", "left_semi"))
     wanted = deps.select("id", "dep_name", "relation").distinct()
-    edges = lambda names: wanted.join(names.hint("merge"), "dep_name").where("id <> dst").select(F.col("id").alias("src"), "dst", "relation")
-    return edges(least.where("n = 1").drop("n")).unionByName(edges(several).distinct())
+    edges = lambda names: wanted.join(names, "dep_name").where("id <> dst").select(F.col("id").alias("src"), "dst", "relation")
+    single = edges(least.where("n = 1").drop("n").hint("merge"))
+    return single.unionByName(edges(several).distinct()) if n else single
 
 
 def unrepresented(imported: DataFrame, edges: DataFrame) -> DataFrame:
