@@ -6,7 +6,7 @@ on, hand the answers back.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,10 +60,18 @@ def dealt(table, source: int, above: int, skip: int, bits: int) -> list[tuple]:
     return [((above << bits) + int(part[b]), source, e - b, zstandard.compress(table.part(b, e), 1)) for b, e in zip(begins, [*begins[1:], len(part)], strict=True)]
 
 
-def _tables(kind: type, rows: pa.Table) -> tuple[list[tuple[int, int, int]], list]:
-    """(part, source, n) and the table of each packed row, in the order of the sources."""
-    found = sorted(zip(*(rows.column(c).to_pylist() for c in ("part", "source", "n")), range(rows.num_rows), strict=True), key=lambda x: (x[1], x[0]))
-    return [f[:3] for f in found], [kind.read(zstandard.decompress(rows.column("packed")[f[3]].as_buffer()), f[2]) for f in found]
+class Packed:
+    """The tables of packed rows, in the order of the sources, each read as it is taken; heads: (part, source, n) of each, n_rows: the rows of all."""
+
+    def __init__(self, kind: type, rows: pa.Table):
+        found = sorted(zip(*(rows.column(c).to_pylist() for c in ("part", "source", "n")), range(rows.num_rows), strict=True), key=lambda x: (x[1], x[0]))
+        self.kind, self.packed, self.order = kind, rows.column("packed"), [f[3] for f in found]
+        self.heads = [f[:3] for f in found]
+        self.n_rows = sum(n for _, _, n in self.heads)
+
+    def __iter__(self) -> Iterator:
+        for (_, _, n), at in zip(self.heads, self.order, strict=True):
+            yield self.kind.read(zstandard.decompress(self.packed[at].as_buffer()), n)
 
 
 def _split(heads: list[tuple[int, int, int]], answer: np.ndarray) -> pa.Table:
@@ -75,12 +83,12 @@ def _range(kind: type, settings: tuple) -> Callable[[pa.Table], pa.Table]:
     """One range: the answers to all sources, and its summary for the driver, if the kind has one, as the answer to NOBODY."""
 
     def run(rows: pa.Table) -> pa.Table:
-        heads, tables = _tables(kind, rows)
+        tables = Packed(kind, rows)
         whole, table, place = kind.joined(tables)
         answer = table.settled(*settings)
-        out = _split(heads, whole.told(table, place, answer))
+        out = _split(tables.heads, whole.told(table, place, answer))
         if hasattr(table, "summary"):
-            out = pa.concat_tables([out, arrow_table([(heads[0][0], NOBODY, zstandard.compress(table.summary(answer), 1))], ANSWER)])
+            out = pa.concat_tables([out, arrow_table([(tables.heads[0][0], NOBODY, zstandard.compress(table.summary(answer), 1))], ANSWER)])
         del tables, whole, table, place
         give_back()
         return out
@@ -92,8 +100,11 @@ def _up(kind: type, skip: int, bits: int) -> Callable[[pa.Table], pa.Table]:
     """One relay on the way up: the rows of some sources of a range as those of one source, for the ranges below it."""
 
     def run(rows: pa.Table) -> pa.Table:
-        _, table, _ = kind.joined(_tables(kind, rows)[1])
-        return arrow_table(dealt(table, rows.column("relay")[0].as_py(), rows.column("part")[0].as_py(), skip, bits), PACKED)
+        table = kind.joined(Packed(kind, rows))[1]
+        out = arrow_table(dealt(table, rows.column("relay")[0].as_py(), rows.column("part")[0].as_py(), skip, bits), PACKED)
+        del table
+        give_back()
+        return out
 
     return run
 
@@ -102,9 +113,12 @@ def _down(kind: type) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """The same relay on the way back: what its own rows were told goes to the sources that had them."""
 
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        heads, tables = _tables(kind, rows)
+        tables = Packed(kind, rows)
         whole, table, place = kind.joined(tables)
-        return _split(heads, whole.told(table, place, flags_of(answers.select(["part", "flags"]).to_pylist(), kind)))
+        out = _split(tables.heads, whole.told(table, place, flags_of(answers.select(["part", "flags"]).to_pylist(), kind)))
+        del tables, whole, table, place
+        give_back()
+        return out
 
     return run
 

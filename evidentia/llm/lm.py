@@ -8,7 +8,7 @@ bounded by STATES and FREQUENT, while the counts of all words stay in the data,
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -73,9 +73,9 @@ class Words:
         self.mark, self.low, self.form, self.count = mark, low, form, count
 
     @classmethod
-    def joined(cls, tables: list[Words]) -> tuple[Words, Words, np.ndarray]:
+    def joined(cls, tables: Iterable[Words]) -> tuple[Words, Words, np.ndarray]:
         """All rows of several tables, the table of the different words with their counts added up, and each row's place in it."""
-        whole = cls(*(np.concatenate([getattr(t, c) for t in tables]) for c in ("mark", "low", "form", "count")))
+        whole = cls(*map(np.concatenate, zip(*((t.mark, t.low, t.form, t.count) for t in tables), strict=True)))
         order = np.lexsort((whole.low, whole.mark))
         mark, low = whole.mark[order], whole.low[order]
         new = np.r_[True, (mark[1:] != mark[:-1]) | (low[1:] != low[:-1])]

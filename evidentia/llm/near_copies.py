@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ordered
 from . import simhash
-from .common import in_batches, small, text_or_empty, written
+from .common import given_back, in_batches, small, text_or_empty, written
 from .components import components
 
 SEED = 42
@@ -94,7 +94,7 @@ def sketches(docs: DataFrame, size: int = SIZE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(fps, pa.int64()), lists, pa.array(prints, pa.int64())], ["doc_id", "digest", "fp", "bands", "print"])
 
     rows = _keyed(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "digest", text_or_empty().alias("text"))
-    return in_batches(rows).mapInArrow(run, "doc_id long, digest long, fp long, bands array<long>, print long")
+    return in_batches(rows).mapInArrow(given_back(run), "doc_id long, digest long, fp long, bands array<long>, print long")
 
 
 def similar(common, sizes_a, sizes_b):
@@ -177,7 +177,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
     near = pairs.join(sizes.withColumnsRenamed({"fp": "a", "n": "na"}), "a").join(sizes.withColumnsRenamed({"fp": "b", "n": "nb"}), "b")
     near = near.where(F.greatest("na", "nb") * SIMILAR[0] <= F.least("na", "nb") * SIMILAR[1]).select("a", "b")
     both = near.join(sets.select(F.col("fp").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("hashes").alias("y")), "b")
-    return written(in_batches(both.select("a", "b", "x", "y")).mapInArrow(_compared, "a long, b long"), name)
+    return written(in_batches(both.select("a", "b", "x", "y")).mapInArrow(given_back(_compared), "a long, b long"), name)
 
 
 def _open(members: DataFrame, links: DataFrame, tested: list[str]) -> DataFrame:
@@ -203,7 +203,7 @@ def _distinct_buckets(members: DataFrame) -> DataFrame:
 def _all_pairs(members: DataFrame, sets: DataFrame, name: str) -> DataFrame:
     """Links among the members of each bucket, a bucket in one task."""
     rows = members.select("key", "fp", "label").join(sets.select("fp", "hashes"), "fp").select("key", "fp", "label", "hashes")
-    return written(in_batches(rows.repartition("key").sortWithinPartitions("key")).mapInArrow(_within, "a long, b long"), name)
+    return written(in_batches(rows.repartition("key").sortWithinPartitions("key")).mapInArrow(given_back(_within), "a long, b long"), name)
 
 
 def _by_parts(members: DataFrame, sets: DataFrame, group_bytes: int) -> DataFrame:
@@ -227,7 +227,7 @@ def _divided(members: DataFrame, sets: DataFrame, level: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("fp"), lists], ["fp", "bands"])
 
     once = sets.join(members.select("fp").distinct(), "fp", "left_semi").select("fp", "hashes")
-    more = written(in_batches(once).mapInArrow(run, "fp long, bands array<long>"), "sub_bands")
+    more = written(in_batches(once).mapInArrow(given_back(run), "fp long, bands array<long>"), "sub_bands")
     rows = members.select("fp", F.col("key").alias("of")).join(more, "fp").select("fp", "of", F.posexplode("bands").alias("n", "band"))
     return rows.select(F.xxhash64("of", "n", "band").alias("key"), "fp")
 
@@ -294,7 +294,7 @@ def similar_links(docs: DataFrame, sketched: DataFrame, size: int = SIZE, group_
     wanted = small(wanted)
     texts = _keyed(docs).select("digest", F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     texts = texts.join(wanted, (texts["digest"] == wanted["digest"]) & F.col("doc_id").eqNullSafe(F.col("at"))).select("fp", "text")
-    sets = written(in_batches(texts).mapInArrow(run, "fp long, n int, hashes binary").dropDuplicates(["fp"]), "sets")  # rows that are repeated
+    sets = written(in_batches(texts).mapInArrow(given_back(run), "fp long, n int, hashes binary").dropDuplicates(["fp"]), "sets")  # rows that are repeated
     return links_of(buckets, sets, group_bytes, levels)
 
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches, text_or_empty, written
+from .common import given_back, in_batches, text_or_empty, written
 from .components import components
 
 SEED = 42
@@ -169,13 +169,13 @@ def near_links(fps: DataFrame, distance: int = 4) -> DataFrame:
     """
     if not 0 <= distance <= MOST_DISTANCE:
         raise ValueError(f"distance is 0 to {MOST_DISTANCE}")
-    probes = written(fps.mapInArrow(_probes, "key long, fp long, visitor byte"), "probes")
+    probes = written(fps.mapInArrow(given_back(_probes), "key long, fp long, visitor byte"), "probes")
     hot = written(probes.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_ROWS).select("key"), "hot")
     rows = probes
     if hot.head(1):
         # at most one hot key for each HOT_ROWS rows
-        rows = probes.join(hot, "key", "left_anti").unionByName(probes.join(hot, "key", "left_semi").mapInArrow(_refined, "key long, fp long, visitor byte"))
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_linker(distance), "a long, b long")
+        rows = probes.join(hot, "key", "left_anti").unionByName(probes.join(hot, "key", "left_semi").mapInArrow(given_back(_refined), "key long, fp long, visitor byte"))
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(given_back(_linker(distance)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, distance: int = 4) -> DataFrame:

@@ -18,7 +18,7 @@ blocks what a block does for its documents (drop what is repeated, send FAN rows
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bucketed, given_back, in_batches, text_or_empty
-from .exchange import FAN, PACKED, answered, arrow_table, by_source, dealt, flags_of, levels_of, runs_of, steps, unstepped
+from .exchange import FAN, PACKED, Packed, answered, arrow_table, by_source, dealt, flags_of, levels_of, runs_of, steps, unstepped
 
 DEPTH = 50
 MARK = 20
@@ -41,10 +41,10 @@ ROW = -(-(DEPTH + WIDTH - 1) // DIGIT) * DIGIT
 BLOCK_BYTES = 4 << 20
 SEGMENT = 1 << 17
 #: Bytes of text for each range: one range is ordered in one task, so many suffixes of it at a time.
-RANGE_BYTES = 16 << 20
-SUFFIXES = 1 << 20
+RANGE_BYTES = 8 << 20
+SUFFIXES = 1 << 18
 #: Bytes of text for each relay: where every stretch is repeated, its rows take six times as much.
-RELAY_BYTES = 16 << 20
+RELAY_BYTES = 8 << 20
 #: Stretches of an anchor from which its suffixes are dealt out one by one.
 HOT = 20_000
 NO_DOC = np.iinfo(np.int64).max
@@ -147,9 +147,10 @@ class Presence:
         return cls(mark[order][begins], (n + two * TWO).astype(np.uint16)), key
 
     @classmethod
-    def joined(cls, tables: list[Presence]) -> tuple[Presence, Presence, np.ndarray]:
+    def joined(cls, tables: Iterable[Presence]) -> tuple[Presence, Presence, np.ndarray]:
         """All rows of several tables, the table of the different ones, and each row's place in it."""
-        whole = cls(np.concatenate([t.mark for t in tables]), np.concatenate([t.note for t in tables]))
+        marks, notes = zip(*((t.mark, t.note) for t in tables), strict=True)
+        whole = cls(np.concatenate(marks), np.concatenate(notes))
         order = np.argsort(whole.mark)
         begins, place = runs_of(whole.mark[order], order)
         note = whole.note[order].astype(np.int64)
@@ -202,14 +203,22 @@ class Contexts:
         return Contexts(mark[new], count[new], lead[new], self.doc[kept], words[kept].view(np.uint8)), place
 
     @classmethod
-    def together(cls, tables: list[Contexts]) -> Contexts:
-        return cls(*(np.concatenate([getattr(t, c) for t in tables]) for c in ("mark", "count", "lead", "doc", "text")))
+    def together(cls, tables: Iterable[Contexts], n: int) -> Contexts:
+        """The n rows of several tables, which may be made as they are taken: one is held at a time, beside the whole."""
+        whole, at = cls(np.empty(n, _U), np.empty(n, np.uint8), np.empty(n, np.uint8), np.empty(n, np.int64), np.empty((n, ROW), np.uint8)), 0
+        for t in tables:
+            for c in ("mark", "count", "lead", "doc", "text"):
+                getattr(whole, c)[at : at + len(t.mark)] = getattr(t, c)
+            at += len(t.mark)
+        return whole
 
     @classmethod
-    def joined(cls, tables: list[Contexts]) -> tuple[Contexts, Contexts, np.ndarray]:
-        """All rows of several tables, the table of the different ones, and each row's place in it."""
-        whole = cls.together(tables)
-        return whole, *whole.different()
+    def joined(cls, tables: Packed | list[Contexts]) -> tuple[Contexts, Contexts, np.ndarray]:
+        """All rows of several tables, without their bytes, the table of the different ones, and each row's place in it."""
+        whole = cls.together(tables, tables.n_rows if isinstance(tables, Packed) else sum(len(t.mark) for t in tables))
+        table, place = whole.different()
+        whole.text = whole.text[:0].copy()  # told() needs none
+        return whole, table, place
 
     def settled(self) -> np.ndarray:
         """For each of these different stretches a bit for each of its suffixes that a smaller document has among them.
@@ -303,15 +312,16 @@ def contexts_of(block: Block, said: np.ndarray) -> tuple[Contexts, tuple[np.ndar
         tables.append(table)
         owner.append(place + rows)
         rows += len(table.mark)
-    found, place = Contexts.together(tables).different()
+    found, place = (tables[0] if len(tables) == 1 else Contexts.together(tables, rows)).different()
     return found, (np.r_[start[cold], each], np.r_[count[cold].astype(np.int64), np.ones(len(each), np.int64)], np.r_[doc[cold], one], place[np.concatenate(owner)])
 
 
 def _rows_at(block: Block, start: np.ndarray, count: np.ndarray, lead: np.ndarray, mark: np.ndarray, doc: np.ndarray) -> Contexts:
     text = np.zeros((len(start), ROW), dtype=np.uint8)
-    if len(start):
-        text[:] = np.lib.stride_tricks.sliding_window_view(block.padded, ROW)[start]
-        text[np.arange(ROW)[None, :] >= count[:, None].astype(np.int64) + DEPTH - 1] = 0
+    for at in range(0, len(start), SEGMENT):  # a segment at a time: no second copy of all rows
+        some = text[at : at + SEGMENT]
+        some[:] = np.lib.stride_tricks.sliding_window_view(block.padded, ROW)[start[at : at + SEGMENT]]
+        some[np.arange(ROW)[None, :] >= count[at : at + SEGMENT, None].astype(np.int64) + DEPTH - 1] = 0
     return Contexts(mark, count, lead, doc, text)
 
 
@@ -361,7 +371,7 @@ def _store(docs: DataFrame, block_bytes: int, carry: list[str], total: int) -> D
             yield row()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("~doc"), text_or_empty().alias("~text"), *carry)
-    rows = in_batches(rows).mapInArrow(run, "block long, docs binary, sizes binary, n_bytes long, packed binary, extra binary")
+    rows = in_batches(rows).mapInArrow(given_back(run), "block long, docs binary, sizes binary, n_bytes long, packed binary, extra binary")
     return bucketed(rows, "block", "blocks", total)
 
 
@@ -403,8 +413,10 @@ def _removed(block: Block, said: np.ndarray, repeated: np.ndarray) -> np.ndarray
     table, (start, count, doc, row) = contexts_of(block, said)
     if not len(row):
         return np.zeros(len(block.data), dtype=bool)
+    least = table.doc
+    del table  # and its bytes
     every = (np.int64(1) << count) - 1
-    bits = np.where(doc > table.doc[row], every, repeated[row])
+    bits = np.where(doc > least[row], every, repeated[row])
     whole = bits == every
     some = np.flatnonzero((bits != 0) & ~whole)
     which, nth = np.nonzero(np.unpackbits(bits[some].astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little"))
@@ -412,7 +424,7 @@ def _removed(block: Block, said: np.ndarray, repeated: np.ndarray) -> np.ndarray
     begin = np.r_[start[whole], start[some][which] + nth]
     np.add.at(depth, begin, 1)
     np.add.at(depth, np.r_[start[whole] + count[whole] - 1, start[some][which] + nth] + DEPTH, -1)
-    return np.cumsum(depth[:-1]) > 0
+    return np.cumsum(depth[:-1], dtype=np.int32) > 0
 
 
 def _each(block: Block, gone: np.ndarray) -> Iterator[tuple[int | None, np.ndarray, np.ndarray]]:

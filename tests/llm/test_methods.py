@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 from decimal import Decimal, localcontext
@@ -10,6 +11,7 @@ from fractions import Fraction
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 import zstandard
@@ -167,6 +169,32 @@ def test_anchors_are_dealt_evenly(texts):
     assert len(mark) > 10_000 and sizes.max() < 1.2 * sizes.mean()
 
 
+def shared_rows(sources=6, n_bytes=400_000):
+    """The packed rows of blocks of random text, of which every third has a copy of the first block."""
+    for k in range(sources):
+        raw = np.random.default_rng(k if k % 3 else 0).integers(97, 123, n_bytes, dtype=np.uint8).tobytes()
+        block = suffixes.Block(np.array([k]), np.array([n_bytes]), zstandard.compress(raw))
+        said = np.full(len(np.unique(block.stretches()[3])), suffixes.SHARED, np.uint8)
+        yield from exchange.dealt(suffixes.contexts_of(block, said)[0], k, 0, 0, 0)
+
+
+def test_a_range_holds_its_rows_once(monkeypatch):
+    """Beside its rows and the different ones of them, a range or relay holds no third copy, and each gives its memory back."""
+    given = []
+    monkeypatch.setattr(exchange, "give_back", lambda: given.append(1))
+    rows = exchange.arrow_table(list(shared_rows()), exchange.PACKED)
+    n = sum(rows.column("n").to_pylist())
+    one = n * (suffixes.ROW + 18)
+    for work in (exchange._range(suffixes.Contexts, ()), exchange._up(suffixes.Contexts, 8, 2)):
+        table = rows.append_column("relay", pa.array([0] * rows.num_rows, pa.int64()))
+        tracemalloc.start()
+        out = work(table)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert out.num_rows and n > 100_000 and peak < 2.7 * one
+    assert len(given) == 2
+
+
 def test_packed_rows_grow_in_proportion():
     """A block sends at most FAN rows, a relay too, and there are as many relays of a level as the text needs."""
     for total in (1 << 30, 1 << 36, 1 << 46):
