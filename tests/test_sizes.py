@@ -47,3 +47,18 @@ def test_labels_with_unknown_values_and_rows_of_the_index_nobody_cites(spark):
 def test_texts_made_of_a_small_file_are_worked_on_by_many_tasks(spark, sf_dir):
     for files in (lens.module_files(spark, sf_dir), lens.dotnet_files(spark, sf_dir)):
         assert files.rdd.getNumPartitions() >= 4
+
+
+def test_tasks_of_one_scope_take_its_paths_in_runs(spark, monkeypatch, tmp_path):
+    """Rows, over several runs and slices, and the space of tasks times paths in files."""
+    witnesses = spark.range(9000).selectExpr("1 as project", "'t' as snapshot", "id % 3 as from_path", "id + 100000 as to_path", "'strong' as strength")
+    scopes = spark.range(900).selectExpr("id as task", "1 as project", "'t' as snapshot", "array(id % 3, 100000 + id % 3) as paths")
+    bindings.reserved(witnesses, scopes).write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    assert rows.count() == rows.distinct().count() == 900 * 2999
+    assert rows.where("(path % 3) <> (100000 + task) % 3 and path >= 100003").count() == rows.where("path < 3 and path <> task % 3 or path = 100000 + task % 3").count() == 0
+    assert sum(p.stat().st_size for p in (tmp_path / "rows").glob("*.parquet")) < 900 * 2999 / 4
+    monkeypatch.setattr(bindings, "RUN", 7)
+    monkeypatch.setattr(bindings, "SLICE", 300)
+    other = bindings.reserved(witnesses, scopes)
+    assert other.count() == rows.count() and not other.exceptAll(rows).take(1)
